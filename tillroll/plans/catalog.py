@@ -259,3 +259,254 @@ FROM g""", f"g AS (SELECT Country, sum({U}) AS u, count(DISTINCT InvoiceNo) AS i
            "count(DISTINCT CustomerID) AS cust FROM cleaned GROUP BY Country)"))
 def q_home_market_share(spark, sf):
     return dims.home_market_share(cleaned(spark, sf))
+
+
+# ============================================================ rfm + segments ===
+
+from tillroll import functions as tf  # noqa: E402
+from tillroll.operators import clv as clv_ops, cohort, forecast as fc, rfm  # noqa: E402
+
+IDENT = "HasCustomerID AND CustomerID IS NOT NULL"
+QPROBS = "[0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0]"
+
+
+def round_sig_sql(x: str, digits: int) -> str:
+    """SQL twin of functions.round_sig."""
+    k = f"({digits - 1} - CAST(floor(log10(abs({x}))) AS INTEGER))"
+    return (f"(CASE WHEN ({x}) IS NULL OR ({x}) = 0 OR isnan({x}) THEN ({x}) "
+            f"WHEN {k} >= 0 THEN round(({x}) * pow(10.0, {k})) / pow(10.0, {k}) "
+            f"ELSE round(({x}) / pow(10.0, -{k})) * pow(10.0, -{k}) END)")
+
+
+def rfm_cte(scope: str = "identified") -> str:
+    snap_where = f"WHERE {IDENT}" if scope == "identified" else ""
+    return (f"snap AS (SELECT max(InvoiceDate) + INTERVAL 1 DAY AS s FROM cleaned {snap_where}),\n"
+            f"rfm AS (SELECT CustomerID, date_sub('day', max(InvoiceDate), (SELECT s FROM snap)) AS Recency,\n"
+            f"  count(DISTINCT InvoiceNo) AS Frequency, {msum()} AS Monetary\n"
+            f"  FROM cleaned WHERE {IDENT} GROUP BY CustomerID)")
+
+
+def score_list_sql(code: str) -> str:
+    parts = " ".join(f"WHEN {code} IN ({', '.join(repr(c) for c in codes)}) THEN '{name}'"
+                     for name, codes in tf.RFM_SCORE_SEGMENTS)
+    return f"CASE {parts} ELSE '{tf.RFM_SCORE_DEFAULT}' END"
+
+
+def score_rules_sql(r: str, f: str, m: str) -> str:
+    parts = []
+    for name, *bounds in tf.RFM_RULE_SEGMENTS:
+        conds = " AND ".join(f"{c} {op} {v}" for c, (op, v) in zip((r, f, m), bounds))
+        parts.append(f"WHEN {conds} THEN '{name}'")
+    return f"CASE {' '.join(parts)} ELSE '{tf.RFM_RULE_DEFAULT}' END"
+
+
+RFM_QUINTILE_CTES = (
+    rfm_cte("identified"),
+    "nn AS (SELECT count(*) AS n FROM rfm)",
+    "fr AS (SELECT *, row_number() OVER (ORDER BY Frequency, CustomerID) AS frank FROM rfm)",
+    f"er AS (SELECT quantile_cont(Recency, {QPROBS}) AS e FROM rfm)",
+    f"em AS (SELECT quantile_cont(Monetary, {QPROBS}) AS e FROM rfm)",
+    """sc AS (SELECT fr.CustomerID, Recency, Frequency, Monetary,
+      CAST(6 - (1 + len(list_filter(er.e[2:5], lambda x: Recency > x))) AS INTEGER) AS R_Score,
+      CAST(1 + len(list_filter([1, 2, 3, 4], lambda k: (frank - 1) * 5 > k * (n - 1))) AS INTEGER) AS F_Score,
+      CAST(1 + len(list_filter(em.e[2:5], lambda x: Monetary > x)) AS INTEGER) AS M_Score
+    FROM fr, er, em, nn)""",
+    "sc2 AS (SELECT *, CAST(R_Score AS VARCHAR) || CAST(F_Score AS VARCHAR) || CAST(M_Score AS VARCHAR) AS RFM_Score FROM sc)",
+    f"seg AS (SELECT *, {score_list_sql('RFM_Score')} AS Segment FROM sc2)",
+)
+
+
+@register("rfm_metrics", with_cleaned("SELECT * FROM rfm", rfm_cte("identified")))
+def q_rfm_metrics(spark, sf):
+    return rfm.rfm_metrics(cleaned(spark, sf))
+
+
+@register("rfm_scores_quintile", with_cleaned("SELECT * FROM seg", *RFM_QUINTILE_CTES))
+def q_rfm_scores_quintile(spark, sf):
+    return rfm.rfm_scores_quintile(rfm.rfm_metrics(cleaned(spark, sf)))
+
+
+@register("rfm_segment_profile", with_cleaned(f"""
+SELECT Segment, count(*) AS Count, avg(Recency) AS AvgRecency, avg(Frequency) AS AvgFrequency,
+       CAST(sum(CAST(round(Monetary * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000 AS AvgMonetary,
+       CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER () AS Share
+FROM seg GROUP BY Segment""", *RFM_QUINTILE_CTES))
+def q_rfm_segment_profile(spark, sf):
+    return rfm.rfm_segment_profile(rfm.rfm_scores_quintile(rfm.rfm_metrics(cleaned(spark, sf))))
+
+
+def dash_score_sql(x: str) -> str:
+    st = f"st_{x}"
+    w_inner = (f"(CASE WHEN {st}.k > 1 THEN list_transform(range(1, {st}.k), "
+               f"lambda i: i * (({st}.mx - {st}.mn) / {st}.k) + {st}.mn) ELSE [] END)")
+    ue = f"list_sort(list_distinct({st}.e))"
+    q_inner = f"{ue}[2:len({ue}) - 1]"
+    return (f"(CASE WHEN {st}.k < 5 THEN 1 + len(list_filter({w_inner}, lambda v: {x} > v)) "
+            f"ELSE 1 + len(list_filter({q_inner}, lambda v: {x} > v)) END)")
+
+
+RFM_DEDUP_CTES = (
+    rfm_cte("all"),
+    *[f"st_{x} AS (SELECT quantile_cont({x}, {QPROBS}) AS e, count(DISTINCT {x}) AS k, "
+      f"min({x}) AS mn, max({x}) AS mx FROM rfm)" for x in ("Recency", "Frequency", "Monetary")],
+    f"""ds AS (SELECT CustomerID, Recency, Frequency, Monetary,
+      CAST(6 - {dash_score_sql('Recency')} AS INTEGER) AS R_Score,
+      CAST({dash_score_sql('Frequency')} AS INTEGER) AS F_Score,
+      CAST({dash_score_sql('Monetary')} AS INTEGER) AS M_Score
+    FROM rfm, st_Recency, st_Frequency, st_Monetary)""",
+    f"""dseg AS (SELECT *, CAST(R_Score AS VARCHAR) || CAST(F_Score AS VARCHAR) || CAST(M_Score AS VARCHAR) AS RFM_Segment,
+      {score_rules_sql('R_Score', 'F_Score', 'M_Score')} AS Customer_Segment FROM ds)""",
+    f"""segmented AS (SELECT {', '.join('c.' + c.strip() for c in CLEANED_COLS.split(','))},
+      d.RFM_Segment, d.Customer_Segment FROM cleaned c LEFT JOIN dseg d ON c.CustomerID = d.CustomerID)""",
+)
+
+
+@register("rfm_scores_dedup", with_cleaned("SELECT * FROM dseg", *RFM_DEDUP_CTES))
+def q_rfm_scores_dedup(spark, sf):
+    return rfm.rfm_scores_dedup(rfm.rfm_metrics(cleaned(spark, sf), snapshot_scope="all"))
+
+
+def segmented(spark, sf) -> DataFrame:
+    from tillroll.sources.schemas import CLEANED_COLUMNS, SEGMENT_COLUMNS
+    return rfm.attach_segments(cleaned(spark, sf)).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS)
+
+
+@register("attach_segments", with_cleaned("SELECT * FROM segmented", *RFM_DEDUP_CTES))
+def q_attach_segments(spark, sf):
+    return segmented(spark, sf)
+
+
+@register("segment_distribution", with_cleaned(f"""
+SELECT Customer_Segment, count(DISTINCT CustomerID) AS Count,
+       CAST(count(DISTINCT CustomerID) * 100 AS DOUBLE) / sum(count(DISTINCT CustomerID)) OVER () AS Percentage
+FROM segmented WHERE {IDENT} AND Customer_Segment IS NOT NULL GROUP BY Customer_Segment""", *RFM_DEDUP_CTES))
+def q_segment_distribution(spark, sf):
+    return rfm.segment_distribution(segmented(spark, sf))
+
+
+# ================================================================== cohort ===
+
+def cohort_ctes(src: str = "cleaned") -> tuple[str, ...]:
+    return (
+        f"cm AS (SELECT DISTINCT CustomerID, CAST(date_trunc('month', InvoiceDate) AS DATE) AS Period "
+        f"FROM {src} WHERE {IDENT})",
+        "cg AS (SELECT *, min(Period) OVER (PARTITION BY CustomerID) AS CohortGroup FROM cm)",
+        "cp AS (SELECT CohortGroup, CAST((year(Period) - year(CohortGroup)) * 12 + month(Period) "
+        "- month(CohortGroup) AS INTEGER) AS PeriodNumber, count(*) AS Customers FROM cg GROUP BY 1, 2)",
+        "cr AS (SELECT *, max(CASE WHEN PeriodNumber = 0 THEN Customers END) OVER (PARTITION BY CohortGroup) "
+        "AS CohortSize FROM cp)",
+        "ret AS (SELECT CohortGroup, PeriodNumber, Customers, CohortSize, Customers / CohortSize AS RetentionRate FROM cr)",
+    )
+
+
+@register("cohort_retention", with_cleaned("SELECT * FROM ret", *cohort_ctes()))
+def q_cohort_retention(spark, sf):
+    return cohort.cohort_retention(cleaned(spark, sf))
+
+
+@register("cohort_avg_retention", with_cleaned(f"""
+SELECT PeriodNumber, {round_sig_sql('avg(RetentionRate)', 12)} AS AvgRetention, count(*) AS Cohorts
+FROM ret GROUP BY PeriodNumber""", *cohort_ctes()))
+def q_cohort_avg_retention(spark, sf):
+    return cohort.cohort_avg_retention(cleaned(spark, sf))
+
+
+@register("cohort_matrix", with_cleaned(
+    "SELECT * FROM (PIVOT (SELECT CohortGroup, PeriodNumber, RetentionRate FROM ret) "
+    "ON PeriodNumber USING first(RetentionRate) GROUP BY CohortGroup)", *cohort_ctes()))
+def q_cohort_matrix(spark, sf):
+    ret = cohort.cohort_retention(cleaned(spark, sf))
+    # The pivot's column list: distinct period numbers (bounded by the calendar).
+    periods = [r[0] for r in ret.select("PeriodNumber").distinct().orderBy("PeriodNumber").collect()]
+    return cohort.cohort_matrix(ret, periods)
+
+
+# Dashboard filter used by the filtered-view queries (test configuration).
+VIEW_FILTER = dict(date_from="1997-01-01", date_to="1999-12-31",
+                   countries=("United Kingdom", "Nation_1", "Nation_2", "Nation_3", "Nation_7"),
+                   categories=("Home Decor", "Seasonal", "Other", "Bags & Accessories"))
+VIEW_WHERE = ("InvoiceDate >= TIMESTAMP '1997-01-01' AND InvoiceDate < TIMESTAMP '2000-01-01' "
+              "AND Country IN ('United Kingdom', 'Nation_1', 'Nation_2', 'Nation_3', 'Nation_7') "
+              "AND ProductCategory IN ('Home Decor', 'Seasonal', 'Other', 'Bags & Accessories')")
+
+
+@register("cohort_retention_filtered", with_cleaned(
+    "SELECT * FROM ret", f"fv AS (SELECT * FROM cleaned WHERE {VIEW_WHERE})", *cohort_ctes("fv")))
+def q_cohort_retention_filtered(spark, sf):
+    from tillroll.operators.view import filter_sales
+    return cohort.cohort_retention(filter_sales(cleaned(spark, sf), **VIEW_FILTER))
+
+
+# ===================================================================== clv ===
+
+CLV_CTES = (
+    f"per AS (SELECT CustomerID, sum({U}) AS u, count(*) AS n, count(DISTINCT InvoiceNo) AS Frequency, "
+    f"min(InvoiceDate) AS FirstPurchase, max(InvoiceDate) AS LastPurchase FROM cleaned WHERE {IDENT} GROUP BY CustomerID)",
+    f"b AS (SELECT CustomerID, {round2_sql('u')} AS TotalRevenue, {round2_sql('u', 'n')} AS AvgOrderValue, "
+    "Frequency, FirstPurchase, LastPurchase, coalesce(date_sub('day', FirstPurchase, LastPurchase), 0) AS LifespanDays FROM per)",
+    "b2 AS (SELECT *, Frequency / (LifespanDays + 1) AS PurchaseFrequency FROM b)",
+    "al AS (SELECT CAST(sum(CASE WHEN LifespanDays > 0 THEN LifespanDays END) AS DOUBLE) "
+    "/ count(*) FILTER (WHERE LifespanDays > 0) AS a FROM b2)",
+    "c AS (SELECT b2.*, CASE WHEN LifespanDays = 0 THEN a ELSE CAST(LifespanDays AS DOUBLE) END AS PredictedLifespan FROM b2, al)",
+    "c2 AS (SELECT *, AvgOrderValue * PurchaseFrequency * PredictedLifespan AS CLV FROM c)",
+    f"ce AS (SELECT quantile_cont(CLV, {QPROBS}) AS e FROM c2)",
+    "clv AS (SELECT c2.*, ['Low Value', 'Medium-Low', 'Medium', 'Medium-High', 'High Value']"
+    "[1 + len(list_filter(e[2:5], lambda x: CLV > x))] AS ValueSegment FROM c2, ce)",
+)
+
+
+@register("clv", with_cleaned("SELECT * FROM clv", *CLV_CTES))
+def q_clv(spark, sf):
+    return clv_ops.clv(cleaned(spark, sf))
+
+
+@register("clv_insights", with_cleaned(f"""
+SELECT {round_sig_sql('avg(CLV)', 12)} AS avg_clv, {round_sig_sql('quantile_cont(CLV, 0.5)', 12)} AS median_clv,
+       {round_sig_sql('quantile_cont(CLV, 0.9)', 12)} AS p90_clv,
+       count(*) FILTER (WHERE ValueSegment = 'High Value') AS high_value_customers, count(*) AS customers
+FROM clv""", *CLV_CTES))
+def q_clv_insights(spark, sf):
+    return clv_ops.clv_insights(clv_ops.clv(cleaned(spark, sf)))
+
+
+@register("clv_segment_counts", with_cleaned(
+    "SELECT ValueSegment, count(*) AS Customers FROM clv GROUP BY ValueSegment", *CLV_CTES))
+def q_clv_segment_counts(spark, sf):
+    return clv_ops.clv_segment_counts(clv_ops.clv(cleaned(spark, sf)))
+
+
+# ================================================================ forecast ===
+
+FC_CTES = (
+    f"mm AS (SELECT Year, Month, sum({U}) AS u, count(DISTINCT InvoiceNo) AS Transactions FROM cleaned GROUP BY Year, Month)",
+    "ms AS (SELECT *, make_date(Year, Month, 1) AS Date, CAST(row_number() OVER (ORDER BY Year, Month) - 1 AS INTEGER) "
+    "AS MonthNumber, CAST(u AS DOUBLE) / 10000.0 AS Revenue FROM mm)",
+    f"si AS (SELECT Month, {money('sum(' + U + ')')} AS Revenue, sum({U}) AS su FROM cleaned GROUP BY Month)",
+    "sidx AS (SELECT Month, Revenue, CAST(su * count(*) OVER () AS DOUBLE) / CAST(sum(su) OVER () AS DOUBLE) "
+    "AS SeasonalIndex FROM si)",
+    "fit AS (SELECT regr_slope(Revenue, MonthNumber) AS slope, regr_intercept(Revenue, MonthNumber) AS icpt, "
+    "max(MonthNumber) AS last_n, arg_max(Month, MonthNumber) AS last_m, max(Date) AS last_d FROM ms)",
+    "steps AS (SELECT fit.*, i FROM fit, range(1, 7) t(i))",
+    "fut AS (SELECT CAST(last_n + i AS INTEGER) AS MonthNumber, CAST(((last_m + i - 1) % 12) + 1 AS INTEGER) AS Month, "
+    "slope * (last_n + i) + icpt AS trend, last_day(last_d + to_months(CAST(i AS INTEGER))) AS ForecastDate FROM steps)",
+)
+
+
+@register("sales_trend_fit", with_cleaned(f"""
+SELECT {round_sig_sql('regr_slope(Revenue, MonthNumber)', 10)} AS slope,
+       {round_sig_sql('regr_intercept(Revenue, MonthNumber)', 10)} AS intercept,
+       {round_sig_sql('regr_r2(Revenue, MonthNumber)', 10)} AS r2, count(*) AS months FROM ms""", *FC_CTES))
+def q_sales_trend_fit(spark, sf):
+    return fc.sales_trend_fit(cleaned(spark, sf))
+
+
+@register("seasonal_index", with_cleaned("SELECT Month, Revenue, SeasonalIndex FROM sidx", *FC_CTES))
+def q_seasonal_index(spark, sf):
+    return fc.seasonal_index(cleaned(spark, sf))
+
+
+@register("forecast", with_cleaned(f"""
+SELECT fut.MonthNumber, fut.Month, ForecastDate, {round_sig_sql('trend * SeasonalIndex', 10)} AS ForecastRevenue
+FROM fut LEFT JOIN sidx ON fut.Month = sidx.Month""", *FC_CTES))
+def q_forecast(spark, sf):
+    return fc.forecast(cleaned(spark, sf))
