@@ -20,6 +20,15 @@ from tillroll import functions as tf
 from tillroll.operators.cleaning import identified_customers
 
 
+def _shl(x, n):
+    """x << n with a column shift amount."""
+    return F.call_function("shiftleft", x, n)
+
+
+def _shr(x, n):
+    return F.call_function("shiftright", x, n)
+
+
 def invoice_items(df: DataFrame, item_col: str = "Description") -> DataFrame:
     """A20 + P38: distinct (InvoiceNo, item) bought with positive quantity."""
     return (df.where(F.col(item_col).isNotNull() & F.col("InvoiceNo").isNotNull())
@@ -65,12 +74,12 @@ def basket_pairs(df: DataFrame, item_col: str = "Description", top_n: int = 20,
     top_b = F.broadcast(top.select("item", "rk"))
     masks = (items.join(top_b, "item")
                   .groupBy("InvoiceNo")
-                  .agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("rk"))).alias("mask"))
+                  .agg(F.bit_or(_shl(F.lit(1).cast("bigint"), F.col("rk"))).alias("mask"))
                   .groupBy("mask").agg(F.count(F.lit(1)).alias("invoices")))
     # Pairs of set bits per distinct mask (at most top_n*(top_n-1)/2 each).
     pair_list = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                           for a in range(top_n) for b in range(a + 1, top_n)])
-    bit = lambda m, i: F.shiftright(m, i).bitwiseAND(F.lit(1)) == 1
+    bit = lambda m, i: _shr(m, i).bitwiseAND(F.lit(1)) == 1
     pair_counts = (masks.select(F.explode(F.filter(pair_list, lambda p: bit(F.col("mask"), p["a"])
                                                    & bit(F.col("mask"), p["b"]))).alias("p"),
                                 "invoices")
@@ -130,8 +139,8 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
     lift descending."""
     multi = itemsets.where(F.col("length") >= 2).select("items", "support", "length")
     masks = multi.withColumn("mask", F.explode(F.sequence(
-        F.lit(1).cast("bigint"), F.shiftleft(F.lit(1).cast("bigint"), F.col("length")) - 2)))
-    in_mask = lambda i: F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1)) == 1
+        F.lit(1).cast("bigint"), _shl(F.lit(1).cast("bigint"), F.col("length")) - 2)))
+    in_mask = lambda i: _shr(F.col("mask"), i).bitwiseAND(F.lit(1)) == 1
     split = masks.select(
         F.filter("items", lambda x, i: in_mask(i)).alias("ante"),
         F.filter("items", lambda x, i: ~in_mask(i)).alias("cons"),

@@ -19,7 +19,7 @@ def _unpivot(one_row: DataFrame, names: Sequence[str], value_cols: dict[str, str
     """One wide row -> one row per column name (stack, no shuffle)."""
     parts = []
     for name in names:
-        parts.append(F.struct(F.lit(name).alias("column"),
+        parts.append(F.struct(F.lit(name).alias("column_name"),
                               *[F.col(tmpl.format(name)).alias(out) for out, tmpl in value_cols.items()]))
     return one_row.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
@@ -32,7 +32,7 @@ def profile_nulls(df: DataFrame) -> DataFrame:
     long = _unpivot(wide, cols, {"null_count": "_null_{}"})
     rows = wide.select("_rows")
     return (long.crossJoin(rows)
-                .select("column", "null_count",
+                .select("column_name", "null_count",
                         (F.col("null_count") * 100 / F.col("_rows")).alias("null_pct")))
 
 
@@ -58,7 +58,7 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     wide = df.agg(*aggs)
     long = _unpivot(wide, cols, {"count": "_n_{}", "mean": "_mean_{}", "std": "_std_{}",
                                  "min": "_min_{}", "q": "_q_{}", "max": "_max_{}"})
-    return long.select("column", F.col("count").cast("bigint").alias("count"),
+    return long.select("column_name", F.col("count").cast("bigint").alias("count"),
                        tf.round_sig("mean", 12).alias("mean"), tf.round_sig("std", 12).alias("std"),
                        "min", tf.round_sig(F.col("q")[0], 12).alias("q25"),
                        tf.round_sig(F.col("q")[1], 12).alias("q50"),

@@ -510,3 +510,205 @@ SELECT fut.MonthNumber, fut.Month, ForecastDate, {round_sig_sql('trend * Seasona
 FROM fut LEFT JOIN sidx ON fut.Month = sidx.Month""", *FC_CTES))
 def q_forecast(spark, sf):
     return fc.forecast(cleaned(spark, sf))
+
+
+# ================================================================== basket ===
+
+from tillroll.operators import basket  # noqa: E402
+
+
+def items_cte(item: str, src: str = "cleaned") -> str:
+    return (f"ii AS (SELECT InvoiceNo, {item} AS item FROM {src} WHERE {item} IS NOT NULL AND InvoiceNo IS NOT NULL "
+            f"GROUP BY InvoiceNo, {item} HAVING sum(Quantity) > 0),\n"
+            f"bn AS (SELECT count(DISTINCT InvoiceNo) AS n FROM {src} WHERE {item} IS NOT NULL AND InvoiceNo IS NOT NULL)")
+
+
+@register("item_support", with_cleaned("""
+SELECT item, count(*) AS invoices, count(*) / n AS support FROM ii, bn GROUP BY item, n HAVING count(*) / n >= 0.01""",
+    items_cte("Description")))
+def q_item_support(spark, sf):
+    return basket.item_support(cleaned(spark, sf), "Description", 0.01)
+
+
+# Pairs on Brand with lift > 1.0: Description pairs are too sparse in the
+# test tables for the reference thresholds (see SURVEY §7.4).
+PAIR_ARGS = dict(item_col="Brand", top_n=20, min_item_support=0.01, min_lift=1.0,
+                 min_pair_support=0.005, label_len=30)
+
+
+@register("basket_pairs", with_cleaned("""
+SELECT left(a.item, 30) AS Item_A, left(b.item, 30) AS Item_B, p.cab / bn.n AS Support_AB,
+       (p.cab / bn.n) / a.support AS Confidence_A_to_B, (p.cab / bn.n) / b.support AS Confidence_B_to_A,
+       (p.cab / bn.n) / (a.support * b.support) AS Lift
+FROM pr p JOIN tr a ON p.ia = a.item JOIN tr b ON p.ib = b.item, bn
+WHERE (p.cab / bn.n) / (a.support * b.support) > 1.0 AND p.cab / bn.n >= 0.005""",
+    items_cte("Brand"),
+    "cnt AS (SELECT item, count(*) AS c FROM ii GROUP BY item)",
+    "tr AS (SELECT item, c / n AS support, row_number() OVER (ORDER BY c / n DESC, item) AS rk "
+    "FROM cnt, bn WHERE c / n >= 0.01 ORDER BY c / n DESC, item LIMIT 20)",
+    "pr AS (SELECT a.item AS ia, b.item AS ib, count(*) AS cab FROM ii x JOIN tr a ON x.item = a.item "
+    "JOIN ii y ON x.InvoiceNo = y.InvoiceNo JOIN tr b ON y.item = b.item WHERE a.rk < b.rk GROUP BY 1, 2)"))
+def q_basket_pairs(spark, sf):
+    return basket.basket_pairs(cleaned(spark, sf), **PAIR_ARGS)
+
+
+# Itemsets on PType (6 product types): every length is exercised.
+ITEMSET_CTES = (
+    f"tx AS (SELECT InvoiceNo, list_sort(list_distinct(list(PType))) AS items FROM cleaned "
+    f"WHERE {IDENT} AND PType IS NOT NULL GROUP BY InvoiceNo)",
+    "tn AS (SELECT count(*) AS n FROM tx)",
+    "sub AS (SELECT list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS s "
+    "FROM (SELECT items, unnest(range(1, CAST(1 AS BIGINT) << len(items))) AS m FROM tx))",
+    "fi AS (SELECT s AS items, count(*) AS freq, count(*) / n AS support FROM sub, tn GROUP BY s, n "
+    "HAVING count(*) / n >= 0.01)",
+)
+
+
+@register("frequent_itemsets", with_cleaned(
+    "SELECT array_to_string(items, ', ') AS itemset, CAST(len(items) AS INTEGER) AS length, freq, support FROM fi",
+    *ITEMSET_CTES))
+def q_frequent_itemsets(spark, sf):
+    return basket.frequent_itemsets(cleaned(spark, sf), "PType", 0.01).drop("items")
+
+
+@register("association_rules", with_cleaned("""
+SELECT array_to_string(ante, ', ') AS antecedents, array_to_string(cons, ', ') AS consequents,
+       antecedent_support, consequent_support, support, support / antecedent_support AS confidence,
+       (support / antecedent_support) / consequent_support AS lift,
+       support - antecedent_support * consequent_support AS leverage,
+       CASE WHEN support / antecedent_support < 1
+            THEN (1 - consequent_support) / (1 - support / antecedent_support) END AS conviction
+FROM rr WHERE (support / antecedent_support) / consequent_support >= 0.5""",
+    *ITEMSET_CTES,
+    "sp AS (SELECT items, support, unnest(range(1, (CAST(1 AS BIGINT) << len(items)) - 1)) AS m FROM fi WHERE len(items) >= 2)",
+    "sp2 AS (SELECT list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS ante, "
+    "list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 0) AS cons, support FROM sp)",
+    "rr AS (SELECT sp2.*, a.support AS antecedent_support, c.support AS consequent_support "
+    "FROM sp2 JOIN fi a ON sp2.ante = a.items JOIN fi c ON sp2.cons = c.items)"))
+def q_association_rules(spark, sf):
+    sets = basket.frequent_itemsets(cleaned(spark, sf), "PType", 0.01)
+    return basket.association_rules(sets, metric="lift", min_threshold=0.5)
+
+
+# ================================================================= profile ===
+
+from tillroll.operators import profile  # noqa: E402
+from tillroll.sources.schemas import RAW_COLUMNS  # noqa: E402
+
+
+def raw8(spark, sf) -> DataFrame:
+    return retail_raw(spark, sf, with_items=False)
+
+
+def _per_column_sql(cols, expr: str, alias: str, src: str = "raw") -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {expr.format(c=c)} AS {alias} FROM {src}" for c in cols)
+
+
+@register("profile_nulls", with_raw(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+                       f"CAST(count(*) FILTER (WHERE {c} IS NULL) * 100 AS DOUBLE) / count(*) AS null_pct FROM raw"
+                       for c in RAW_COLUMNS)))
+def q_profile_nulls(spark, sf):
+    return profile.profile_nulls(raw8(spark, sf))
+
+
+@register("profile_distinct", with_raw(_per_column_sql(RAW_COLUMNS, "count(DISTINCT {c})", "distinct_count")))
+def q_profile_distinct(spark, sf):
+    return profile.profile_distinct(raw8(spark, sf))
+
+
+NUMERIC_COLS = ("Quantity", "UnitPrice", "CustomerID")
+
+
+@register("profile_numeric", with_raw(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS count, {round_sig_sql(f'avg(CAST({c} AS DOUBLE))', 12)} AS mean, "
+    f"{round_sig_sql(f'stddev_samp(CAST({c} AS DOUBLE))', 12)} AS std, min(CAST({c} AS DOUBLE)) AS min, "
+    f"{round_sig_sql(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)', 12)} AS q25, "
+    f"{round_sig_sql(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)', 12)} AS q50, "
+    f"{round_sig_sql(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)', 12)} AS q75, max(CAST({c} AS DOUBLE)) AS max FROM raw"
+    for c in NUMERIC_COLS)))
+def q_profile_numeric(spark, sf):
+    return profile.profile_numeric(raw8(spark, sf), list(NUMERIC_COLS))
+
+
+RAW8 = ", ".join(RAW_COLUMNS)
+
+
+@register("duplicate_count", with_raw(
+    f"SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates FROM (SELECT {RAW8}, count(*) AS c FROM raw GROUP BY ALL)"))
+def q_duplicate_count(spark, sf):
+    return profile.duplicate_count(raw8(spark, sf))
+
+
+@register("profile_date_range", with_raw("SELECT min(InvoiceDate) AS date_min, max(InvoiceDate) AS date_max FROM raw"))
+def q_profile_date_range(spark, sf):
+    return profile.profile_date_range(raw8(spark, sf))
+
+
+def cleaned24(spark, sf) -> DataFrame:
+    from tillroll.sources.schemas import CLEANED_COLUMNS
+    return cleaned(spark, sf).select(*CLEANED_COLUMNS)
+
+
+@register("profile_shape", with_cleaned("""
+SELECT i AS initial_rows, CAST(8 AS INTEGER) AS initial_columns, f AS final_rows, CAST(24 AS INTEGER) AS final_columns,
+       i - f AS rows_removed, CAST(f * 100 AS DOUBLE) / i AS retention_pct
+FROM (SELECT count(*) AS i FROM raw), (SELECT count(*) AS f FROM cleaned)"""))
+def q_profile_shape(spark, sf):
+    return profile.profile_shape(raw8(spark, sf), cleaned24(spark, sf))
+
+
+CANCEL = "coalesce(starts_with(InvoiceNo, 'C'), false)"
+
+
+@register("cleaning_step_counts", with_cleaned(f"""
+SELECT raw_rows, cancelled, missing_description, nonpositive_quantity, nonpositive_price, outliers_removed,
+       missing_customer_id, customers_left, final_rows, CAST(cancelled * 100 AS DOUBLE) / raw_rows AS cancelled_pct
+FROM (SELECT
+  (SELECT count(*) FROM raw) AS raw_rows,
+  (SELECT count(*) FROM raw WHERE {CANCEL}) AS cancelled,
+  (SELECT count(*) FROM raw WHERE NOT {CANCEL} AND Description IS NULL) AS missing_description,
+  (SELECT count(*) FROM f1 WHERE NOT (Quantity > 0)) AS nonpositive_quantity,
+  (SELECT count(*) FROM f1 WHERE Quantity > 0 AND NOT (UnitPrice > 0 AND NOT isnan(UnitPrice))) AS nonpositive_price,
+  (SELECT count(*) FROM f2) - (SELECT count(*) FROM f4) AS outliers_removed,
+  (SELECT count(*) FROM f4 WHERE CustomerID IS NULL) AS missing_customer_id,
+  (SELECT count(DISTINCT CustomerID) FROM f4) AS customers_left,
+  (SELECT count(*) FROM f4) AS final_rows)"""))
+def q_cleaning_step_counts(spark, sf):
+    return profile.cleaning_step_counts(raw8(spark, sf))
+
+
+CLEANED_LIST = [c.strip() for c in CLEANED_COLS.split(",")]
+
+
+@register("quality_report", with_cleaned(f"""
+SELECT i AS initial_rows, CAST(8 AS INTEGER) AS initial_columns, f AS final_rows, CAST(24 AS INTEGER) AS final_columns,
+       i - f AS rows_removed, CAST(f * 100 AS DOUBLE) / i AS retention_pct, missing_values, duplicates,
+       unique_customers, unique_products, countries, date_min, date_max
+FROM (SELECT count(*) AS i FROM raw),
+     (SELECT count(*) AS f, CAST({' + '.join(f'count(*) FILTER (WHERE {c} IS NULL)' for c in CLEANED_LIST)} AS BIGINT) AS missing_values,
+             count(DISTINCT CustomerID) AS unique_customers, count(DISTINCT StockCode) AS unique_products,
+             count(DISTINCT Country) AS countries, min(InvoiceDate) AS date_min, max(InvoiceDate) AS date_max FROM cleaned),
+     (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates FROM (SELECT {CLEANED_COLS}, count(*) AS c FROM cleaned GROUP BY ALL))"""))
+def q_quality_report(spark, sf):
+    return profile.quality_report(raw8(spark, sf), cleaned24(spark, sf))
+
+
+@register("histogram", with_cleaned("""
+SELECT bin, mn + (bin - 1) * ((mx - mn) / 50) AS bin_start, mn + bin * ((mx - mn) / 50) AS bin_end, count(*) AS count
+FROM (SELECT CASE WHEN mx = mn THEN 1 ELSE least(CAST(floor((TotalAmount - mn) / (mx - mn) * 50) AS INTEGER) + 1, 50) END AS bin,
+             mn, mx FROM pm, (SELECT min(TotalAmount) AS mn, max(TotalAmount) AS mx FROM pm))
+GROUP BY bin, mn, mx""", PRODUCT_METRICS_CTE))
+def q_histogram(spark, sf):
+    from tillroll.operators.binning import equal_width_histogram
+    return equal_width_histogram(dims.product_metrics(cleaned(spark, sf)), "TotalAmount", 50)
+
+
+@register("clv_histogram", with_cleaned("""
+SELECT bin, mn + (bin - 1) * ((mx - mn) / 50) AS bin_start, mn + bin * ((mx - mn) / 50) AS bin_end, count(*) AS count
+FROM (SELECT CASE WHEN mx = mn THEN 1 ELSE least(CAST(floor((CLV - mn) / (mx - mn) * 50) AS INTEGER) + 1, 50) END AS bin,
+             mn, mx FROM clv, (SELECT min(CLV) AS mn, max(CLV) AS mx FROM clv) WHERE CLV IS NOT NULL)
+GROUP BY bin, mn, mx""", *CLV_CTES))
+def q_clv_histogram(spark, sf):
+    from tillroll.operators.binning import equal_width_histogram
+    return equal_width_histogram(clv_ops.clv(cleaned(spark, sf)), "CLV", 50)
