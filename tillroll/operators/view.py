@@ -94,37 +94,43 @@ def kpi_deltas(df: DataFrame, pred: Column) -> DataFrame:
 
 
 def filter_domains(df: DataFrame) -> DataFrame:
-    """Selectable filter values in long form (domain, value): sorted
-    distinct countries, categories and segments, and the date bounds."""
-    parts = [df.select(F.lit("Country").alias("domain"), F.col("Country").alias("value"))]
-    if "ProductCategory" in df.columns:
-        parts.append(df.select(F.lit("ProductCategory"), F.col("ProductCategory")))
-    if "Customer_Segment" in df.columns:
-        parts.append(df.select(F.lit("Customer_Segment"), F.col("Customer_Segment")))
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionAll(p)
-    vals = vals.where(F.col("value").isNotNull()).distinct()
-    dates = df.agg(F.date_format(F.min(F.to_date("InvoiceDate")), "yyyy-MM-dd").alias("mn"),
-                   F.date_format(F.max(F.to_date("InvoiceDate")), "yyyy-MM-dd").alias("mx"))
-    dates = dates.select(F.explode(F.array(
-        F.struct(F.lit("min_date").alias("domain"), F.col("mn").alias("value")),
-        F.struct(F.lit("max_date").alias("domain"), F.col("mx").alias("value")))).alias("r")).select("r.*")
-    return vals.unionByName(dates).orderBy("domain", "value")
+    """Selectable filter values in long form (domain, value): distinct
+    countries, categories and segments, and the first and last date.
+
+    One pass: each line emits its (domain, value) pairs and the date bounds
+    ride along as two more domains reduced with min/max in the same
+    aggregate, so the input is read once."""
+    pairs = [F.struct(F.lit("Country").alias("domain"), F.col("Country").alias("value"))]
+    for c in ("ProductCategory", "Customer_Segment"):
+        if c in df.columns:
+            pairs.append(F.struct(F.lit(c).alias("domain"), F.col(c).alias("value")))
+    day = F.date_format(F.to_date("InvoiceDate"), "yyyy-MM-dd")
+    pairs += [F.struct(F.lit("min_date").alias("domain"), day.alias("value")),
+              F.struct(F.lit("max_date").alias("domain"), day.alias("value"))]
+    ex = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.domain", "p.value")
+    ex = ex.where(F.col("value").isNotNull())
+    is_bound = F.col("domain").isin("min_date", "max_date")
+    # Date bounds: reduce to one value per domain; other domains: distinct.
+    key = F.when(is_bound, F.lit(None).cast("string")).otherwise(F.col("value"))
+    g = ex.groupBy("domain", key.alias("_k")).agg(F.min("value").alias("_mn"), F.max("value").alias("_mx"))
+    value = F.when(F.col("domain") == "max_date", F.col("_mx")).otherwise(F.col("_mn"))
+    return g.select("domain", value.alias("value")).orderBy("domain", "value")
 
 
 def kpi_summary_report(filtered: DataFrame) -> DataFrame:
     """S7 + P35: five (Metric, Value) rows with the values formatted as text:
     revenue '£1,234.50', counts '1,234', AOV '£12.34'."""
     k = kpis(filtered)
+
+    def row(pos: int, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(pos).alias("Position"), F.lit(metric).alias("Metric"), value.alias("Value"))
+
     rows = F.array(
-        F.struct(F.lit(1).alias("Position"), F.lit("Total Revenue").alias("Metric"),
-                 F.concat(F.lit("£"), F.format_number("total_revenue", 2)).alias("Value")),
-        F.struct(F.lit(2), F.lit("Total Transactions"), F.format_number("total_transactions", 0)),
-        F.struct(F.lit(3), F.lit("Unique Customers"), F.format_number("total_customers", 0)),
-        F.struct(F.lit(4), F.lit("Avg Order Value"),
-                 F.concat(F.lit("£"), F.format_string("%.2f", F.col("avg_order_value")))),
-        F.struct(F.lit(5), F.lit("Products Sold"), F.format_number("total_products", 0)),
+        row(1, "Total Revenue", F.concat(F.lit("£"), F.format_number("total_revenue", 2))),
+        row(2, "Total Transactions", F.format_number("total_transactions", 0)),
+        row(3, "Unique Customers", F.format_number("total_customers", 0)),
+        row(4, "Avg Order Value", F.concat(F.lit("£"), F.format_string("%.2f", F.col("avg_order_value")))),
+        row(5, "Products Sold", F.format_number("total_products", 0)),
     )
     return k.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -135,5 +141,14 @@ def sample_rows(df: DataFrame, n: int = 100) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Header CSV export of the filtered lines."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Header CSV export of the filtered lines (text kept verbatim)."""
+    (df.write.mode("overwrite").option("header", True)
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
+
+
+def read_export_csv(spark, path: str, schema) -> DataFrame:
+    """Read an S6 export back with the schema it was written with."""
+    return (spark.read.schema(schema).option("header", True)
+                 .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                 .option("mode", "FAILFAST").csv(path))

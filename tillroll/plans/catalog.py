@@ -712,3 +712,182 @@ GROUP BY bin, mn, mx""", *CLV_CTES))
 def q_clv_histogram(spark, sf):
     from tillroll.operators.binning import equal_width_histogram
     return equal_width_histogram(clv_ops.clv(cleaned(spark, sf)), "CLV", 50)
+
+
+# ==================================================================== view ===
+
+from tillroll.operators import view  # noqa: E402
+
+
+@register("filter_sales", with_cleaned(f"SELECT {CLEANED_COLS} FROM cleaned WHERE {VIEW_WHERE}"))
+def q_filter_sales(spark, sf):
+    return view.filter_sales(cleaned24(spark, sf), **VIEW_FILTER)
+
+
+def kpi_sql(where: str = "TRUE", sfx: str = "") -> str:
+    """KPI expressions over rows satisfying ``where`` (aggregate context)."""
+    units = f"coalesce(sum({U}) FILTER (WHERE {where}), 0)"
+    rev = money(units)
+    trans = f"count(DISTINCT InvoiceNo) FILTER (WHERE {where})"
+    cust = f"count(DISTINCT CASE WHEN {IDENT} THEN CustomerID END) FILTER (WHERE {where})"
+    prod = f"count(DISTINCT StockCode) FILTER (WHERE {where})"
+    ctx = f"count(*) FILTER (WHERE ({where}) AND {IDENT})"
+    return (f"{rev} AS total_revenue{sfx}, {trans} AS total_transactions{sfx}, {cust} AS total_customers{sfx}, "
+            f"{prod} AS total_products{sfx}, coalesce({rev} / NULLIF({trans}, 0), 0.0) AS avg_order_value{sfx}, "
+            f"coalesce({rev} / NULLIF({cust}, 0), 0.0) AS revenue_per_customer{sfx}, "
+            f"{ctx} AS customer_transactions{sfx}, "
+            f"coalesce(CAST({ctx} AS DOUBLE) / NULLIF({cust}, 0), 0.0) AS avg_orders_per_customer{sfx}")
+
+
+@register("kpis", with_cleaned(f"SELECT {kpi_sql()} FROM cleaned"))
+def q_kpis(spark, sf):
+    return view.kpis(cleaned(spark, sf))
+
+
+DELTA_SEGMENT = "Champions"
+
+
+@register("kpi_deltas", with_cleaned(f"""
+SELECT total_revenue_f, total_transactions_f, total_customers_f, avg_order_value_f, total_products_f,
+       CASE WHEN total_revenue > 0 THEN (total_revenue_f / total_revenue - 1) * 100 ELSE 0.0 END AS revenue_change_pct,
+       total_transactions_f - total_transactions AS transactions_change,
+       total_customers_f - total_customers AS customers_change,
+       CASE WHEN avg_order_value > 0 THEN (avg_order_value_f / avg_order_value - 1) * 100 ELSE 0.0 END AS aov_change_pct,
+       total_products_f - total_products AS products_change
+FROM (SELECT {kpi_sql()}, {kpi_sql(VIEW_WHERE + f" AND Customer_Segment = '{DELTA_SEGMENT}'", '_f')} FROM segmented)""",
+    *RFM_DEDUP_CTES))
+def q_kpi_deltas(spark, sf):
+    seg = segmented(spark, sf)
+    pred = view.sales_predicate(**VIEW_FILTER, segment=DELTA_SEGMENT, columns=seg.columns)
+    return view.kpi_deltas(seg, pred)
+
+
+@register("filter_domains", with_cleaned("""
+SELECT domain, value FROM (
+  SELECT DISTINCT 'Country' AS domain, Country AS value FROM segmented WHERE Country IS NOT NULL
+  UNION SELECT DISTINCT 'ProductCategory', ProductCategory FROM segmented WHERE ProductCategory IS NOT NULL
+  UNION SELECT DISTINCT 'Customer_Segment', Customer_Segment FROM segmented WHERE Customer_Segment IS NOT NULL
+  UNION ALL SELECT 'min_date', strftime(min(CAST(InvoiceDate AS DATE)), '%Y-%m-%d') FROM segmented
+  UNION ALL SELECT 'max_date', strftime(max(CAST(InvoiceDate AS DATE)), '%Y-%m-%d') FROM segmented)""",
+    *RFM_DEDUP_CTES))
+def q_filter_domains(spark, sf):
+    return view.filter_domains(segmented(spark, sf))
+
+
+@register("kpi_summary_report", with_cleaned(f"""
+SELECT * FROM (
+  SELECT 1 AS Position, 'Total Revenue' AS Metric, '£' || format('{{:,.2f}}', total_revenue) AS Value FROM k
+  UNION ALL SELECT 2, 'Total Transactions', format('{{:,}}', total_transactions) FROM k
+  UNION ALL SELECT 3, 'Unique Customers', format('{{:,}}', total_customers) FROM k
+  UNION ALL SELECT 4, 'Avg Order Value', '£' || printf('%.2f', avg_order_value) FROM k
+  UNION ALL SELECT 5, 'Products Sold', format('{{:,}}', total_products) FROM k)""",
+    f"k AS (SELECT {kpi_sql()} FROM cleaned WHERE {VIEW_WHERE})"))
+def q_kpi_summary_report(spark, sf):
+    return view.kpi_summary_report(view.filter_sales(cleaned(spark, sf), **VIEW_FILTER))
+
+
+@register("sample_rows", with_cleaned(
+    f"SELECT {CLEANED_COLS} FROM cleaned WHERE {VIEW_WHERE} "
+    "ORDER BY InvoiceNo, StockCode, Quantity, UnitPrice, InvoiceDate LIMIT 100"))
+def q_sample_rows(spark, sf):
+    return view.sample_rows(view.filter_sales(cleaned24(spark, sf), **VIEW_FILTER), 100)
+
+
+@register("export_filtered", with_cleaned(f"SELECT {CLEANED_COLS} FROM cleaned WHERE {VIEW_WHERE}"))
+def q_export_filtered(spark, sf):
+    from tillroll.session import scratch_dir
+    filtered = view.filter_sales(cleaned24(spark, sf), **VIEW_FILTER)
+    path = scratch_dir(spark, "export")
+    view.export_csv(filtered, path)
+    return view.read_export_csv(spark, path, filtered.schema)
+
+
+# ========================================================= cleaning steps ===
+
+RAW_SEL = ", ".join(RAW_COLUMNS)
+
+
+@register("drop_cancelled", with_raw(f"SELECT {RAW_SEL} FROM raw WHERE NOT {CANCEL}"))
+def q_drop_cancelled(spark, sf):
+    return cleaning.drop_cancelled(raw8(spark, sf))
+
+
+@register("drop_missing_description", with_raw(f"SELECT {RAW_SEL} FROM raw WHERE Description IS NOT NULL"))
+def q_drop_missing_description(spark, sf):
+    return cleaning.drop_missing_description(raw8(spark, sf))
+
+
+POSITIVE = "Quantity > 0 AND UnitPrice > 0 AND NOT isnan(UnitPrice)"
+
+
+@register("positive_amounts", with_raw(f"SELECT {RAW_SEL} FROM raw WHERE {POSITIVE}"))
+def q_positive_amounts(spark, sf):
+    return cleaning.positive_amounts(raw8(spark, sf))
+
+
+@register("iqr_filter", with_raw(
+    f"SELECT {RAW_SEL} FROM p2, pq2 WHERE UnitPrice >= q1 - 1.5 * (q3 - q1) AND UnitPrice <= q3 + 1.5 * (q3 - q1)",
+    f"p0 AS (SELECT * FROM raw WHERE {POSITIVE})",
+    "pq1 AS (SELECT quantile_cont(Quantity, 0.25) AS q1, quantile_cont(Quantity, 0.75) AS q3 FROM p0)",
+    "p2 AS (SELECT p0.* FROM p0, pq1 WHERE Quantity >= q1 - 1.5 * (q3 - q1) AND Quantity <= q3 + 1.5 * (q3 - q1))",
+    "pq2 AS (SELECT quantile_cont(UnitPrice, 0.25) AS q1, quantile_cont(UnitPrice, 0.75) AS q3 FROM p2)"))
+def q_iqr_filter(spark, sf):
+    return cleaning.sequential_iqr(cleaning.positive_amounts(raw8(spark, sf)), ("Quantity", "UnitPrice"))
+
+
+@register("clean_description", with_raw(
+    f"SELECT DISTINCT Description, {__import__('tillroll.plans.oracle', fromlist=['x']).clean_desc_sql('Description')} "
+    "AS CleanDescription FROM raw WHERE Description IS NOT NULL"))
+def q_clean_description(spark, sf):
+    return (raw8(spark, sf).where(F.col("Description").isNotNull())
+            .select("Description", tf.clean_description("Description").alias("CleanDescription")).distinct())
+
+
+@register("categorize_product", with_cleaned("SELECT DISTINCT Description, ProductCategory FROM cleaned"))
+def q_categorize_product(spark, sf):
+    return cleaned(spark, sf).select("Description", "ProductCategory").distinct()
+
+
+@register("clean_country", with_raw(
+    f"SELECT DISTINCT Country, {__import__('tillroll.plans.oracle', fromlist=['x']).title_sql('Country')} "
+    "AS CleanCountry FROM raw"))
+def q_clean_country(spark, sf):
+    return raw8(spark, sf).select("Country", tf.title_case("Country").alias("CleanCountry")).distinct()
+
+
+TIME_COLS = ["InvoiceDate", "Year", "Month", "Day", "Hour", "DayOfWeek", "DayName", "MonthName",
+             "IsWeekend", "Season", "BusinessPeriod"]
+
+
+@register("time_features", with_cleaned(f"SELECT DISTINCT {', '.join(TIME_COLS)} FROM cleaned"))
+def q_time_features(spark, sf):
+    return cleaned(spark, sf).select(*TIME_COLS).distinct()
+
+
+INV_COLS = ["InvoiceNo", "TransactionValue", "ItemsPerTransaction", "UniqueProductsPerTransaction"]
+
+
+@register("invoice_features", with_cleaned(f"SELECT DISTINCT {', '.join(INV_COLS)} FROM cleaned"))
+def q_invoice_features(spark, sf):
+    return cleaned(spark, sf).select(*INV_COLS).distinct()
+
+
+# ========================================================= sources / sinks ===
+
+@register("scan_raw_csv", with_raw(f"SELECT {RAW_SEL} FROM raw"))
+def q_scan_raw_csv(spark, sf):
+    from tillroll.session import scratch_dir
+    from tillroll.sources.retail import scan_raw_csv, write_raw_csv
+    path = scratch_dir(spark, "raw-csv")
+    write_raw_csv(raw8(spark, sf), path)
+    return scan_raw_csv(spark, path)
+
+
+@register("sink_roundtrip", with_cleaned(f"SELECT {CLEANED_COLS} FROM cleaned"))
+def q_sink_roundtrip(spark, sf):
+    from tillroll.session import scratch_dir
+    from tillroll.sources.retail import scan_cleaned, write_cleaned
+    from tillroll.sources.schemas import CLEANED_COLUMNS
+    path = scratch_dir(spark, "cleaned")
+    write_cleaned(cleaned(spark, sf), path)
+    return scan_cleaned(spark, path).select(*CLEANED_COLUMNS)

@@ -100,6 +100,7 @@ def scan_raw_csv(spark: SparkSession, path: str, ts_format: str = "M/d/yyyy H:mm
     df = (spark.read.schema(RAW_CSV_SCHEMA)
           .option("header", True).option("encoding", "ISO-8859-1")
           .option("quote", '"').option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .option("mode", "FAILFAST")
           .csv(path))
     return df.withColumn("InvoiceDate", F.to_timestamp_ntz("InvoiceDate", F.lit(ts_format)))
@@ -111,7 +112,9 @@ def write_raw_csv(df: DataFrame, path: str, ts_format: str = "M/d/yyyy H:mm") ->
                F.date_format("InvoiceDate", ts_format).alias("InvoiceDate"),
                "UnitPrice", "CustomerID", "Country")
        .write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
-       .option("quote", '"').option("escape", '"').csv(path))
+       .option("quote", '"').option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
 
 
 def write_cleaned(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("Year", "Month")) -> None:
