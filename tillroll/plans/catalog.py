@@ -34,7 +34,11 @@ def register(name: str, sql: str | None = None):
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_sales(retail_raw(spark, sf_dir))
+    """Cleaned lines of ``sf_dir``: the cleaning job's output table, written
+    once per session (the boundary every analysis starts from)."""
+    from tillroll.plans.materialize import written_table
+    return written_table(spark, f"cleaned:{sf_dir}",
+                         lambda: cleaning.clean_sales(retail_raw(spark, sf_dir)))
 
 
 def half_even_sql(units: str, divisor: str) -> str:
@@ -323,7 +327,7 @@ def q_rfm_metrics(spark, sf):
 
 @register("rfm_scores_quintile", with_cleaned("SELECT * FROM seg", *RFM_QUINTILE_CTES))
 def q_rfm_scores_quintile(spark, sf):
-    return rfm.rfm_scores_quintile(rfm.rfm_metrics(cleaned(spark, sf)))
+    return rfm.rfm_scores_quintile(rfm_table(spark, sf))
 
 
 @register("rfm_segment_profile", with_cleaned(f"""
@@ -332,7 +336,7 @@ SELECT Segment, count(*) AS Count, avg(Recency) AS AvgRecency, avg(Frequency) AS
        CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER () AS Share
 FROM seg GROUP BY Segment""", *RFM_QUINTILE_CTES))
 def q_rfm_segment_profile(spark, sf):
-    return rfm.rfm_segment_profile(rfm.rfm_scores_quintile(rfm.rfm_metrics(cleaned(spark, sf))))
+    return rfm.rfm_segment_profile(rfm.rfm_scores_quintile(rfm_table(spark, sf)))
 
 
 def dash_score_sql(x: str) -> str:
@@ -363,12 +367,23 @@ RFM_DEDUP_CTES = (
 
 @register("rfm_scores_dedup", with_cleaned("SELECT * FROM dseg", *RFM_DEDUP_CTES))
 def q_rfm_scores_dedup(spark, sf):
-    return rfm.rfm_scores_dedup(rfm.rfm_metrics(cleaned(spark, sf), snapshot_scope="all"))
+    return rfm.rfm_scores_dedup(rfm_table(spark, sf, "all"))
 
 
 def segmented(spark, sf) -> DataFrame:
+    """Dashboard lines with RFM segments attached (written once per session,
+    as the dashboard caches its loaded frame)."""
+    from tillroll.plans.materialize import written_table
     from tillroll.sources.schemas import CLEANED_COLUMNS, SEGMENT_COLUMNS
-    return rfm.attach_segments(cleaned(spark, sf)).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS)
+    return written_table(spark, f"segmented:{sf}", lambda: rfm.attach_segments(cleaned(spark, sf))
+                         .select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS))
+
+
+def rfm_table(spark, sf, scope: str = "identified") -> DataFrame:
+    """Per-customer RFM metrics (one row per customer), written once."""
+    from tillroll.plans.materialize import written_table
+    return written_table(spark, f"rfm-{scope}:{sf}",
+                         lambda: rfm.rfm_metrics(cleaned(spark, sf), snapshot_scope=scope))
 
 
 @register("attach_segments", with_cleaned("SELECT * FROM segmented", *RFM_DEDUP_CTES))
