@@ -44,6 +44,8 @@ BUSINESS_PERIODS: list[tuple[str, int, int]] = [
 DEFAULT_PERIOD = "Night"
 
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
+          "September", "October", "November", "December"]
 
 # RFM score codes (R, F, M digits) per segment, first listed segment wins.
 # "Cannot Lose Them" repeats 155/154/144, which "At Risk" already claims.
@@ -108,6 +110,16 @@ def weekday_monday0(ts: str | Column) -> Column:
     return F.weekday(col_(ts))
 
 
+def day_name(ts: str | Column) -> Column:
+    """Full English weekday name (array lookup, cheaper than date_format)."""
+    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(col_(ts)) + 1)
+
+
+def month_name(ts: str | Column) -> Column:
+    """Full English month name."""
+    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(col_(ts)))
+
+
 def elapsed_days(start: str | Column, end: str | Column) -> Column:
     """Whole 24-hour blocks from start to end (not calendar-date changes)."""
     return F.extract(F.lit("DAY"), col_(end) - col_(start)).cast("bigint")
@@ -160,8 +172,11 @@ def categorize(desc: str | Column, rules: Sequence[tuple[str, Sequence[str]]] =
 def title_case(c: str | Column) -> Column:
     """Title case that restarts after any non-letter ("guinea-bissau" ->
     "Guinea-Bissau", "3rd" -> "3Rd"), after trimming white space."""
-    runs = F.regexp_extract_all(F.lower(strip_ws(c)), F.lit(r"(\p{L}+|\P{L}+)"), 0)
-    return F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")
+    low = F.lower(strip_ws(c))
+    runs = F.regexp_extract_all(low, F.lit(r"(\p{L}+|\P{L}+)"), 0)
+    general = F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")
+    # Letters and single blanks only: initcap gives the same result in codegen.
+    return F.when(low.rlike(r"^\p{L}+( \p{L}+)*$"), F.initcap(low)).otherwise(general)
 
 
 def truncate_label(c: str | Column, n: int, ellipsis: bool = True) -> Column:

@@ -105,8 +105,8 @@ def time_features(df: DataFrame, ts: str = "InvoiceDate") -> DataFrame:
         "Day": F.dayofmonth(t),
         "Hour": F.hour(t),
         "DayOfWeek": tf.weekday_monday0(t),
-        "DayName": F.date_format(t, "EEEE"),
-        "MonthName": F.date_format(t, "MMMM"),
+        "DayName": tf.day_name(t),
+        "MonthName": tf.month_name(t),
     })
 
 

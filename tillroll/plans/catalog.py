@@ -33,12 +33,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw invoice lines derived from ``sf_dir``, written once per session:
+    the stand-in for the raw export file, so the cleaning passes (fences,
+    main pass) scan columnar data instead of re-running the derivation."""
+    from tillroll.plans.materialize import written_table
+    return written_table(spark, f"raw:{sf_dir}", lambda: retail_raw(spark, sf_dir))
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned lines of ``sf_dir``: the cleaning job's output table, written
     once per session (the boundary every analysis starts from)."""
     from tillroll.plans.materialize import written_table
     return written_table(spark, f"cleaned:{sf_dir}",
-                         lambda: cleaning.clean_sales(retail_raw(spark, sf_dir)))
+                         lambda: cleaning.clean_sales(raw_lines(spark, sf_dir)))
 
 
 def half_even_sql(units: str, divisor: str) -> str:
@@ -612,7 +620,7 @@ from tillroll.sources.schemas import RAW_COLUMNS  # noqa: E402
 
 
 def raw8(spark, sf) -> DataFrame:
-    return retail_raw(spark, sf, with_items=False)
+    return raw_lines(spark, sf).select(*RAW_COLUMNS)
 
 
 def _per_column_sql(cols, expr: str, alias: str, src: str = "raw") -> str:
