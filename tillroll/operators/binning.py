@@ -1,7 +1,7 @@
 """Quantile and equal-width binning (W5-W7) as DataFrame operators.
 
-Edges come from one exact ``percentile`` aggregate (one row), joined to the
-rows as a broadcast relation.  Bins are right-closed with the lowest edge
+Edges come from one exact, distributed quantile computation (one row),
+joined to the rows as a broadcast relation.  Bins are right-closed with the lowest edge
 included: ``bin = 1 + #(inner edges < v)``.  Spark's ``ntile`` splits ties
 and ``Bucketizer`` is left-closed, so neither gives these bins.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.ranking import exact_quantiles
+
 
 def quantile_probs(q: int) -> list[float]:
     """Probabilities 0, 1/q, ..., 1 computed as an evenly spaced grid
@@ -19,9 +21,17 @@ def quantile_probs(q: int) -> list[float]:
     return [i * step for i in range(q)] + [1.0]
 
 
-def _edges(df: DataFrame, col: str, q: int, name: str) -> DataFrame:
-    probs = F.array(*[F.lit(p) for p in quantile_probs(q)])
-    return df.agg(F.percentile(F.col(col), probs).alias(name))
+def _edges(df: DataFrame, col: str, q: int, name: str, method: str = "distributed") -> DataFrame:
+    """Exact quantile edges as a one-row table.
+
+    ``method="distributed"`` (default) never merges a value map in one task:
+    use it when distinct values grow with the data (revenue per customer,
+    CLV).  ``method="map"`` is the single ``percentile`` aggregate, right for
+    columns with a bounded domain (days of recency, invoice counts)."""
+    probs = quantile_probs(q)
+    if method == "map":
+        return df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).alias(name))
+    return exact_quantiles(df, col, probs, name)
 
 
 def bin_by_inner_edges(v: Column, inner: Column) -> Column:
@@ -29,11 +39,12 @@ def bin_by_inner_edges(v: Column, inner: Column) -> Column:
     return F.lit(1) + F.size(F.filter(inner, lambda e: v > e))
 
 
-def qcut_strict(df: DataFrame, col: str, q: int = 5, out: str | None = None) -> DataFrame:
+def qcut_strict(df: DataFrame, col: str, q: int = 5, out: str | None = None,
+                method: str = "distributed") -> DataFrame:
     """Quantile bins 1..q; repeated edges raise an error, as in the reference."""
     out = out or f"{col}_bin"
     e = f"_e_{col}"
-    edges = _edges(df, col, q, e)
+    edges = _edges(df, col, q, e, method)
     unique_ok = F.size(F.array_distinct(F.col(e))) == F.size(F.col(e))
     inner = F.slice(F.col(e), 2, q - 1)
     score = F.when(unique_ok, bin_by_inner_edges(F.col(col), inner)).otherwise(
@@ -53,15 +64,19 @@ def qcut_rank(df: DataFrame, rank_col: str, n_col: str, q: int = 5, out: str | N
     return df.withColumn(out, (F.lit(1) + cnt).cast("int"))
 
 
-def score_dashboard(df: DataFrame, col: str, q: int = 5, out: str | None = None) -> DataFrame:
+def score_dashboard(df: DataFrame, col: str, q: int = 5, out: str | None = None,
+                    method: str = "distributed") -> DataFrame:
     """With at least q distinct values, quantile bins with repeated
     edges dropped (possibly fewer than q bins); otherwise k equal-width bins
     over [min, max] where k is the number of distinct values.  Scores 1..k."""
     out = out or f"{col}_Score"
     e, k, mn, mx = f"_e_{col}", f"_k_{col}", f"_mn_{col}", f"_mx_{col}"
-    stats = df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in quantile_probs(q)])).alias(e),
-                   F.count_distinct(F.col(col)).alias(k),
-                   F.min(col).alias(mn), F.max(col).alias(mx))
+    counts = df.agg(F.count_distinct(F.col(col)).alias(k), F.min(col).alias(mn), F.max(col).alias(mx))
+    if method == "map":
+        stats = df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in quantile_probs(q)])).alias(e),
+                       F.count_distinct(F.col(col)).alias(k), F.min(col).alias(mn), F.max(col).alias(mx))
+    else:
+        stats = _edges(df, col, q, e).crossJoin(counts)
     v = F.col(col)
     uniq = F.array_distinct(F.col(e))
     q_inner = F.slice(uniq, 2, F.size(uniq) - 2)

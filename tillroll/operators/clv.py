@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.operators import binning
 from tillroll.operators.cleaning import identified_customers
+from tillroll.operators.ranking import exact_quantiles
 
 
 def clv(df: DataFrame) -> DataFrame:
@@ -46,12 +47,14 @@ def clv(df: DataFrame) -> DataFrame:
 
 def clv_insights(clv_df: DataFrame) -> DataFrame:
     """Mean, median and 90th percentile of CLV, count of High Value."""
-    return clv_df.agg(
+    q = exact_quantiles(clv_df, "CLV", [0.5, 0.9], "_q")
+    base = clv_df.agg(
         tf.round_sig(F.avg("CLV"), 12).alias("avg_clv"),
-        tf.round_sig(F.percentile("CLV", F.lit(0.5)), 12).alias("median_clv"),
-        tf.round_sig(F.percentile("CLV", F.lit(0.9)), 12).alias("p90_clv"),
         F.count_if(F.col("ValueSegment") == tf.CLV_SEGMENT_LABELS[-1]).alias("high_value_customers"),
         F.count(F.lit(1)).alias("customers"))
+    return base.crossJoin(q).select(
+        "avg_clv", tf.round_sig(F.col("_q")[0], 12).alias("median_clv"),
+        tf.round_sig(F.col("_q")[1], 12).alias("p90_clv"), "high_value_customers", "customers")
 
 
 def clv_segment_counts(clv_df: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def rfm_scores_quintile(rfm: DataFrame) -> DataFrame:
     n = F.broadcast(rfm.agg(F.count(F.lit(1)).alias("_n")))
     s = (ranked.crossJoin(n)
                .transform(lambda d: binning.qcut_rank(d, "_frank", "_n", 5, "F_Score"))
-               .transform(lambda d: binning.qcut_strict(d, "Recency", 5, "_rbin"))
+               .transform(lambda d: binning.qcut_strict(d, "Recency", 5, "_rbin", method="map"))
                .transform(lambda d: binning.qcut_strict(d, "Monetary", 5, "M_Score"))
                .withColumn("R_Score", (F.lit(6) - F.col("_rbin")).cast("int")))
     return s.select("CustomerID", "Recency", "Frequency", "Monetary", "R_Score", "F_Score", "M_Score",
@@ -62,8 +62,10 @@ def rfm_scores_quintile(rfm: DataFrame) -> DataFrame:
 
 def rfm_scores_dedup(rfm: DataFrame) -> DataFrame:
     """W6/W7 + P28/P31: dashboard scores and rule segments."""
-    s = (rfm.transform(lambda d: binning.score_dashboard(d, "Recency", 5, "Recency_Score"))
-            .transform(lambda d: binning.score_dashboard(d, "Frequency", 5, "Frequency_Score"))
+    # Recency (days) and Frequency (invoices) have bounded domains: one map
+    # aggregate each; Monetary has about one value per customer.
+    s = (rfm.transform(lambda d: binning.score_dashboard(d, "Recency", 5, "Recency_Score", method="map"))
+            .transform(lambda d: binning.score_dashboard(d, "Frequency", 5, "Frequency_Score", method="map"))
             .transform(lambda d: binning.score_dashboard(d, "Monetary", 5, "Monetary_Score")))
     r = (F.lit(6) - F.col("Recency_Score")).cast("int")
     f = F.col("Frequency_Score").cast("int")
