@@ -36,6 +36,11 @@ def profile_nulls(df: DataFrame) -> DataFrame:
                         (F.col("null_count") * 100 / F.col("_rows")).alias("null_pct")))
 
 
+def profile_types(df: DataFrame) -> list[tuple[str, str]]:
+    """(column, data type) pairs — schema metadata, no job runs."""
+    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
 def profile_distinct(df: DataFrame) -> DataFrame:
     """Per column count of distinct non-null values."""
     cols = df.columns

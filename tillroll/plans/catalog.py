@@ -914,3 +914,10 @@ def q_sink_roundtrip(spark, sf):
     path = scratch_dir(spark, "cleaned")
     write_cleaned(cleaned(spark, sf), path)
     return scan_cleaned(spark, path).select(*CLEANED_COLUMNS)
+
+
+@register("forecast_total", with_cleaned(f"""
+SELECT {round_sig_sql('sum(' + round_sig_sql('trend * SeasonalIndex', 10) + ')', 10)} AS ForecastTotal
+FROM fut LEFT JOIN sidx ON fut.Month = sidx.Month""", *FC_CTES))
+def q_forecast_total(spark, sf):
+    return fc.forecast_total(cleaned(spark, sf))
