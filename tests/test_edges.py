@@ -190,3 +190,9 @@ def test_empty_input_keeps_schema(spark):
     assert cohort.cohort_retention(cl).count() == 0
     seg = rfm.attach_segments(cl)
     assert seg.count() == 0 and "Customer_Segment" in seg.columns
+
+
+def test_strip_matches_python_whitespace(spark):
+    s = " 　x y\t\x1c\x85"
+    got = spark.createDataFrame([(s,)], "s string").select(tf.strip_ws("s")).first()[0]
+    assert got == s.strip()

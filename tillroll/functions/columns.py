@@ -76,6 +76,10 @@ CLV_SEGMENT_LABELS = ["Low Value", "Medium-Low", "Medium", "Medium-High", "High
 
 HOME_MARKET = "United Kingdom"
 
+# White space removed by the reference's strip(): every code point that
+# Python's str.isspace() accepts (all lie below U+3001).
+STRIP_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 # Money is summed as exact integers of 1/10,000 currency unit.
 MONEY_SCALE = 10_000
 
@@ -141,8 +145,9 @@ def months_between_buckets(later: str | Column, earlier: str | Column) -> Column
 # --------------------------------------------------------------------------
 
 def strip_ws(c: str | Column) -> Column:
-    """Trim all Unicode white space at both ends (``trim`` only strips U+0020)."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    """Trim white space at both ends like Python's ``str.strip()`` (plain
+    ``trim`` only strips U+0020); a character-set trim, no regex."""
+    return F.btrim(col_(c), F.lit(STRIP_CHARS))
 
 
 def clean_description(c: str | Column) -> Column:

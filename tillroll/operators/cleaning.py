@@ -61,24 +61,32 @@ def iqr_fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     return q.select((q1 - F.lit(k) * (q3 - q1)).alias("_lo"), (q3 + F.lit(k) * (q3 - q1)).alias("_hi"))
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5, lazy: bool = False) -> DataFrame:
     """keep rows with Q1-k*IQR <= col <= Q3+k*IQR (inclusive fences).
 
-    The fences are a one-row aggregate joined as a broadcast relation, so the
-    plan stays lazy and the filter runs map-side with no shuffle of the lines.
+    By default the two fences are computed first by one small aggregate job
+    (only ``col`` and the filter columns are read) and applied as literals:
+    the main pass is then a plain filter that Parquet can push down, and
+    later fences do not re-plan this lineage.  ``lazy=True`` keeps the plan
+    lazy instead, joining the one-row fences as a broadcast relation.
     """
-    fences = F.broadcast(iqr_fences(df, col, k))
-    return (df.crossJoin(fences)
-              .where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi")))
-              .drop("_lo", "_hi"))
+    if lazy:
+        fences = F.broadcast(iqr_fences(df, col, k))
+        return (df.crossJoin(fences)
+                  .where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi")))
+                  .drop("_lo", "_hi"))
+    lo, hi = iqr_fences(df, col, k).first()
+    if lo is None:  # no rows: nothing survives, as with the lazy form
+        return df.where(F.lit(False))
+    return df.where((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
 
 
 def sequential_iqr(df: DataFrame, cols: Sequence[str] = ("Quantity", "UnitPrice"),
-                   k: float = 1.5) -> DataFrame:
+                   k: float = 1.5, lazy: bool = False) -> DataFrame:
     """F5 applied column after column; each fence is measured on the
     survivors of the previous one."""
     for c in cols:
-        df = iqr_filter(df, c, k)
+        df = iqr_filter(df, c, k, lazy)
     return df
 
 
