@@ -53,3 +53,25 @@ def test_global_row_number_equals_window_row_number(spark):
     ref = df.withColumn("rn2", F.row_number().over(Window.orderBy("k", "u")))
     bad = ours.join(ref, ["k", "u"]).where("rn <> rn2").count()
     assert bad == 0 and ours.count() == 5000
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    import random
+    from tillroll.operators.ranking import exact_quantiles
+    random.seed(7)
+    probs = [0.0, 0.2, 0.25, 0.5, 0.6000000000000001, 0.9, 1.0]
+    for vals in ([random.random() * 1e4 for _ in range(3001)], [random.randint(0, 9) for _ in range(500)], [4.0]):
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        got = exact_quantiles(df, "x", probs).first()[0]
+        want = np.quantile(np.array(vals, dtype=float), probs)
+        assert max(abs(a - b) for a, b in zip(got, want)) <= 1e-9 * max(1.0, max(vals))
+
+
+def test_global_row_number_with_hot_key(spark):
+    # a third of the rows share one sort value: ranks stay 1..n and contiguous
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 11).alias("k"), F.col("id").alias("u"))
+    ours = ranking.global_row_number(df, ["k", "u"], "rn", num_partitions=8)
+    ref = df.withColumn("rn2", F.row_number().over(Window.orderBy("k", "u")))
+    assert ours.join(ref, ["k", "u"]).where("rn <> rn2").count() == 0

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, dimensions as dims
-from tillroll.plans.oracle import CLEANED_COLS, U, money, msum, with_cleaned, with_raw
+from tillroll.plans.oracle import (CLEANED_COLS, U, clean_desc_sql, money, msum, title_sql, with_cleaned,
+                                   with_raw)
 from tillroll.sources.retail import retail_raw
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -859,7 +860,7 @@ def q_iqr_filter(spark, sf):
 
 
 @register("clean_description", with_raw(
-    f"SELECT DISTINCT Description, {__import__('tillroll.plans.oracle', fromlist=['x']).clean_desc_sql('Description')} "
+    f"SELECT DISTINCT Description, {clean_desc_sql('Description')} "
     "AS CleanDescription FROM raw WHERE Description IS NOT NULL"))
 def q_clean_description(spark, sf):
     return (raw8(spark, sf).where(F.col("Description").isNotNull())
@@ -872,7 +873,7 @@ def q_categorize_product(spark, sf):
 
 
 @register("clean_country", with_raw(
-    f"SELECT DISTINCT Country, {__import__('tillroll.plans.oracle', fromlist=['x']).title_sql('Country')} "
+    f"SELECT DISTINCT Country, {title_sql('Country')} "
     "AS CleanCountry FROM raw"))
 def q_clean_country(spark, sf):
     return raw8(spark, sf).select("Country", tf.title_case("Country").alias("CleanCountry")).distinct()

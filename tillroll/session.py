@@ -55,6 +55,9 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        try:
+            spark.sparkContext.setCheckpointDir(base)
+        except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+            pass
     sub = f"{name or 'table'}-{uuid.uuid4().hex[:12]}"
     return os.path.join(base.rstrip("/"), sub)
