@@ -479,9 +479,15 @@ CLV_CTES = (
 )
 
 
+def clv_table(spark, sf) -> DataFrame:
+    """Per-customer CLV table (one row per customer), written once."""
+    from tillroll.plans.materialize import written_table
+    return written_table(spark, f"clv:{sf}", lambda: clv_ops.clv(cleaned(spark, sf)))
+
+
 @register("clv", with_cleaned("SELECT * FROM clv", *CLV_CTES))
 def q_clv(spark, sf):
-    return clv_ops.clv(cleaned(spark, sf))
+    return clv_table(spark, sf)
 
 
 @register("clv_insights", with_cleaned(f"""
@@ -490,13 +496,13 @@ SELECT {round_sig_sql('avg(CLV)', 12)} AS avg_clv, {round_sig_sql('quantile_cont
        count(*) FILTER (WHERE ValueSegment = 'High Value') AS high_value_customers, count(*) AS customers
 FROM clv""", *CLV_CTES))
 def q_clv_insights(spark, sf):
-    return clv_ops.clv_insights(clv_ops.clv(cleaned(spark, sf)))
+    return clv_ops.clv_insights(clv_table(spark, sf))
 
 
 @register("clv_segment_counts", with_cleaned(
     "SELECT ValueSegment, count(*) AS Customers FROM clv GROUP BY ValueSegment", *CLV_CTES))
 def q_clv_segment_counts(spark, sf):
-    return clv_ops.clv_segment_counts(clv_ops.clv(cleaned(spark, sf)))
+    return clv_ops.clv_segment_counts(clv_table(spark, sf))
 
 
 # ================================================================ forecast ===
@@ -735,7 +741,7 @@ FROM (SELECT CASE WHEN mx = mn THEN 1 ELSE least(CAST(floor((CLV - mn) / (mx - m
 GROUP BY bin, mn, mx""", *CLV_CTES))
 def q_clv_histogram(spark, sf):
     from tillroll.operators.binning import equal_width_histogram
-    return equal_width_histogram(clv_ops.clv(cleaned(spark, sf)), "CLV", 50)
+    return equal_width_histogram(clv_table(spark, sf), "CLV", 50)
 
 
 # ==================================================================== view ===
