@@ -161,16 +161,19 @@ def clean_country(df: DataFrame, col: str = "Country") -> DataFrame:
 def invoice_features(df: DataFrame) -> DataFrame:
     """Per-invoice value, item count and distinct products on each line.
 
-    Expressed as an aggregate joined back on InvoiceNo instead of a window:
-    the aggregate is combined map-side, and the join lets AQE split a hot
-    invoice's partition (skew join), which a window partition cannot do.
+    Expressed as an aggregate (combined map-side) joined back on InvoiceNo
+    instead of a window, which would hold a whole invoice in one task; lines
+    of invoices with a large share of all rows are joined map-side against a
+    broadcast of their (few) feature rows (``skew.join_back``).
     """
+    from tillroll.operators.skew import join_back
     per_invoice = (df.where(F.col("InvoiceNo").isNotNull())
                      .groupBy("InvoiceNo")
                      .agg(tf.money_sum("TotalAmount").alias("TransactionValue"),
                           F.sum("Quantity").alias("ItemsPerTransaction"),
-                          F.count_distinct("StockCode").alias("UniqueProductsPerTransaction")))
-    return df.join(per_invoice, "InvoiceNo", "left")
+                          F.count_distinct("StockCode").alias("UniqueProductsPerTransaction"),
+                          F.count(F.lit(1)).alias("_lines")))
+    return join_back(df, per_invoice, "InvoiceNo", "_lines")
 
 
 # ------------------------------------------------------------------- job ---

@@ -93,10 +93,16 @@ def attach_segments(df: DataFrame) -> DataFrame:
 
     Guest lines (null key) never match, so they skip the join entirely and
     are unioned back: a huge null-key partition never reaches the join.
+    Customers with a large share of all lines are joined map-side against a
+    broadcast of their few segment rows (``skew.join_back``).
     """
-    seg = (rfm_scores_dedup(rfm_metrics(df, snapshot_scope="all"))
-           .select("CustomerID", "RFM_Segment", "Customer_Segment"))
-    known = df.where(F.col("CustomerID").isNotNull()).join(seg, "CustomerID", "left")
+    from tillroll.operators.skew import join_back
+    metrics = rfm_metrics(df, snapshot_scope="all")
+    seg = rfm_scores_dedup(metrics).select("CustomerID", "RFM_Segment", "Customer_Segment")
+    lines_per_customer = (identified_customers(df).groupBy("CustomerID")
+                          .agg(F.count(F.lit(1)).alias("_lines")))
+    seg = seg.join(lines_per_customer, "CustomerID")
+    known = join_back(df.where(F.col("CustomerID").isNotNull()), seg, "CustomerID", "_lines")
     guests = (df.where(F.col("CustomerID").isNull())
                 .withColumn("RFM_Segment", F.lit(None).cast("string"))
                 .withColumn("Customer_Segment", F.lit(None).cast("string")))
