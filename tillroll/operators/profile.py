@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.operators.cleaning import iqr_fences, step_flags
+from tillroll.operators.ranking import exact_quantiles
 
 
 def _unpivot(one_row: DataFrame, names: Sequence[str], value_cols: dict[str, str]) -> DataFrame:
@@ -50,7 +51,9 @@ def profile_distinct(df: DataFrame) -> DataFrame:
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (exact, interpolated),
-    max per numeric column."""
+    max per numeric column.  Moments come from one aggregate pass; the
+    quartiles from the distributed exact quantiles (ids have one distinct
+    value per customer, so a single-task value map is not an option)."""
     if cols is None:
         cols = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint")]
     aggs = []
@@ -58,9 +61,10 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"_n_{c}"), F.avg(x).alias(f"_mean_{c}"),
                  F.stddev_samp(x).alias(f"_std_{c}"), F.min(x).alias(f"_min_{c}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}"),
                  F.max(x).alias(f"_max_{c}")]
     wide = df.agg(*aggs)
+    for c in cols:
+        wide = wide.crossJoin(exact_quantiles(df, c, [0.25, 0.5, 0.75], f"_q_{c}"))
     long = _unpivot(wide, cols, {"count": "_n_{}", "mean": "_mean_{}", "std": "_std_{}",
                                  "min": "_min_{}", "q": "_q_{}", "max": "_max_{}"})
     return long.select("column_name", F.col("count").cast("bigint").alias("count"),
