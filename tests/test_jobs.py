@@ -55,3 +55,11 @@ def test_streaming_ingest_lands_each_file_once(spark, sf_small):
     landed = spark.read.parquet(table)
     assert n1 == part1.count()
     assert landed.count() == raw.count()
+
+
+def test_missing_cleaned_input_raises(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+    from tillroll.sources.retail import scan_cleaned
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        scan_cleaned(spark, os.path.join(scratch_dir(spark, "missing"), "nothing-here"))

@@ -60,3 +60,10 @@ def clv_insights(clv_df: DataFrame) -> DataFrame:
 def clv_segment_counts(clv_df: DataFrame) -> DataFrame:
     """A25."""
     return clv_df.groupBy("ValueSegment").agg(F.count(F.lit(1)).alias("Customers"))
+
+
+def sample_customers(clv_df: DataFrame, n: int = 1000, seed: str = "0") -> DataFrame:
+    """min(n, customers) customers in a seeded pseudo-random order (hash
+    of the id), reproducible; each task keeps only n rows."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.col("CustomerID").cast("string")))
+    return clv_df.orderBy(h, "CustomerID").limit(n)

@@ -117,3 +117,13 @@ def segment_distribution(segmented: DataFrame) -> DataFrame:
     total = F.sum("Count").over(Window.partitionBy(F.lit(1)))  # at most 7 segments
     return (g.withColumn("Percentage", F.col("Count") * 100 / total)
              .orderBy(F.desc("Percentage"), "Customer_Segment"))
+
+
+def score_histogram(scored: DataFrame) -> DataFrame:
+    """A42 (discrete form): customers per R, F and M score value, long form
+    (score_type, score, customers)."""
+    long = scored.select(F.explode(F.array(
+        F.struct(F.lit("R").alias("score_type"), F.col("R_Score").alias("score")),
+        F.struct(F.lit("F").alias("score_type"), F.col("F_Score").alias("score")),
+        F.struct(F.lit("M").alias("score_type"), F.col("M_Score").alias("score")))).alias("s")).select("s.*")
+    return long.groupBy("score_type", "score").agg(F.count(F.lit(1)).alias("customers"))

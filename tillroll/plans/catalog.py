@@ -928,3 +928,19 @@ SELECT {round_sig_sql('sum(' + round_sig_sql('trend * SeasonalIndex', 10) + ')',
 FROM fut LEFT JOIN sidx ON fut.Month = sidx.Month""", *FC_CTES))
 def q_forecast_total(spark, sf):
     return fc.forecast_total(cleaned(spark, sf))
+
+
+@register("rfm_score_histogram", with_cleaned("""
+SELECT score_type, score, count(*) AS customers FROM (
+  SELECT 'R' AS score_type, R_Score AS score FROM seg
+  UNION ALL SELECT 'F', F_Score FROM seg
+  UNION ALL SELECT 'M', M_Score FROM seg) GROUP BY score_type, score""", *RFM_QUINTILE_CTES))
+def q_rfm_score_histogram(spark, sf):
+    return rfm.score_histogram(rfm.rfm_scores_quintile(rfm_table(spark, sf)))
+
+
+@register("sample_customers", with_cleaned(
+    "SELECT * FROM clv ORDER BY md5(concat_ws('|', '0', CAST(CustomerID AS VARCHAR))), CustomerID LIMIT 1000",
+    *CLV_CTES))
+def q_sample_customers(spark, sf):
+    return clv_ops.sample_customers(clv_table(spark, sf), 1000, "0")
