@@ -944,3 +944,38 @@ def q_rfm_score_histogram(spark, sf):
     *CLV_CTES))
 def q_sample_customers(spark, sf):
     return clv_ops.sample_customers(clv_table(spark, sf), 1000, "0")
+
+
+# The reference configuration of the basket operators (Description items and
+# the original thresholds), next to the Brand / PType test configurations.
+
+@register("basket_pairs_description", with_cleaned("""
+SELECT left(a.item, 30) AS Item_A, left(b.item, 30) AS Item_B, p.cab / bn.n AS Support_AB,
+       (p.cab / bn.n) / a.support AS Confidence_A_to_B, (p.cab / bn.n) / b.support AS Confidence_B_to_A,
+       (p.cab / bn.n) / (a.support * b.support) AS Lift
+FROM pr p JOIN tr a ON p.ia = a.item JOIN tr b ON p.ib = b.item, bn
+WHERE (p.cab / bn.n) / (a.support * b.support) > 1.2 AND p.cab / bn.n >= 0.005""",
+    items_cte("Description"),
+    "cnt AS (SELECT item, count(*) AS c FROM ii GROUP BY item)",
+    "tr AS (SELECT item, c / n AS support, row_number() OVER (ORDER BY c / n DESC, item) AS rk "
+    "FROM cnt, bn WHERE c / n >= 0.01 ORDER BY c / n DESC, item LIMIT 20)",
+    "pr AS (SELECT a.item AS ia, b.item AS ib, count(*) AS cab FROM ii x JOIN tr a ON x.item = a.item "
+    "JOIN ii y ON x.InvoiceNo = y.InvoiceNo JOIN tr b ON y.item = b.item WHERE a.rk < b.rk GROUP BY 1, 2)"))
+def q_basket_pairs_description(spark, sf):
+    return basket.basket_pairs(cleaned(spark, sf))
+
+
+DESC_ITEMSET_CTES = tuple(c.replace("PType", "Description") for c in ITEMSET_CTES)
+
+
+@register("frequent_itemsets_description", with_cleaned(
+    "SELECT array_to_string(items, ', ') AS itemset, CAST(len(items) AS INTEGER) AS length, freq, support FROM fi",
+    *DESC_ITEMSET_CTES))
+def q_frequent_itemsets_description(spark, sf):
+    return basket.frequent_itemsets(cleaned(spark, sf)).drop("items")
+
+
+@register("association_rules_description", ORACLE["association_rules"].replace(
+    ITEMSET_CTES[0], DESC_ITEMSET_CTES[0]))
+def q_association_rules_description(spark, sf):
+    return basket.association_rules(basket.frequent_itemsets(cleaned(spark, sf)))
