@@ -79,6 +79,13 @@ HOME_MARKET = "United Kingdom"
 # White space removed by the reference's strip(): every code point that
 # Python's str.isspace() accepts (all lie below U+3001).
 STRIP_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# The same set as a regex class body, and Python's word characters
+# (letters, numbers, underscore) — Java's (?U)\w and \s differ from Python's.
+WS_CLASS = "".join(f"\\x{{{ord(c):X}}}" for c in STRIP_CHARS)
+WORD_CLASS = r"\p{L}\p{N}_"
+# Python's title() starts a word at a cased character (Unicode Cased
+# property: Lowercase, Uppercase or Titlecase) after an uncased one.
+CASED_CLASS = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 
 # Money is summed as exact integers of 1/10,000 currency unit.
 MONEY_SCALE = 10_000
@@ -156,8 +163,8 @@ def clean_description(c: str | Column) -> Column:
     There is deliberately no second strip: "TEA!" becomes "TEA ".
     """
     s = F.upper(strip_ws(c))
-    s = F.regexp_replace(s, r"(?U)[^\w\s]", " ")
-    return F.regexp_replace(s, r"(?U)\s+", " ")
+    s = F.regexp_replace(s, f"[^{WORD_CLASS}{WS_CLASS}]", " ")
+    return F.regexp_replace(s, f"[{WS_CLASS}]+", " ")
 
 
 def categorize(desc: str | Column, rules: Sequence[tuple[str, Sequence[str]]] = CATEGORY_RULES,
@@ -178,10 +185,10 @@ def title_case(c: str | Column) -> Column:
     """Title case that restarts after any non-letter ("guinea-bissau" ->
     "Guinea-Bissau", "3rd" -> "3Rd"), after trimming white space."""
     low = F.lower(strip_ws(c))
-    runs = F.regexp_extract_all(low, F.lit(r"(\p{L}+|\P{L}+)"), 0)
+    runs = F.regexp_extract_all(low, F.lit(f"([{CASED_CLASS}]+|[^{CASED_CLASS}]+)"), 0)
     general = F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")
-    # Letters and single blanks only: initcap gives the same result in codegen.
-    return F.when(low.rlike(r"^\p{L}+( \p{L}+)*$"), F.initcap(low)).otherwise(general)
+    # Cased letters and single blanks only: initcap gives the same result in codegen.
+    return F.when(low.rlike(f"^[{CASED_CLASS}]+( [{CASED_CLASS}]+)*$"), F.initcap(low)).otherwise(general)
 
 
 def truncate_label(c: str | Column, n: int, ellipsis: bool = True) -> Column:
