@@ -63,3 +63,21 @@ def test_missing_cleaned_input_raises(spark):
     from tillroll.sources.retail import scan_cleaned
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         scan_cleaned(spark, os.path.join(scratch_dir(spark, "missing"), "nothing-here"))
+
+
+def test_command_line_end_to_end(spark, sf_small):
+    from tillroll.__main__ import main
+    raw_csv, cleaned_dir, rep = (scratch_dir(spark, n) for n in ("cli-raw", "cli-cleaned", "cli-report"))
+    write_raw_csv(retail_raw(spark, sf_small, with_items=False), raw_csv)
+    main(["clean", raw_csv, cleaned_dir, "--report", rep], spark)
+    assert spark.read.parquet(cleaned_dir).count() == 5625
+    out = scratch_dir(spark, "cli-analysis")
+    paths = main(["analysis", cleaned_dir, out], spark)
+    assert spark.read.parquet(os.path.join(out, "monthly_trends")).count() == 80 and len(paths) >= 10
+    out_b = scratch_dir(spark, "cli-business")
+    main(["business", cleaned_dir, out_b], spark)
+    assert spark.read.parquet(os.path.join(out_b, "sales_forecast")).count() == 6
+    out_d = scratch_dir(spark, "cli-dashboard")
+    main(["dashboard", cleaned_dir, out_d, "--from", "1996-01-01", "--to", "1999-12-31",
+          "--country", "United Kingdom"], spark)
+    assert spark.read.parquet(os.path.join(out_d, "kpis")).first()["total_revenue"] > 0
