@@ -63,15 +63,19 @@ def basket_pairs(df: DataFrame, item_col: str = "Description", top_n: int = 20,
     Confidence_B_to_A and Lift; kept when lift > min_lift and
     support >= min_pair_support; lift descending."""
     items = invoice_items(df, item_col)
-    n_df = F.broadcast(_invoice_count(df, item_col))
     counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("cnt"))
-    top = (counts.crossJoin(n_df)
-                 .withColumn("support", F.col("cnt") / F.col("_n"))
-                 .where(F.col("support") >= min_item_support)
-                 .orderBy(F.desc("support"), "item").limit(top_n))
-    # Top items get ranks 0..top_n-1; the table has at most top_n rows.
-    top = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("support"), "item")) - 1)
-    top_b = F.broadcast(top.select("item", "rk"))
+    # The top items (at most top_n rows) and the invoice count are computed
+    # once by a small job and broadcast as a local table, so the pair plan
+    # does not re-derive them for each use.
+    spark = df.sparkSession
+    n = _invoice_count(df, item_col).first()[0] or 0
+    ranked = (counts.withColumn("support", F.col("cnt") / F.lit(n) if n else F.lit(None).cast("double"))
+                    .where(F.col("support") >= min_item_support)
+                    .orderBy(F.desc("support"), "item").limit(top_n).collect())
+    top = F.broadcast(spark.createDataFrame(
+        [(r["item"], r["support"], i, n) for i, r in enumerate(ranked)],
+        "item string, support double, rk int, _n bigint"))
+    top_b = top.select("item", "rk")
     masks = (items.join(top_b, "item")
                   .groupBy("InvoiceNo")
                   .agg(F.bit_or(_shl(F.lit(1).cast("bigint"), F.col("rk"))).alias("mask"))
@@ -85,10 +89,10 @@ def basket_pairs(df: DataFrame, item_col: str = "Description", top_n: int = 20,
                                 "invoices")
                         .groupBy(F.col("p.a").alias("ra"), F.col("p.b").alias("rb"))
                         .agg(F.sum("invoices").alias("cnt_ab")))
-    ta = F.broadcast(top.select(F.col("rk").alias("ra"), F.col("item").alias("item_a"),
-                                F.col("support").alias("support_a"), "_n"))
-    tb = F.broadcast(top.select(F.col("rk").alias("rb"), F.col("item").alias("item_b"),
-                                F.col("support").alias("support_b")))
+    ta = top.select(F.col("rk").alias("ra"), F.col("item").alias("item_a"),
+                    F.col("support").alias("support_a"), "_n")
+    tb = top.select(F.col("rk").alias("rb"), F.col("item").alias("item_b"),
+                    F.col("support").alias("support_b"))
     j = pair_counts.join(ta, "ra").join(tb, "rb")
     s_ab = F.col("cnt_ab") / F.col("_n")
     out = j.select(
