@@ -87,17 +87,19 @@ def rfm_segment_profile(scored: DataFrame, segment_col: str = "Segment") -> Data
     return g.withColumn("Share", F.col("Count") * 100 / total)
 
 
-def attach_segments(df: DataFrame) -> DataFrame:
+def attach_segments(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """C5 + J2: dashboard segmentation joined back to every line on
     CustomerID (guests get null segments).  Snapshot over all lines.
 
     Guest lines (null key) never match, so they skip the join entirely and
     are unioned back: a huge null-key partition never reaches the join.
     Customers with a large share of all lines are joined map-side against a
-    broadcast of their few segment rows (``skew.join_back``).
+    broadcast of their few segment rows (``skew.join_back``).  ``metrics``
+    may pass an already written ``rfm_metrics(df, "all")`` table.
     """
     from tillroll.operators.skew import join_back
-    metrics = rfm_metrics(df, snapshot_scope="all")
+    if metrics is None:
+        metrics = rfm_metrics(df, snapshot_scope="all")
     seg = rfm_scores_dedup(metrics).select("CustomerID", "RFM_Segment", "Customer_Segment")
     lines_per_customer = (identified_customers(df).groupBy("CustomerID")
                           .agg(F.count(F.lit(1)).alias("_lines")))

@@ -384,8 +384,8 @@ def segmented(spark, sf) -> DataFrame:
     as the dashboard caches its loaded frame)."""
     from tillroll.plans.materialize import written_table
     from tillroll.sources.schemas import CLEANED_COLUMNS, SEGMENT_COLUMNS
-    return written_table(spark, f"segmented:{sf}", lambda: rfm.attach_segments(cleaned(spark, sf))
-                         .select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS))
+    return written_table(spark, f"segmented:{sf}", lambda: rfm.attach_segments(
+        cleaned(spark, sf), metrics=rfm_table(spark, sf, "all")).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS))
 
 
 def rfm_table(spark, sf, scope: str = "identified") -> DataFrame:
