@@ -75,3 +75,14 @@ def test_global_row_number_with_hot_key(spark):
     ours = ranking.global_row_number(df, ["k", "u"], "rn", num_partitions=8)
     ref = df.withColumn("rn2", F.row_number().over(Window.orderBy("k", "u")))
     assert ours.join(ref, ["k", "u"]).where("rn <> rn2").count() == 0
+
+
+def test_grouped_forecast_equals_filtered_forecast(lines):
+    from tillroll.operators import forecast
+    country = "United Kingdom"
+    grouped = (forecast.forecast(lines, by=["Country"]).where(F.col("Country") == country)
+               .drop("Country").orderBy("MonthNumber").collect())
+    alone = forecast.forecast(lines.where(F.col("Country") == country)).orderBy("MonthNumber").collect()
+    assert [tuple(r) for r in grouped] == [tuple(r) for r in alone] and len(alone) == 6
+    fits = forecast.sales_trend_fit(lines, by=["Country"])
+    assert fits.count() == lines.select("Country").distinct().count()
