@@ -86,3 +86,12 @@ def test_grouped_forecast_equals_filtered_forecast(lines):
     assert [tuple(r) for r in grouped] == [tuple(r) for r in alone] and len(alone) == 6
     fits = forecast.sales_trend_fit(lines, by=["Country"])
     assert fits.count() == lines.select("Country").distinct().count()
+
+
+def test_approx_distinct_profile_close_to_exact(lines):
+    from tillroll.operators import profile
+    exact = {r.column_name: r.distinct_count for r in profile.profile_distinct(lines.select("InvoiceNo", "StockCode")).collect()}
+    approx = {r.column_name: r.distinct_count
+              for r in profile.profile_distinct(lines.select("InvoiceNo", "StockCode"), approx_rsd=0.01).collect()}
+    for k in exact:
+        assert abs(approx[k] - exact[k]) <= 0.05 * exact[k]

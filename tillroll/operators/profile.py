@@ -42,9 +42,17 @@ def profile_types(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
-def profile_distinct(df: DataFrame) -> DataFrame:
-    """Per column count of distinct non-null values."""
+def profile_distinct(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """Per column count of distinct non-null values.
+
+    Exact by default (one aggregate; Catalyst expands each row once per
+    column).  ``approx_rsd`` switches to HyperLogLog++ sketches with that
+    relative standard deviation: fixed memory per column and no expansion,
+    for raw tables too large for an exact profile."""
     cols = df.columns
+    if approx_rsd is not None:
+        wide = df.agg(*[F.approx_count_distinct(F.col(c), approx_rsd).alias(f"_d_{c}") for c in cols])
+        return _unpivot(wide, cols, {"distinct_count": "_d_{}"})
     wide = df.agg(*[F.count_distinct(F.col(c)).alias(f"_d_{c}") for c in cols])
     return _unpivot(wide, cols, {"distinct_count": "_d_{}"})
 
