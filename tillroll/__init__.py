@@ -1,9 +1,10 @@
 """tillroll: retail sales analytics as Spark DataFrame operators.
 
 Every public operator takes a DataFrame (plus plain parameters) and returns a
-lazy DataFrame; nothing is collected to the driver except one-row scalars that
-Spark itself computes (quantile fences, snapshot dates) and those stay inside
-the plan as broadcast one-row relations.
+DataFrame.  Nothing is collected to the driver except results with a proven
+small bound: the two IQR fences, the top-N basket items (N rows) and the
+pivot's period list (one value per month).  Other one-row statistics stay in
+the plan as broadcast relations.
 """
 
 from tillroll.session import get_session, scratch_dir

@@ -1,8 +1,9 @@
 """Cleaning operators: filters F1-F5, projections P1-P15, invoice features.
 
 Each function is ``DataFrame -> DataFrame`` so a job is a ``.transform`` chain
-that Catalyst fuses into one scan-filter-project stage up to the first
-quantile aggregate.
+that Catalyst fuses into scan-filter-project stages.  The two IQR fences are
+the exception: each is a small aggregate job (one row, bounded value domain)
+whose result is applied as literals.
 """
 
 from __future__ import annotations
@@ -48,8 +49,9 @@ def identified_customers(df: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], name: str = "q") -> DataFrame:
     """One-row DataFrame with an array of exact, linearly interpolated quantiles.
 
-    ``percentile`` keeps a value->count map per task, so it is cheap for
-    low-cardinality columns (quantity, price).  The result is a single row.
+    ``percentile`` keeps a value->count map per task and merges it in one
+    task, so it is used for columns with a bounded domain (quantity, price);
+    per-customer metrics use ``ranking.exact_quantiles``.  One result row.
     """
     return df.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs])).alias(name))
 
