@@ -81,3 +81,20 @@ def test_command_line_end_to_end(spark, sf_small):
     main(["dashboard", cleaned_dir, out_d, "--from", "1996-01-01", "--to", "1999-12-31",
           "--country", "United Kingdom"], spark)
     assert spark.read.parquet(os.path.join(out_d, "kpis")).first()["total_revenue"] > 0
+
+
+def test_raw_csv_latin1_quotes_and_blanks_round_trip(spark):
+    import datetime as dt
+    import glob
+    from tillroll.sources.retail import scan_raw_csv
+    rows = [("536365", "85123A", ' CAFÉ "NO.1" MUG, £5 ', 6, dt.datetime(2010, 12, 1, 8, 26), 2.55, 17850.0, "United Kingdom"),
+            ("C536379", "D", None, -1, dt.datetime(2011, 1, 9, 17, 5), 27.5, None, " eire ")]
+    df = spark.createDataFrame(rows, "InvoiceNo string, StockCode string, Description string, Quantity bigint, "
+                                     "InvoiceDate timestamp_ntz, UnitPrice double, CustomerID double, Country string")
+    path = scratch_dir(spark, "latin1-csv")
+    write_raw_csv(df, path)
+    data = b"".join(open(f, "rb").read() for f in glob.glob(os.path.join(path, "*.csv")))
+    assert "CAFÉ".encode("latin-1") in data and "£5".encode("latin-1") in data  # bytes are ISO-8859-1
+    assert b"12/1/2010 8:26" in data                                               # M/d/yyyy H:mm
+    back = scan_raw_csv(spark, path).orderBy("InvoiceNo").collect()
+    assert [tuple(r) for r in back] == sorted(rows, key=lambda r: r[0])
