@@ -47,6 +47,12 @@ def canon(v) -> str:
     return str(v)
 
 
+SPARK_TYPES = {"int": "INT32", "bigint": "INT64", "double": "DOUBLE", "string": "STRING", "date": "DATE",
+               "timestamp_ntz": "TIMESTAMP", "boolean": "BOOL", "smallint": "INT16", "float": "FLOAT"}
+DUCK_TYPES = {"INTEGER": "INT32", "BIGINT": "INT64", "DOUBLE": "DOUBLE", "VARCHAR": "STRING", "DATE": "DATE",
+              "TIMESTAMP": "TIMESTAMP", "BOOLEAN": "BOOL", "SMALLINT": "INT16", "FLOAT": "FLOAT"}
+
+
 def rows_of(names: list[str], rows) -> list[tuple[str, ...]]:
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(tuple(canon(r[i]) for i in order) for r in rows)
@@ -63,13 +69,19 @@ def compare(spark, sf_dir: str, name: str, builder, sql: str | None, con=None, v
         res["status"] = "rows-only"
         return res
     con = con or duck(sf_dir)
-    cur = con.execute(sql)
-    d_names = [d[0] for d in cur.description]
-    d_rows = cur.fetchall()
+    rel = con.sql(sql)
+    d_names = list(rel.columns)
+    d_types = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(d_names, rel.types)}
+    d_rows = rel.fetchall()
     res["oracle_rows"] = len(d_rows)
     if sorted(s_names) != sorted(d_names):
         res["status"] = f"COLUMNS differ: spark={sorted(s_names)} oracle={sorted(d_names)}"
         return res
+    s_types = {c: SPARK_TYPES.get(t, t) for c, t in sdf.dtypes}
+    bad_types = {c: (s_types[c], d_types[c]) for c in s_names if s_types[c] != d_types[c]}
+    if bad_types:
+        res["status"] = f"TYPES differ: {bad_types}"
+        return res
     a, b = rows_of(s_names, s_rows), rows_of(d_names, d_rows)
     if a == b:
         res["status"] = "match"
