@@ -95,3 +95,12 @@ def test_approx_distinct_profile_close_to_exact(lines):
               for r in profile.profile_distinct(lines.select("InvoiceNo", "StockCode"), approx_rsd=0.01).collect()}
     for k in exact:
         assert abs(approx[k] - exact[k]) <= 0.05 * exact[k]
+
+
+def test_global_row_number_reuses_one_range_exchange(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 101).alias("k"), F.col("id").alias("u"))
+    df = df.groupBy("k").agg(F.count(F.lit(1)).alias("c"))  # shuffled upstream: row order not fixed
+    r = ranking.global_row_number(df, ["c", "k"], "rn", num_partitions=5)
+    assert sorted(x.rn for x in r.collect()) == list(range(1, 102))
+    final = r._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+    assert "ReusedExchange" in final and "rangepartitioning" in final

@@ -23,6 +23,12 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
 
     ``order`` should be a total order (end with a unique key) when the numbers
     must be reproducible.
+
+    The per-partition counts and the rows read the same range exchange (Spark
+    reuses the identical exchange, ``spark.sql.exchange.reuse``, on by
+    default), so counts and positions always describe the same partitions.
+    A lost executor does not break this: the exchange's bounds are fixed
+    once, and rows are sorted by a total order inside each partition.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -49,7 +55,8 @@ def running_total(df: DataFrame, order: str, weight: str, out: str = "_cum",
                   num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` in ascending ``order`` (values of
     ``order`` should be distinct), computed per range partition plus
-    per-partition offsets — no single-partition window."""
+    per-partition offsets — no single-partition window.  As in
+    ``global_row_number``, both branches read one reused range exchange."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
