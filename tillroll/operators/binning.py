@@ -1,7 +1,7 @@
 """Quantile and equal-width binning (W5-W7) as DataFrame operators.
 
-Edges come from one exact, distributed quantile computation (one row),
-joined to the rows as a broadcast relation.  Bins are right-closed with the lowest edge
+Edges come from one exact quantile computation (a small job whose q+1
+values are applied to the rows as literals).  Bins are right-closed with the lowest edge
 included: ``bin = 1 + #(inner edges < v)``.  Spark's ``ntile`` splits ties
 and ``Bucketizer`` is left-closed, so neither gives these bins.
 """
@@ -41,16 +41,18 @@ def bin_by_inner_edges(v: Column, inner: Column) -> Column:
 
 def qcut_strict(df: DataFrame, col: str, q: int = 5, out: str | None = None,
                 method: str = "distributed") -> DataFrame:
-    """Quantile bins 1..q; repeated edges raise an error, as in the reference."""
+    """Quantile bins 1..q; repeated edges raise an error, as in the reference.
+
+    The q+1 edges are computed first (one small job) and applied as
+    literals, so the binning itself is a map-side projection."""
     out = out or f"{col}_bin"
-    e = f"_e_{col}"
-    edges = _edges(df, col, q, e, method)
-    unique_ok = F.size(F.array_distinct(F.col(e))) == F.size(F.col(e))
-    inner = F.slice(F.col(e), 2, q - 1)
-    score = F.when(unique_ok, bin_by_inner_edges(F.col(col), inner)).otherwise(
-        F.raise_error(F.concat(F.lit(f"Bin edges must be unique for column {col}: "),
-                               F.col(e).cast("string"))).cast("int"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, score.cast("int")).drop(e)
+    edges = _edges(df, col, q, "_e", method).first()[0]
+    if edges is None or any(e is None for e in edges):  # no rows
+        return df.withColumn(out, F.lit(None).cast("int"))
+    if len(set(edges)) < len(edges):
+        raise ValueError(f"Bin edges must be unique for column {col}: {edges}")
+    inner = F.array(*[F.lit(float(e)) for e in edges[1:q]])
+    return df.withColumn(out, bin_by_inner_edges(F.col(col), inner).cast("int"))
 
 
 def qcut_rank(df: DataFrame, rank_col: str, n_col: str, q: int = 5, out: str | None = None) -> DataFrame:
@@ -68,26 +70,24 @@ def score_dashboard(df: DataFrame, col: str, q: int = 5, out: str | None = None,
                     method: str = "distributed") -> DataFrame:
     """With at least q distinct values, quantile bins with repeated
     edges dropped (possibly fewer than q bins); otherwise k equal-width bins
-    over [min, max] where k is the number of distinct values.  Scores 1..k."""
+    over [min, max] where k is the number of distinct values.  Scores 1..k.
+
+    The statistics (edges, distinct count, min, max) are computed first and
+    applied as literals."""
     out = out or f"{col}_Score"
-    e, k, mn, mx = f"_e_{col}", f"_k_{col}", f"_mn_{col}", f"_mx_{col}"
-    counts = df.agg(F.count_distinct(F.col(col)).alias(k), F.min(col).alias(mn), F.max(col).alias(mx))
-    if method == "map":
-        stats = df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in quantile_probs(q)])).alias(e),
-                       F.count_distinct(F.col(col)).alias(k), F.min(col).alias(mn), F.max(col).alias(mx))
+    stats = df.agg(F.count_distinct(F.col(col)).alias("k"), F.min(col).alias("mn"), F.max(col).alias("mx")).first()
+    k, mn, mx = stats["k"], stats["mn"], stats["mx"]
+    if not k:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    if k < q:
+        step = (mx - mn) / k
+        inner = [i * step + mn for i in range(1, k)]
     else:
-        stats = _edges(df, col, q, e).crossJoin(counts)
-    v = F.col(col)
-    uniq = F.array_distinct(F.col(e))
-    q_inner = F.slice(uniq, 2, F.size(uniq) - 2)
-    step = (F.col(mx) - F.col(mn)) / F.col(k)
-    w_inner = F.transform(F.sequence(F.lit(1), F.greatest(F.col(k) - 1, F.lit(1))),
-                          lambda i: i * step + F.col(mn))
-    w_inner = F.when(F.col(k) > 1, w_inner).otherwise(F.array().cast("array<double>"))
-    score = F.when(F.col(k) < q, bin_by_inner_edges(v, w_inner)).otherwise(bin_by_inner_edges(v, q_inner))
-    return (df.crossJoin(F.broadcast(stats))
-              .withColumn(out, score.cast("int"))
-              .drop(e, k, mn, mx))
+        edges = _edges(df, col, q, "_e", method).first()[0]
+        uniq = sorted(set(edges))
+        inner = uniq[1:-1]
+    inner_col = F.array(*[F.lit(float(e)) for e in inner]) if inner else F.array().cast("array<double>")
+    return df.withColumn(out, bin_by_inner_edges(F.col(col), inner_col).cast("int"))
 
 
 def equal_width_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
