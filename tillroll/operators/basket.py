@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.operators.cleaning import identified_customers
+from tillroll.operators.scalars import attach_one_row
 
 
 def _shl(x, n):
@@ -48,8 +49,7 @@ def item_support(df: DataFrame, item_col: str = "Description", min_support: floa
     """A21 + F11: items with support >= min_support, most supported first.
     Columns: item, invoices, support, rank (1 = most supported)."""
     counts = invoice_items(df, item_col).groupBy("item").agg(F.count(F.lit(1)).alias("invoices"))
-    n = F.broadcast(_invoice_count(df, item_col))
-    s = (counts.crossJoin(n)
+    s = (attach_one_row(counts, _invoice_count(df, item_col))
                .withColumn("support", F.col("invoices") / F.col("_n"))
                .where(F.col("support") >= min_support))
     return s.select("item", "invoices", "support").orderBy(F.desc("support"), "item")
@@ -125,8 +125,7 @@ def frequent_itemsets(df: DataFrame, item_col: str = "Description", min_support:
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
     model = fp.fit(tx)
-    n = F.broadcast(tx.agg(F.count(F.lit(1)).alias("_n")))
-    sets = (model.freqItemsets.crossJoin(n)
+    sets = (attach_one_row(model.freqItemsets, tx.agg(F.count(F.lit(1)).alias("_n")))
             .select(F.array_sort("items").alias("items"), F.col("freq").cast("bigint").alias("freq"),
                     (F.col("freq") / F.col("_n")).alias("support")))
     # Same inclusion test as the reference (support compared as a ratio).

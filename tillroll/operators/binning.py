@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.ranking import exact_quantiles
+from tillroll.operators.scalars import attach_one_row
 
 
 def quantile_probs(q: int) -> list[float]:
@@ -93,11 +94,11 @@ def score_dashboard(df: DataFrame, col: str, q: int = 5, out: str | None = None,
 def equal_width_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Counts in ``bins`` equal-width bins over [min, max] (the maximum
     falls into the last bin).  Returns bin, bin_start, bin_end, count."""
-    stats = F.broadcast(df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx")))
+    stats = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     v, mn, mx = F.col(col).cast("double"), F.col("_mn").cast("double"), F.col("_mx").cast("double")
     raw_bin = F.floor((v - mn) / (mx - mn) * bins).cast("int") + 1
     b = F.when(mx == mn, F.lit(1)).otherwise(F.least(raw_bin, F.lit(bins)))
-    counted = (df.where(F.col(col).isNotNull()).crossJoin(stats)
+    counted = (attach_one_row(df.where(F.col(col).isNotNull()), stats)
                  .groupBy(b.alias("bin"), mn.alias("_mn"), mx.alias("_mx"))
                  .agg(F.count(F.lit(1)).alias("count")))
     width = (F.col("_mx") - F.col("_mn")) / bins

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.sources.schemas import CLEANED_COLUMNS, RAW_COLUMNS
+from tillroll.operators.scalars import attach_one_row
 
 
 # ---------------------------------------------------------------- filters ---
@@ -73,8 +74,7 @@ def iqr_filter(df: DataFrame, col: str, k: float = 1.5, lazy: bool = False) -> D
     lazy instead, joining the one-row fences as a broadcast relation.
     """
     if lazy:
-        fences = F.broadcast(iqr_fences(df, col, k))
-        return (df.crossJoin(fences)
+        return (attach_one_row(df, iqr_fences(df, col, k))
                   .where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi")))
                   .drop("_lo", "_hi"))
     lo, hi = iqr_fences(df, col, k).first()

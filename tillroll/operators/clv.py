@@ -9,6 +9,7 @@ from tillroll import functions as tf
 from tillroll.operators import binning
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.ranking import exact_quantiles
+from tillroll.operators.scalars import attach_one_row
 
 
 def clv(df: DataFrame) -> DataFrame:
@@ -30,10 +31,10 @@ def clv(df: DataFrame) -> DataFrame:
         F.coalesce(tf.elapsed_days("FirstPurchase", "LastPurchase"), F.lit(0)).alias("LifespanDays"))
     base = base.withColumn("PurchaseFrequency", F.col("Frequency") / (F.col("LifespanDays") + 1))
     # One-row mean of the positive lifespans, broadcast to the customers.
-    avg_life = F.broadcast(base.agg(
+    avg_life = (base.agg(
         (F.sum(F.when(F.col("LifespanDays") > 0, F.col("LifespanDays")))
          / F.count_if(F.col("LifespanDays") > 0)).alias("_avg_life")))
-    out = (base.crossJoin(avg_life)
+    out = (attach_one_row(base, avg_life)
                .withColumn("PredictedLifespan",
                            F.when(F.col("LifespanDays") == 0, F.col("_avg_life"))
                             .otherwise(F.col("LifespanDays").cast("double")))
@@ -52,7 +53,7 @@ def clv_insights(clv_df: DataFrame) -> DataFrame:
         tf.round_sig(F.avg("CLV"), 12).alias("avg_clv"),
         F.count_if(F.col("ValueSegment") == tf.CLV_SEGMENT_LABELS[-1]).alias("high_value_customers"),
         F.count(F.lit(1)).alias("customers"))
-    return base.crossJoin(q).select(
+    return attach_one_row(base, q).select(
         "avg_clv", tf.round_sig(F.col("_q")[0], 12).alias("median_clv"),
         tf.round_sig(F.col("_q")[1], 12).alias("p90_clv"), "high_value_customers", "customers")
 

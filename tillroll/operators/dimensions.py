@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.operators.ranking import global_row_number
+from tillroll.operators.scalars import attach_one_row
 
 REV_UNITS = "_rev_units"
 
@@ -109,7 +110,7 @@ def temporal_peaks(df: DataFrame) -> DataFrame:
     p = (df.groupBy("BusinessPeriod").agg(_rev_units())
            .agg(best("BusinessPeriod", F.col("BusinessPeriod"), "best_period")))
     # Four one-row aggregates side by side.
-    return s.crossJoin(d).crossJoin(h).crossJoin(p)
+    return attach_one_row(attach_one_row(attach_one_row(s, d), h), p)
 
 
 # -------------------------------------------------------------- product ---
@@ -158,10 +159,10 @@ def pareto_share(df: DataFrame, share: float = 0.2) -> DataFrame:
     k = F.floor(n * F.lit(share)).cast("bigint")
     stats = ranked.agg(n.alias("total_products"), k.alias("top_n"),
                        F.sum(REV_UNITS).alias("_tot"))
-    top = (ranked.crossJoin(F.broadcast(stats.select("top_n")))
+    top = (attach_one_row(ranked, stats.select("top_n"))
                  .where(F.col("_rn") <= F.col("top_n"))
                  .agg(F.coalesce(F.sum(REV_UNITS), F.lit(0)).alias("_top")))
-    return stats.crossJoin(top).select(
+    return attach_one_row(stats, top).select(
         "total_products", "top_n",
         tf.units_to_money("_top").alias("top_revenue"),
         tf.units_to_money("_tot").alias("total_revenue"),
@@ -178,9 +179,8 @@ def product_insights(df: DataFrame) -> DataFrame:
               .agg(F.min_by(F.col("Description"),
                             F.struct((-F.col(REV_UNITS)).alias("n"), "StockCode", "Description"))
                    .alias("_d")))
-    return (pareto_share(df).select("total_products", "top_share_pct")
-            .crossJoin(cat)
-            .crossJoin(prod.select(tf.truncate_label("_d", 50, ellipsis=False).alias("top_product"))))
+    head = attach_one_row(pareto_share(df).select("total_products", "top_share_pct"), cat)
+    return attach_one_row(head, prod.select(tf.truncate_label("_d", 50, ellipsis=False).alias("top_product")))
 
 
 def sample_products(metrics: DataFrame, n: int = 500, seed: str = "0") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.operators.cleaning import iqr_fences, step_flags
 from tillroll.operators.ranking import exact_quantiles
+from tillroll.operators.scalars import attach_one_row
 
 
 def _unpivot(one_row: DataFrame, names: Sequence[str], value_cols: dict[str, str]) -> DataFrame:
@@ -32,7 +33,7 @@ def profile_nulls(df: DataFrame) -> DataFrame:
                   *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in cols])
     long = _unpivot(wide, cols, {"null_count": "_null_{}"})
     rows = wide.select("_rows")
-    return (long.crossJoin(rows)
+    return (attach_one_row(long, rows)
                 .select("column_name", "null_count",
                         (F.col("null_count") * 100 / F.col("_rows")).alias("null_pct")))
 
@@ -72,7 +73,7 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
                  F.max(x).alias(f"_max_{c}")]
     wide = df.agg(*aggs)
     for c in cols:
-        wide = wide.crossJoin(exact_quantiles(df, c, [0.25, 0.5, 0.75], f"_q_{c}"))
+        wide = attach_one_row(wide, exact_quantiles(df, c, [0.25, 0.5, 0.75], f"_q_{c}"))
     long = _unpivot(wide, cols, {"count": "_n_{}", "mean": "_mean_{}", "std": "_std_{}",
                                  "min": "_min_{}", "q": "_q_{}", "max": "_max_{}"})
     return long.select("column_name", F.col("count").cast("bigint").alias("count"),
@@ -93,7 +94,7 @@ def profile_shape(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     retention %."""
     a = raw.agg(F.count(F.lit(1)).alias("initial_rows"))
     b = cleaned.agg(F.count(F.lit(1)).alias("final_rows"))
-    return a.crossJoin(b).select(
+    return attach_one_row(a, b).select(
         "initial_rows", F.lit(len(raw.columns)).alias("initial_columns"),
         "final_rows", F.lit(len(cleaned.columns)).alias("final_columns"),
         (F.col("initial_rows") - F.col("final_rows")).alias("rows_removed"),
@@ -116,13 +117,13 @@ def cleaning_step_counts(raw: DataFrame) -> DataFrame:
     survive = ~(flags["cancelled"] | flags["no_desc"] | flags["bad_qty"] | flags["bad_price"])
     base = raw.withColumn("_ok", survive)
     q_f = iqr_fences(base.where("_ok"), "Quantity").withColumnsRenamed({"_lo": "_qlo", "_hi": "_qhi"})
-    after_q = (base.where("_ok").crossJoin(F.broadcast(q_f))
+    after_q = (attach_one_row(base.where("_ok"), q_f)
                    .where((F.col("Quantity") >= F.col("_qlo")) & (F.col("Quantity") <= F.col("_qhi"))))
     p_f = iqr_fences(after_q, "UnitPrice").withColumnsRenamed({"_lo": "_plo", "_hi": "_phi"})
     in_q = (F.col("Quantity") >= F.col("_qlo")) & (F.col("Quantity") <= F.col("_qhi"))
     in_p = (F.col("UnitPrice") >= F.col("_plo")) & (F.col("UnitPrice") <= F.col("_phi"))
     kept = F.col("_ok") & in_q & in_p
-    out = (base.crossJoin(F.broadcast(q_f)).crossJoin(F.broadcast(p_f))
+    out = (attach_one_row(attach_one_row(base, q_f), p_f)
                .agg(F.count(F.lit(1)).alias("raw_rows"),
                     F.count_if(flags["cancelled"]).alias("cancelled"),
                     F.count_if(flags["no_desc"]).alias("missing_description"),
@@ -148,7 +149,7 @@ def quality_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
         F.min("InvoiceDate").alias("date_min"), F.max("InvoiceDate").alias("date_max"))
     r = raw.agg(F.count(F.lit(1)).alias("initial_rows"))
     d = duplicate_count(cleaned)
-    return r.crossJoin(c).crossJoin(d).select(
+    return attach_one_row(attach_one_row(r, c), d).select(
         "initial_rows", F.lit(len(raw.columns)).alias("initial_columns"),
         "final_rows", F.lit(len(cols)).alias("final_columns"),
         (F.col("initial_rows") - F.col("final_rows")).alias("rows_removed"),

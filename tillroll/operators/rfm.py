@@ -18,6 +18,7 @@ from tillroll import functions as tf
 from tillroll.operators import binning
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.ranking import global_row_number
+from tillroll.operators.scalars import attach_one_row
 
 
 def snapshot(df: DataFrame, scope: str = "identified") -> DataFrame:
@@ -39,8 +40,7 @@ def rfm_metrics(df: DataFrame, snapshot_scope: str = "identified") -> DataFrame:
                          .agg(F.max("InvoiceDate").alias("_last"),
                               F.count_distinct("InvoiceNo").alias("Frequency"),
                               tf.money_sum("TotalAmount").alias("Monetary")))
-    snap = F.broadcast(snapshot(df, snapshot_scope))
-    return (per_customer.crossJoin(snap)
+    return (attach_one_row(per_customer, snapshot(df, snapshot_scope))
             .select("CustomerID", tf.elapsed_days("_last", "_snapshot").alias("Recency"),
                     "Frequency", "Monetary"))
 
@@ -49,8 +49,7 @@ def rfm_scores_quintile(rfm: DataFrame) -> DataFrame:
     """W4/W5 + P27/P29/P30: R (5 = most recent), F (quintile of the
     frequency rank, ties in CustomerID order), M; score code; segment."""
     ranked = global_row_number(rfm, [F.asc("Frequency"), F.asc("CustomerID")], "_frank")
-    n = F.broadcast(rfm.agg(F.count(F.lit(1)).alias("_n")))
-    s = (ranked.crossJoin(n)
+    s = (attach_one_row(ranked, rfm.agg(F.count(F.lit(1)).alias("_n")))
                .transform(lambda d: binning.qcut_rank(d, "_frank", "_n", 5, "F_Score"))
                .transform(lambda d: binning.qcut_strict(d, "Recency", 5, "_rbin", method="map"))
                .transform(lambda d: binning.qcut_strict(d, "Monetary", 5, "M_Score"))

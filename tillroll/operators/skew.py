@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.scalars import attach_one_row
+
 HOT_FRACTION = 1e-4  # at most 10,000 hot keys are broadcast
 
 
@@ -31,7 +33,7 @@ def join_back(lines: DataFrame, per_key: DataFrame, key: str, count_col: str,
     a null key never match and keep null values, as in a left join.
     """
     total = per_key.agg(F.sum(count_col).alias("_total"))
-    hot = (per_key.crossJoin(F.broadcast(total))
+    hot = (attach_one_row(per_key, total)
                   .where(F.col(count_col) > F.col("_total") * F.lit(fraction))
                   .drop("_total", count_col))
     hot_keys = hot.select(key)
