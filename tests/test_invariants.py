@@ -104,3 +104,13 @@ def test_global_row_number_reuses_one_range_exchange(spark):
     assert sorted(x.rn for x in r.collect()) == list(range(1, 102))
     final = r._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
     assert "ReusedExchange" in final and "rangepartitioning" in final
+
+
+def test_attach_one_row_rejects_unbounded_relations(spark):
+    import pytest
+    from tillroll.operators.scalars import attach_one_row
+    df = spark.range(10)
+    one = df.agg(F.max("id").alias("m"))
+    assert attach_one_row(df, one).count() == 10
+    with pytest.raises(ValueError, match="at most one row"):
+        attach_one_row(df, df.select(F.col("id").alias("x")))
