@@ -56,3 +56,17 @@ def test_dashboard_scores_equal_pandas(spark, vals, method):
         want = (pd.qcut(s, 5, labels=False, duplicates="drop") + 1).tolist()
     got = bins_of(binning.score_dashboard(frame(spark, vals), "x", 5, "s", method=method), "s")
     assert got == want
+
+
+def test_approx_edges_close_to_exact(spark):
+    import random
+    random.seed(3)
+    vals = [random.lognormvariate(3, 1) for _ in range(5000)]
+    df = frame(spark, vals)
+    exact = binning._edges(df, "x", 5, "e", "distributed").first()[0]
+    approx = binning._edges(df, "x", 5, "e", "approx").first()[0]
+    s = sorted(vals)
+    for a, b in zip(exact, approx):
+        # rank of the approximate edge within 1 % of the exact edge's rank
+        ra = sum(v <= a for v in s); rb = sum(v <= b for v in s)
+        assert abs(ra - rb) <= 0.01 * len(s)

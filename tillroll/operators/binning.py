@@ -28,10 +28,16 @@ def _edges(df: DataFrame, col: str, q: int, name: str, method: str = "distribute
     ``method="distributed"`` (default) never merges a value map in one task:
     use it when distinct values grow with the data (revenue per customer,
     CLV).  ``method="map"`` is the single ``percentile`` aggregate, right for
-    columns with a bounded domain (days of recency, invoice counts)."""
+    columns with a bounded domain (days of recency, invoice counts).
+    ``method="approx"`` trades exactness for a fixed-size sketch."""
     probs = quantile_probs(q)
     if method == "map":
         return df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).alias(name))
+    if method == "approx":
+        # Opt-in: Greenwald-Khanna sketch, bounded memory, rank error about
+        # 1/accuracy; edges are observed values, not interpolated ones.
+        return df.agg(F.percentile_approx(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs]),
+                                          F.lit(100_000)).alias(name))
     return exact_quantiles(df, col, probs, name)
 
 
