@@ -70,20 +70,31 @@ def running_total(df: DataFrame, order: str, weight: str, out: str = "_cum",
                  .drop("_pid", "_local", "_off"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], name: str = "q") -> DataFrame:
+MAP_LIMIT = 1_000_000  # distinct values up to which one task may merge the value map
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], name: str = "q",
+                    map_limit: int = MAP_LIMIT) -> DataFrame:
     """One row with an array of exact, linearly interpolated quantiles of
     ``col`` (nulls ignored), for columns whose distinct values grow with the
     data (per-customer revenue, CLV, ids).
 
-    Rows collapse to (value, count) first (map-side), the running count is
-    built over a range-partitioned sort, and the values at the needed ranks
-    are picked with a broadcast range join against a table of at most
-    2 x len(probs) ranks.  Nothing is merged in a single task, unlike the
-    ``percentile`` aggregate, whose value map is merged in one task.
+    Rows collapse to (value, count) first (map-side).  When there are at
+    most ``map_limit`` distinct values (checked with one count), the weighted
+    ``percentile`` aggregate finishes the job: its value map, merged in one
+    task, is then provably small.  Beyond that, the running count is built
+    over a range-partitioned sort and the values at the needed ranks are
+    picked with a broadcast range join against a table of at most
+    2 x len(probs) ranks, so nothing is merged in a single task.
+    ``map_limit=0`` always takes the distributed path.
     """
     vc = (df.where(F.col(col).isNotNull())
             .groupBy(F.col(col).cast("double").alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
+    if map_limit and vc.count() <= map_limit:
+        # Checked size: at most ``map_limit`` distinct values, so the single
+        # ``percentile`` aggregate (one value map merged in one task) is small.
+        return vc.agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c")).alias(name))
     cum = running_total(vc, "_v", "_c", "_cum")
     total = vc.agg(F.sum("_c").alias("_n"))
     need = (total.select(F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"), "_n")
