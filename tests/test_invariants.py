@@ -49,7 +49,7 @@ def test_pair_lift_symmetric(lines):
 
 def test_global_row_number_equals_window_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") % 37).alias("k"), F.col("id").alias("u"))
-    ours = ranking.global_row_number(df, ["k", "u"], "rn", num_partitions=7)
+    ours = ranking.global_row_number(df, ["k", "u"], "rn", num_partitions=7, window_limit=0)
     ref = df.withColumn("rn2", F.row_number().over(Window.orderBy("k", "u")))
     bad = ours.join(ref, ["k", "u"]).where("rn <> rn2").count()
     assert bad == 0 and ours.count() == 5000
@@ -72,7 +72,7 @@ def test_global_row_number_with_hot_key(spark):
     # a third of the rows share one sort value: ranks stay 1..n and contiguous
     df = spark.range(0, 6000).select(
         F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 11).alias("k"), F.col("id").alias("u"))
-    ours = ranking.global_row_number(df, ["k", "u"], "rn", num_partitions=8)
+    ours = ranking.global_row_number(df, ["k", "u"], "rn", num_partitions=8, window_limit=0)
     ref = df.withColumn("rn2", F.row_number().over(Window.orderBy("k", "u")))
     assert ours.join(ref, ["k", "u"]).where("rn <> rn2").count() == 0
 
@@ -100,7 +100,7 @@ def test_approx_distinct_profile_close_to_exact(lines):
 def test_global_row_number_reuses_one_range_exchange(spark):
     df = spark.range(0, 3000).select((F.col("id") % 101).alias("k"), F.col("id").alias("u"))
     df = df.groupBy("k").agg(F.count(F.lit(1)).alias("c"))  # shuffled upstream: row order not fixed
-    r = ranking.global_row_number(df, ["c", "k"], "rn", num_partitions=5)
+    r = ranking.global_row_number(df, ["c", "k"], "rn", num_partitions=5, window_limit=0)
     assert sorted(x.rn for x in r.collect()) == list(range(1, 102))
     final = r._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
     assert "ReusedExchange" in final and "rangepartitioning" in final
@@ -114,3 +114,10 @@ def test_attach_one_row_rejects_unbounded_relations(spark):
     assert attach_one_row(df, one).count() == 10
     with pytest.raises(ValueError, match="at most one row"):
         attach_one_row(df, df.select(F.col("id").alias("x")))
+
+
+def test_global_row_number_paths_agree(spark):
+    df = spark.range(0, 2000).select((F.col("id") % 13).alias("k"), F.col("id").alias("u"))
+    a = ranking.global_row_number(df, ["k", "u"], "rn", window_limit=0)
+    b = ranking.global_row_number(df, ["k", "u"], "rn")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

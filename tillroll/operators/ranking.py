@@ -17,19 +17,28 @@ from pyspark.sql import functions as F
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
 
 
+WINDOW_LIMIT = 1_000_000  # rows up to which one task may number a table
+
+
 def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, window_limit: int = WINDOW_LIMIT) -> DataFrame:
     """Add a 1-based row number over a total order given by ``order``.
 
     ``order`` should be a total order (end with a unique key) when the numbers
     must be reproducible.
 
+    Tables of at most ``window_limit`` rows (checked with one count) are
+    numbered by a plain window; ``window_limit=0`` forces the distributed path.
     The per-partition counts and the rows read the same range exchange (Spark
     reuses the identical exchange, ``spark.sql.exchange.reuse``, on by
     default), so counts and positions always describe the same partitions.
     A lost executor does not break this: the exchange's bounds are fixed
     once, and rows are sorted by a total order inside each partition.
     """
+    if window_limit and df.count() <= window_limit:
+        # Checked size: a table of at most ``window_limit`` rows may be
+        # numbered by one task with a plain window.
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order)
