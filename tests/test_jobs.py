@@ -25,6 +25,8 @@ def test_cleaning_job_writes_table_and_report(spark, sf_small):
     report = json.loads(open(os.path.join(rep, files[0])).readline())
     assert report["initial_rows"] == 6017 and report["final_rows"] == 5625
     assert report["unique_customers"] == 112 and report["countries"] == 25
+    assert report["missing_data"]["Description"] == 32 and report["missing_data"]["CustomerID"] == 1481
+    assert report["data_types"]["InvoiceDate"] == "timestamp_ntz" and report["data_types"]["Quantity"] == "bigint"
 
 
 def test_reports_build_and_run(spark, sf_small):

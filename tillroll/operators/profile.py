@@ -158,6 +158,16 @@ def quality_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
         "date_min", "date_max")
 
 
+def cleaning_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The quality report plus the raw profile the original stores with
+    it: ``missing_data`` (column -> null count) and ``data_types`` (column ->
+    type), as map columns of the one report row."""
+    nulls = profile_nulls(raw).agg(
+        F.map_from_entries(F.collect_list(F.struct("column_name", "null_count"))).alias("missing_data"))
+    types = F.create_map(*[x for name, t in profile_types(raw) for x in (F.lit(name), F.lit(t))])
+    return attach_one_row(quality_report(raw, cleaned), nulls).withColumn("data_types", types)
+
+
 def write_report_json(report: DataFrame, path: str) -> None:
     """S5 sink: the one-row report as JSON (one small file)."""
     report.coalesce(1).write.mode("overwrite").json(path)

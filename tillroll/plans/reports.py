@@ -34,7 +34,7 @@ def cleaning_job(raw: DataFrame, out_path: str, report_path: str | None = None,
                   out_path, tuple(partition_by))
     cleaned = spark.read.parquet(out_path)
     if report_path:
-        profile.write_report_json(profile.quality_report(raw, cleaned.select(*CLEANED_COLUMNS)), report_path)
+        profile.write_report_json(profile.cleaning_report(raw, cleaned.select(*CLEANED_COLUMNS)), report_path)
     return cleaned
 
 
