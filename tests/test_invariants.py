@@ -121,3 +121,16 @@ def test_global_row_number_paths_agree(spark):
     a = ranking.global_row_number(df, ["k", "u"], "rn", window_limit=0)
     b = ranking.global_row_number(df, ["k", "u"], "rn")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_invoice_features_equal_window_brute_force(lines):
+    w = Window.partitionBy("InvoiceNo")
+    brute = lines.select(
+        "InvoiceNo",
+        (F.sum(F.round(F.col("TotalAmount") * 10000).cast("bigint")).over(w) / 10000.0).alias("tv"),
+        F.sum("Quantity").over(w).alias("ipt"),
+        F.size(F.collect_set("StockCode").over(w)).cast("bigint").alias("upt")).distinct()
+    ours = lines.select("InvoiceNo", F.col("TransactionValue").alias("tv"),
+                        F.col("ItemsPerTransaction").alias("ipt"),
+                        F.col("UniqueProductsPerTransaction").alias("upt")).distinct()
+    assert ours.exceptAll(brute).count() == 0 and brute.exceptAll(ours).count() == 0

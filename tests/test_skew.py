@@ -49,3 +49,11 @@ def test_hot_customer_segments(spark):
     seg = rfm.attach_segments(df)
     assert seg.count() == df.count()
     assert seg.where("CustomerID = 7").select("Customer_Segment").distinct().count() == 1
+
+
+def test_hot_customer_joined_map_side(spark):
+    df = hot_lines(spark)
+    seg = rfm.attach_segments(df)
+    seg.collect()
+    plan = seg._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1]
+    assert "BroadcastHashJoin" in plan
