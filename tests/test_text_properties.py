@@ -56,3 +56,24 @@ def test_title_case_like_python(spark, values):
                 min_size=1, max_size=40))
 def test_categorize_like_python(spark, values):
     assert _run(spark, values, tf.categorize) == [py_category(v) for v in values]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.integers(min_value=-10**15, max_value=10**15), min_size=1, max_size=40),
+       st.integers(min_value=1, max_value=5000))
+def test_half_even_cents_like_decimal(spark, units, count):
+    from decimal import ROUND_HALF_EVEN, Decimal
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u bigint")
+    got = [r.o for r in df.select("i", tf.money_round2("u", count).alias("o")).orderBy("i").collect()]
+    want = [float((Decimal(u) / Decimal(10000 * count)).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN))
+            for u in units]
+    assert got == want
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.datetimes(), st.datetimes()), min_size=1, max_size=40))
+def test_elapsed_days_like_timedelta(spark, pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
+                               "i int, a timestamp_ntz, b timestamp_ntz")
+    got = [r.o for r in df.select("i", tf.elapsed_days("a", "b").alias("o")).orderBy("i").collect()]
+    assert got == [(b - a).days for a, b in pairs]

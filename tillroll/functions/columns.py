@@ -132,8 +132,12 @@ def month_name(ts: str | Column) -> Column:
 
 
 def elapsed_days(start: str | Column, end: str | Column) -> Column:
-    """Whole 24-hour blocks from start to end (not calendar-date changes)."""
-    return F.extract(F.lit("DAY"), col_(end) - col_(start)).cast("bigint")
+    """Whole 24-hour blocks from start to end, floored like Python's
+    ``timedelta.days`` (not calendar-date changes; -1 hour gives -1)."""
+    iv = col_(end) - col_(start)
+    d = F.extract(F.lit("DAY"), iv)  # truncated toward zero
+    floored = F.when(iv < F.make_dt_interval(d), d - 1).otherwise(d)
+    return floored.cast("bigint")
 
 
 def month_start(ts: str | Column) -> Column:
