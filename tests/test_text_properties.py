@@ -1,6 +1,7 @@
 """Text functions equal the Python string semantics of the original
 (str.strip / upper / re.sub with Python's \\w and \\s / title / in)."""
 
+import datetime as dt
 import re
 
 from hypothesis import given, settings
@@ -77,3 +78,31 @@ def test_elapsed_days_like_timedelta(spark, pairs):
                                "i int, a timestamp_ntz, b timestamp_ntz")
     got = [r.o for r in df.select("i", tf.elapsed_days("a", "b").alias("o")).orderBy("i").collect()]
     assert got == [(b - a).days for a, b in pairs]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.datetimes(min_value=dt.datetime(1900, 1, 1), max_value=dt.datetime(2100, 12, 31)),
+                min_size=2, max_size=40))
+def test_calendar_features_like_python(spark, stamps):
+    import calendar
+    from pyspark.sql import functions as F
+    from tillroll.operators.cleaning import calendar_labels, time_features
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(stamps)], "i int, InvoiceDate timestamp_ntz")
+    out = calendar_labels(time_features(df)).withColumn("Bucket", tf.month_start("InvoiceDate"))
+    out = out.withColumn("FromFirst", tf.months_between_buckets("Bucket", F.lit(stamps[0].date().replace(day=1))))
+    rows = out.orderBy("i").collect()
+
+    def season(m):
+        return "Winter" if m in (12, 1, 2) else "Spring" if m in (3, 4, 5) else "Summer" if m in (6, 7, 8) else "Autumn"
+
+    def period(h):
+        return "Morning" if 6 <= h < 12 else "Afternoon" if 12 <= h < 18 else "Evening" if 18 <= h < 22 else "Night"
+
+    first = stamps[0]
+    for r, t in zip(rows, stamps):
+        assert (r.Year, r.Month, r.Day, r.Hour, r.DayOfWeek) == (t.year, t.month, t.day, t.hour, t.weekday())
+        assert r.DayName == calendar.day_name[t.weekday()] and r.MonthName == calendar.month_name[t.month]
+        assert r.IsWeekend == (t.weekday() >= 5) and r.Season == season(t.month)
+        assert r.BusinessPeriod == period(t.hour)
+        assert r.Bucket == t.date().replace(day=1)
+        assert r.FromFirst == (t.year - first.year) * 12 + (t.month - first.month)
