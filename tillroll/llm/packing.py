@@ -10,10 +10,10 @@ a piece fits by its lowest set bit at or above the piece's length.  No bin
 fits: a new one opens; if that makes more than ``open_bins``, the fullest (the
 bitset's lowest bit) closes.  A full bin closes at once.
 
-Every task packs its own share of the pieces.  What stays open at the end of a
-task is packed again as whole bins by fewer tasks, round by round, until one
-task with at most ``open_bins`` bins from each of ``FAN_IN`` tasks is left; so
-no task ever holds more than a bounded number of bins.
+Every task packs its own share of at most about ``TASK_PIECES`` pieces, long ones
+first.  Bins that are at most half full at the end of a task (those which could
+still meet) are packed again as wholes by a ``FAN_IN``-th of the tasks, round by
+round; no task ever holds more than a bounded number of bins.
 
 Defined results: null text packs as the empty text (its end id alone).  Rows
 may repeat: each row is packed for itself and equal ids are told apart by no
@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.bpe import BpeModel, Words, chunks
-from tillroll.llm.common import Out, partitions, rows, written
+from tillroll.llm.common import Out, rows, written
 
 CAPACITY = 2048
-OPEN_BINS = 512
+OPEN_BINS = 8192
+TASK_PIECES = 16_384
 FAN_IN = 16
 
 
@@ -75,7 +76,7 @@ class OpenBins:
 
 def pack(pieces: Iterable[tuple[object, int]], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> Iterator[tuple[object, int, int]]:
     """Bins for (piece, length): yields (piece, bin, offset) as pieces come and
-    at the end (None, bin, used) for each bin that was still open."""
+    at the end (None, bin, used) for each open bin that is half full at most."""
     bins, made = OpenBins(capacity, open_bins), 0
     for piece, length in pieces:
         found = bins.take(length)
@@ -85,7 +86,8 @@ def pack(pieces: Iterable[tuple[object, int]], capacity: int = CAPACITY, open_bi
         yield piece, number, capacity - free
         bins.put(number, free - length)
     for number, free in bins.rest():
-        yield None, number, capacity - free
+        if 2 * free >= capacity:
+            yield None, number, capacity - free
 
 
 _TOKENIZERS: dict[str, tuple] = {}
@@ -178,10 +180,11 @@ def _again(capacity: int, open_bins: int, level: int):
 def best_fit(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tasks: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
-    ``tasks`` first-round tasks (default: the shuffle partitions) take pieces
-    dealt by a hash of all their columns, so no key can be hot."""
-    n = tasks or partitions(found)
-    dealt = found.repartition(n, "doc_id", "piece").mapInArrow(
+    ``found`` should be a written table, as it is counted first.  ``tasks``
+    first-round tasks (default: one for each ``TASK_PIECES`` pieces) take pieces
+    dealt by a hash of document and piece, so no key can be hot."""
+    n = tasks or 1 + found.count() // TASK_PIECES
+    dealt = found.repartition(n, "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece").mapInArrow(
         _first(capacity, open_bins), _PIECES + ", bin string, offset long, used long")
     placed = written(dealt, "packed")
     left = placed.where("piece is null").select("bin", "used")
