@@ -1,24 +1,69 @@
-"""Corpus pipeline; its stages follow as their operators are built."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+1. ``language_id``: documents whose language can't be told go (no letters, or a
+   calibrated score below one half).
+2. ``line_dedup``: lines that an earlier document (or line) has, exactly or with
+   one character changed, go; a document that loses all its text goes.
+3. ``ngram_jaccard_join``: of documents with a 5-word-shingle similarity of 0.8 or
+   more, directly or through others, that with the smallest id stays.
+4. ``substring_dedup``: repeated lines of eight words or more go, also short ones
+   that stage 2 leaves; a document that loses all its text goes.
+5. ``best_fit_packing``: the rest is tokenized and packed into sequences.
+
+Each stage works on all that its predecessor kept and is written as Parquet.
+Null and empty texts have no language and go in stage 1.  An empty table of
+documents gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import packing
+from tillroll.llm import langid, line_dedup, ngram_join, packing, substring_dedup
+from tillroll.llm.common import ship, written
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.keep_identified(docs)
 
-import public_tokenizers
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return line_dedup.deduplicated(docs)
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring_dedup.deduplicated(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("best_fit_packing", pack_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", ngram_stage),
+    ("substring_dedup", substring_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Neither language identification nor tokenizing can be said in SQL; the stages
+#: are held against brute force in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, packing, token_counts
+from tillroll.llm import ann, bpe, embedding_dedup, langid, line_dedup, ngram_join, packing, substring_dedup, token_counts, warc
 from tillroll.llm.common import ship
 
 
@@ -20,6 +21,30 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_spans(_table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,6 +53,95 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op8_best_fit_packing, op9_token_counts)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe_round_trip, op2_warc_normaliser, op3_embedding_dedup, op4_substring_dedup, op5_ngram_join, op6_language_id,
+    op7_nearest_neighbours, op8_best_fit_packing, op9_token_counts, op10_line_dedup)}
+
+_LINES = r"""
+cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS line FROM cut),
+lines AS (
+  SELECT doc_id, line, l, trim(regexp_replace(lower(l), '\s+', ' ', 'g')) AS norm,
+         CAST(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(l) - 1 AS BIGINT) AS start_at
+  FROM raw)"""
+
+_VECTORS = """
+vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0)"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc_normaliser": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, strlen(h) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS best,
+         array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+           (CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) // CAST(pow(32, 3 - k % 4) AS BIGINT)) % 32) AS BIGINT), 1)), '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM d""",
+    "op3_embedding_dedup": f"""
+WITH RECURSIVE {_VECTORS},
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(v, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.v),
+comp AS (SELECT v, min(c) AS c FROM reach GROUP BY v),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(deg.n, 0) AS n_links, comp.c AS component_id, e.vec_id = comp.c AS kept
+FROM embeddings e JOIN comp ON comp.v = e.vec_id LEFT JOIN deg ON deg.a = e.vec_id""",
+    "op4_substring_dedup": f"""
+WITH {_LINES},
+units AS (
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(line) OVER w AS kept_line, first_value(start_at) OVER w AS kept_start
+  FROM lines WHERE len(string_split(norm, ' ')) >= 8 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, line))
+SELECT doc_id, line, start_at AS "start", start_at + length(l) AS "end", kept_doc_id, kept_line, kept_start
+FROM units WHERE (doc_id, line) <> (kept_doc_id, kept_line)""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach(v, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.v),
+comp AS (SELECT v, min(c) AS c FROM reach GROUP BY v)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, comp.c AS component_id
+FROM documents d JOIN comp ON comp.v = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id""",
+    "op7_nearest_neighbours": f"""
+WITH {_VECTORS},
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])),
+           lambda a, b: a + b)) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM near QUALIFY rank <= 10""",
+    "op10_line_dedup": f"""
+WITH {_LINES},
+units AS (SELECT *, length(norm) AS n FROM lines WHERE length(norm) >= 30),
+firsts AS (SELECT norm, n, min((doc_id, line, start_at)) AS first FROM units GROUP BY norm, n),
+halves AS (
+  SELECT norm, first, m, side, CASE side WHEN 0 THEN substr(norm, 1, m // 2) ELSE substr(norm, n - (m - m // 2) + 1) END AS half
+  FROM (SELECT norm, n, first, unnest([n, n - 1]) AS m FROM firsts) CROSS JOIN (VALUES (0), (1)) s(side)),
+near AS (
+  SELECT DISTINCT a.norm, b.first FROM halves a JOIN halves b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.norm <> b.norm
+  WHERE abs(length(a.norm) - length(b.norm)) <= 1 AND levenshtein(a.norm, b.norm) <= 1),
+best AS (SELECT norm, min(first) AS kept FROM (SELECT norm, first FROM firsts UNION ALL SELECT norm, first FROM near) GROUP BY norm)
+SELECT doc_id, line, start_at AS "start", start_at + length(l) AS "end", kept[1] AS kept_doc_id, kept[2] AS kept_line, kept[3] AS kept_start
+FROM units JOIN best USING (norm) WHERE (doc_id, line, start_at) > kept""",
+}
