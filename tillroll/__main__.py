@@ -6,7 +6,8 @@
     python -m tillroll dashboard CLEANED_DIR OUT_DIR [--from D] [--to D]
                       [--country C ...] [--category C ...] [--segment S]
 
-Every result table is written as Parquet under OUT_DIR/<table name>.  The
+Every result table is written as Parquet under OUT_DIR/<table name>; the
+dashboard's five-line summary also as CSV under OUT_DIR/summary_csv.  The
 session comes from the environment (spark-submit / cluster defaults); only
 settings that are unset get the library's defaults.
 """
@@ -30,6 +31,7 @@ def _write_all(tables: dict, out_dir: str) -> list[str]:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
+    from tillroll.operators.view import write_summary_csv
     from tillroll.plans import reports
     from tillroll.session import get_session
     from tillroll.sources.retail import scan_cleaned, scan_raw_csv
@@ -65,8 +67,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     if a.cmd == "business":
         return _write_all(reports.business_report(cleaned, a.basket_item), a.out)
     seg = reports.segmented_lines(cleaned, os.path.join(a.out, "_segmented_lines"))
-    return _write_all(reports.dashboard_view(seg, a.date_from, a.date_to, a.country, a.category,
-                                             a.segment, a.basket_item), a.out)
+    tables = reports.dashboard_view(seg, a.date_from, a.date_to, a.country, a.category, a.segment, a.basket_item)
+    summary = os.path.join(a.out, "summary_csv")
+    write_summary_csv(tables["kpi_summary_report"], summary)
+    return _write_all(tables, a.out) + [summary]
 
 
 if __name__ == "__main__":

@@ -2,9 +2,9 @@
 
 * ``item_support``     – share of invoices containing each item.
 * ``basket_pairs``     – support / confidence / lift for pairs of the top
-  items.  Each invoice is reduced to a bit mask of the top items it holds
-  (an OR-aggregate, combined map-side, so a huge invoice costs one row);
-  pairs are then counted per distinct mask, never per invoice.
+  items.  Lines of other items are left out before the shuffle, each invoice
+  is reduced to the ranks of the top items it holds (at most ``top_n``), and
+  pairs are counted per distinct combination, never per invoice.
 * ``frequent_itemsets``– FP-growth (``pyspark.ml.fpm.FPGrowth``), itemsets
   of every length.
 * ``association_rules``– every antecedent/consequent split of every
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.scalars import attach_one_row
+from tillroll.plans.materialize import cut
 
 
 def _shl(x, n):
@@ -76,19 +77,15 @@ def basket_pairs(df: DataFrame, item_col: str = "Description", top_n: int = 20,
         [(r["item"], r["support"], i, n) for i, r in enumerate(ranked)],
         "item string, support double, rk int, _n bigint"))
     top_b = top.select("item", "rk")
-    masks = (items.join(top_b, "item")
-                  .groupBy("InvoiceNo")
-                  .agg(F.bit_or(_shl(F.lit(1).cast("bigint"), F.col("rk"))).alias("mask"))
-                  .groupBy("mask").agg(F.count(F.lit(1)).alias("invoices")))
-    # Pairs of set bits per distinct mask (at most top_n*(top_n-1)/2 each).
-    pair_list = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
-                          for a in range(top_n) for b in range(a + 1, top_n)])
-    bit = lambda m, i: _shr(m, i).bitwiseAND(F.lit(1)) == 1
-    pair_counts = (masks.select(F.explode(F.filter(pair_list, lambda p: bit(F.col("mask"), p["a"])
-                                                   & bit(F.col("mask"), p["b"]))).alias("p"),
-                                "invoices")
-                        .groupBy(F.col("p.a").alias("ra"), F.col("p.b").alias("rb"))
-                        .agg(F.sum("invoices").alias("cnt_ab")))
+    held = invoice_items(df.join(top_b.select(F.col("item").alias(item_col)), item_col, "left_semi"), item_col)
+    combos = (held.join(top_b, "item")
+                  .groupBy("InvoiceNo").agg(F.array_sort(F.collect_list("rk")).alias("rks"))
+                  .groupBy("rks").agg(F.count(F.lit(1)).alias("invoices")))
+    # Pairs per distinct combination (at most top_n*(top_n-1)/2 each).
+    pairs = F.expr("flatten(transform(rks, (a, i) -> transform(slice(rks, i + 2, size(rks)), b -> struct(a AS a, b AS b))))")
+    pair_counts = (combos.select(F.explode(pairs).alias("p"), "invoices")
+                         .groupBy(F.col("p.a").alias("ra"), F.col("p.b").alias("rb"))
+                         .agg(F.sum("invoices").alias("cnt_ab")))
     ta = top.select(F.col("rk").alias("ra"), F.col("item").alias("item_a"),
                     F.col("support").alias("support_a"), "_n")
     tb = top.select(F.col("rk").alias("rb"), F.col("item").alias("item_b"),
@@ -106,21 +103,35 @@ def basket_pairs(df: DataFrame, item_col: str = "Description", top_n: int = 20,
                .orderBy(F.desc("Lift"), "Item_A", "Item_B"))
 
 
-def transactions(df: DataFrame, item_col: str = "Description", identified_only: bool = True) -> DataFrame:
-    """One row per invoice with its distinct items (sorted array)."""
+def transactions(df: DataFrame, item_col: str = "Description", identified_only: bool = True,
+                 min_support: float = 0.0) -> DataFrame:
+    """One row per invoice with its distinct items (sorted array).  Items
+    below ``min_support`` are left out of the arrays (an invoice without any
+    other keeps an empty one), so that an array holds at most 1/min_support
+    times the mean basket, however many lines an invoice has."""
     base = identified_customers(df) if identified_only else df
-    return (base.where(F.col(item_col).isNotNull())
-                .groupBy("InvoiceNo")
-                .agg(F.array_sort(F.collect_set(item_col)).alias("items")))
+    bought = (base.where(F.col(item_col).isNotNull() & F.col("InvoiceNo").isNotNull())
+                  .select("InvoiceNo", F.col(item_col).alias("item")).distinct())
+    if min_support > 0:
+        bought = cut(bought, "basket-items")
+        invoices = bought.agg(F.count_distinct("InvoiceNo").alias("_n"))
+        counts = attach_one_row(bought.groupBy("item").agg(F.count(F.lit(1)).alias("_c")), invoices)
+        kept = counts.where(F.col("_c") / F.col("_n") >= min_support).select("item", F.lit(True).alias("_kept"))
+        bought = bought.join(kept, "item", "left")
+        item = F.when(F.col("_kept"), F.col("item"))
+    else:
+        item = F.col("item")
+    return bought.groupBy("InvoiceNo").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def frequent_itemsets(df: DataFrame, item_col: str = "Description", min_support: float = 0.01,
                       identified_only: bool = True, num_partitions: int | None = None) -> DataFrame:
     """All itemsets with support >= min_support (FP-growth).  Columns:
-    items (sorted array), itemset (comma text), length, freq, support."""
+    items (sorted array), itemset (comma text), length, freq, support.  The
+    sets are written once, as rules read them three times."""
     from pyspark.ml.fpm import FPGrowth
 
-    tx = transactions(df, item_col, identified_only)
+    tx = cut(transactions(df, item_col, identified_only, min_support), "transactions")
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
@@ -130,8 +141,8 @@ def frequent_itemsets(df: DataFrame, item_col: str = "Description", min_support:
                     (F.col("freq") / F.col("_n")).alias("support")))
     # Same inclusion test as the reference (support compared as a ratio).
     sets = sets.where(F.col("support") >= min_support)
-    return sets.select("items", F.array_join("items", ", ").alias("itemset"),
-                       F.size("items").alias("length"), "freq", "support")
+    return cut(sets.select("items", F.array_join("items", ", ").alias("itemset"),
+                           F.size("items").alias("length"), "freq", "support"), "itemsets")
 
 
 def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 0.5) -> DataFrame:
@@ -140,9 +151,15 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
     antecedent/consequent support, support, confidence, lift, leverage and
     conviction (null when confidence is 1); kept where metric >= threshold;
     lift descending."""
-    multi = itemsets.where(F.col("length") >= 2).select("items", "support", "length")
-    masks = multi.withColumn("mask", F.explode(F.sequence(
-        F.lit(1).cast("bigint"), _shl(F.lit(1).cast("bigint"), F.col("length")) - 2)))
+    # All splits of a set of k items as bit masks, made in two steps so that no
+    # row ever holds an array of more than 2**16 of them.
+    one = F.lit(1).cast("bigint")
+    low = F.least("length", F.lit(16))
+    multi = (itemsets.where(F.col("length") >= 2).select("items", "support", "length")
+             .withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("bigint"), _shl(one, F.col("length") - low) - 1)))
+             .withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), _shl(one, low) - 1))))
+    masks = (multi.withColumn("mask", _shl(F.col("_hi"), low).bitwiseOR(F.col("_lo")))
+             .where((F.col("mask") > 0) & (F.col("mask") < _shl(one, F.col("length")) - 1)))
     in_mask = lambda i: _shr(F.col("mask"), i).bitwiseAND(F.lit(1)) == 1
     split = masks.select(
         F.filter("items", lambda x, i: in_mask(i)).alias("ante"),

@@ -22,23 +22,9 @@ def quantile_probs(q: int) -> list[float]:
     return [i * step for i in range(q)] + [1.0]
 
 
-def _edges(df: DataFrame, col: str, q: int, name: str, method: str = "distributed") -> DataFrame:
-    """Exact quantile edges as a one-row table.
-
-    ``method="distributed"`` (default) never merges a value map in one task:
-    use it when distinct values grow with the data (revenue per customer,
-    CLV).  ``method="map"`` is the single ``percentile`` aggregate, right for
-    columns with a bounded domain (days of recency, invoice counts).
-    ``method="approx"`` trades exactness for a fixed-size sketch."""
-    probs = quantile_probs(q)
-    if method == "map":
-        return df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).alias(name))
-    if method == "approx":
-        # Opt-in: Greenwald-Khanna sketch, bounded memory, rank error about
-        # 1/accuracy; edges are observed values, not interpolated ones.
-        return df.agg(F.percentile_approx(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs]),
-                                          F.lit(100_000)).alias(name))
-    return exact_quantiles(df, col, probs, name)
+def _edges(df: DataFrame, col: str, q: int, name: str) -> DataFrame:
+    """Exact quantile edges as a one-row table."""
+    return exact_quantiles(df, col, quantile_probs(q), name)
 
 
 def bin_by_inner_edges(v: Column, inner: Column) -> Column:
@@ -46,14 +32,13 @@ def bin_by_inner_edges(v: Column, inner: Column) -> Column:
     return F.lit(1) + F.size(F.filter(inner, lambda e: v > e))
 
 
-def qcut_strict(df: DataFrame, col: str, q: int = 5, out: str | None = None,
-                method: str = "distributed") -> DataFrame:
+def qcut_strict(df: DataFrame, col: str, q: int = 5, out: str | None = None) -> DataFrame:
     """Quantile bins 1..q; repeated edges raise an error, as in the reference.
 
     The q+1 edges are computed first (one small job) and applied as
     literals, so the binning itself is a map-side projection."""
     out = out or f"{col}_bin"
-    edges = _edges(df, col, q, "_e", method).first()[0]
+    edges = _edges(df, col, q, "_e").first()[0]
     if edges is None or any(e is None for e in edges):  # no rows
         return df.withColumn(out, F.lit(None).cast("int"))
     if len(set(edges)) < len(edges):
@@ -73,8 +58,7 @@ def qcut_rank(df: DataFrame, rank_col: str, n_col: str, q: int = 5, out: str | N
     return df.withColumn(out, (F.lit(1) + cnt).cast("int"))
 
 
-def score_dashboard(df: DataFrame, col: str, q: int = 5, out: str | None = None,
-                    method: str = "distributed") -> DataFrame:
+def score_dashboard(df: DataFrame, col: str, q: int = 5, out: str | None = None) -> DataFrame:
     """With at least q distinct values, quantile bins with repeated
     edges dropped (possibly fewer than q bins); otherwise k equal-width bins
     over [min, max] where k is the number of distinct values.  Scores 1..k.
@@ -90,7 +74,7 @@ def score_dashboard(df: DataFrame, col: str, q: int = 5, out: str | None = None,
         step = (mx - mn) / k
         inner = [i * step + mn for i in range(1, k)]
     else:
-        edges = _edges(df, col, q, "_e", method).first()[0]
+        edges = _edges(df, col, q, "_e").first()[0]
         uniq = sorted(set(edges))
         inner = uniq[1:-1]
     inner_col = F.array(*[F.lit(float(e)) for e in inner]) if inner else F.array().cast("array<double>")

@@ -2,7 +2,7 @@
 
 Each function is ``DataFrame -> DataFrame`` so a job is a ``.transform`` chain
 that Catalyst fuses into scan-filter-project stages.  The two IQR fences are
-the exception: each is a small aggregate job (one row, bounded value domain)
+the exception: each is measured by a job of its own (exact quantiles, one row)
 whose result is applied as literals.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.sources.schemas import CLEANED_COLUMNS, RAW_COLUMNS
+from tillroll.operators.ranking import exact_quantiles
+from tillroll.plans.materialize import cut
 from tillroll.operators.scalars import attach_one_row
 
 
@@ -47,19 +49,9 @@ def identified_customers(df: DataFrame) -> DataFrame:
     return df.where(F.col("CustomerID").isNotNull())
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float], name: str = "q") -> DataFrame:
-    """One-row DataFrame with an array of exact, linearly interpolated quantiles.
-
-    ``percentile`` keeps a value->count map per task and merges it in one
-    task, so it is used for columns with a bounded domain (quantity, price);
-    per-customer metrics use ``ranking.exact_quantiles``.  One result row.
-    """
-    return df.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs])).alias(name))
-
-
 def iqr_fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """One row (lo, hi) = (Q1 - k*IQR, Q3 + k*IQR)."""
-    q = quantiles(df, col, [0.25, 0.75])
+    q = exact_quantiles(df, col, [0.25, 0.75])
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return q.select((q1 - F.lit(k) * (q3 - q1)).alias("_lo"), (q3 + F.lit(k) * (q3 - q1)).alias("_hi"))
 
@@ -100,10 +92,13 @@ def parse_invoice_ts(df: DataFrame, col: str = "InvoiceDate", fmt: str = "M/d/yy
     dtype = dict(df.dtypes)[col]
     if dtype != "string":
         return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
-    parsed = F.to_timestamp_ntz(F.col(col), F.lit(fmt))
-    if lenient:
-        parsed = F.try_to_timestamp(F.col(col), F.lit(fmt)).cast("timestamp_ntz")
-    return df.withColumn(col, parsed)
+    if not lenient:
+        return df.withColumn(col, F.to_timestamp_ntz(F.col(col), F.lit(fmt)))
+    # Bad values become null.  The text is read at offset zero and counted from
+    # the epoch, so that the session's time zone has no part in it.
+    instant = F.try_to_timestamp(F.concat(F.col(col), F.lit(" +00:00")), F.lit(fmt + " xxx"))
+    return (df.withColumn("_us", F.unix_micros(instant))
+              .withColumn(col, F.expr("timestampadd(MICROSECOND, _us, TIMESTAMP_NTZ'1970-01-01 00:00:00')")).drop("_us"))
 
 
 def time_features(df: DataFrame, ts: str = "InvoiceDate") -> DataFrame:
@@ -175,26 +170,31 @@ def invoice_features(df: DataFrame) -> DataFrame:
                           F.sum("Quantity").alias("ItemsPerTransaction"),
                           F.count_distinct("StockCode").alias("UniqueProductsPerTransaction"),
                           F.count(F.lit(1)).alias("_lines")))
-    return join_back(df, per_invoice, "InvoiceNo", "_lines")
+    # Lines without an invoice number match nothing and skip the join, so that
+    # they never meet in one task.  The small per-invoice table is written, as
+    # both parts of the join read it.
+    known = join_back(df.where(F.col("InvoiceNo").isNotNull()), cut(per_invoice, "per-invoice"), "InvoiceNo", "_lines")
+    return known.unionByName(df.where(F.col("InvoiceNo").isNull()), allowMissingColumns=True)
 
 
 # ------------------------------------------------------------------- job ---
 
 def clean_sales(raw: DataFrame, keep_extra: bool = True, drop_duplicates: bool = False) -> DataFrame:
-    """The full cleaning job as one lazy plan (24 reference columns, plus
+    """The full cleaning job (24 reference columns, plus
     any extra item columns of the input when ``keep_extra``)."""
     extra = [c for c in raw.columns if c not in RAW_COLUMNS] if keep_extra else []
     # Row filters and the per-invoice join run on narrow lines first; the
     # text and calendar projections (the costly part per row) come after, so
     # they run once per surviving line.  Row-wise the result is the same as
     # the reference's step order (no step reads a column a later one changes).
+    # The fenced lines are written once, as the features read them three times.
     df = (raw.transform(drop_cancelled)
              .transform(parse_invoice_ts)
              .transform(drop_missing_description)
              .transform(positive_amounts)
              .transform(line_total)
              .transform(sequential_iqr)
-             .transform(invoice_features)
+             .transform(lambda d: invoice_features(cut(d, "fenced-lines")))
              .transform(time_features)
              .transform(standardize_description)
              .transform(categorize_product)

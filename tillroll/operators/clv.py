@@ -10,6 +10,7 @@ from tillroll.operators import binning
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.ranking import exact_quantiles
 from tillroll.operators.scalars import attach_one_row
+from tillroll.plans.materialize import cut
 
 
 def clv(df: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def clv(df: DataFrame) -> DataFrame:
         tf.money_round2("_units", "_lines").alias("AvgOrderValue"),
         "Frequency", "FirstPurchase", "LastPurchase",
         F.coalesce(tf.elapsed_days("FirstPurchase", "LastPurchase"), F.lit(0)).alias("LifespanDays"))
-    base = base.withColumn("PurchaseFrequency", F.col("Frequency") / (F.col("LifespanDays") + 1))
+    base = cut(base.withColumn("PurchaseFrequency", F.col("Frequency") / (F.col("LifespanDays") + 1)), "clv-base")
     # One-row mean of the positive lifespans, broadcast to the customers.
     avg_life = (base.agg(
         (F.sum(F.when(F.col("LifespanDays") > 0, F.col("LifespanDays")))

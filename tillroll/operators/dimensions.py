@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.operators.ranking import global_row_number
 from tillroll.operators.scalars import attach_one_row
+from tillroll.plans.materialize import cut
 
 REV_UNITS = "_rev_units"
 
@@ -100,17 +101,23 @@ def dow_sales(df: DataFrame) -> DataFrame:
 def temporal_peaks(df: DataFrame) -> DataFrame:
     """Best season, weekday, hour and business period by revenue.
     Ties go to the first key (alphabetical; weekday order for days)."""
-    def best(key: str, order_key: F.Column, alias: str) -> F.Column:
-        return F.min_by(F.col(key), F.struct((-F.col(REV_UNITS)).alias("n"), order_key)).alias(alias)
+    # One scan: at most 4 x 7 x 24 x 4 groups hold all four keys.
+    keys = ("Season", "DayOfWeek", "DayName", "Hour", "BusinessPeriod")
+    g = df.groupBy(*keys).agg(_rev_units())
+    parts = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("part"), F.col(key).cast("string").alias("value"), order.cast("string").alias("place"))
+        for name, key, order in (("best_season", "Season", F.col("Season")), ("best_day", "DayName", F.col("DayOfWeek")),
+                                 ("peak_hour", "Hour", F.lpad(F.col("Hour").cast("string"), 2, "0")),
+                                 ("best_period", "BusinessPeriod", F.col("BusinessPeriod")))]))
+    sums = (g.select(parts.alias("p"), REV_UNITS).where(F.col("p.value").isNotNull()).groupBy("p")
+             .agg(F.sum(REV_UNITS).alias(REV_UNITS)).select("p.*", REV_UNITS))
 
-    s = df.groupBy("Season").agg(_rev_units()).agg(best("Season", F.col("Season"), "best_season"))
-    d = (df.groupBy("DayOfWeek", "DayName").agg(_rev_units())
-           .agg(best("DayName", F.col("DayOfWeek"), "best_day")))
-    h = df.groupBy("Hour").agg(_rev_units()).agg(best("Hour", F.col("Hour"), "peak_hour"))
-    p = (df.groupBy("BusinessPeriod").agg(_rev_units())
-           .agg(best("BusinessPeriod", F.col("BusinessPeriod"), "best_period")))
-    # Four one-row aggregates side by side.
-    return attach_one_row(attach_one_row(attach_one_row(s, d), h), p)
+    def best(name: str) -> F.Column:
+        mine = F.col("part") == name
+        return F.min_by(F.when(mine, F.col("value")), F.when(mine, F.struct((-F.col(REV_UNITS)).alias("n"), "place")))
+
+    return sums.agg(best("best_season").alias("best_season"), best("best_day").alias("best_day"),
+                    best("peak_hour").cast("int").alias("peak_hour"), best("best_period").alias("best_period"))
 
 
 # -------------------------------------------------------------- product ---
@@ -118,7 +125,8 @@ def temporal_peaks(df: DataFrame) -> DataFrame:
 def product_metrics(df: DataFrame) -> DataFrame:
     """Per (StockCode, Description) quantity, revenue, invoices,
     customers, revenue per invoice and quantity per invoice."""
-    g = (df.groupBy("StockCode", "Description")
+    g = (df.where(F.col("StockCode").isNotNull() & F.col("Description").isNotNull())
+           .groupBy("StockCode", "Description")
            .agg(F.sum("Quantity").alias("Quantity"), _rev_units(),
                 F.count_distinct("InvoiceNo").alias("TransactionCount"),
                 F.count_distinct("CustomerID").alias("UniqueCustomers")))
@@ -147,13 +155,22 @@ def category_performance(df: DataFrame) -> DataFrame:
              .orderBy(F.desc("TotalAmount"), "ProductCategory"))
 
 
+def _product_revenue(df: DataFrame) -> DataFrame:
+    """Revenue units per product; rows without a full key are left out."""
+    return (df.where(F.col("StockCode").isNotNull() & F.col("Description").isNotNull())
+              .groupBy("StockCode", "Description").agg(_rev_units()))
+
+
 def pareto_share(df: DataFrame, share: float = 0.2) -> DataFrame:
     """Revenue share of the top int(share * n) products.
 
     Products are numbered with a distributed global row number (revenue
     descending, key ascending), not a single-partition window.
     """
-    g = df.groupBy("StockCode", "Description").agg(_rev_units())
+    return _pareto(_product_revenue(df), share)
+
+
+def _pareto(g: DataFrame, share: float) -> DataFrame:
     ranked = global_row_number(g, [F.desc(REV_UNITS), F.asc("StockCode"), F.asc("Description")], "_rn")
     n = F.count(F.lit(1))
     k = F.floor(n * F.lit(share)).cast("bigint")
@@ -172,14 +189,16 @@ def pareto_share(df: DataFrame, share: float = 0.2) -> DataFrame:
 def product_insights(df: DataFrame) -> DataFrame:
     """Number of products, top-20% share, leading category and the
     highest-revenue product (first 50 characters)."""
-    cat = (df.groupBy("ProductCategory").agg(_rev_units())
-             .agg(F.min_by("ProductCategory", F.struct((-F.col(REV_UNITS)).alias("n"),
-                                                       F.col("ProductCategory"))).alias("top_category")))
-    prod = (df.groupBy("StockCode", "Description").agg(_rev_units())
-              .agg(F.min_by(F.col("Description"),
-                            F.struct((-F.col(REV_UNITS)).alias("n"), "StockCode", "Description"))
-                   .alias("_d")))
-    head = attach_one_row(pareto_share(df).select("total_products", "top_share_pct"), cat)
+    # One pass over the lines: a product belongs to one category, so the
+    # categories are summed from the written product table.
+    by = cut(df.groupBy("StockCode", "Description", "ProductCategory").agg(_rev_units()), "product-revenue")
+    first = lambda c, *keys: F.min_by(c, F.struct((-F.col(REV_UNITS)).alias("n"), *keys))
+    cat = (by.where(F.col("ProductCategory").isNotNull()).groupBy("ProductCategory").agg(F.sum(REV_UNITS).alias(REV_UNITS))
+             .agg(first("ProductCategory", "ProductCategory").alias("top_category")))
+    g = (by.where(F.col("StockCode").isNotNull() & F.col("Description").isNotNull())
+           .groupBy("StockCode", "Description").agg(F.sum(REV_UNITS).alias(REV_UNITS)))
+    prod = g.agg(first("Description", "StockCode", "Description").alias("_d"))
+    head = attach_one_row(_pareto(g, 0.2).select("total_products", "top_share_pct"), cat)
     return attach_one_row(head, prod.select(tf.truncate_label("_d", 50, ellipsis=False).alias("top_product")))
 
 
@@ -192,7 +211,7 @@ def sample_products(metrics: DataFrame, n: int = 500, seed: str = "0") -> DataFr
 
 def top_products_by_description(df: DataFrame, n: int = 15, label_len: int = 40) -> DataFrame:
     """Revenue by Description, top n, with a display label."""
-    g = df.groupBy("Description").agg(_rev_units())
+    g = df.where(F.col("Description").isNotNull()).groupBy("Description").agg(_rev_units())
     return (g.orderBy(F.desc(REV_UNITS), "Description").limit(n)
              .select("Description", _money(name="TotalAmount"),
                      tf.truncate_label("Description", label_len).alias("Label")))
@@ -200,7 +219,7 @@ def top_products_by_description(df: DataFrame, n: int = 15, label_len: int = 40)
 
 def category_revenue(df: DataFrame) -> DataFrame:
     """Category revenue ascending."""
-    return (df.groupBy("ProductCategory").agg(_rev_units())
+    return (df.where(F.col("ProductCategory").isNotNull()).groupBy("ProductCategory").agg(_rev_units())
               .select("ProductCategory", _money())
               .orderBy("TotalAmount", "ProductCategory"))
 
@@ -223,7 +242,7 @@ def country_metrics(df: DataFrame) -> DataFrame:
 
 def top_countries(df: DataFrame, n: int = 10) -> DataFrame:
     """A37."""
-    return (df.groupBy("Country").agg(_rev_units())
+    return (df.where(F.col("Country").isNotNull()).groupBy("Country").agg(_rev_units())
               .orderBy(F.desc(REV_UNITS), "Country").limit(n)
               .select("Country", _money()))
 
@@ -232,7 +251,7 @@ def country_summary(df: DataFrame) -> DataFrame:
     """Revenue and mean line value rounded to 2, invoices, identified
     customers; revenue descending."""
     has_id = F.col("HasCustomerID") if "HasCustomerID" in df.columns else F.col("CustomerID").isNotNull()
-    g = (df.groupBy("Country")
+    g = (df.where(F.col("Country").isNotNull()).groupBy("Country")
            .agg(_rev_units(), F.count(F.lit(1)).alias("_n"),
                 F.count_distinct("InvoiceNo").alias("Transaction_Count"),
                 F.count_distinct(F.when(has_id, F.col("CustomerID"))).alias("Customer_Count")))
@@ -255,7 +274,7 @@ def home_market_share(df: DataFrame, home: str = tf.HOME_MARKET) -> DataFrame:
     """A15 + A39: country count, home revenue share, number and share of the
     other countries, the top other country, the country of highest revenue
     per invoice and the country with most customers."""
-    g = (df.groupBy("Country")
+    g = (df.where(F.col("Country").isNotNull()).groupBy("Country")
            .agg(_rev_units(), F.count_distinct("InvoiceNo").alias("_inv"),
                 F.count_distinct("CustomerID").alias("_cust")))
     is_home = F.col("Country") == F.lit(home)

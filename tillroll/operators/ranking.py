@@ -1,10 +1,12 @@
-"""Distributed global row numbers.
+"""Distributed global row numbers and exact quantiles.
 
 ``row_number().over(Window.orderBy(...))`` without a partition key moves every
-row into one task.  ``global_row_number`` instead range-partitions the rows,
-sorts inside each partition and adds per-partition offsets (a table with one
-row per partition, so broadcasting it is size-safe).  Work is spread over all
-tasks and a hot sort value is split by the secondary order columns.
+row into one task, and the ``percentile`` aggregate merges a value map in one.
+Both are replaced by the same steps at every size: rows (or values with their
+counts) are range-partitioned, and written once with the partition they fell
+into.  Whatever reads that table sees the same partitions; totals per partition
+(as many rows as there are partitions, so broadcasting them is size-safe) turn
+places inside a partition into global ones.
 """
 
 from __future__ import annotations
@@ -14,44 +16,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.plans.materialize import cut
+
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
 
 
-WINDOW_LIMIT = 1_000_000  # rows up to which one task may number a table
+def _ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, with partition ``_pid``
+    and place ``_pos`` inside it (from 0), written once."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _POS_BITS)
+    return cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                 .withColumns({"_pid": F.spark_partition_id(), "_pos": place}), "ranged")
+
+
+def _offsets(totals: DataFrame, col: str) -> DataFrame:
+    """Sum of ``col`` over the partitions before each one (one row per
+    partition: the window holds no more than that)."""
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select("_pid", F.coalesce(F.sum(col).over(before), F.lit(0)).alias("_off")))
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "rn",
-                      num_partitions: int | None = None, window_limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Add a 1-based row number over a total order given by ``order``.
-
-    ``order`` should be a total order (end with a unique key) when the numbers
-    must be reproducible.
-
-    Tables of at most ``window_limit`` rows (checked with one count) are
-    numbered by a plain window; ``window_limit=0`` forces the distributed path.
-    The per-partition counts and the rows read the same range exchange (Spark
-    reuses the identical exchange, ``spark.sql.exchange.reuse``, on by
-    default), so counts and positions always describe the same partitions.
-    A lost executor does not break this: the exchange's bounds are fixed
-    once, and rows are sorted by a total order inside each partition.
-    """
-    if window_limit and df.count() <= window_limit:
-        # Checked size: a table of at most ``window_limit`` rows may be
-        # numbered by one task with a plain window.
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+                      num_partitions: int | None = None) -> DataFrame:
+    """Add a 1-based row number over ``order``, which should be a total order
+    (end with a unique key) when the numbers must be reproducible.  A hot sort
+    value is split by the order columns after it."""
+    ranged = _ranged(df, order, num_partitions)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _POS_BITS)
-    return (ranged.join(F.broadcast(offsets), "_pid")
-                  .withColumn(out, F.col("_off") + pos + 1)
-                  .drop("_pid", "_mid", "_off"))
+    return (ranged.join(_offsets(counts, "_cnt"), "_pid")
+                  .withColumn(out, F.col("_off") + F.col("_pos") + 1)
+                  .drop("_pid", "_pos", "_off"))
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[str | Column]) -> DataFrame:
@@ -63,57 +58,36 @@ def top_k(df: DataFrame, k: int, order: Sequence[str | Column]) -> DataFrame:
 def running_total(df: DataFrame, order: str, weight: str, out: str = "_cum",
                   num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` in ascending ``order`` (values of
-    ``order`` should be distinct), computed per range partition plus
-    per-partition offsets — no single-partition window.  As in
-    ``global_row_number``, both branches read one reused range exchange."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_local", F.sum(weight).over(w))
+    ``order`` should be distinct)."""
+    ranged = _ranged(df, [order], num_partitions)
+    w = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = ranged.groupBy("_pid").agg(F.sum(weight).alias("_pt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-                 .withColumn(out, F.col("_off") + F.col("_local"))
-                 .drop("_pid", "_local", "_off"))
-
-
-MAP_LIMIT = 1_000_000  # distinct values up to which one task may merge the value map
+    return (ranged.withColumn("_local", F.sum(weight).over(w))
+                  .join(_offsets(totals, "_pt"), "_pid")
+                  .withColumn(out, F.col("_off") + F.col("_local"))
+                  .drop("_pid", "_pos", "_local", "_off"))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], name: str = "q",
-                    map_limit: int = MAP_LIMIT) -> DataFrame:
+                    num_partitions: int | None = None) -> DataFrame:
     """One row with an array of exact, linearly interpolated quantiles of
-    ``col`` (nulls ignored), for columns whose distinct values grow with the
-    data (per-customer revenue, CLV, ids).
-
-    Rows collapse to (value, count) first (map-side).  When there are at
-    most ``map_limit`` distinct values (checked with one count), the weighted
-    ``percentile`` aggregate finishes the job: its value map, merged in one
-    task, is then provably small.  Beyond that, the running count is built
-    over a range-partitioned sort and the values at the needed ranks are
-    picked with a broadcast range join against a table of at most
-    2 x len(probs) ranks, so nothing is merged in a single task.
-    ``map_limit=0`` always takes the distributed path.
-    """
+    ``col`` (nulls ignored; nulls in the array without any value).
+
+    Rows collapse to (value, count) first, map-side.  The running count over the
+    values then finds the ones at the needed ranks, with a broadcast range join
+    against at most 2 x len(probs) of them."""
     vc = (df.where(F.col(col).isNotNull())
             .groupBy(F.col(col).cast("double").alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
-    if map_limit and vc.count() <= map_limit:
-        # Checked size: at most ``map_limit`` distinct values, so the single
-        # ``percentile`` aggregate (one value map merged in one task) is small.
-        return vc.agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c")).alias(name))
-    cum = running_total(vc, "_v", "_c", "_cum")
-    total = vc.agg(F.sum("_c").alias("_n"))
+    cum = running_total(vc, "_v", "_c", "_cum", num_partitions)
+    total = cum.agg(F.sum("_c").alias("_n"))
     need = (total.select(F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"), "_n")
-                 .withColumn("_pos", (F.col("_n") - 1) * F.col("_p"))
-                 .select("_i", "_pos",
-                         F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_r")))
+                 .withColumn("_at", (F.col("_n") - 1) * F.col("_p"))
+                 .select("_i", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_r")))
     hit = cum.join(F.broadcast(need),
                    (F.col("_r") >= F.col("_cum") - F.col("_c")) & (F.col("_r") < F.col("_cum")))
-    per = hit.groupBy("_i", "_pos").agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))
-    frac = F.col("_pos") - F.floor("_pos")
+    per = hit.groupBy("_i", "_at").agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))
+    frac = F.col("_at") - F.floor("_at")
     q = F.when(frac == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
     per = per.select("_i", q.alias("_q"))
     return per.agg(F.array(*[F.max(F.when(F.col("_i") == i, F.col("_q"))) for i in range(len(probs))])

@@ -19,6 +19,7 @@ from tillroll.operators import binning
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.ranking import global_row_number
 from tillroll.operators.scalars import attach_one_row
+from tillroll.plans.materialize import cut
 
 
 def snapshot(df: DataFrame, scope: str = "identified") -> DataFrame:
@@ -51,7 +52,7 @@ def rfm_scores_quintile(rfm: DataFrame) -> DataFrame:
     ranked = global_row_number(rfm, [F.asc("Frequency"), F.asc("CustomerID")], "_frank")
     s = (attach_one_row(ranked, rfm.agg(F.count(F.lit(1)).alias("_n")))
                .transform(lambda d: binning.qcut_rank(d, "_frank", "_n", 5, "F_Score"))
-               .transform(lambda d: binning.qcut_strict(d, "Recency", 5, "_rbin", method="map"))
+               .transform(lambda d: binning.qcut_strict(d, "Recency", 5, "_rbin"))
                .transform(lambda d: binning.qcut_strict(d, "Monetary", 5, "M_Score"))
                .withColumn("R_Score", (F.lit(6) - F.col("_rbin")).cast("int")))
     return s.select("CustomerID", "Recency", "Frequency", "Monetary", "R_Score", "F_Score", "M_Score",
@@ -61,10 +62,8 @@ def rfm_scores_quintile(rfm: DataFrame) -> DataFrame:
 
 def rfm_scores_dedup(rfm: DataFrame) -> DataFrame:
     """W6/W7 + P28/P31: dashboard scores and rule segments."""
-    # Recency (days) and Frequency (invoices) have bounded domains: one map
-    # aggregate each; Monetary has about one value per customer.
-    s = (rfm.transform(lambda d: binning.score_dashboard(d, "Recency", 5, "Recency_Score", method="map"))
-            .transform(lambda d: binning.score_dashboard(d, "Frequency", 5, "Frequency_Score", method="map"))
+    s = (rfm.transform(lambda d: binning.score_dashboard(d, "Recency", 5, "Recency_Score"))
+            .transform(lambda d: binning.score_dashboard(d, "Frequency", 5, "Frequency_Score"))
             .transform(lambda d: binning.score_dashboard(d, "Monetary", 5, "Monetary_Score")))
     r = (F.lit(6) - F.col("Recency_Score")).cast("int")
     f = F.col("Frequency_Score").cast("int")
@@ -98,11 +97,11 @@ def attach_segments(df: DataFrame, metrics: DataFrame | None = None) -> DataFram
     """
     from tillroll.operators.skew import join_back
     if metrics is None:
-        metrics = rfm_metrics(df, snapshot_scope="all")
+        metrics = cut(rfm_metrics(df, snapshot_scope="all"), "rfm")  # read by every score
     seg = rfm_scores_dedup(metrics).select("CustomerID", "RFM_Segment", "Customer_Segment")
     lines_per_customer = (identified_customers(df).groupBy("CustomerID")
                           .agg(F.count(F.lit(1)).alias("_lines")))
-    seg = seg.join(lines_per_customer, "CustomerID")
+    seg = cut(seg.join(lines_per_customer, "CustomerID"), "customer-segments")
     known = join_back(df.where(F.col("CustomerID").isNotNull()), seg, "CustomerID", "_lines")
     guests = (df.where(F.col("CustomerID").isNull())
                 .withColumn("RFM_Segment", F.lit(None).cast("string"))

@@ -16,13 +16,9 @@ from pyspark.sql import functions as F
 
 
 def _max_rows(df: DataFrame) -> int | None:
-    """Catalyst's static row bound of ``df`` (None when unknown or when the
-    plan is not reachable, e.g. over Spark Connect)."""
-    try:
-        bound = df._jdf.queryExecution().analyzed().maxRows()
-        return int(bound.get()) if bound.isDefined() else None
-    except Exception:  # noqa: BLE001
-        return -1  # not inspectable: trust the caller
+    """Catalyst's static row bound of ``df``; None when it knows of none."""
+    bound = df._jdf.queryExecution().analyzed().maxRows()
+    return int(bound.get()) if bound.isDefined() else None
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -43,17 +43,30 @@ def filter_sales(df: DataFrame, date_from=None, date_to=None, countries: Sequenc
     return df.where(sales_predicate(date_from, date_to, countries, categories, segment, df.columns))
 
 
-def _kpi_aggs(pred: Column | None, suffix: str = "") -> list[Column]:
-    def w(c: Column) -> Column:
-        return c if pred is None else F.when(pred, c)
-    has_id = F.col("HasCustomerID") & F.col("CustomerID").isNotNull()
-    return [
-        F.coalesce(F.sum(w(tf.money_units("TotalAmount"))), F.lit(0)).alias(f"_units{suffix}"),
-        F.count_distinct(w(F.col("InvoiceNo"))).alias(f"total_transactions{suffix}"),
-        F.count_distinct(w(F.when(has_id, F.col("CustomerID")))).alias(f"total_customers{suffix}"),
-        F.count_distinct(w(F.col("StockCode"))).alias(f"total_products{suffix}"),
-        F.count_if(has_id if pred is None else (pred & has_id)).alias(f"customer_transactions{suffix}"),
-    ]
+def _kpi_row(df: DataFrame, pred: Column | None = None) -> DataFrame:
+    """One row of KPI figures over all lines and, with ``_f``, over those where
+    ``pred`` holds.  Lines reduce to their distinct invoices, customers and
+    products first (combined map-side), each with a flag for ``pred``, so the
+    distinct counts need one small shuffle however many there are."""
+    ident = F.col("CustomerID").isNotNull()
+    if "HasCustomerID" in df.columns:
+        ident = ident & F.coalesce(F.col("HasCustomerID"), F.lit(False))
+    hit = F.lit(False) if pred is None else F.coalesce(pred, F.lit(False))
+    parts = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key")) for kind, key in (
+        ("invoice", F.col("InvoiceNo")), ("customer", F.when(ident, F.col("CustomerID"))), ("product", F.col("StockCode")))]))
+    lines = df.select(tf.money_units("TotalAmount").alias("u"), ident.alias("ident"), hit.alias("hit"), parts.alias("p")).select("p.*", "u", "ident", "hit")
+    once = F.col("kind") == "invoice"  # every line has one such part
+    keys = lines.groupBy("kind", "key").agg(
+        F.max("hit").alias("hit"), F.sum(F.when(once, F.col("u"))).alias("u"), F.sum(F.when(once & F.col("hit"), F.col("u"))).alias("u_f"),
+        F.count_if(once & F.col("ident")).alias("c"), F.count_if(once & F.col("ident") & F.col("hit")).alias("c_f"))
+
+    def figures(sfx: str) -> list[Column]:
+        of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull() & (F.lit(True) if not sfx else F.col("hit")))
+        return [F.coalesce(F.sum("u" + sfx), F.lit(0)).alias(f"_units{sfx}"), of("invoice").alias(f"total_transactions{sfx}"),
+                of("customer").alias(f"total_customers{sfx}"), of("product").alias(f"total_products{sfx}"),
+                F.coalesce(F.sum("c" + sfx), F.lit(0)).alias(f"customer_transactions{sfx}")]
+
+    return keys.agg(*figures(""), *(figures("_f") if pred is not None else []))
 
 
 def _kpi_cols(suffix: str = "") -> list[Column]:
@@ -73,13 +86,13 @@ def _kpi_cols(suffix: str = "") -> list[Column]:
 
 def kpis(df: DataFrame) -> DataFrame:
     """A16 + A30 + A40: one KPI row."""
-    return df.agg(*_kpi_aggs(None)).select(*_kpi_cols())
+    return _kpi_row(df).select(*_kpi_cols())
 
 
 def kpi_deltas(df: DataFrame, pred: Column) -> DataFrame:
     """Filtered KPIs next to the totals and their differences, from one
-    aggregate pass (filtered figures are conditional aggregates)."""
-    one = df.agg(*_kpi_aggs(None), *_kpi_aggs(pred, "_f")).select(*_kpi_cols(), *_kpi_cols("_f"))
+    scan (see ``_kpi_row``)."""
+    one = _kpi_row(df, pred).select(*_kpi_cols(), *_kpi_cols("_f"))
     return one.select(
         "total_revenue_f", "total_transactions_f", "total_customers_f", "avg_order_value_f",
         "total_products_f",
@@ -135,6 +148,12 @@ def kpi_summary_report(filtered: DataFrame) -> DataFrame:
     return k.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def write_summary_csv(report: DataFrame, path: str) -> None:
+    """S7 sink: the five (Metric, Value) rows as one header CSV file."""
+    (report.orderBy("Position").select("Metric", "Value").coalesce(1)
+           .write.mode("overwrite").option("header", True).csv(path))
+
+
 def sample_rows(df: DataFrame, n: int = 100) -> DataFrame:
     """First n rows in a fixed order (Spark has no file order)."""
     return df.orderBy("InvoiceNo", "StockCode", "Quantity", "UnitPrice", "InvoiceDate").limit(n)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import cleaning, dimensions as dims
 from tillroll.plans.oracle import (CLEANED_COLS, U, clean_desc_sql, money, msum, title_sql, with_cleaned,
                                    with_raw)
-from tillroll.sources.retail import retail_raw
+from tillroll.sources.retail import TPCH_TABLES, retail_raw
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -39,7 +39,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     the stand-in for the raw export file, so the cleaning passes (fences,
     main pass) scan columnar data instead of re-running the derivation."""
     from tillroll.plans.materialize import written_table
-    return written_table(spark, f"raw:{sf_dir}", lambda: retail_raw(spark, sf_dir))
+    return written_table(spark, f"raw:{sf_dir}", lambda: retail_raw(spark, sf_dir), sources=_inputs(sf_dir))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,12 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     once per session (the boundary every analysis starts from)."""
     from tillroll.plans.materialize import written_table
     return written_table(spark, f"cleaned:{sf_dir}",
-                         lambda: cleaning.clean_sales(raw_lines(spark, sf_dir)))
+                         lambda: cleaning.clean_sales(raw_lines(spark, sf_dir)), sources=_inputs(sf_dir))
+
+
+def _inputs(sf_dir: str) -> list[str]:
+    """The tables that the raw lines come from."""
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TPCH_TABLES]
 
 
 def half_even_sql(units: str, divisor: str) -> str:
@@ -148,7 +153,7 @@ def q_temporal_peaks(spark, sf):
 PRODUCT_METRICS_CTE = f"""pm AS (
   SELECT StockCode, Description, CAST(sum(Quantity) AS BIGINT) AS Quantity, {msum()} AS TotalAmount,
          count(DISTINCT InvoiceNo) AS TransactionCount, count(DISTINCT CustomerID) AS UniqueCustomers
-  FROM cleaned GROUP BY StockCode, Description)"""
+  FROM cleaned WHERE StockCode IS NOT NULL AND Description IS NOT NULL GROUP BY StockCode, Description)"""
 PM_COLS = ("StockCode, Description, Quantity, TotalAmount, TransactionCount, UniqueCustomers, "
            "TotalAmount / TransactionCount AS AvgOrderValue, Quantity / TransactionCount AS AvgQuantityPerOrder")
 
@@ -187,7 +192,8 @@ def q_category_performance(spark, sf):
 
 
 PARETO_SQL_CTES = (
-    f"g AS (SELECT StockCode, Description, sum({U}) AS u FROM cleaned GROUP BY StockCode, Description)",
+    f"g AS (SELECT StockCode, Description, sum({U}) AS u FROM cleaned "
+    "WHERE StockCode IS NOT NULL AND Description IS NOT NULL GROUP BY StockCode, Description)",
     "r AS (SELECT *, row_number() OVER (ORDER BY u DESC, StockCode, Description) AS rn FROM g)",
     "s AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.2) AS BIGINT) AS k, sum(u) AS tot FROM g)",
     "t AS (SELECT coalesce(sum(u), 0) AS top FROM r, s WHERE rn <= k)",
@@ -229,14 +235,14 @@ SELECT Country, {msum()} AS TotalAmount, count(DISTINCT InvoiceNo) AS Transactio
        count(DISTINCT CustomerID) AS UniqueCustomers, CAST(sum(Quantity) AS BIGINT) AS Quantity,
        {msum()} / count(DISTINCT InvoiceNo) AS AvgOrderValue,
        {msum()} / NULLIF(count(DISTINCT CustomerID), 0) AS RevenuePerCustomer
-FROM cleaned GROUP BY Country"""))
+FROM cleaned WHERE Country IS NOT NULL GROUP BY Country"""))
 def q_country_metrics(spark, sf):
     return dims.country_metrics(cleaned(spark, sf))
 
 
 @register("top_countries", with_cleaned(f"""
 SELECT Country, {money('u')} AS TotalAmount
-FROM (SELECT Country, sum({U}) AS u FROM cleaned GROUP BY Country) ORDER BY u DESC, Country LIMIT 10"""))
+FROM (SELECT Country, sum({U}) AS u FROM cleaned WHERE Country IS NOT NULL GROUP BY Country) ORDER BY u DESC, Country LIMIT 10"""))
 def q_top_countries(spark, sf):
     return dims.top_countries(cleaned(spark, sf), 10)
 
@@ -246,7 +252,7 @@ SELECT Country, {round2_sql('u')} AS Total_Revenue, {round2_sql('u', 'n')} AS Av
        Transaction_Count, Customer_Count
 FROM (SELECT Country, sum({U}) AS u, count(*) AS n, count(DISTINCT InvoiceNo) AS Transaction_Count,
              count(DISTINCT CASE WHEN HasCustomerID THEN CustomerID END) AS Customer_Count
-      FROM cleaned GROUP BY Country)"""))
+      FROM cleaned WHERE Country IS NOT NULL GROUP BY Country)"""))
 def q_country_summary(spark, sf):
     return dims.country_summary(cleaned(spark, sf))
 
@@ -269,7 +275,7 @@ SELECT count(*) AS countries,
        (SELECT Country FROM g ORDER BY CAST(u AS DOUBLE) / inv DESC, Country LIMIT 1) AS top_aov_country,
        (SELECT Country FROM g ORDER BY cust DESC, Country LIMIT 1) AS most_customers_country
 FROM g""", f"g AS (SELECT Country, sum({U}) AS u, count(DISTINCT InvoiceNo) AS inv, "
-           "count(DISTINCT CustomerID) AS cust FROM cleaned GROUP BY Country)"))
+           "count(DISTINCT CustomerID) AS cust FROM cleaned WHERE Country IS NOT NULL GROUP BY Country)"))
 def q_home_market_share(spark, sf):
     return dims.home_market_share(cleaned(spark, sf))
 
@@ -299,18 +305,23 @@ def rfm_cte(scope: str = "identified") -> str:
             f"  FROM cleaned WHERE {IDENT} GROUP BY CustomerID)")
 
 
-def score_list_sql(code: str) -> str:
-    parts = " ".join(f"WHEN {code} IN ({', '.join(repr(c) for c in codes)}) THEN '{name}'"
-                     for name, codes in tf.RFM_SCORE_SEGMENTS)
-    return f"CASE {parts} ELSE '{tf.RFM_SCORE_DEFAULT}' END"
-
-
-def score_rules_sql(r: str, f: str, m: str) -> str:
-    parts = []
-    for name, *bounds in tf.RFM_RULE_SEGMENTS:
-        conds = " AND ".join(f"{c} {op} {v}" for c, (op, v) in zip((r, f, m), bounds))
-        parts.append(f"WHEN {conds} THEN '{name}'")
-    return f"CASE {' '.join(parts)} ELSE '{tf.RFM_RULE_DEFAULT}' END"
+# The segment rules written out, independently of functions/columns.py.
+SCORE_LIST_SQL = """CASE
+  WHEN RFM_Score IN ('555', '554', '544', '545', '454', '455', '445') THEN 'Champions'
+  WHEN RFM_Score IN ('543', '444', '435', '355', '354', '345', '344', '335') THEN 'Loyal Customers'
+  WHEN RFM_Score IN ('553', '551', '552', '541', '542', '533', '532', '531', '452', '451') THEN 'Potential Loyalists'
+  WHEN RFM_Score IN ('512', '511', '422', '421', '412', '411', '311') THEN 'New Customers'
+  WHEN RFM_Score IN ('155', '154', '144', '214', '215', '115', '114') THEN 'At Risk'
+  WHEN RFM_Score IN ('245', '155', '154', '144', '135', '125', '124') THEN 'Cannot Lose Them'
+  ELSE 'Others' END"""
+SCORE_RULES_SQL = """CASE
+  WHEN R_Score >= 4 AND F_Score >= 4 AND M_Score >= 4 THEN 'Champions'
+  WHEN R_Score >= 4 AND F_Score >= 3 AND M_Score >= 3 THEN 'Loyal Customers'
+  WHEN R_Score >= 4 AND F_Score >= 1 AND M_Score >= 1 THEN 'New Customers'
+  WHEN R_Score <= 2 AND F_Score >= 3 AND M_Score >= 3 THEN 'At Risk'
+  WHEN R_Score <= 2 AND F_Score <= 2 AND M_Score <= 2 THEN 'Churned/Lost'
+  WHEN R_Score >= 3 AND F_Score >= 2 AND M_Score >= 2 THEN 'Potentially Loyal'
+  ELSE 'Others' END"""
 
 
 RFM_QUINTILE_CTES = (
@@ -325,7 +336,7 @@ RFM_QUINTILE_CTES = (
       CAST(1 + len(list_filter(em.e[2:5], lambda x: Monetary > x)) AS INTEGER) AS M_Score
     FROM fr, er, em, nn)""",
     "sc2 AS (SELECT *, CAST(R_Score AS VARCHAR) || CAST(F_Score AS VARCHAR) || CAST(M_Score AS VARCHAR) AS RFM_Score FROM sc)",
-    f"seg AS (SELECT *, {score_list_sql('RFM_Score')} AS Segment FROM sc2)",
+    f"seg AS (SELECT *, {SCORE_LIST_SQL} AS Segment FROM sc2)",
 )
 
 
@@ -368,7 +379,7 @@ RFM_DEDUP_CTES = (
       CAST({dash_score_sql('Monetary')} AS INTEGER) AS M_Score
     FROM rfm, st_Recency, st_Frequency, st_Monetary)""",
     f"""dseg AS (SELECT *, CAST(R_Score AS VARCHAR) || CAST(F_Score AS VARCHAR) || CAST(M_Score AS VARCHAR) AS RFM_Segment,
-      {score_rules_sql('R_Score', 'F_Score', 'M_Score')} AS Customer_Segment FROM ds)""",
+      {SCORE_RULES_SQL} AS Customer_Segment FROM ds)""",
     f"""segmented AS (SELECT {', '.join('c.' + c.strip() for c in CLEANED_COLS.split(','))},
       d.RFM_Segment, d.Customer_Segment FROM cleaned c LEFT JOIN dseg d ON c.CustomerID = d.CustomerID)""",
 )
@@ -385,14 +396,15 @@ def segmented(spark, sf) -> DataFrame:
     from tillroll.plans.materialize import written_table
     from tillroll.sources.schemas import CLEANED_COLUMNS, SEGMENT_COLUMNS
     return written_table(spark, f"segmented:{sf}", lambda: rfm.attach_segments(
-        cleaned(spark, sf), metrics=rfm_table(spark, sf, "all")).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS))
+        cleaned(spark, sf), metrics=rfm_table(spark, sf, "all")).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS),
+        sources=_inputs(sf))
 
 
 def rfm_table(spark, sf, scope: str = "identified") -> DataFrame:
     """Per-customer RFM metrics (one row per customer), written once."""
     from tillroll.plans.materialize import written_table
     return written_table(spark, f"rfm-{scope}:{sf}",
-                         lambda: rfm.rfm_metrics(cleaned(spark, sf), snapshot_scope=scope))
+                         lambda: rfm.rfm_metrics(cleaned(spark, sf), snapshot_scope=scope), sources=_inputs(sf))
 
 
 @register("attach_segments", with_cleaned("SELECT * FROM segmented", *RFM_DEDUP_CTES))
@@ -435,14 +447,14 @@ def q_cohort_avg_retention(spark, sf):
     return cohort.cohort_avg_retention(cleaned(spark, sf))
 
 
+COHORT_PERIODS = 84  # columns of the matrix: seven years of months
+
+
 @register("cohort_matrix", with_cleaned(
-    "SELECT * FROM (PIVOT (SELECT CohortGroup, PeriodNumber, RetentionRate FROM ret) "
-    "ON PeriodNumber USING first(RetentionRate) GROUP BY CohortGroup)", *cohort_ctes()))
+    "SELECT CohortGroup, " + ", ".join(f'max(CASE WHEN PeriodNumber = {i} THEN RetentionRate END) AS "{i}"' for i in range(COHORT_PERIODS))
+    + " FROM ret GROUP BY CohortGroup", *cohort_ctes()))
 def q_cohort_matrix(spark, sf):
-    ret = cohort.cohort_retention(cleaned(spark, sf))
-    # The pivot's column list: distinct period numbers (bounded by the calendar).
-    periods = [r[0] for r in ret.select("PeriodNumber").distinct().orderBy("PeriodNumber").collect()]
-    return cohort.cohort_matrix(ret, periods)
+    return cohort.cohort_matrix(cohort.cohort_retention(cleaned(spark, sf)), list(range(COHORT_PERIODS)))
 
 
 # Dashboard filter used by the filtered-view queries (test configuration).
@@ -482,7 +494,7 @@ CLV_CTES = (
 def clv_table(spark, sf) -> DataFrame:
     """Per-customer CLV table (one row per customer), written once."""
     from tillroll.plans.materialize import written_table
-    return written_table(spark, f"clv:{sf}", lambda: clv_ops.clv(cleaned(spark, sf)))
+    return written_table(spark, f"clv:{sf}", lambda: clv_ops.clv(cleaned(spark, sf)), sources=_inputs(sf))
 
 
 @register("clv", with_cleaned("SELECT * FROM clv", *CLV_CTES))
@@ -560,8 +572,7 @@ def q_item_support(spark, sf):
     return basket.item_support(cleaned(spark, sf), "Description", 0.01)
 
 
-# Pairs on Brand with lift > 1.0: Description pairs are too sparse in the
-# test tables for the reference thresholds (see SURVEY §7.4).
+# Pairs on Brand with lift > 1.0, next to the Description pairs below.
 PAIR_ARGS = dict(item_col="Brand", top_n=20, min_item_support=0.01, min_lift=1.0,
                  min_pair_support=0.005, label_len=30)
 
@@ -585,7 +596,7 @@ def q_basket_pairs(spark, sf):
 # Itemsets on PType (6 product types): every length is exercised.
 ITEMSET_CTES = (
     f"tx AS (SELECT InvoiceNo, list_sort(list_distinct(list(PType))) AS items FROM cleaned "
-    f"WHERE {IDENT} AND PType IS NOT NULL GROUP BY InvoiceNo)",
+    f"WHERE {IDENT} AND PType IS NOT NULL AND InvoiceNo IS NOT NULL GROUP BY InvoiceNo)",
     "tn AS (SELECT count(*) AS n FROM tx)",
     "sub AS (SELECT list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS s "
     "FROM (SELECT items, unnest(range(1, CAST(1 AS BIGINT) << len(items))) AS m FROM tx))",
@@ -734,6 +745,17 @@ def q_histogram(spark, sf):
     return equal_width_histogram(dims.product_metrics(cleaned(spark, sf)), "TotalAmount", 50)
 
 
+@register("recency_histogram", with_cleaned("""
+SELECT bin, mn + (bin - 1) * ((mx - mn) / 50) AS bin_start, mn + bin * ((mx - mn) / 50) AS bin_end, count(*) AS count
+FROM (SELECT CASE WHEN mx = mn THEN 1 ELSE least(CAST(floor((r - mn) / (mx - mn) * 50) AS INTEGER) + 1, 50) END AS bin, mn, mx
+      FROM (SELECT CAST(Recency AS DOUBLE) AS r FROM rfm),
+           (SELECT min(CAST(Recency AS DOUBLE)) AS mn, max(CAST(Recency AS DOUBLE)) AS mx FROM rfm))
+GROUP BY bin, mn, mx""", rfm_cte("identified")))
+def q_recency_histogram(spark, sf):
+    from tillroll.operators.binning import equal_width_histogram
+    return equal_width_histogram(rfm_table(spark, sf), "Recency", 50)
+
+
 @register("clv_histogram", with_cleaned("""
 SELECT bin, mn + (bin - 1) * ((mx - mn) / 50) AS bin_start, mn + bin * ((mx - mn) / 50) AS bin_end, count(*) AS count
 FROM (SELECT CASE WHEN mx = mn THEN 1 ELSE least(CAST(floor((CLV - mn) / (mx - mn) * 50) AS INTEGER) + 1, 50) END AS bin,
@@ -818,7 +840,7 @@ def q_kpi_summary_report(spark, sf):
 
 @register("sample_rows", with_cleaned(
     f"SELECT {CLEANED_COLS} FROM cleaned WHERE {VIEW_WHERE} "
-    "ORDER BY InvoiceNo, StockCode, Quantity, UnitPrice, InvoiceDate LIMIT 100"))
+    "ORDER BY InvoiceNo NULLS FIRST, StockCode NULLS FIRST, Quantity, UnitPrice, InvoiceDate LIMIT 100"))
 def q_sample_rows(spark, sf):
     return view.sample_rows(view.filter_sales(cleaned24(spark, sf), **VIEW_FILTER), 100)
 

@@ -12,6 +12,7 @@ recomputing its lineage.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,27 @@ def _app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", "app")
 
 
+def _state(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Digest of the names, sizes and times of the files at ``paths``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        for s in fs.listStatus(path):
+            seen.append(f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def written_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
-                  partition_by: Sequence[str] = ()) -> DataFrame:
+                  partition_by: Sequence[str] = (), sources: Sequence[str] = ()) -> DataFrame:
     """Write ``build()`` once per session under ``key`` and return a scan.
 
-    ``key`` must identify the content (e.g. the input folder), since later
-    calls with the same key reuse the written table.
+    ``key`` must identify the content, since later calls with the same key
+    reuse the written table; ``sources`` are input paths whose files' sizes and
+    times become part of it, so that changed inputs are read again.
     """
+    key = f"{key}:{_state(spark, sources)}" if sources else key
     k = (_app_id(spark), key)
     path = _WRITTEN.get(k)
     if path is None:

@@ -14,9 +14,11 @@ from __future__ import annotations
 RAW_CTE = r"""
 raw_base AS (
   SELECT
-    CASE WHEN o_orderkey % 50 = 0 THEN 'C' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS InvoiceNo,
-    'P' || CAST(p_partkey AS VARCHAR) AS StockCode,
+    CASE WHEN o_orderkey % 701 = 3 THEN NULL WHEN o_orderkey % 50 = 0 THEN 'C' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS InvoiceNo,
+    CASE WHEN (l_orderkey + l_linenumber) % 401 <> 7 THEN 'P' || CAST(p_partkey AS VARCHAR) END AS StockCode,
     CASE WHEN p_partkey % 400 = 3 THEN NULL
+         WHEN o_orderkey % 12 = 5 AND l_linenumber = 1 THEN ' tea set ' WHEN o_orderkey % 12 = 5 AND l_linenumber = 2 THEN ' tea tin '
+         WHEN o_orderkey % 12 = 5 AND l_linenumber = 3 THEN ' tea towel '
          ELSE ' ' || p_name || CASE p_partkey % 8 WHEN 0 THEN ' bag' WHEN 1 THEN ' candle'
               WHEN 2 THEN ' christmas light' WHEN 3 THEN ' xmas' WHEN 4 THEN ' vintage'
               WHEN 5 THEN ', no.5!' WHEN 6 THEN '  garden' ELSE '' END || ' ' END AS Description,
@@ -27,7 +29,7 @@ raw_base AS (
     CASE WHEN (l_orderkey + l_linenumber) % 307 = 0 THEN CAST(0.0 AS DOUBLE)
          WHEN p_partkey % 40 = 7 THEN p_retailprice * 10 ELSE p_retailprice END AS UnitPrice,
     CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS CustomerID,
-    CASE WHEN n_nationkey = 0 THEN ' united kingdom ' ELSE n_name END AS Country,
+    CASE WHEN o_orderkey % 97 = 5 THEN NULL WHEN n_nationkey = 0 THEN ' united kingdom ' ELSE n_name END AS Country,
     p_brand AS Brand, p_type AS PType, o_orderkey AS okey_
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),

@@ -18,8 +18,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tillroll.operators import basket, clv, cohort, dimensions as dims, forecast, profile, rfm, view
+from tillroll.operators import basket, binning, clv, cohort, dimensions as dims, forecast, profile, rfm, view
 from tillroll.operators.cleaning import clean_sales
+from tillroll.plans.materialize import cut
 from tillroll.sources.retail import write_cleaned
 from tillroll.sources.schemas import CLEANED_COLUMNS
 
@@ -30,6 +31,7 @@ def cleaning_job(raw: DataFrame, out_path: str, report_path: str | None = None,
     later date filters prune files); optionally write the one-row quality
     report as JSON.  Returns a scan of the written table."""
     spark = raw.sparkSession
+    raw = cut(raw, "raw-lines")  # a text file would be parsed by every pass
     write_cleaned(clean_sales(raw).select(*CLEANED_COLUMNS, *[c for c in raw.columns if c not in CLEANED_COLUMNS]),
                   out_path, tuple(partition_by))
     cleaned = spark.read.parquet(out_path)
@@ -40,12 +42,14 @@ def cleaning_job(raw: DataFrame, out_path: str, report_path: str | None = None,
 
 def analysis_report(cleaned: DataFrame) -> dict[str, DataFrame]:
     """The analysis report's tables."""
-    scored = rfm.rfm_scores_quintile(rfm.rfm_metrics(cleaned))
+    # one row per customer, read by every score and table below: written once
+    scored = cut(rfm.rfm_scores_quintile(cut(rfm.rfm_metrics(cleaned), "rfm")), "rfm-scores")
     return {
         "monthly_trends": dims.monthly_sales(cleaned),
         "monthly_insights": dims.monthly_insights(cleaned),
         "rfm_analysis": scored,
         "rfm_segment_profile": rfm.rfm_segment_profile(scored),
+        "recency_histogram": binning.equal_width_histogram(scored, "Recency", 50),
         "product_metrics": dims.product_metrics(cleaned),
         "category_performance": dims.category_performance(cleaned),
         "product_insights": dims.product_insights(cleaned),
@@ -63,7 +67,7 @@ def analysis_report(cleaned: DataFrame) -> dict[str, DataFrame]:
 def business_report(cleaned: DataFrame, basket_item: str = "Description") -> dict[str, DataFrame]:
     """The business-intelligence report's tables."""
     ret = cohort.cohort_retention(cleaned)
-    clv_df = clv.clv(cleaned)
+    clv_df = cut(clv.clv(cleaned), "clv")
     return {
         "cohort_analysis": ret,
         "cohort_avg_retention": cohort.cohort_avg_retention(cleaned),

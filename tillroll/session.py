@@ -4,12 +4,13 @@ On a cluster the session is built by the platform; ``get_session`` only fills
 settings that are still unset so that tests and local runs behave like the
 cluster (UTC, AQE on, no UI).  ``scratch_dir`` resolves the shared folder
 named by ``spark.checkpoint.dir``; a local temporary folder is used only when
-that setting is absent (tests, laptops).
+that setting is absent and the master is local (tests, laptops).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,11 +49,16 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (tests, local runs) a temporary folder is created and registered as the
-    checkpoint dir, so ``DataFrame.checkpoint()`` works too.
+    and everything runs in one local process (tests, local runs) a temporary
+    folder is created and registered as the checkpoint dir, so
+    ``DataFrame.checkpoint()`` works too.  On a cluster every node would write
+    to its own disk, so a missing setting raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes of {master or 'the cluster'} share")
         base = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         try:

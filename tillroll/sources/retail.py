@@ -35,7 +35,11 @@ def retail_raw(spark: SparkSession, sf_dir: str, with_items: bool = True) -> Dat
     (l_orderkey + l_linenumber) % 307 = 0, x10 when p_partkey % 40 = 7;
     guest (null CustomerID) when o_custkey % 4 = 0; nation 0 is
     ' united kingdom '; hour = o_orderkey % 24, minute = o_orderkey*7 % 60;
-    lines of orders with o_orderkey % 500 = 1 appear twice.
+    lines of orders with o_orderkey % 500 = 1 appear twice.  Bought together:
+    the first three lines of orders with o_orderkey % 12 = 5 are ' tea set ',
+    ' tea tin ' and ' tea towel ' (where there is a description).  Nulls:
+    InvoiceNo when o_orderkey % 701 = 3, StockCode when
+    (l_orderkey + l_linenumber) % 401 = 7, Country when o_orderkey % 97 = 5.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
@@ -62,11 +66,17 @@ def retail_raw(spark: SparkSession, sf_dir: str, with_items: bool = True) -> Dat
     hours = (okey % 24).cast("int")
     minutes = ((okey * 7) % 60).cast("int")
 
+    together = okey % 12 == 5
+    tea = (F.when(F.col("l_linenumber") == 1, " tea set ").when(F.col("l_linenumber") == 2, " tea tin ")
+            .when(F.col("l_linenumber") == 3, " tea towel "))
+    null = F.lit(None).cast("string")
+
     cols = [
-        F.when(cancelled, F.concat(F.lit("C"), okey.cast("string")))
+        F.when(okey % 701 == 3, null).when(cancelled, F.concat(F.lit("C"), okey.cast("string")))
          .otherwise(okey.cast("string")).alias("InvoiceNo"),
-        F.concat(F.lit("P"), pkey.cast("string")).alias("StockCode"),
-        F.when(pkey % 400 == 3, F.lit(None).cast("string"))
+        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 401 == 7, null)
+         .otherwise(F.concat(F.lit("P"), pkey.cast("string"))).alias("StockCode"),
+        F.when(pkey % 400 == 3, null).when(together & tea.isNotNull(), tea)
          .otherwise(F.concat(F.lit(" "), F.col("p_name"), suffix, F.lit(" "))).alias("Description"),
         F.when(cancelled, -F.col("l_quantity")).when(okey % 613 == 1, F.lit(-1.0))
          .when(okey % 211 == 0, F.col("l_quantity") * 100)
@@ -78,7 +88,7 @@ def retail_raw(spark: SparkSession, sf_dir: str, with_items: bool = True) -> Dat
          .otherwise(F.col("p_retailprice")).alias("UnitPrice"),
         F.when(F.col("o_custkey") % 4 == 0, F.lit(None).cast("double"))
          .otherwise(F.col("o_custkey").cast("double")).alias("CustomerID"),
-        F.when(F.col("n_nationkey") == 0, F.lit(" united kingdom "))
+        F.when(okey % 97 == 5, null).when(F.col("n_nationkey") == 0, F.lit(" united kingdom "))
          .otherwise(F.col("n_name")).alias("Country"),
     ]
     if with_items:
@@ -117,8 +127,14 @@ def write_raw_csv(df: DataFrame, path: str, ts_format: str = "M/d/yyyy H:mm") ->
        .csv(path))
 
 
-def write_cleaned(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("Year", "Month")) -> None:
-    """Cleaned-table sink: Parquet, overwrite, partitioned for date pruning."""
+def write_cleaned(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("Year", "Month"),
+                  files: int = 8) -> None:
+    """Cleaned-table sink: Parquet, overwrite, partitioned for date pruning.
+    Lines meet by partition and salt first, so a month has at most ``files``
+    files (a large month is still written by as many tasks)."""
+    if partition_by:
+        salt = F.pmod(F.xxhash64("InvoiceNo", "StockCode"), F.lit(files))
+        df = df.repartition(*[F.col(c) for c in partition_by], salt)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
