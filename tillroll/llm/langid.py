@@ -132,8 +132,10 @@ def temperature(logits: np.ndarray, ys: np.ndarray) -> float:
 
 
 def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-        sample_per_label: int = 600, **net) -> Model:
-    """Learn from the rows of ``learn``; rows without id, label or text are left out."""
+        sample_per_label: int = 600, max_labels: int = 1000, **net) -> Model:
+    """Learn from the rows of ``learn``; rows without id, label or text are left
+    out, and so are labels beyond the ``max_labels`` most common, which bounds
+    the model."""
     learn = learn.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                          F.col(label_col).cast("string").alias("label")).dropna()
 
@@ -155,7 +157,7 @@ def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
 
     # rows of a label below a hash bound that leaves a few times the sample, then the smallest hashes
-    labels = learn.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    labels = F.broadcast(learn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(max_labels))
     order = F.xxhash64("id")
     few = (learn.select("id", "label").join(labels, "label")
            .where((order.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) < 4.0 * sample_per_label / F.col("n"))
