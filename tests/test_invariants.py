@@ -21,11 +21,14 @@ def test_period_zero_retention_is_one(lines):
 
 
 def test_sum_by_any_dimension_equals_total(lines):
-    total = lines.agg(F.sum(F.round(F.col("TotalAmount") * 10000).cast("bigint"))).first()[0] / 10000.0
-    for df in (dims.monthly_sales(lines), dims.season_sales(lines), dims.hourly_sales(lines),
-               dims.country_metrics(lines), dims.category_performance(lines)):
-        units = df.agg(F.sum(F.round(F.col("TotalAmount") * 10000).cast("bigint"))).first()[0]
-        assert units / 10000.0 == total
+    def units(df):
+        return df.agg(F.sum(F.round(F.col("TotalAmount") * 10000).cast("bigint"))).first()[0]
+
+    total = units(lines)
+    for df in (dims.monthly_sales(lines), dims.season_sales(lines), dims.hourly_sales(lines), dims.category_performance(lines)):
+        assert units(df) == total
+    # lines without a country belong to none
+    assert units(dims.country_metrics(lines)) == units(lines.where("Country IS NOT NULL")) < total
 
 
 def test_segment_shares_sum_to_100(lines):
@@ -125,6 +128,11 @@ def test_global_row_number_with_extra_columns_over_a_million_rows(spark):
 
 
 def test_invoice_features_equal_window_brute_force(lines):
+    # lines without an invoice number belong to no invoice
+    without = lines.where("InvoiceNo IS NULL")
+    assert without.count() > 0
+    assert without.where("TransactionValue IS NOT NULL OR ItemsPerTransaction IS NOT NULL OR UniqueProductsPerTransaction IS NOT NULL").count() == 0
+    lines = lines.where("InvoiceNo IS NOT NULL")
     w = Window.partitionBy("InvoiceNo")
     brute = lines.select(
         "InvoiceNo",
