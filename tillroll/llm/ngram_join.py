@@ -18,10 +18,11 @@ DivideSkip merges only the short lists and probes the long ones:
 * Pairs that are left are settled by binary probes of one whole set in the other.
 
 Equal sets are one class from the start.  Since components are wanted, a class
-is first probed against the class it meets most often among the smallest of its
-lists; components found so far then meet only others: a list's classes outside
-its most common component against all of the list.  A large group of near copies
-so costs about one probe each, and no link between components is lost.
+is first probed against a few *heads*, the classes that meet most others in its
+lists.  After that only different components can bring something new: each class
+is a query that merges its lists, in bounded chunks, and looks for classes of
+larger components alone.  A large group of near copies so costs about one probe
+each, and no link between components is lost.
 
 Texts are never shuffled; each pass over them derives what it needs.
 
@@ -36,8 +37,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillroll.llm.common import Out, partitions, rows, written
 from tillroll.llm.graph import components
@@ -46,6 +48,8 @@ from tillroll.operators.skew import join_back
 WORDS = 5
 PERCENT = 80
 LONG_LIST = 16
+HEADS = 4              # classes of a list that others are probed against first
+LIST_CHUNK = 4096      # classes of a list that travel together
 MAP_BITS = 26          # bits of the fixed bitmaps, as a power of two
 FLUSH = 2_000_000      # shingles a task gathers before it hands them on
 SEEN = 200_000         # classes a task remembers to have handed on
@@ -217,64 +221,75 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, long: np.ndarray, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The indexed shingles ``t`` of each class ``c`` (in the common order), its
-    set size ``n`` and its last indexed shingle."""
+    """The indexed shingles ``t`` of each class ``c`` (in the common order; long
+    ones are positive), its set size ``n`` and its last indexed shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(long)  # of a fixed size
 
     def run(batches):
-        out = Out(POSTS, 100_000)
+        ts, cs, ns, rows_held = [], [], [], 0
+
+        def batch():
+            k = np.array([len(t) for t in ts])
+            t = np.concatenate(ts)
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.repeat(np.array(cs, np.int64), k)), pa.array(np.repeat(np.array(ns, np.int32), k)),
+                                               pa.array(np.repeat(t[np.cumsum(k) - 1], k))], schema=POSTS)
+
         for c, s in _Texts(words).new(batches):
-            order = np.sort((s >> np.uint64(1)) | (_bit(shared.value, s).astype(np.uint64) << np.uint64(63)))
-            t = _signed(order[:len(s) - least_overlap(len(s), percent) + 1]).tolist()
-            for x in t:
-                out.add((x, c, len(s), t[-1]))
-            if out.full():
-                yield out.batch()
-        yield out.batch()
+            order = (s >> np.uint64(1)) | (_bit(shared.value, s).astype(np.uint64) << np.uint64(63))
+            order.sort()
+            ts.append(_signed(order[:len(s) - least_overlap(len(s), percent) + 1]))
+            cs.append(c)
+            ns.append(len(s))
+            rows_held += len(ts[-1])
+            if rows_held >= 100_000:
+                yield batch()
+                ts, cs, ns, rows_held = [], [], [], 0
+        if ts:
+            yield batch()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, _POSTS)
 
 
 def _met(batches):
     """Of rows sorted by (t, c): those of lists with another class, repeats
-    dropped.  A task's first and last list may go on elsewhere and are kept."""
-    out = Out(POSTS, 100_000)
-    held, shared = None, True
-    for row in rows(batches):
+    dropped.  Long lists are spread over tasks and kept as they are."""
+    held = None  # the last row so far, and whether it has met another
+    met = False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy() for i in range(4)]
         if held is not None:
-            if row[:2] == held[:2]:
-                continue
-            same = row[0] == held[0]
-            if same or shared:
-                out.add(held)
-            shared = same
-        held = row
-        if out.full():
-            yield out.batch()
-    if held is not None:
-        out.add(held)
-    yield out.batch()
-
-
-def _enough(o: str, percent: int) -> Column:
-    """Occurrences that a pair (x, y) must have among the indexed shingles."""
-    need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / F.lit(100 + percent) - F.lit(1e-9))
-
-    def least(n: str) -> Column:
-        size = F.col(n)
-        return (size - F.ceil(size * percent / F.lit(100) - F.lit(1e-9)) + 1) - size + need
-
-    return F.col(o) >= F.when(F.col("xlast") <= F.col("ylast"), least("xn")).otherwise(least("yn"))
+            cols = [np.concatenate((x, y)) for x, y in zip(held, cols, strict=True)]
+        t, c = cols[0], cols[1]
+        new = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
+        cols = [x[new] for x in cols]
+        t = cols[0]
+        same = t[1:] == t[:-1]
+        shared = np.concatenate(([met], same)) | np.concatenate((same, [False]))
+        held, met = [x[-1:] for x in cols], bool(shared[-1])
+        out = (shared | (t > 0))[:-1]
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in cols], schema=POSTS)
+    if held is not None and (met or held[0][0] > 0):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], schema=POSTS)
+
+
+def met_postings(posts: DataFrame) -> DataFrame:
+    """Postings that share their list.  Only long lists can be hot: those are
+    dealt out by class as well."""
+    salt = F.when(F.col("t") > 0, F.pmod(F.xxhash64("c"), F.lit(64))).otherwise(F.lit(0))
+    return (posts.repartition(partitions(posts), F.col("t"), salt).sortWithinPartitions("t", "c").mapInArrow(_met, _POSTS))
 
 
 SETS = pa.schema([("c", pa.int64()), ("s", pa.binary())])
 
 
-def candidate_sets(docs: DataFrame, posts: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """The whole sets of the classes in ``posts``.  A fixed bitmap of the classes
+def candidate_sets(docs: DataFrame, pairs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """The whole sets of the classes in ``pairs`` (x, y).  A fixed bitmap of them
     keeps other documents out before the shuffle."""
     buckets = _buckets(partitions(docs))
-    classes = posts.select("c").distinct()
+    classes = pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct()
 
     def blobs(batches):
         out = Out(pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
@@ -317,44 +332,89 @@ def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(xs, "x").join(ys, "y").select("x", "y", "xs", "ys").mapInArrow(run, "u long, v long")
 
 
+def _merge(percent: int):
+    """Merge the lists of each query (rows sorted by it) and keep the classes of
+    larger components that occur often enough for the similarity."""
+
+    def found(q, lists):
+        x, xn, xlast, xk, xks = q
+        c, n, last, k, ks = (np.concatenate([np.asarray(a.field(i)) for a in lists]) for i in range(5))
+        ok = ((ks > xks) | ((ks == xks) & (k > xk))) & (100 * np.minimum(n, xn) >= percent * np.maximum(n, xn))
+        c, at, o = np.unique(c[ok], return_index=True, return_counts=True)
+        n, last = n[ok][at].astype(np.int64), last[ok][at]
+        need = -(-percent * (n + xn) // (100 + percent))
+
+        def least(size):  # occurrences among the indexed part of a set that ends first
+            return size - -(-percent * size // 100) + 1 - size + need
+
+        enough = o >= np.where(xlast <= last, least(np.int64(xn)), least(n))
+        return c[enough]
+
+    def run(batches):
+        out = Out(pa.schema([("x", pa.int64()), ("y", pa.int64())]))
+        query, lists = None, []
+
+        def close():
+            for y in found(query, lists).tolist():
+                out.add((query[0], y))
+
+        for b in batches:  # x, xn, xlast, xk, xks, list
+            head = list(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+            for i, q in enumerate(head):
+                if q != query:
+                    if query is not None:
+                        close()
+                    query, lists = q, []
+                lists.append(b.column(5)[i].values)
+            if out.full():
+                yield out.batch()
+        if query is not None:
+            close()
+        yield out.batch()
+
+    return run
+
+
+def cross_pairs(posts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that may reach the similarity:
+    every class of a smaller component (by size, then name) is a query against
+    the lists it shares with larger ones."""
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("ks"))
+    known = written(known.join(sizes, "component").select(F.col("node").alias("c"), F.col("component").alias("k"), "ks"), "sized_components")
+    at = written(posts.join(known, "c", "left").withColumns({"k": F.coalesce("k", "c"), "ks": F.coalesce("ks", F.lit(1))}), "placed")
+    rank = F.struct("ks", "k")
+    lists = written(at.groupBy("t").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("m"), F.min(rank).alias("low"))
+                    .where("top != low").select("t", "top", F.ceil(F.col("m") / LIST_CHUNK).cast("int").alias("chunks")), "open_lists")
+    here = written(at.join(lists, "t"), "open_postings")
+    chunk = F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")
+    chunks = here.groupBy("t", chunk.alias("chunk")).agg(F.collect_list(F.struct("c", "n", "last", "k", "ks")).alias("list"))
+    queries = here.where(rank < F.col("top")).select("t", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("last").alias("xlast"),
+                                                      F.col("k").alias("xk"), F.col("ks").alias("xks"))
+    merged = queries.join(written(chunks.select("t", "list"), "list_chunks"), "t").select("x", "xn", "xlast", "xk", "xks", "list")
+    return merged.repartition(partitions(posts), "x").sortWithinPartitions("x").mapInArrow(_merge(percent), "x long, y long")
+
+
 def class_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long_list: int = LONG_LIST,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node, component`` of the classes that link with another one."""
-    n = partitions(docs)
     long = long_shingles(docs, words, long_list, id_col, text_col)
-    posts = written(postings(docs, long, words, percent, id_col, text_col).repartitionByRange(n, "t", "c")
-                    .sortWithinPartitions("t", "c").mapInArrow(_met, _POSTS), "postings")
-    sets = written(candidate_sets(docs, posts, words, id_col, text_col), "candidate_sets")
+    posts = written(met_postings(postings(docs, long, words, percent, id_col, text_col)), "postings")
 
-    # each class with the class it meets most often as the first of a list
-    heads = written(posts.groupBy("t").agg(F.min(F.struct("c", "n")).alias("y")), "heads")
+    # the heads of each list, and for each class those it meets most often
+    counts = written(posts.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "class_counts")
+    first = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("m"), "c"))
+    heads = written(posts.join(counts, "c").withColumn("r", first).where(F.col("r") <= HEADS).select("t", F.struct("c", "n").alias("y")), "heads")
     meets = posts.join(heads, "t").where("c != y.c").groupBy(F.col("c").alias("x"), F.col("y.c").alias("y")).agg(
         F.count(F.lit(1)).alias("o"), F.first("n").alias("xn"), F.first("y.n").alias("yn"))
-    sized = meets.where((100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
-                        & (4 * F.col("o") >= F.col("xn") * (100 - percent) / 100))
-    star = sized.groupBy("x").agg(F.max_by("y", F.struct("o", "y")).alias("y"))
-    links = written(probed(star, sets, percent), "star_links")
-
-    # what is left between components
-    known = written(components(links), "star_components")
-    at = written(posts.join(known.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"), "placed")
-    mass = at.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m"))
-    main = written(mass.groupBy("t").agg(F.max(F.struct("m", "k")).alias("main"), F.count(F.lit(1)).alias("ks")).where("ks > 1")
-                   .select("t", F.col("main.k").alias("main")), "main_components")
-    open_lists = written(at.join(main, "t"), "open_lists")
-
-    def side(p: str) -> DataFrame:
-        return open_lists.select("t", F.col("c").alias(p), F.col("n").alias(p + "n"), F.col("last").alias(p + "last"),
-                                 F.col("k").alias(p + "k"), (F.col("k") == F.col("main")).alias(p + "main"))
-
-    pairs = (side("x").where("not xmain").join(side("y"), "t")
-             .where("xk != yk and (ymain or x < y)")
-             .where(100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")))
-    flip = F.col("x") > F.col("y")
-    cols = [F.when(flip, F.col(b + s)).otherwise(F.col(a + s)).alias(a + s) for s in ("", "n", "last") for a, b in (("x", "y"), ("y", "x"))]
-    counted = pairs.select(*cols).groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("o"), *[F.first(c).alias(c) for c in ("xn", "yn", "xlast", "ylast")])
-    rest = written(probed(counted.where(_enough("o", percent)), sets, percent), "cross_links")
+    often = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("o"), "y"))
+    star = (meets.where(100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+            .where(F.col("o") * 400 >= F.col("xn") * (100 - percent))  # a quarter of what near copies share here
+            .withColumn("r", often).where(F.col("r") <= HEADS).select("x", "y"))
+    star = written(star, "star_pairs")
+    links = written(probed(star, written(candidate_sets(docs, star, words, id_col, text_col), "star_sets"), percent), "star_links")
+
+    cross = written(cross_pairs(posts, components(links), percent), "cross_pairs")
+    rest = written(probed(cross, written(candidate_sets(docs, cross, words, id_col, text_col), "cross_sets"), percent), "cross_links")
     return components(links.unionByName(rest))
 
 
