@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from tests.llm.helpers import CLASHES, docs, words
 from tests.llm.test_text_dedup import brute_components, brute_near_lines, brute_repeats
-from tillroll.llm import line_dedup, substring_dedup
+from tillroll.llm import line_dedup, substring_dedup, units
 
 LETTERS = {"aa": "abcdefgh", "bb": "mnopqrst"}
 
@@ -15,7 +15,8 @@ def corpus() -> list[tuple]:
     rows = []
     for i in range(240):
         lang = rng.choice(list(LETTERS))
-        rows.append((i, "\n".join(words(rng, rng.randint(8, 25), LETTERS[lang]) for _ in range(rng.randint(1, 4))), lang))
+        rows.append((i, "\n".join(". ".join(words(rng, rng.randint(8, 15), LETTERS[lang]) for _ in range(rng.randint(1, 3)))
+                               for _ in range(rng.randint(1, 4))), lang))
     for i in range(240, 270):  # copies and near copies
         _, text, lang = rows[rng.randrange(240)]
         if i % 2:
@@ -27,6 +28,16 @@ def corpus() -> list[tuple]:
     return rows
 
 
+def without_units(rows, gone):
+    out = []
+    for key, text, lang in rows:
+        spans = [(g[2], g[3]) for g in gone if g[0] == key]
+        left = units.cut(text, spans) if spans else text
+        if not spans or left.strip():
+            out.append((key, left, lang))
+    return out
+
+
 def without(rows, gone):
     out = []
     for key, text, lang in rows:
@@ -60,7 +71,7 @@ def test_stages(spark):
     want = [r for r in want if least[r[0]] == r[0]]
     got, df = step("ngram_jaccard_join", df)
     assert got == sorted(want)
-    want = without(want, brute_repeats([r[:2] for r in want], substring_dedup.MIN_WORDS))
+    want = without_units(want, brute_repeats([r[:2] for r in want], substring_dedup.MIN_WORDS))
     got, df = step("substring_dedup", df)
     assert got == sorted(want)
     packed = stages["best_fit_packing"](spark, df, "").collect()

@@ -95,39 +95,77 @@ def test_line_dedup_of_awkward_rows(spark):
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
+def all_units(rows, min_words):
+    """(place, whole, normal form) of lines and of their sentences."""
+    for (key, i, start, end), x in all_lines(rows):
+        if len(x.split()) < min_words:
+            continue
+        yield (key, i, start, end), True, x
+        line = next(t for k, t in rows if k == key)[start:end]
+        parts = re.findall(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+", line)
+        assert "".join(parts) == line
+        at = start
+        for part in parts if len(parts) > 1 else ():
+            if len(part.split()) >= min_words:
+                yield (key, i, at, at + len(part)), False, units.normal(part)
+            at += len(part)
+
+
 def brute_repeats(rows, min_words):
-    first, out = {}, set()
-    for place, x in sorted(all_lines(rows), key=lambda v: rank(v[0])):
-        if len(x.split()) >= min_words:
-            if x in first and first[x][:2] != place[:2]:
-                out.add((*place, *first[x][:3]))
-            first.setdefault(x, place)
-    return out
+    first, gone = {}, []
+    for place, whole, x in sorted(all_units(rows, min_words), key=lambda v: (v[0][0] is not None, v[0][0] or 0, v[0][2], v[0][3])):
+        if x in first:
+            gone.append((place, whole, first[x]))
+        first.setdefault(x, place)
+    lost = {p[:2] for p, whole, _ in gone if whole}
+    return {(*p, f[0], f[2], f[3]) for p, whole, f in gone if whole or p[:2] not in lost}
+
+
+def with_sentences(seed: int) -> list[tuple]:
+    """Lines of several sentences, some of which repeat elsewhere."""
+    rng = random.Random(seed)
+    pool = [words(rng, rng.randint(2, 9)) + rng.choice([".", "!", "?", "..."]) for _ in range(15)]
+    return [(i, "\n".join(rng.choice([" ", "  ", "\t"]).join(rng.choice(pool) if rng.random() < 0.4 else words(rng, 6) + "." for _ in range(rng.randint(1, 5)))
+                          for _ in range(rng.randint(0, 4)))) for i in range(50)]
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_repeated_lines_equal_brute_force(spark, seed):
+def test_repeats_equal_brute_force(spark, seed):
     rows = corpus(seed) + [(100, "\n".join(["a line of more than eight words that one document repeats"] * 3))]
+    rows += [(200 + k, t) for k, t in with_sentences(seed)]
     got = substring_dedup.removed_spans(docs(spark, rows, CLASHES), min_words=4).collect()
+    assert len(got) == len(set(got))
     assert {tuple(r) for r in got} == brute_repeats(rows, 4)
-    for r in got:  # original offsets
-        text = dict(rows)[r.doc_id]
-        assert units.normal(text[r.start:r.end]) == units.normal(text.split("\n")[r.line])
+    texts = dict(rows)
+    for r in got:  # original offsets of equal units
+        assert units.normal(texts[r.doc_id][r.start:r.end]) == units.normal(texts[r.kept_doc_id][r.kept_start:r.kept_end])
     left = {r.doc_id: r.text for r in substring_dedup.deduplicated(docs(spark, rows), min_words=4).collect()}
-    gone = {(r.doc_id, r.line) for r in got}
+    lost = {r.doc_id for r in got}
     for key, text in rows:
-        want = "\n".join(x for i, x in enumerate(text.split("\n")) if (key, i) not in gone)
-        if any(k == key for k, _ in gone) and not want.strip():
+        spans = [(r.start, r.end) for r in got if r.doc_id == key]
+        if key in lost and not units.cut(text, spans).strip():
             assert key not in left
         else:
-            assert left[key] == want
+            assert left[key] == units.cut(text, spans)
+            assert key in lost or left[key] == text
+
+
+def test_cut():
+    text = "One two. Three four! Five\n\nSix. Seven."
+    assert units.cut(text, []) == text
+    assert units.cut(text, [(9, 21)]) == "One two. Five\n\nSix. Seven."
+    assert units.cut(text, [(21, 25)]) == "One two. Three four!\n\nSix. Seven."
+    assert units.cut(text, [(0, 25)]) == "\nSix. Seven."
+    assert units.cut(text, [(27, 32), (32, 38)]) == "One two. Three four! Five\n"
 
 
 def test_substring_dedup_of_awkward_rows(spark):
     long = "one two three four five six seven eight nine ten"
-    rows = awkward(random.Random(6)) + [(30, long), (31, long.upper() + "\nrest"), (None, long)]
+    rows = awkward(random.Random(6)) + [(30, long), (31, long.upper() + "\nrest"), (32, "Some start. " + long + "! And an end"), (None, long),
+                                        (33, "Another start. " + long + "! Then")]
     got = {tuple(r) for r in substring_dedup.removed_spans(docs(spark, rows, CLASHES)).collect()}
-    assert got == {(30, 0, 0, len(long), None, 0, 0), (31, 0, 0, len(long), None, 0, 0)}
+    n = len(long)
+    assert got == {(30, 0, 0, n, None, 0, n), (31, 0, 0, n, None, 0, n), (33, 0, 15, 17 + n, 32, 12, 14 + n)}
     assert substring_dedup.removed_spans(docs(spark, [])).count() == 0
 
 

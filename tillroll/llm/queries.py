@@ -99,13 +99,21 @@ comp AS (SELECT v, min(c) AS c FROM reach GROUP BY v),
 deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(deg.n, 0) AS n_links, comp.c AS component_id, e.vec_id = comp.c AS kept
 FROM embeddings e JOIN comp ON comp.v = e.vec_id LEFT JOIN deg ON deg.a = e.vec_id""",
-    "op4_substring_dedup": f"""
+    "op4_substring_dedup": rf"""
 WITH {_LINES},
+pieces AS (SELECT doc_id, line, start_at, regexp_extract_all(l, '[^.!?]*[.!?]+[ \t]*|[^.!?]+') AS ps FROM lines),
+piece AS (SELECT doc_id, line, start_at, unnest(ps) AS l, generate_subscripts(ps, 1) AS i FROM pieces WHERE len(ps) > 1),
+placed AS (
+  SELECT doc_id, line, l, CAST(start_at + sum(length(l)) OVER (PARTITION BY doc_id, line ORDER BY i) - length(l) AS BIGINT) AS start_at
+  FROM piece),
+every AS (
+  SELECT doc_id, line, start_at, start_at + length(l) AS end_at, norm, TRUE AS whole FROM lines
+  UNION ALL SELECT doc_id, line, start_at, start_at + length(l), trim(regexp_replace(lower(l), '\s+', ' ', 'g')), FALSE FROM placed),
 units AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(line) OVER w AS kept_line, first_value(start_at) OVER w AS kept_start
-  FROM lines WHERE len(string_split(norm, ' ')) >= 8 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, line))
-SELECT doc_id, line, start_at AS "start", start_at + length(l) AS "end", kept_doc_id, kept_line, kept_start
-FROM units WHERE (doc_id, line) <> (kept_doc_id, kept_line)""",
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start_at) OVER w AS kept_start, first_value(end_at) OVER w AS kept_end
+  FROM every WHERE len(string_split(norm, ' ')) >= 8 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start_at, end_at)),
+gone AS (SELECT *, max(whole) OVER (PARTITION BY doc_id, line) AS goes FROM units WHERE (doc_id, start_at, end_at) <> (kept_doc_id, kept_start, kept_end))
+SELECT doc_id, line, start_at AS "start", end_at AS "end", kept_doc_id, kept_start, kept_end FROM gone WHERE whole OR NOT goes""",
     "op5_ngram_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w

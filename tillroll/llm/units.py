@@ -1,8 +1,9 @@
-"""Lines of texts with their places, shared by the line operators."""
+"""Lines and sentences of texts with their places, shared by the line operators."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,16 +21,46 @@ def lines(text: str) -> Iterator[tuple[int, int, str]]:
         start += len(line) + 1
 
 
+_SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+")
+
+
+def sentences(start: int, line: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, sentence) of a line's sentences with the blanks after them;
+    together they are the whole line."""
+    for m in _SENTENCE.finditer(line):
+        yield start + m.start(), start + m.end(), m[0]
+
+
 def normal(line: str) -> str:
     """Lower case, blanks collapsed and trimmed."""
     return " ".join(line.lower().split())
 
 
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, each a whole line or a sentence of one.  A
+    line that is left blank by them goes with its line feed."""
+    gone: dict[int, list[int]] = {}
+    for s, e in sorted(spans):
+        gone.setdefault(s, []).append(e)
+    out = []
+    for start, end, line in lines(text):
+        if end in gone.get(start, ()):
+            continue
+        left = "".join(x for s, e, x in sentences(start, line) if e not in gone.get(s, ()))
+        if left != line:
+            left = left.rstrip(" \t")
+            if not left:
+                continue
+        out.append(left)
+    return "\n".join(out)
+
+
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans ``(doc_id, start)`` of whole lines taken out of
-    their texts, all columns kept.  Documents that lose all their text go;
-    others, empty ones too, stay.  A document's spans are bounded by its lines."""
-    per_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("_gone"))
+    """``docs`` with the spans ``(doc_id, start, end)`` of whole lines or of
+    sentences taken out of their texts, all columns kept.  Documents that lose
+    all their text go; others, empty ones too, stay.  A document's spans are
+    bounded by its length."""
+    per_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
     schema = docs.schema
     k, t = docs.columns.index(text_col), len(docs.columns)
 
@@ -37,8 +68,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
         for batch in batches:
             texts, keep = [], []
             for text, gone in zip(batch.column(k), batch.column(t), strict=True):
-                x, g = text.as_py(), set(gone.as_py() or ())
-                left = "\n".join(line for s, _, line in lines(x) if s not in g) if g and x is not None else x
+                x, g = text.as_py(), [(s["start"], s["end"]) for s in gone.as_py() or ()]
+                left = cut(x, g) if g and x is not None else x
                 texts.append(left)
                 keep.append(not (g and not (left or "").strip()))
             cols = [pa.array(texts, pa.string()) if i == k else batch.column(i) for i in range(t)]
@@ -50,21 +81,29 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
     return joined.mapInArrow(run, types).toDF(*docs.columns)
 
 
-UNITS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-_UNITS = "doc_id long, line long, start long, end long, a long, b long"
+UNITS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("whole", pa.bool_()),
+                   ("a", pa.int64()), ("b", pa.int64())])
+_UNITS = "doc_id long, line long, start long, end long, whole boolean, a long, b long"
 
 
 def digests(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per line of at least ``min_words`` words: place and the two halves
-    of the MD5 of its normal form."""
+    """A row per line, and per sentence of a line with several, of at least
+    ``min_words`` words: place and the two halves of the MD5 of its normal form."""
+
     def run(batches):
         out = Out(UNITS)
         for key, text in rows(batches):
             for i, (start, end, line) in enumerate(lines(text or "")):
                 words = line.lower().split()
-                if len(words) >= min_words:
-                    h = hashlib.md5(" ".join(words).encode("utf-8", "replace")).digest()
-                    out.add((key, i, start, end, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
+                if len(words) < min_words:
+                    continue
+                parts = [(start, end, True, words)]
+                inner = list(sentences(start, line))
+                if len(inner) > 1:
+                    parts += [(s, e, False, w) for s, e, x in inner if len(w := x.lower().split()) >= min_words]
+                for s, e, whole, w in parts:
+                    h = hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest()
+                    out.add((key, i, s, e, whole, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
             if out.full():
                 yield out.batch()
         yield out.batch()
