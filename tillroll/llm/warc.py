@@ -67,13 +67,14 @@ def http_head(payload_bytes: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
 
 
-def urn(page_id: int | None) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def urn(page_id: int | None, archive: str, ordinal: int) -> str:
+    """Record id: the page's id and the record's place, as ids may repeat."""
+    return f"urn:page:{'' if page_id is None else page_id}/{archive}/{ordinal}"
 
 
 def _page(value: str) -> int | None:
-    tail = value.strip("<>").rpartition(":")[2]
-    return int(tail) if tail else None
+    key = value.strip("<>")[len("urn:page:"):].partition("/")[0]
+    return int(key) if key else None
 
 
 def _store(root: str):
@@ -116,9 +117,10 @@ def capture(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str =
                 name = f"raw/part-{task:05d}-{archive:04d}.warc.gz"
                 sink, gz, size, n = Sink(root, name), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
             digest = sha1_base32(payload)
-            uri = re.sub(r"[\x00-\x20\x7f]+", "%20", url) if url else urn(page_id)
+            own = urn(page_id, name, n)
+            uri = re.sub(r"[\x00-\x20\x7f]+", "%20", url) if url else own
             block = http_head(len(payload)) + payload
-            sink.write(gz.compress(record("response", urn(page_id), uri, digest, block)))
+            sink.write(gz.compress(record("response", own, uri, digest, block)))
             out.add((name, n, page_id, digest, len(payload)))
             size, n = size + len(block), n + 1
             if n >= ARCHIVE_RECORDS or size >= ARCHIVE_BYTES:
@@ -136,8 +138,8 @@ def capture(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str =
 
 
 def revisits(captured: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``captured`` with ``refers_to`` (a struct with the response's id) for the
-    records that become revisits.  Digests are reduced to one row each before
+    """Place of every record, whether it becomes a revisit, and the id and place
+    of the response with its payload.  Digests are reduced to one row each before
     they meet the records again; a very common one is joined map-side."""
     place = F.struct("page_id", "archive", "ordinal")
     best = written(captured.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(place).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -146,7 +148,8 @@ def revisits(captured: DataFrame, min_bytes: int = 0) -> DataFrame:
     short = captured.where(F.col("bytes") < min_bytes).withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
     own = (F.col("best.archive") == F.col("archive")) & (F.col("best.ordinal") == F.col("ordinal"))
     return long_enough.unionByName(short).select(
-        "archive", "ordinal", (F.col("best").isNotNull() & ~own).alias("revisit"), F.col("best.page_id").alias("refers_to"))
+        "archive", "ordinal", (F.col("best").isNotNull() & ~own).alias("revisit"), F.col("best.page_id").alias("to_page"),
+        F.col("best.archive").alias("to_archive"), F.col("best.ordinal").alias("to_ordinal"))
 
 
 def inflate_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -186,18 +189,19 @@ def _chunks(root: str, name: str, size: int = 1 << 20) -> Iterator[bytes]:
 
 def normalise(decided: DataFrame, root: str) -> DataFrame:
     """Rewrite every monolithic archive with a member per record and a sidecar
-    (JSON lines) of offsets.  ``decided``: archive, ordinal, revisit, refers_to
-    of each record.  Returns a row per archive."""
+    (JSON lines) of offsets.  ``decided``: what ``revisits`` says of each record.
+    Returns a row per archive."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         name = group["archive"].iloc[0]
-        refers = {int(o): (None if pd.isna(r) else int(r)) for o, v, r in zip(group["ordinal"], group["revisit"], group["refers_to"], strict=True) if v}
+        to = zip(group["ordinal"], group["revisit"], group["to_page"], group["to_archive"], group["to_ordinal"], strict=True)
+        refers = {int(o): urn(None if pd.isna(p) else int(p), a, int(n)) for o, revisit, p, a, n in to if revisit}
         to = name.replace("raw/", "members/", 1)
         members, index, n = Sink(root, to), Sink(root, to + ".idx"), 0
         for k, (head, block) in enumerate(inflate_records(_chunks(root, name))):
             kind, target = head["WARC-Type"], ""
             if k in refers:
-                kind, target = "revisit", urn(refers[k])
+                kind, target = "revisit", refers[k]
                 block = block[:block.index(b"\r\n\r\n") + 4]
             member = zlib.compressobj(6, zlib.DEFLATED, 31)
             record_id = head["WARC-Record-ID"].strip("<>")
