@@ -1,13 +1,13 @@
 """Corpus pipeline: from raw documents to packed training sequences.
 
 1. ``language_id``: documents whose language can't be told go (no letters, or a
-   calibrated score below one half).
+   calibrated score below 0.4).
 2. ``line_dedup``: lines that an earlier document (or line) has, exactly or with
    one character changed, go; a document that loses all its text goes.
 3. ``ngram_jaccard_join``: of documents with a 5-word-shingle similarity of 0.8 or
    more, directly or through others, that with the smallest id stays.
-4. ``substring_dedup``: repeated lines of eight words or more go, also short ones
-   that stage 2 leaves; a document that loses all its text goes.
+4. ``substring_dedup``: repeated lines and sentences of eight words or more go,
+   also such as stand inside a line; a document that loses all its text goes.
 5. ``best_fit_packing``: the rest is tokenized and packed into sequences.
 
 Each stage works on all that its predecessor kept and is written as Parquet.

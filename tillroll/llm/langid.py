@@ -210,7 +210,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
     """The documents whose language is found with a score of at least
     ``min_score``, all columns kept; the others are rejected."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), text_col=text_col)
