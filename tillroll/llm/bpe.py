@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import Out, rows
 
-CACHE_WORDS = 200_000  # words whose ids a worker remembers; then it starts anew
+CACHE_WORDS = 500_000  # words that a generation of a worker's cache holds
 CACHE_WORD_CHARS = 64
 CHUNK_CHARS = 1 << 16  # text is taken in chunks of about so many characters
 
@@ -72,9 +72,8 @@ class BpeModel:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.suffix: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.rank = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
         self.lookahead = self._lookahead(merges)
         self.window = 4 * (self.lookahead + 1) if self.lookahead is not None else None
         letters = byte_letters()
@@ -121,34 +120,36 @@ class BpeModel:
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of ``ids``: lowest rank first, then leftmost."""
-        merges = self.merges
-        if len(ids) <= 24:
-            while len(ids) > 1:
-                best = min((merges.get(p, (1 << 60, 0)) + (i,) for i, p in enumerate(zip(ids, ids[1:], strict=False))))
-                if best[0] == 1 << 60:
-                    break
-                ids[best[2]:best[2] + 2] = [best[1]]
+        rank, made = self.rank.get, self.made
+        if len(ids) <= 4096:
+            none = len(made)
+            ranks = [rank(p, none) for p in zip(ids, ids[1:], strict=False)]
+            while ranks and (best := min(ranks)) < none:
+                i = ranks.index(best)
+                new = made[best]
+                ids[i:i + 2] = [new]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank((ids[i - 1], new), none)
+                if i < len(ranks):
+                    ranks[i] = rank((new, ids[i + 1]), none)
             return ids
         n = len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            m = merges.get((ids[i], ids[i + 1]))
-            if m:
-                heap.append((m[0], i, ids[i], ids[i + 1], m[1]))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = nxt[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = made[r], -1
             nxt[i] = nxt[j]
             if nxt[j] < n:
                 prv[nxt[j]] = i
             for x, y in ((prv[i], i), (i, nxt[i])):
-                if x >= 0 and y < n and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y < n and (r := rank((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
     def word(self, word: str) -> list[int]:
@@ -188,6 +189,10 @@ class BpeModel:
 
     # ---- text ------------------------------------------------------------
 
+    def parts(self, text: str) -> list[str]:
+        """The text cut at special tokens, which are parts of their own."""
+        return self.special_split.split(text) if any(s in text for s in self.special) else [text]
+
     def normal(self, text: str) -> str:
         """NFC and lower case letter by letter (a final sigma is not special), if
         the file asks for lower case.  White space is left: such files drop it."""
@@ -201,20 +206,29 @@ class BpeModel:
 
 
 class Words(dict):
-    """Ids of the words seen last, as little-endian 32-bit integers; holds at
-    most CACHE_WORDS words."""
+    """What a worker found for the words seen last.  Two generations of at most
+    CACHE_WORDS words: a full one becomes the old one, from which words that
+    still come are taken over."""
 
-    def __init__(self, encode):
+    def __init__(self, find):
         super().__init__()
-        self.encode = encode
+        self.find, self.old = find, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.encode(word), "<u4").tobytes()
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            found = self.find(word)
         if len(word) <= CACHE_WORD_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return np.asarray(ids, "<u4").tobytes()
 
 
 def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
@@ -237,14 +251,13 @@ class StreamEncoder:
     """Ids of a text that comes in chunks (see ``chunks``)."""
 
     def __init__(self, model: BpeModel):
-        self.model, self.words = model, Words(model.word)
+        self.model, self.words = model, Words(lambda w: packed(model.word(w)))
 
     def encode(self, text: str) -> Iterator[bytes]:
         m = self.model
-        parts = m.special_split.split(text) if m.special_split and "<|" in text else [text]
-        for part in parts:
+        for part in m.parts(text):
             if part in m.special:
-                yield np.asarray([m.special[part]], "<u4").tobytes()
+                yield packed([m.special[part]])
                 continue
             for chunk in chunks(part):
                 yield b"".join(map(self.words.__getitem__, m.pattern.findall(m.normal(chunk))))

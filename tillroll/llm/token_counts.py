@@ -26,11 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.bpe import BpeModel, byte_letters, chunks
+from tillroll.llm.bpe import BpeModel, Words, byte_letters, chunks
 from tillroll.llm.common import Out, rows
 
-CACHE_WORDS = 300_000
-
 
 class LongestMatch:
     """Trie with failure links and popped-piece counts."""
@@ -97,21 +95,9 @@ class LongestMatch:
         return n
 
 
-class _Counts(dict):
-    """Piece counts of the words seen last; bounded."""
-
-    def __init__(self, automaton: LongestMatch, bytewise: bool):
-        super().__init__()
-        self.automaton, self.letters = automaton, byte_letters() if bytewise else None
-
-    def __missing__(self, word: str) -> int:
-        text = "".join([self.letters[b] for b in word.encode("utf-8", "replace")]) if self.letters else word
-        n = self.automaton.count(text)
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = n
-        return n
+def _bytewise(automaton: LongestMatch):
+    letters = byte_letters()
+    return lambda word: automaton.count("".join([letters[b] for b in word.encode("utf-8", "replace")]))
 
 
 _READY: dict[tuple[str, str], tuple] = {}
@@ -126,11 +112,11 @@ def counter(path: str, mark: str = "") -> tuple:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             pattern = regex.compile(BpeModel._pattern(spec["pre_tokenizer"]))
-            _READY[path, mark] = pattern, _Counts(LongestMatch(spec["model"]["vocab"], mark), True)
+            _READY[path, mark] = pattern, Words(_bytewise(LongestMatch(spec["model"]["vocab"], mark)))
         else:
             with open(path, encoding="utf-8") as f:
                 pieces = [x.rstrip("\n") for x in f]
-            _READY[path, mark] = regex.compile(r"\S+"), _Counts(LongestMatch(pieces, mark), False)
+            _READY[path, mark] = regex.compile(r"\S+"), Words(LongestMatch(pieces, mark).count)
     return _READY[path, mark]
 
 
