@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
-Tokenizing: ids of a whole text and an end id; only documents of more than
+Tokenizing: ids of a whole text (those of the tokenizers library, see
+``ids_of``) and an end id; only documents of more than
 ``capacity`` ids are cut, into full pieces from the end, so that the first may
 be shorter.
 
@@ -25,12 +26,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.bpe import BpeModel, Words, chunks
+from tillroll.llm.bpe import BpeModel, byte_letters, packed
 from tillroll.llm.common import Out, rows, written
 
 CAPACITY = 2048
@@ -39,6 +39,61 @@ TASK_PIECES = 16_384
 FAN_IN = 16
 
 
+class OpenBins:
+    """A bounded set of open bins, found by free space."""
+
+    def __init__(self, capacity: int, limit: int):
+        self.capacity, self.limit = capacity, limit
+        self.bits, self.n = 0, 0
+        self.stacks: list[list] = [[] for _ in range(capacity + 1)]
+
+    def take(self, least: int):
+        """The fullest open bin with at least ``least`` free, or None."""
+        up = self.bits >> least
+        if not up:
+            return None
+        free = least + (up & -up).bit_length() - 1
+        stack = self.stacks[free]
+        found = stack.pop()
+        if not stack:
+            self.bits &= ~(1 << free)
+        self.n -= 1
+        return found, free
+
+    def put(self, item, free: int):
+        """Keep a bin open; returns the bin that closes for it, if any."""
+        if free == 0:
+            return item, 0
+        self.stacks[free].append(item)
+        self.bits |= 1 << free
+        self.n += 1
+        return self.take(0) if self.n > self.limit else None
+
+    def rest(self) -> Iterator:
+        while (x := self.take(0)) is not None:
+            yield x
+
+
+def pack(pieces: Iterable[tuple[object, int]], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> Iterator[tuple[object, int, int]]:
+    """Bins for (piece, length): yields (piece, bin, offset) as pieces come and
+    at the end (None, bin, used) for each open bin that is half full at most."""
+    bins, made = OpenBins(capacity, open_bins), 0
+    for piece, length in pieces:
+        found = bins.take(length)
+        if found is None:
+            found, made = (made, capacity), made + 1
+        number, free = found
+        yield piece, number, capacity - free
+        bins.put(number, free - length)
+    for number, free in bins.rest():
+        if 2 * free >= capacity:
+            yield None, number, capacity - free
+
+
+PIECES = 16_384
+FAN_IN = 16
+
+
 class OpenBins:
     """A bounded set of open bins, found by free space."""
 
@@ -99,7 +154,7 @@ def _tokenizer(path: str) -> tuple:
 
         library = Tokenizer.from_file(path)
         model = BpeModel(path)
-        _TOKENIZERS[path] = model, Words(lambda w: library.encode(w, add_special_tokens=False).ids)
+        _TOKENIZERS[path] = model, Words(lambda w: packed(library.encode(w, add_special_tokens=False).ids))
     return _TOKENIZERS[path]
 
 
@@ -111,25 +166,48 @@ def _ids(path: str, text: str) -> bytes:
     out = []
     for part in parts:
         if part in model.special:
-            out.append(np.asarray([model.special[part]], "<u4").tobytes())
+            out.append(packed([model.special[part]]))
         else:
             for chunk in chunks(part):
                 out += map(words.__getitem__, model.pattern.findall(chunk))
     return b"".join(out)
 
 
+_READY: dict[str, tuple] = {}
+
+
+def _tokenizer(path: str) -> tuple:
+    """A worker's byte-level BPE with the vocabulary, word pattern and special
+    tokens of a tokenizers file: their ids, from a faster library."""
+    if path not in _READY:
+        import tiktoken
+
+        model = BpeModel(path)
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(byte[c] for c in s): i for s, i in model.vocab.items() if s not in model.special}
+        _READY[path] = model, tiktoken.Encoding("own", pat_str=model.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
+    return _READY[path]
+
+
+def ids_of(path: str, text: str) -> bytes:
+    """Ids of a whole text as little-endian unsigned 32-bit integers."""
+    model, words = _tokenizer(path)
+    return b"".join(packed([model.special[p]]) if p in model.special else words.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes()
+                    for p in model.parts(text))
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece of at most ``capacity`` ids; no shuffle."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = packed([end_id])
 
     def run(batches):
         out = Out(PIECES)
         for key, text in rows(batches):
-            ids = _ids(tokenizer, text or "") + end
+            ids = ids_of(tokenizer, text or "") + end
             n, start, k = len(ids) // 4, 0, 0
             length = n % capacity or capacity
             while start < n:
