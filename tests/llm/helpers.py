@@ -24,7 +24,7 @@ def docs(spark: SparkSession, rows: list[tuple], extra: dict[str, object] | None
 
 #: Names that operators use inside.
 CLASHES = {"line": 1, "start": 2, "end": 3, "h": 4, "x": "x", "t": 5, "c": 6, "n": 7, "u": 8, "v": 9, "id": 10, "component": 11, "first": 12, "best": 13,
-           "k": 14, "p": 15, "node": 16, "q": 17, "d": 18, "new": True, "ids": 19, "piece": 20, "bin": 21, "length": 22, "score": 0.5, "lang_pred": "zz"}
+           "k": 14, "p": 15, "node": 16, "q": 17, "d": 18, "new": True, "ids": 19, "piece": 20, "bin": 21, "length": 22, "score": 0.5, "lang_pred": "zz", "_id": 23}
 
 
 def words(rng: random.Random, n: int, alphabet: str = "abcdefghij") -> str:

@@ -38,6 +38,14 @@ def test_ids_and_decoding_equal_the_library(name):
         assert "".join(parts) == library.decode(want, skip_special_tokens=False)
 
 
+def test_packed_ids_equal_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for text in texts():
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.ids_of(path, text), "<u4").tolist() == want, text[:60]
+
+
 def test_lookahead_is_sufficient():
     """Tokens that end before the bound stay the same whatever follows."""
     model = bpe.BpeModel(public_tokenizers.path("byte_bpe_50k.json"))

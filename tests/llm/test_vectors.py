@@ -20,7 +20,8 @@ def vectors(seed: int = 1, n: int = 700, dim: int = 24) -> list[tuple]:
     rng.shuffle(rows)
     bad = [(n, None), (n + 1, [0.0] * dim), (n + 2, [float("nan")] + [1.0] * (dim - 1)), (n + 3, [float("inf")] * dim), (n + 4, []),
            (n + 5, [None] + [1.0] * (dim - 1)), (n + 6, [1.0, 2.0])]
-    return [(int(i), v) for i, v in rows] + bad
+    rows = [(int(i), v) for i, v in rows]
+    return rows + bad + rows[:3]
 
 
 def frame(spark, rows):
@@ -31,7 +32,7 @@ def frame(spark, rows):
 
 
 def good(rows):
-    keep = [(i, v) for i, v in rows if v and len(v) > 2 and None not in v and np.isfinite(v).all() and any(v)]
+    keep = [(i, v) for i, v in dict(rows).items() if v and len(v) > 2 and None not in v and np.isfinite(v).all() and any(v)]
     return np.array([i for i, _ in keep]), np.array([v for _, v in keep], np.float32).astype(np.float64)
 
 
@@ -79,6 +80,12 @@ def test_no_vectors(spark):
     assert got == {None: (0, None, False), 1: (0, 1, True), 2: (0, 2, True)}
 
 
+def test_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def brute_nearest(rows, queries, k):
     ids, x = good(rows)
     at = {int(i): n for n, i in enumerate(ids)}

@@ -15,11 +15,20 @@ from tillroll.plans.materialize import cut
 _SHIPPED: set[str] = set()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's source files to the executors' Python, once per
-    application (what ``--py-files`` does), so that a session that was not
-    started beside the package can run the operators."""
+    """Ready a session for the operators, once per application.
+
+    Sends this package's source files to the executors' Python (what
+    ``--py-files`` does), so that a session that was not started beside the
+    package can run them.  Lowers the size of an Arrow batch from Spark's 64 MB
+    to 8 MB, as a worker and its JVM task each hold several of texts or sets;
+    another setting of the user's is left."""
     if spark.sparkContext.applicationId not in _SHIPPED:
+        if spark.conf.get(BATCH_BYTES).rstrip("bB") == str(64 << 20):
+            spark.conf.set(BATCH_BYTES, str(8 << 20))
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         path = os.path.join(tempfile.mkdtemp(prefix="tillroll-py-"), "tillroll_package.zip")
         with zipfile.ZipFile(path, "w") as z:

@@ -86,10 +86,10 @@ def counted_in_blocks(group: DataFrame, kind: str, threshold: float) -> DataFram
     return keyed.groupBy("component", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, kind: str, threshold: float, size: int = AUDIT_NODES) -> float:
+def audit(nodes: DataFrame, links: DataFrame, settled: DataFrame, kind: str, threshold: float, size: int = AUDIT_NODES) -> float:
     """Share of the links of ``size`` nodes, found by brute force over all
-    nodes, that ``links`` (u, v and v, u) has.  Saturated groups are settled by
-    blocks, so a link inside one component counts as found."""
+    nodes, that are in ``links`` (u < v) or inside one of the components that
+    are ``settled`` (node, component) by blocks."""
     sample = nodes.orderBy(F.xxhash64("id")).limit(size).select("id", "x").collect()  # a fixed number of rows
     if not sample:
         return 1.0
@@ -108,9 +108,10 @@ def audit(nodes: DataFrame, links: DataFrame, kind: str, threshold: float, size:
     total = true.count()
     if not total:
         return 1.0
-    at = links.select(F.col("node"), "component")
-    found = (true.join(at.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u")
-             .join(at.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v").where("cu = cv").count())
+    pairs = true.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    found = (pairs.join(links.withColumn("hit", F.lit(True)), ["u", "v"], "left")
+             .join(settled.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
+             .join(settled.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").where("hit or cu = cv").count())
     return found / total
 
 
@@ -129,12 +130,13 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         pairs = lists.where(near_enough).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = written(verified(pairs, nodes, kind, threshold), "near_links")
         comps = written(components(links), "near_components")
-        if audit(nodes, comps, kind, threshold) >= least_recall:
+        full = lists.where(near_enough).groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("node"))
+        saturated = comps.join(full, "node", "left_semi").select("component").distinct()
+        settled = written(comps.join(saturated, "component", "left_semi"), "saturated")
+        if audit(nodes, links, settled, kind, threshold) >= least_recall:
             break
         k *= 2
-    full = lists.where(near_enough).groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("node"))
-    groups = written(comps.join(full, "node", "left_semi").select("component").distinct(), "saturated")
-    group = nodes.join(comps.join(groups, "component", "left_semi").withColumnRenamed("node", "id"), "id")
+    group = nodes.join(settled.withColumnRenamed("node", "id"), "id")
     many = counted_in_blocks(written(group.select("component", "id", "x", "n"), "group_nodes"), kind, threshold)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     few = (both.join(nodes.select(F.col("id").alias("v"), "n"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("few")))

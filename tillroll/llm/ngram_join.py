@@ -145,26 +145,27 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string"))
 
 
-def fixed_bitmap(found: DataFrame, least: int = 1) -> np.ndarray:
+def fixed_bitmap(found: DataFrame, buckets: int, least: int = 1) -> np.ndarray:
     """Bits of the values that come more than ``least - 1`` times in ``found``
     (bucket, blob of unsigned 32-bit values): 2 ** MAP_BITS bits, whatever the
-    input.  Buckets are ranges of the values, so each task fills its own stretch."""
-    low = 32 - MAP_BITS
+    input.  Buckets are ranges of the values, so each task fills its own stretch
+    and the driver only puts stretches side by side."""
+    width = (1 << MAP_BITS) // buckets
 
     def fill(key, table):
-        blobs = [np.frombuffer(x, "<u4") for x in (b.as_py() for b in table.column("blob"))]
-        values = np.sort(np.concatenate(blobs))
+        values = np.sort(np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in table.column("blob")]))
         if least > 1:
-            values = values[least - 1:][values[least - 1:] == values[:len(values) - least + 1]] if len(values) >= least else values[:0]
-        bits = np.unique(values >> low)
-        return pa.table({"bits": pa.array([bits.astype("<u4").tobytes()], pa.binary())})
+            late, early = values[least - 1:], values[:max(0, len(values) - least + 1)]
+            values = late[late == early]
+        bits = np.zeros(width, np.uint8)
+        bits[(values >> np.uint32(32 - MAP_BITS)).astype(np.int64) - key[0].as_py() * width] = 1
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    n = partitions(found)
-    filled = found.repartition(n, "bucket").groupBy("bucket").applyInArrow(fill, "bits binary")
+    filled = found.repartition(partitions(found), "bucket").groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for row in written(filled, "bitmap").toLocalIterator():  # at most a set bit's number each
-        at = np.frombuffer(row.bits, "<u4")
-        np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    for row in written(filled, "bitmap").collect():  # the bitmap's fixed size at most
+        at = row.bucket * width // 8
+        out[at:at + width // 8] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
@@ -209,7 +210,7 @@ def long_shingles(docs: DataFrame, words: int, long_list: int, id_col: str, text
             flush()
         yield out.batch()
 
-    return fixed_bitmap(_texts(docs, id_col, text_col).mapInArrow(run, "bucket int, blob binary"), long_list + 1)
+    return fixed_bitmap(_texts(docs, id_col, text_col).mapInArrow(run, "bucket int, blob binary"), buckets, long_list + 1)
 
 
 POSTS = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("last", pa.int64())])
@@ -299,7 +300,7 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, words: int, id_col: str, t
                 out.add((k, blob))
         yield out.batch()
 
-    wanted = docs.sparkSession.sparkContext.broadcast(fixed_bitmap(classes.mapInArrow(blobs, "bucket int, blob binary")))
+    wanted = docs.sparkSession.sparkContext.broadcast(fixed_bitmap(classes.mapInArrow(blobs, "bucket int, blob binary"), buckets))
 
     def run(batches):
         out = Out(SETS)
@@ -311,7 +312,10 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, words: int, id_col: str, t
         yield out.batch()
 
     sets = _texts(docs, id_col, text_col).mapInArrow(run, "c long, s binary")
-    return sets.join(classes, "c", "left_semi").dropDuplicates(["c"])
+    # one aggregate both picks the wanted classes and drops repeats: a join could
+    # be planned anew while its costly side, the texts, is running
+    both = sets.withColumn("wanted", F.lit(False)).unionByName(classes.select("c", F.lit(None).cast("binary").alias("s"), F.lit(True).alias("wanted")))
+    return both.groupBy("c").agg(F.max("wanted").alias("wanted"), F.max("s").alias("s")).where("wanted and s is not null").select("c", "s")
 
 
 def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -448,7 +452,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that name their component (its smallest id), and those
-    without words or id; all columns kept."""
+    without words or id; all columns kept.  An id goes with any of its rows."""
     found = join_components(docs, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone_doc_id"))
+    return docs.join(gone, F.col(id_col) == F.col("_gone_doc_id"), "left_anti")

@@ -12,7 +12,8 @@ Vectors travel as one byte a component for this; results are always measured
 anew on the original vectors, in double precision.  Equal vectors are one node.
 
 Nulls: a vector takes part if it and its id are not null, its components are
-finite and not all zero, and it has the most common number of components.
+finite and not all zero, and it has the most common number of components.  Of
+rows with an equal id one counts, that with the smallest vector bytewise.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     found = df.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "id long, x binary, dim int")
     found = written(found, "vectors")
     common = found.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return found.where(F.col("dim") == (common["dim"] if common else 0)).drop("dim")
+    return found.where(F.col("dim") == (common["dim"] if common else 0)).groupBy("id").agg(F.min("x").alias("x"))
 
 
 def kind_of(df: DataFrame, vec_col: str) -> str:

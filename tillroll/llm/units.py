@@ -60,7 +60,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
     sentences taken out of their texts, all columns kept.  Documents that lose
     all their text go; others, empty ones too, stay.  A document's spans are
     bounded by its length."""
-    per_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
+    per_doc = spans.groupBy(F.col("doc_id").alias("_cut_doc_id")).agg(F.collect_set(F.struct("start", "end")).alias("_cut_spans"))
     schema = docs.schema
     k, t = docs.columns.index(text_col), len(docs.columns)
 
@@ -77,7 +77,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
 
     names = [f"c{i}" for i in range(t)]
     types = ", ".join(f"{n} {f.dataType.simpleString() if f.name != text_col else 'string'}" for n, f in zip(names, schema, strict=True))
-    joined = docs.join(per_doc, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    joined = docs.join(per_doc, F.col(id_col) == F.col("_cut_doc_id"), "left").drop("_cut_doc_id")
     return joined.mapInArrow(run, types).toDF(*docs.columns)
 
 
