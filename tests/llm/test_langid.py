@@ -4,7 +4,6 @@ import random
 import zlib
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tests.llm.helpers import CLASHES, awkward, docs, words
 from tillroll.llm import langid

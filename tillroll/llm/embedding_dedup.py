@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import nn_graph
-from tillroll.llm.common import Out, partitions, rows, written
+from tillroll.llm.common import partitions, written
 from tillroll.llm.graph import components
 from tillroll.operators.skew import join_back
 

@@ -186,31 +186,43 @@ def _blobs(values: np.ndarray, buckets: int):
             yield k, part.astype("<u4").tobytes()
 
 
-def long_shingles(docs: DataFrame, words: int, long_list: int, id_col: str, text_col: str) -> np.ndarray:
-    """Bitmap of the shingles of more than ``long_list`` documents."""
-    buckets = _buckets(partitions(docs))
-    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+SHINGLED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+_SHINGLED = "doc_id long, n_shingles long, c long, bucket int, blob binary"
+
+
+def shingled(docs: DataFrame, words: int, long_list: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts for two things: set size and class of every row,
+    and (``blob``) the shingles of the classes, counted per task as far as needed
+    to tell those of more than ``long_list`` documents."""
 
     def run(batches):
-        out, held, n = Out(schema), [], 0
+        out, seen, held, n = Out(SHINGLED), set(), [], 0
 
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             for k, blob in _blobs(np.repeat(values, np.minimum(counts, long_list + 1)), buckets):
-                out.add((k, blob))
+                out.add((None, None, None, k, blob), len(blob))
 
-        for _, s in _Texts(words).new(batches):
-            held.append((s >> np.uint64(32)).astype(np.uint32))
-            n += len(s)
+        for key, text in rows(batches):
+            s = shingles(text, words)
+            c = class_of(s) if len(s) else None
+            out.add((key, len(s), c, None, None))
+            if c is not None and key is not None and c not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(c)
+                held.append((s >> np.uint64(32)).astype(np.uint32))
+                n += len(s)
             if n >= FLUSH:
                 flush()
                 held, n = [], 0
+            if out.full():
                 yield out.batch()
         if held:
             flush()
         yield out.batch()
 
-    return fixed_bitmap(_texts(docs, id_col, text_col).mapInArrow(run, "bucket int, blob binary"), buckets, long_list + 1)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _SHINGLED)
 
 
 POSTS = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("last", pa.int64())])
@@ -398,10 +410,9 @@ def cross_pairs(posts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return merged.repartition(partitions(posts), "x").sortWithinPartitions("x").mapInArrow(_merge(percent), "x long, y long")
 
 
-def class_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long_list: int = LONG_LIST,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``node, component`` of the classes that link with another one."""
-    long = long_shingles(docs, words, long_list, id_col, text_col)
+def class_components(docs: DataFrame, long: np.ndarray, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``node, component`` of the classes that link with another one; ``long`` is
+    the bitmap of long shingles."""
     posts = written(met_postings(postings(docs, long, words, percent, id_col, text_col)), "postings")
 
     # the heads of each list, and for each class those it meets most often
@@ -427,19 +438,11 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """``doc_id, n_shingles, component_id`` of every row: documents that reach
     the similarity with each other, directly or through others, share a
     component, named by its smallest ``doc_id``."""
-
-    def run(batches):
-        out = Out(pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c", pa.int64())]))
-        for key, text in rows(batches):
-            s = shingles(text, words)
-            out.add((key, len(s), class_of(s) if len(s) else None))
-            if out.full():
-                yield out.batch()
-        yield out.batch()
-
-    found = written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-                    .mapInArrow(run, "doc_id long, n_shingles long, c long"), "sets")
-    linked = written(class_components(docs, words, percent, long_list, id_col, text_col), "class_components")
+    buckets = _buckets(partitions(docs))
+    table = written(shingled(docs, words, long_list, buckets, id_col, text_col), "shingled")
+    found = table.where("bucket is null").select("doc_id", "n_shingles", "c")
+    long = fixed_bitmap(table.where("bucket is not null").select("bucket", "blob"), buckets, long_list + 1)
+    linked = written(class_components(docs, long, words, percent, id_col, text_col), "class_components")
     in_class = found.where("c is not null and doc_id is not null")
     alone = found.where("c is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     sizes = in_class.groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
