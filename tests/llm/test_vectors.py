@@ -56,6 +56,38 @@ def test_near_duplicates_equal_brute_force(spark):
         assert r.kept == (r.vec_id == r.component_id)
 
 
+def brute_links(ids, x):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = ids.copy()
+    while True:
+        new = np.array([min(label[i], *label[near[i]]) if near[i].any() else label[i] for i in range(len(ids))])
+        if (new == label).all():
+            return {int(i): (int(near[k].sum()), int(label[k])) for k, i in enumerate(ids)}
+        label = new
+
+
+def dense_families(dim: int = 24) -> list[tuple]:
+    """Families of 200 that fill their own lists: two whose centres are at cosine
+    0.97, one far from them."""
+    rng = np.random.default_rng(8)
+    a, b, far = np.linalg.qr(rng.standard_normal((dim, 3)))[0].T
+    centres = [a, 0.97 * a + np.sqrt(1 - 0.97 ** 2) * b, far]
+    x = np.concatenate([c + 0.01 * rng.standard_normal((200, dim)) for c in centres])
+    rows = [(i, [float(c) for c in v.astype(np.float32)]) for i, v in enumerate(x)]
+    rng.shuffle(rows)
+    return [(int(i), v) for i, v in rows]
+
+
+def test_links_between_dense_families(spark):
+    rows = dense_families()
+    want = brute_links(*good(rows))
+    assert len({c for _, c in want.values()}) == 2 and max(n for n, _ in want.values()) > 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == want
+
+
 def test_recall_of_near_duplicates_and_no_false_links(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((4000, 64))

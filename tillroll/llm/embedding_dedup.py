@@ -2,10 +2,13 @@
 
 The neighbour graph is refined until it settles (``nn_graph``).  A node whose
 whole list lies within the threshold is *saturated*: it may have more links than
-its list holds.  Its list is enlarged to all of its component: components with a
-saturated node are measured block against block, each task holding two blocks,
-and only counts leave it.  All links are measured in double precision on the
-original vectors.  Recall is audited on a fixed number of nodes against all
+its list holds, in its own component and in others, as closer members of a dense
+family crowd them out.  So all nodes of components with a saturated node are
+measured against each other, block against block; a block knows its mean
+direction and the largest angle to it, and pairs of blocks that the triangle
+inequality excludes are left out.  Only counts and pairs of connected components
+leave this, and components it connects are one.  All links are measured in
+double precision on the original vectors.  Recall is audited on a fixed number of nodes against all
 nodes; below ``least_recall`` the graph is refined again with twice the list and
 other orderings.
 
@@ -24,17 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import nn_graph
-from tillroll.llm.common import partitions, written
+from tillroll.llm.common import Out, partitions, rows, written
 from tillroll.llm.graph import components
 from tillroll.operators.skew import join_back
 
 THRESHOLD = 0.95
 K, ROUNDS, ORDERINGS = 12, 3, 16
 BLOCK = 256
+CHUNK = 1024  # blocks whose mean directions are compared at once
 AUDIT_NODES = 256
 LEAST_RECALL = 0.99
 _SLACK = 0.02  # of the cosine, for vectors of one byte a component
 
+BALLS = pa.schema([("block", pa.int64()), ("mean", pa.binary()), ("angle", pa.float64()), ("comps", pa.binary()), ("ids", pa.binary()),
+                   ("ns", pa.binary()), ("xs", pa.binary())])
+_BALLS = "block long, mean binary, angle double, comps binary, ids binary, ns binary, xs binary"
+
 
 def _unit(blobs: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
@@ -57,33 +65,114 @@ def verified(pairs: DataFrame, nodes: DataFrame, kind: str, threshold: float) ->
     return pairs.select("u", "v").join(xs, "u").join(ys, "v").select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long")
 
 
-def counted_in_blocks(group: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """``id, links`` of nodes (``component, id, x, n``) against all nodes of
-    their component, in blocks of about ``BLOCK`` nodes."""
-    sizes = written(group.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "group_sizes")
-    placed = group.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meets = placed.select("component", "id", "x", "n", "b", other.alias("o")).select(
-        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "x", "n")
+def blocks_of(group: DataFrame, kind: str) -> DataFrame:
+    """Nodes (``family, component, id, x, n``) in blocks of at most ``BLOCK`` of
+    one family that lie near each other in a random ordering: a row per block
+    with its nodes one after the other, its mean direction and the largest angle
+    to it."""
+
+    def keyed(batches):
+        planes: np.ndarray | None = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _unit(batch.column(3).to_pylist(), kind)
+                if planes is None:
+                    planes = np.random.default_rng(1).standard_normal((x.shape[1], nn_graph.SIGNS + 1))
+                p = x @ planes
+                sign = np.logical_xor.accumulate(p[:, :nn_graph.SIGNS] > 0, axis=1)
+                cell = sign @ (1 << np.arange(nn_graph.SIGNS)[::-1])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(p[:, nn_graph.SIGNS]), *batch.columns],
+                                                 names=["cell", "p", "family", "component", "id", "x", "n"])
+
+    def packed(batches):
+        out = Out(BALLS)
+        held: list[tuple] = []
+
+        def block():
+            _, comps, ids, xs, ns = zip(*held, strict=True)
+            u = _unit(list(xs), kind)
+            mean = u.mean(axis=0)
+            size = np.sqrt(mean @ mean)
+            mean = mean / size if size > 1e-6 else u[0]
+            angle = float(np.arccos(np.clip(u @ mean, -1, 1)).max())
+            parts = [np.array(c, np.int64).tobytes() for c in (comps, ids, ns)] + [b"".join(xs)]
+            out.add((min(ids), mean.tobytes(), angle, *parts), sum(map(len, parts)))
+
+        for row in rows(batches):  # family, component, id, x, n
+            if held and (len(held) >= BLOCK or row[0] != held[0][0]):
+                block()
+                held = []
+                if out.full():
+                    yield out.batch()
+            held.append(row)
+        if held:
+            block()
+        yield out.batch()
+
+    placed = group.select("family", "component", "id", "x", "n").mapInArrow(keyed, "cell long, p double, family long, component long, id long, x binary, n long")
+    return (placed.repartitionByRange(partitions(group), "family", "cell", "p", "id").sortWithinPartitions("family", "cell", "p", "id")
+            .select("family", "component", "id", "x", "n").mapInArrow(packed, _BALLS))
+
+
+def near_blocks(balls: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of blocks (``a, b``, each pair once, a block with itself too) that
+    may hold a link: by the triangle inequality of angles, no others do."""
+    chunks = 1 + balls.count() // CHUNK
+    chunk = F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int")
+    meets = balls.select("block", "mean", "angle", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("o")).select(
+        F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "block", "mean", "angle")
+    widest = float(np.arccos(threshold)) + 1e-6
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        b, ids, n = (table.column(c).to_numpy() for c in ("b", "id", "n"))
-        if not len(ids):
-            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        x = _unit(table.column("x").to_pylist(), kind)
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        near = x[left] @ x[right].T >= threshold
+        i, j = key[0].as_py(), key[1].as_py()
+        block, angle, c = (table.column(n).to_numpy() for n in ("block", "angle", "c"))
+        mean = np.frombuffer(b"".join(table.column("mean").to_pylist()), np.float64).reshape(len(block), -1)
+        left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
+        apart = np.arccos(np.clip(mean[left] @ mean[right].T, -1, 1))
+        x, y = np.nonzero(apart <= widest + angle[left][:, None] + angle[right])
+        a, b = block[left[x]], block[right[y]]
         if i == j:
-            np.fill_diagonal(near, False)
-        counts = np.zeros(len(ids), np.int64)
-        counts[left] += near @ n[right]
-        if i != j:
-            counts[right] += near.T @ n[left]
-        return pa.table({"id": ids, "links": counts})
+            a, b = a[a <= b], b[a <= b]
+        return pa.table({"a": a, "b": b})
+
+    return meets.repartition(partitions(balls), "i", "j").groupBy("i", "j").applyInArrow(run, "a long, b long")
+
+
+def measured_in_blocks(group: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """All links among the nodes (``family, component, id, x, n``), within and
+    between components.  Written rows ``u, v, links``: of a node and a block
+    its number of links (``v`` null), and pairs of components that a link
+    connects (``links`` null)."""
+    balls = written(blocks_of(group, kind), "blocks")
+    pairs = near_blocks(balls, threshold)
+    turned = F.xxhash64("a", "b") % 2 == 0  # so that no block stands on one side of all its pairs
+    pairs = written(pairs.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("a"),
+                                 F.when(turned, F.col("b")).otherwise(F.col("a")).alias("b")), "block_pairs")
+    held = ["comps", "ids", "ns", "xs"]
+    met = (pairs.join(balls.select(F.col("block").alias("a"), *held), "a")
+           .join(balls.select(F.col("block").alias("b"), *(F.col(c).alias(f"o_{c}") for c in held)), "b")
+           .select("a", "b", *held, *(f"o_{c}" for c in held)))
 
-    keyed = meets.repartition(partitions(group), "component", "i", "j")
-    return keyed.groupBy("component", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    def run(batches):
+        out = Out(pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())]))
+        for a, b, *parts in rows(batches):
+            (ca, ia, na), (cb, ib, nb) = ([np.frombuffer(p, np.int64) for p in parts[k:k + 3]] for k in (0, 4))
+            x, y = (np.frombuffer(parts[k], kind).reshape(n, -1).astype(np.float64) for k, n in ((3, len(ia)), (7, len(ib))))
+            near = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]) @ (y / np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]).T >= threshold
+            if a == b:
+                np.fill_diagonal(near, False)
+            for ids, counts in [(ia, near @ nb)] + ([(ib, near.T @ na)] if a != b else []):
+                for u, links in zip(ids.tolist(), counts.tolist(), strict=True):
+                    if links:
+                        out.add((u, None, links))
+            i, j = np.nonzero(near & (ca[:, None] != cb))
+            for u, v in np.unique(np.stack((ca[i], cb[j]), axis=1), axis=0).tolist():
+                out.add((u, v, None))
+            if out.full():
+                yield out.batch()
+        yield out.batch()
+
+    return written(met.mapInArrow(run, "u long, v long, links long"), "block_links")
 
 
 def audit(nodes: DataFrame, links: DataFrame, settled: DataFrame, kind: str, threshold: float, size: int = AUDIT_NODES) -> float:
@@ -136,8 +225,11 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         if audit(nodes, links, settled, kind, threshold) >= least_recall:
             break
         k *= 2
-    group = nodes.join(settled.withColumnRenamed("node", "id"), "id")
-    many = counted_in_blocks(written(group.select("component", "id", "x", "n"), "group_nodes"), kind, threshold)
+    group = nodes.join(settled.withColumnRenamed("node", "id"), "id").withColumn("family", F.col("component"))
+    measured = measured_in_blocks(written(group.select("family", "component", "id", "x", "n"), "group_nodes"), kind, threshold)
+    many = measured.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
+    merged = components(measured.where("v is not null").select("u", "v")).select(F.col("node").alias("component"), F.col("component").alias("larger"))
+    comps = comps.join(merged, "component", "left").select("node", F.coalesce("larger", "component").alias("component"))
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     few = (both.join(nodes.select(F.col("id").alias("v"), "n"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("few")))
     per_node = (nodes.select("id", "n").join(comps.withColumnRenamed("node", "id"), "id", "left")
