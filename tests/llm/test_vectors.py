@@ -88,6 +88,30 @@ def test_links_between_dense_families(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == want
 
 
+def test_exact_if_the_descent_finds_nothing(spark, monkeypatch):
+    descend = nn_graph.descend
+    monkeypatch.setattr(nn_graph, "descend", lambda *a, **b: descend(*a, **b).where("false"))
+    rows = vectors(3, n=430)
+    with pytest.warns(UserWarning, match="recall"):
+        got = embedding_dedup.near_duplicates(frame(spark, rows))
+    want = brute_links(*good(rows))
+    for r in got.collect():
+        assert (r.n_links, r.component_id) == want.get(r.vec_id, (0, r.vec_id)), r
+
+
+def test_audit_counts_nodes_and_not_links(spark):
+    """All links of a dense group are measured, none of the single pairs is found."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 24))
+    x[:200] = x[0] + 0.01 * x[:200]
+    x[201::2] = x[200::2] + 0.01 * rng.standard_normal((100, 24))
+    nodes = spark.createDataFrame([(i, v.astype("<f8").tobytes(), 1) for i, v in enumerate(x)], "id long, x binary, n long")
+    settled = spark.createDataFrame([(i, 0) for i in range(200)], "node long, component long")
+    pairs = [(i, i + 1) for i in range(200, 400, 2)]
+    recall = [embedding_dedup.audit(nodes, spark.createDataFrame(p, "u long, v long"), settled, "<f8", 0.95) for p in ([], pairs[:50], pairs)]
+    assert recall == [0.0, 0.5, 1.0]
+
+
 def test_recall_of_near_duplicates_and_no_false_links(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((4000, 64))

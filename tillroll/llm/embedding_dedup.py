@@ -8,9 +8,13 @@ measured against each other, block against block; a block knows its mean
 direction and the largest angle to it, and pairs of blocks that the triangle
 inequality excludes are left out.  Only counts and pairs of connected components
 leave this, and components it connects are one.  All links are measured in
-double precision on the original vectors.  Recall is audited on a fixed number of nodes against all
-nodes; below ``least_recall`` the graph is refined again with twice the list and
-other orderings.
+double precision on the original vectors.
+
+Recall is audited on a fixed number of nodes against all nodes, a node at a time
+and apart for nodes outside dense components; below
+``least_recall`` the graph is refined again with twice the list and other
+orderings.  If that stays in vain, all nodes are measured in blocks, which is
+exact and quadratic, and a warning says so.
 
 Equal vectors are one node: its members link with each other and with all
 members of linked nodes.
@@ -21,6 +25,8 @@ nothing and are their own component.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,32 +182,39 @@ def measured_in_blocks(group: DataFrame, kind: str, threshold: float) -> DataFra
 
 
 def audit(nodes: DataFrame, links: DataFrame, settled: DataFrame, kind: str, threshold: float, size: int = AUDIT_NODES) -> float:
-    """Share of the links of ``size`` nodes, found by brute force over all
-    nodes, that are in ``links`` (u < v) or inside one of the components that
-    are ``settled`` (node, component) by blocks."""
-    sample = nodes.orderBy(F.xxhash64("id")).limit(size).select("id", "x").collect()  # a fixed number of rows
+    """Recall of the links in ``links`` (u < v) or among the ``settled`` nodes
+    (node, component), which are measured in blocks.  ``size`` nodes of the
+    settled ones and ``size`` others are compared with all nodes by brute force;
+    of either kind, the mean over nodes with a link of the share found; the
+    smaller mean.  So neither a node with many links nor the settled ones hide
+    what others miss."""
+    marked = nodes.select("id", "x").join(settled.select(F.col("node").alias("id"), F.lit(True).alias("s")), "id", "left")
+    marked = written(marked.select("id", "x", F.coalesce("s", F.lit(False)).alias("s")), "audit_nodes")
+    sample = [r for s in (False, True) for r in marked.where(F.col("s") == s).orderBy(F.xxhash64("id")).limit(size).collect()]  # a fixed number of rows
     if not sample:
         return 1.0
-    ids = np.array([r.id for r in sample], np.int64)
+    ids, inner = np.array([r.id for r in sample], np.int64), np.array([r.s for r in sample], bool)
     known = nodes.sparkSession.sparkContext.broadcast(_unit([bytes(r.x) for r in sample], kind))
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                v = batch.column(0).to_numpy()
-                a, b = np.nonzero(_unit(batch.column(1).to_pylist(), kind) @ known.value.T >= threshold)
-                ok = v[a] != ids[b]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[b][ok]), pa.array(v[a][ok])], names=["u", "v"])
-
-    true = written(nodes.select("id", "x").mapInArrow(run, "u long, v long"), "audit")
-    total = true.count()
-    if not total:
-        return 1.0
-    pairs = true.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    found = (pairs.join(links.withColumn("hit", F.lit(True)), ["u", "v"], "left")
-             .join(settled.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-             .join(settled.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").where("hit or cu = cv").count())
-    return found / total
+            for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+                v, s = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+                near = (_unit(part.column(1).to_pylist(), kind) @ known.value.T >= threshold) & (v[:, None] != ids)
+                measured = near & s[:, None] & inner
+                a, b = np.nonzero(near & ~measured)
+                n = measured.sum(axis=0)
+                at = np.flatnonzero(n)  # found: only their number goes on
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[b], ids[at]))), pa.array([*v[a].tolist(), *[None] * len(at)], pa.int64()),
+                                                  pa.array(np.concatenate((np.ones(len(a), np.int64), n[at])))], names=["u", "v", "n"])
+
+    true = written(marked.mapInArrow(run, "u long, v long, n long"), "audit")
+    hit = links.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(True).alias("hit"))
+    found = true.join(hit, (F.least("u", "v") == F.col("a")) & (F.greatest("u", "v") == F.col("b")) & F.col("v").isNotNull(), "left")
+    share = found.groupBy("u").agg((F.sum(F.when(F.col("v").isNull() | F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    shares = {r.u: r.share for r in share.collect()}  # at most a row per sampled node
+    kinds = ([shares[i] for i in ids[inner == s].tolist() if i in shares] for s in (False, True))
+    return min((float(np.mean(x)) for x in kinds if x), default=1.0)
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -223,13 +236,21 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         saturated = comps.join(full, "node", "left_semi").select("component").distinct()
         settled = written(comps.join(saturated, "component", "left_semi"), "saturated")
         if audit(nodes, links, settled, kind, threshold) >= least_recall:
+            families = settled.withColumn("family", F.col("component"))
             break
         k *= 2
-    group = nodes.join(settled.withColumnRenamed("node", "id"), "id").withColumn("family", F.col("component"))
+    else:  # the exact way for all nodes; those outside dense families share blocks
+        warnings.warn(f"near-duplicate recall stayed below {least_recall}: all vectors are measured in blocks", stacklevel=2)
+        dense = settled.select(F.col("node").alias("id"), F.col("component").alias("family"))
+        families = (nodes.select("id").join(comps.withColumnRenamed("node", "id"), "id", "left").join(dense, "id", "left")
+                    .select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"), "family"))
+    group = nodes.join(families.withColumnRenamed("node", "id"), "id")
     measured = measured_in_blocks(written(group.select("family", "component", "id", "x", "n"), "group_nodes"), kind, threshold)
     many = measured.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
     merged = components(measured.where("v is not null").select("u", "v")).select(F.col("node").alias("component"), F.col("component").alias("larger"))
     comps = comps.join(merged, "component", "left").select("node", F.coalesce("larger", "component").alias("component"))
+    lone = merged.join(comps.select(F.col("node").alias("component")), "component", "left_anti")  # nodes that only the exact way links
+    comps = comps.unionByName(lone.select(F.col("component").alias("node"), F.col("larger").alias("component")))
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     few = (both.join(nodes.select(F.col("id").alias("v"), "n"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("few")))
     per_node = (nodes.select("id", "n").join(comps.withColumnRenamed("node", "id"), "id", "left")
