@@ -3,7 +3,8 @@
 1. ``language_id``: documents whose language can't be told go (no letters, or a
    calibrated score below 0.4).
 2. ``line_dedup``: lines that an earlier document (or line) has, exactly or with
-   one character changed, go; a document that loses all its text goes.
+   one character changed, go; under 30 characters, exact copies alone; a document
+   that loses all its text goes.
 3. ``ngram_jaccard_join``: of documents with a 5-word-shingle similarity of 0.8 or
    more, directly or through others, that with the smallest id stays.
 4. ``substring_dedup``: repeated lines and sentences of eight words or more go,
@@ -31,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return line_dedup.deduplicated(docs)
+    return line_dedup.deduplicated(docs, exact_chars=1)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

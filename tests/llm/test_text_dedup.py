@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.helpers import CLASHES, awkward, docs, words
 from tillroll.llm import line_dedup, ngram_join, substring_dedup, units
 
@@ -95,6 +96,16 @@ def test_line_dedup_of_awkward_rows(spark):
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_exact_copies_of_short_lines(spark):
+    rows = [(1, "All rights reserved.\nfirst"), (2, "all  rights reserved.\n\n\nsecond"), (3, "all rights reserved!\nx"), (4, "x"),
+            (5, "one line that is long enough to have near lines\nfirst"), (6, "one line that is long enough to have near linez\nlast")]
+    df = docs(spark, rows, CLASHES)
+    got = {(r.doc_id, r.line, r.kept_doc_id, r.kept_line) for r in line_dedup.removed_lines(df, exact_chars=1).collect()}
+    assert got == {(2, 0, 1, 0), (4, 0, 3, 1), (5, 1, 1, 1), (6, 0, 5, 0)}
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+    assert left == {1: rows[0][1], 2: "\n\nsecond", 3: rows[2][1], 5: "one line that is long enough to have near lines", 6: "last"}
+
+
 def all_units(rows, min_words):
     """(place, whole, normal form) of lines and of their sentences."""
     for (key, i, start, end), x in all_lines(rows):

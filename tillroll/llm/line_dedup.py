@@ -20,7 +20,8 @@ one inserted character.  Exact copies count once in all this, and meet their
 line's decision in a join of two written tables, which Spark can split.
 
 Defined results: null and empty texts have no lines; lines under ``min_chars``
-characters are left alone.  Null ids rank first.  Rows with an equal id count as
+characters have no near lines, and under ``exact_chars`` (by default the same)
+they are left alone, blank ones always.  Null ids rank first.  Rows with an equal id count as
 one document.  An empty table gives an empty result; only the named columns are
 read.
 """
@@ -89,13 +90,13 @@ LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("start", pa.in
 _LINES = "doc_id long, line long, start long, end long, h long, keys array<long>"
 
 
-def _lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, exact_chars: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         out = Out(LINES)
         for key, text in rows(batches):
             for i, (start, end, line) in enumerate(lines(text or "")):
-                if end - start >= min_chars and len(x := normal(line)) >= min_chars:
-                    out.add((key, i, start, end, _hash(x), segment_keys(x)))
+                if end - start >= exact_chars and len(x := normal(line)) >= exact_chars:
+                    out.add((key, i, start, end, _hash(x), segment_keys(x) if len(x) >= min_chars else []))
                     if out.full():
                         yield out.batch()
         yield out.batch()
@@ -126,9 +127,12 @@ def _agreeing(batches):
 VARIANTS = pa.schema([("v", pa.int64()), ("h", pa.int64()), ("text", pa.string())])
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per removed line: its place and that of the earliest line near it."""
-    found = written(_lines(docs, min_chars, id_col, text_col), "lines")
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
+    """A row per removed line: its place and that of the earliest line near it.
+    Lines of ``exact_chars`` (``min_chars`` unless given) up to ``min_chars``
+    characters are near their exact copies only."""
+    exact_chars = min_chars if exact_chars is None else exact_chars
+    found = written(_lines(docs, min_chars, max(1, exact_chars), id_col, text_col), "lines")
     place = F.struct("doc_id", "line", "start", "end")
     distinct = written(found.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "distinct_lines")
 
@@ -174,7 +178,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
                     F.col("best.start").alias("kept_start")))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """``docs`` without the removed lines, all columns kept; a document that
     loses all its text goes."""
-    return without_spans(docs, removed_lines(docs, min_chars, id_col, text_col), id_col, text_col)
+    return without_spans(docs, removed_lines(docs, min_chars, id_col, text_col, exact_chars), id_col, text_col)
