@@ -13,7 +13,7 @@ def con(sf_small):
 
 
 def test_registered():
-    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLE) <= set(entry.oracle_sql()) and set(queries.ORACLE) <= set(queries.QUERIES)
 

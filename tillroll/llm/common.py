@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.plans.materialize import cut
+from tillroll.session import scratch_dir
 
 _SHIPPED: set[str] = set()
 
@@ -43,7 +43,20 @@ def ship(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and scan it: cuts the lineage, so a
     lost executor replays one table and not the whole operator."""
-    return cut(df, name)
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(df: DataFrame) -> int:
