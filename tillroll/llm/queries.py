@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, bpe, embedding_dedup, langid, line_dedup, ngram_join, packing, spelling, substring_dedup, token_counts, warc
+from tillroll.llm import ann, bpe, embedding_dedup, hmm, langid, line_dedup, ngram_join, packing, spelling, substring_dedup, token_counts, warc
 from tillroll.llm.common import ship
 
 
@@ -57,6 +57,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_warc_normaliser, op3_embedding_dedup, op4_substring_dedup, op5_ngram_join, op6_language_id,
     op7_nearest_neighbours, op8_best_fit_packing, op9_token_counts, op10_line_dedup,
-    op12_spelling_variants)}
+    op11_language_model, op12_spelling_variants)}
 
 _LINES = r"""
 cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
