@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, bpe, embedding_dedup, hmm, langid, line_dedup, ngram_join, packing, spelling, substring_dedup, token_counts, warc
+from tillroll.llm import (ann, bpe, embedding_dedup, hard_negatives, hmm, langid, line_dedup, ngram_join, packing, spelling, substring_dedup,
+                          token_counts, warc)
 from tillroll.llm.common import ship
 
 
@@ -65,10 +66,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), every % 100 == 0, F.when(every % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_warc_normaliser, op3_embedding_dedup, op4_substring_dedup, op5_ngram_join, op6_language_id,
     op7_nearest_neighbours, op8_best_fit_packing, op9_token_counts, op10_line_dedup,
-    op11_language_model, op12_spelling_variants)}
+    op11_language_model, op12_spelling_variants, op13_hard_negatives)}
 
 _LINES = r"""
 cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
@@ -148,6 +154,23 @@ near AS (
   WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM near QUALIFY rank <= 10""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY rank <= 5""",
     "op10_line_dedup": f"""
 WITH {_LINES},
 units AS (SELECT *, length(norm) AS n FROM lines WHERE length(norm) >= 30),
