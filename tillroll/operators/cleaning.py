@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.sources.schemas import CLEANED_COLUMNS, RAW_COLUMNS
-from tillroll.operators.ranking import exact_quantiles
+from tillroll.operators.radix import quantiles
 from tillroll.plans.materialize import cut
-from tillroll.operators.scalars import attach_one_row
 
 
 # ---------------------------------------------------------------- filters ---
@@ -49,38 +48,31 @@ def identified_customers(df: DataFrame) -> DataFrame:
     return df.where(F.col("CustomerID").isNotNull())
 
 
-def iqr_fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    """One row (lo, hi) = (Q1 - k*IQR, Q3 + k*IQR)."""
-    q = exact_quantiles(df, col, [0.25, 0.75])
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    return q.select((q1 - F.lit(k) * (q3 - q1)).alias("_lo"), (q3 + F.lit(k) * (q3 - q1)).alias("_hi"))
+def iqr_fences(df: DataFrame, col: str, k: float = 1.5) -> tuple[float | None, float | None]:
+    """(Q1 - k*IQR, Q3 + k*IQR) by radix selection: at most two scans of ``col``
+    and the filter columns for prices and counts, no row moved."""
+    q1, q3 = quantiles(df, {col: [0.25, 0.75]})[col]
+    return (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5, lazy: bool = False) -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """keep rows with Q1-k*IQR <= col <= Q3+k*IQR (inclusive fences).
 
-    By default the two fences are computed first by one small aggregate job
-    (only ``col`` and the filter columns are read) and applied as literals:
-    the main pass is then a plain filter that Parquet can push down, and
-    later fences do not re-plan this lineage.  ``lazy=True`` keeps the plan
-    lazy instead, joining the one-row fences as a broadcast relation.
-    """
-    if lazy:
-        return (attach_one_row(df, iqr_fences(df, col, k))
-                  .where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi")))
-                  .drop("_lo", "_hi"))
-    lo, hi = iqr_fences(df, col, k).first()
-    if lo is None:  # no rows: nothing survives, as with the lazy form
+    The two fences are selected first and applied as literals: the main pass is
+    then a plain filter that Parquet can push down, and later fences do not
+    re-plan this lineage."""
+    lo, hi = iqr_fences(df, col, k)
+    if lo is None:  # no rows
         return df.where(F.lit(False))
     return df.where((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
 
 
 def sequential_iqr(df: DataFrame, cols: Sequence[str] = ("Quantity", "UnitPrice"),
-                   k: float = 1.5, lazy: bool = False) -> DataFrame:
+                   k: float = 1.5) -> DataFrame:
     """F5 applied column after column; each fence is measured on the
     survivors of the previous one."""
     for c in cols:
-        df = iqr_filter(df, c, k, lazy)
+        df = iqr_filter(df, c, k)
     return df
 
 

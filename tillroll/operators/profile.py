@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.operators.cleaning import iqr_fences, step_flags
-from tillroll.operators.ranking import exact_quantiles
+from tillroll.operators.radix import quantiles
 from tillroll.operators.scalars import attach_one_row
 
 
@@ -65,8 +65,7 @@ def profile_distinct(df: DataFrame, approx_rsd: float | None = None) -> DataFram
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (exact, interpolated),
     max per numeric column.  Moments come from one aggregate pass; the
-    quartiles from the distributed exact quantiles (ids have one distinct
-    value per customer, so a single-task value map is not an option)."""
+    quartiles of all columns from the same radix-selection scans."""
     if cols is None:
         cols = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint")]
     aggs = []
@@ -75,9 +74,8 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         aggs += [F.count(x).alias(f"_n_{c}"), F.avg(x).alias(f"_mean_{c}"),
                  F.stddev_samp(x).alias(f"_std_{c}"), F.min(x).alias(f"_min_{c}"),
                  F.max(x).alias(f"_max_{c}")]
-    wide = df.agg(*aggs)
-    for c in cols:
-        wide = attach_one_row(wide, exact_quantiles(df, c, [0.25, 0.5, 0.75], f"_q_{c}"))
+    found = quantiles(df, dict.fromkeys(cols, [0.25, 0.5, 0.75]))
+    wide = df.agg(*aggs).withColumns({f"_q_{c}": F.array(*[F.lit(v).cast("double") for v in q]) for c, q in found.items()})
     long = _unpivot(wide, cols, {"count": "_n_{}", "mean": "_mean_{}", "std": "_std_{}",
                                  "min": "_min_{}", "q": "_q_{}", "max": "_max_{}"})
     return long.select("column_name", F.col("count").cast("bigint").alias("count"),
@@ -120,14 +118,13 @@ def cleaning_step_counts(raw: DataFrame) -> DataFrame:
     flags = step_flags(raw)
     survive = ~(flags["cancelled"] | flags["no_desc"] | flags["bad_qty"] | flags["bad_price"])
     base = raw.withColumn("_ok", survive)
-    q_f = iqr_fences(base.where("_ok"), "Quantity").withColumnsRenamed({"_lo": "_qlo", "_hi": "_qhi"})
-    after_q = (attach_one_row(base.where("_ok"), q_f)
-                   .where((F.col("Quantity") >= F.col("_qlo")) & (F.col("Quantity") <= F.col("_qhi"))))
-    p_f = iqr_fences(after_q, "UnitPrice").withColumnsRenamed({"_lo": "_plo", "_hi": "_phi"})
-    in_q = (F.col("Quantity") >= F.col("_qlo")) & (F.col("Quantity") <= F.col("_qhi"))
-    in_p = (F.col("UnitPrice") >= F.col("_plo")) & (F.col("UnitPrice") <= F.col("_phi"))
+    # The fences are scalars found by selection; applied as literals, they leave
+    # one plain aggregate over the raw rows.
+    inside = lambda c, fence: F.lit(False) if fence[0] is None else F.col(c).between(*fence)
+    in_q = inside("Quantity", iqr_fences(base.where("_ok"), "Quantity"))
+    in_p = inside("UnitPrice", iqr_fences(base.where(F.col("_ok") & in_q), "UnitPrice"))
     kept = F.col("_ok") & in_q & in_p
-    out = (attach_one_row(attach_one_row(base, q_f), p_f)
+    out = (base
                .agg(F.count(F.lit(1)).alias("raw_rows"),
                     F.count_if(flags["cancelled"]).alias("cancelled"),
                     F.count_if(flags["no_desc"]).alias("missing_description"),

@@ -1,12 +1,13 @@
 """Distributed global row numbers and exact quantiles.
 
 ``row_number().over(Window.orderBy(...))`` without a partition key moves every
-row into one task, and the ``percentile`` aggregate merges a value map in one.
-Both are replaced by the same steps at every size: rows (or values with their
-counts) are range-partitioned, and written once with the partition they fell
-into.  Whatever reads that table sees the same partitions; totals per partition
-(as many rows as there are partitions, so broadcasting them is size-safe) turn
-places inside a partition into global ones.
+row into one task.  Instead rows are range-partitioned, and written once with
+the partition they fell into.  Whatever reads that table sees the same
+partitions; totals per partition (as many rows as there are partitions, so
+broadcasting them is size-safe) turn places inside a partition into global ones.
+
+The ``percentile`` aggregate merges a map of values in one task; exact quantiles
+come from radix selection instead, which moves counts of digits only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators.radix import quantiles
 from tillroll.plans.materialize import cut
 
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
@@ -55,40 +57,9 @@ def top_k(df: DataFrame, k: int, order: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def running_total(df: DataFrame, order: str, weight: str, out: str = "_cum",
-                  num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``weight`` in ascending ``order`` (values of
-    ``order`` should be distinct)."""
-    ranged = _ranged(df, [order], num_partitions)
-    w = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = ranged.groupBy("_pid").agg(F.sum(weight).alias("_pt"))
-    return (ranged.withColumn("_local", F.sum(weight).over(w))
-                  .join(_offsets(totals, "_pt"), "_pid")
-                  .withColumn(out, F.col("_off") + F.col("_local"))
-                  .drop("_pid", "_pos", "_local", "_off"))
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], name: str = "q",
-                    num_partitions: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], name: str = "q") -> DataFrame:
     """One row with an array of exact, linearly interpolated quantiles of
-    ``col`` (nulls ignored; nulls in the array without any value).
-
-    Rows collapse to (value, count) first, map-side.  The running count over the
-    values then finds the ones at the needed ranks, with a broadcast range join
-    against at most 2 x len(probs) of them."""
-    vc = (df.where(F.col(col).isNotNull())
-            .groupBy(F.col(col).cast("double").alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    cum = running_total(vc, "_v", "_c", "_cum", num_partitions)
-    total = cum.agg(F.sum("_c").alias("_n"))
-    need = (total.select(F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"), "_n")
-                 .withColumn("_at", (F.col("_n") - 1) * F.col("_p"))
-                 .select("_i", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_r")))
-    hit = cum.join(F.broadcast(need),
-                   (F.col("_r") >= F.col("_cum") - F.col("_c")) & (F.col("_r") < F.col("_cum")))
-    per = hit.groupBy("_i", "_at").agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))
-    frac = F.col("_at") - F.floor("_at")
-    q = F.when(frac == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
-    per = per.select("_i", q.alias("_q"))
-    return per.agg(F.array(*[F.max(F.when(F.col("_i") == i, F.col("_q"))) for i in range(len(probs))])
-                   .alias(name))
+    ``col`` (nulls ignored; nulls in the array without any value), found by
+    radix selection (``operators/radix``)."""
+    values = quantiles(df, {col: probs})[col]
+    return df.sparkSession.range(1).select(F.array(*[F.lit(v).cast("double") for v in values]).alias(name))

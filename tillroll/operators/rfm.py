@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.operators import binning
 from tillroll.operators.cleaning import identified_customers
-from tillroll.operators.ranking import global_row_number
 from tillroll.operators.scalars import attach_one_row
 from tillroll.plans.materialize import cut
 
@@ -49,12 +48,9 @@ def rfm_metrics(df: DataFrame, snapshot_scope: str = "identified") -> DataFrame:
 def rfm_scores_quintile(rfm: DataFrame) -> DataFrame:
     """W4/W5 + P27/P29/P30: R (5 = most recent), F (quintile of the
     frequency rank, ties in CustomerID order), M; score code; segment."""
-    ranked = global_row_number(rfm, [F.asc("Frequency"), F.asc("CustomerID")], "_frank")
-    s = (attach_one_row(ranked, rfm.agg(F.count(F.lit(1)).alias("_n")))
-               .transform(lambda d: binning.qcut_rank(d, "_frank", "_n", 5, "F_Score"))
-               .transform(lambda d: binning.qcut_strict(d, "Recency", 5, "_rbin"))
-               .transform(lambda d: binning.qcut_strict(d, "Monetary", 5, "M_Score"))
-               .withColumn("R_Score", (F.lit(6) - F.col("_rbin")).cast("int")))
+    s = (rfm.transform(lambda d: binning.qcut_by_rank(d, "Frequency", "CustomerID", 5, "F_Score"))
+            .transform(lambda d: binning.qcut_strict(d, {"Recency": "_rbin", "Monetary": "M_Score"}, 5))
+            .withColumn("R_Score", (F.lit(6) - F.col("_rbin")).cast("int")))
     return s.select("CustomerID", "Recency", "Frequency", "Monetary", "R_Score", "F_Score", "M_Score",
                     tf.score_code("R_Score", "F_Score", "M_Score").alias("RFM_Score"),
                     tf.segment_by_score_code(tf.score_code("R_Score", "F_Score", "M_Score")).alias("Segment"))
@@ -62,9 +58,7 @@ def rfm_scores_quintile(rfm: DataFrame) -> DataFrame:
 
 def rfm_scores_dedup(rfm: DataFrame) -> DataFrame:
     """W6/W7 + P28/P31: dashboard scores and rule segments."""
-    s = (rfm.transform(lambda d: binning.score_dashboard(d, "Recency", 5, "Recency_Score"))
-            .transform(lambda d: binning.score_dashboard(d, "Frequency", 5, "Frequency_Score"))
-            .transform(lambda d: binning.score_dashboard(d, "Monetary", 5, "Monetary_Score")))
+    s = binning.score_dashboard(rfm, {c: f"{c}_Score" for c in ("Recency", "Frequency", "Monetary")}, 5)
     r = (F.lit(6) - F.col("Recency_Score")).cast("int")
     f = F.col("Frequency_Score").cast("int")
     m = F.col("Monetary_Score").cast("int")
