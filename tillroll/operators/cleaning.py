@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.sources.schemas import CLEANED_COLUMNS, RAW_COLUMNS
 from tillroll.operators.radix import quantiles
-from tillroll.plans.materialize import cut
 
 
 # ---------------------------------------------------------------- filters ---
@@ -150,23 +149,16 @@ def clean_country(df: DataFrame, col: str = "Country") -> DataFrame:
 def invoice_features(df: DataFrame) -> DataFrame:
     """Per-invoice value, item count and distinct products on each line.
 
-    Expressed as an aggregate (combined map-side) joined back on InvoiceNo
-    instead of a window, which would hold a whole invoice in one task; lines
-    of invoices with a large share of all rows are joined map-side against a
-    broadcast of their (few) feature rows (``skew.join_back``).
-    """
-    from tillroll.operators.skew import join_back
-    per_invoice = (df.where(F.col("InvoiceNo").isNotNull())
-                     .groupBy("InvoiceNo")
-                     .agg(tf.money_sum("TotalAmount").alias("TransactionValue"),
-                          F.sum("Quantity").alias("ItemsPerTransaction"),
-                          F.count_distinct("StockCode").alias("UniqueProductsPerTransaction"),
-                          F.count(F.lit(1)).alias("_lines")))
-    # Lines without an invoice number match nothing and skip the join, so that
-    # they never meet in one task.  The small per-invoice table is written, as
-    # both parts of the join read it.
-    known = join_back(df.where(F.col("InvoiceNo").isNotNull()), cut(per_invoice, "per-invoice"), "InvoiceNo", "_lines")
-    return known.unionByName(df.where(F.col("InvoiceNo").isNull()), allowMissingColumns=True)
+    The lines are written by invoice (``layout.write_keyed``), so neither the
+    aggregate nor the join that brings it back moves a line.  An invoice with a
+    large share of all rows is spread over the buckets; lines without an invoice
+    number keep null features."""
+    from tillroll.plans.layout import write_keyed
+    lines = write_keyed(df, "InvoiceNo", "lines-by-invoice")
+    return lines.attach(lines.aggregate([
+        tf.money_sum("TotalAmount").alias("TransactionValue"), F.sum("Quantity").alias("ItemsPerTransaction"),
+        F.count_distinct("StockCode").alias("UniqueProductsPerTransaction")])).select(
+            *df.columns, "TransactionValue", "ItemsPerTransaction", "UniqueProductsPerTransaction")
 
 
 # ------------------------------------------------------------------- job ---
@@ -179,14 +171,14 @@ def clean_sales(raw: DataFrame, keep_extra: bool = True, drop_duplicates: bool =
     # text and calendar projections (the costly part per row) come after, so
     # they run once per surviving line.  Row-wise the result is the same as
     # the reference's step order (no step reads a column a later one changes).
-    # The fenced lines are written once, as the features read them three times.
+    # The fenced lines are written once, by invoice.
     df = (raw.transform(drop_cancelled)
              .transform(parse_invoice_ts)
              .transform(drop_missing_description)
              .transform(positive_amounts)
              .transform(line_total)
              .transform(sequential_iqr)
-             .transform(lambda d: invoice_features(cut(d, "fenced-lines")))
+             .transform(invoice_features)
              .transform(time_features)
              .transform(standardize_description)
              .transform(categorize_product)

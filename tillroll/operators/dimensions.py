@@ -137,9 +137,19 @@ def product_metrics(df: DataFrame) -> DataFrame:
                     tf.safe_ratio(F.col("Quantity"), F.col("TransactionCount")).alias("AvgQuantityPerOrder"))
 
 
-def top_products(metrics: DataFrame, by: str = "TotalAmount", n: int = 20) -> DataFrame:
-    """N largest products; ties keep key order (StockCode, Description)."""
-    return metrics.orderBy(F.desc(by), "StockCode", "Description").limit(n)
+def top_products(df: DataFrame, by: str = "TotalAmount", n: int = 20) -> DataFrame:
+    """Metrics of the n products with the largest revenue or quantity; ties
+    keep key order (StockCode, Description).
+
+    Two phases: the ranking needs one combinable sum per product, so invoices
+    and customers are counted for the n winners alone (their keys, at most n
+    rows, are broadcast to the lines)."""
+    order = [F.desc("_by"), "StockCode", "Description"]
+    total = {"TotalAmount": F.sum(tf.money_units("TotalAmount")), "Quantity": F.sum("Quantity")}[by]
+    first = (df.where(F.col("StockCode").isNotNull() & F.col("Description").isNotNull())
+               .groupBy("StockCode", "Description").agg(total.alias("_by")).orderBy(*order).limit(n).select("StockCode", "Description"))
+    lines = df.join(F.broadcast(first), ["StockCode", "Description"], "left_semi")
+    return product_metrics(lines).orderBy(F.desc(by), "StockCode", "Description")
 
 
 def category_performance(df: DataFrame) -> DataFrame:

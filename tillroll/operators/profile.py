@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.operators.cleaning import iqr_fences, step_flags
 from tillroll.operators.radix import quantiles
 from tillroll.operators.scalars import attach_one_row
+from tillroll.plans.materialize import cut
 
 
 def _unpivot(one_row: DataFrame, names: Sequence[str], value_cols: dict[str, str]) -> DataFrame:
@@ -85,10 +86,29 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
                        tf.round_sig(F.col("q")[2], 12).alias("q75"), "max")
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows identical to an earlier row (null equals null)."""
-    return (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-              .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicates")))
+def _fingerprint(cols: Sequence[str]) -> list[Column]:
+    """128 bits of a row, null like any other value: two hashes of its columns
+    and of which of them are null (a null leaves a hash as it is)."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
+    return [F.xxhash64(F.lit(seed), nulls, *[F.col(c) for c in order]) for seed, order in ((1, cols), (2, cols[::-1]))]
+
+
+def duplicate_count(df: DataFrame, broadcast_rows: int = 4_000_000) -> DataFrame:
+    """Rows identical to an earlier row (null equals null).
+
+    Rows are counted by a 128-bit fingerprint first, so 16 bytes a row are
+    shuffled, not its columns.  Only rows whose fingerprint occurs again are
+    then compared as wholes, which keeps the count exact if two rows share a
+    fingerprint.  The repeated fingerprints are broadcast to the rows up to
+    ``broadcast_rows`` of them (16 bytes each); beyond that they are joined."""
+    marks = [c.alias(n) for c, n in zip(_fingerprint(df.columns), ("_fa", "_fb"), strict=True)]
+    again = cut(df.select(*marks).groupBy("_fa", "_fb").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"), "repeated-rows")
+    n = again.count()
+    one = F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicates")
+    if not n:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicates"))
+    found = df.select("*", *marks).join(F.broadcast(again) if n <= broadcast_rows else again, ["_fa", "_fb"], "left_semi").drop("_fa", "_fb")
+    return found.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c")).agg(one)
 
 
 def profile_shape(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from tillroll import functions as tf
 from tillroll.operators import binning
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.scalars import attach_one_row
+from tillroll.plans.layout import KeyedTable, write_keyed
 from tillroll.plans.materialize import cut
 
 
@@ -79,29 +80,21 @@ def rfm_segment_profile(scored: DataFrame, segment_col: str = "Segment") -> Data
     return g.withColumn("Share", F.col("Count") * 100 / total)
 
 
-def attach_segments(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """C5 + J2: dashboard segmentation joined back to every line on
-    CustomerID (guests get null segments).  Snapshot over all lines.
+def attach_segments(df: DataFrame | KeyedTable, metrics: DataFrame | None = None) -> DataFrame:
+    """C5 + J2: dashboard segmentation put back on every line by CustomerID
+    (guests get null segments).  Snapshot over all lines.
 
-    Guest lines (null key) never match, so they skip the join entirely and
-    are unioned back: a huge null-key partition never reaches the join.
-    Customers with a large share of all lines are joined map-side against a
-    broadcast of their few segment rows (``skew.join_back``).  ``metrics``
-    may pass an already written ``rfm_metrics(df, "all")`` table.
+    Lines that are stored by customer (``layout.write_keyed``) are read as they
+    lie, only the per-customer rows move; other lines are stored so first.  A
+    customer with a large share of all lines is spread over the buckets, and so
+    are guests.  ``metrics`` may pass an already written ``rfm_metrics(df,
+    "all")`` table.
     """
-    from tillroll.operators.skew import join_back
+    lines = df if isinstance(df, KeyedTable) else write_keyed(df, "CustomerID", "lines-by-customer")
     if metrics is None:
-        metrics = cut(rfm_metrics(df, snapshot_scope="all"), "rfm")  # read by every score
+        metrics = cut(rfm_metrics(lines.lines, snapshot_scope="all"), "rfm")  # read by every score
     seg = rfm_scores_dedup(metrics).select("CustomerID", "RFM_Segment", "Customer_Segment")
-    lines_per_customer = (identified_customers(df).groupBy("CustomerID")
-                          .agg(F.count(F.lit(1)).alias("_lines")))
-    seg = cut(seg.join(lines_per_customer, "CustomerID"), "customer-segments")
-    known = join_back(df.where(F.col("CustomerID").isNotNull()), seg, "CustomerID", "_lines")
-    guests = (df.where(F.col("CustomerID").isNull())
-                .withColumn("RFM_Segment", F.lit(None).cast("string"))
-                .withColumn("Customer_Segment", F.lit(None).cast("string")))
-    cols = df.columns + ["RFM_Segment", "Customer_Segment"]
-    return known.select(*cols).unionByName(guests.select(*cols))
+    return lines.attach(seg).select(*lines.lines.columns, "RFM_Segment", "Customer_Segment")
 
 
 def segment_distribution(segmented: DataFrame) -> DataFrame:

@@ -21,13 +21,22 @@ def sales_predicate(date_from: dt.date | str | None = None, date_to: dt.date | s
                     countries: Sequence[str] = (), categories: Sequence[str] = (),
                     segment: str = "All", columns: Sequence[str] = ()) -> Column:
     """F7-F10 as one predicate.  The date range is inclusive of both days and
-    compares the raw timestamp column (no cast, so it can be pushed down)."""
+    compares the raw timestamp column (no cast, so it can be pushed down).  If
+    ``columns`` have the Year and Month derived from it, the same range is said
+    of them, too, so that a table partitioned by month skips folders."""
     cond = F.lit(True)
-    if date_from is not None:
-        cond = cond & (F.col("InvoiceDate") >= F.lit(str(date_from)).cast("timestamp_ntz"))
-    if date_to is not None:
-        end = dt.date.fromisoformat(str(date_to)) + dt.timedelta(days=1)
-        cond = cond & (F.col("InvoiceDate") < F.lit(str(end)).cast("timestamp_ntz"))
+    first = None if date_from is None else dt.date.fromisoformat(str(date_from))
+    last = None if date_to is None else dt.date.fromisoformat(str(date_to))
+    if first is not None:
+        cond = cond & (F.col("InvoiceDate") >= F.lit(str(first)).cast("timestamp_ntz"))
+    if last is not None:
+        cond = cond & (F.col("InvoiceDate") < F.lit(str(last + dt.timedelta(days=1))).cast("timestamp_ntz"))
+    if {"Year", "Month"} <= set(columns):
+        # what the dates say about the sink's folders, so that others aren't read
+        for day, beyond in ((first, lambda c, x: c > x), (last, lambda c, x: c < x)):
+            if day is not None:
+                year, month = F.col("Year"), F.col("Month")
+                cond = cond & (beyond(year, day.year) | ((year == day.year) & (beyond(month, day.month) | (month == day.month))))
     if countries:
         cond = cond & F.col("Country").isin(list(countries))
     if categories and (not columns or "ProductCategory" in columns):

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, dimensions as dims
+from tillroll.plans.layout import KeyedTable, write_keyed
+from tillroll.plans.materialize import once
 from tillroll.plans.oracle import (CLEANED_COLS, U, clean_desc_sql, money, msum, title_sql, with_cleaned,
                                    with_raw)
 from tillroll.sources.retail import TPCH_TABLES, retail_raw
@@ -42,12 +44,16 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_table(spark, f"raw:{sf_dir}", lambda: retail_raw(spark, sf_dir), sources=_inputs(sf_dir))
 
 
+def cleaned_by_customer(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """Cleaned lines of ``sf_dir``, stored by customer: the cleaning job's output
+    table, written once per session (the boundary every analysis starts from)."""
+    return once(spark, f"cleaned:{sf_dir}", lambda: write_keyed(
+        cleaning.clean_sales(raw_lines(spark, sf_dir)), "CustomerID", "cleaned-lines"), sources=_inputs(sf_dir))
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned lines of ``sf_dir``: the cleaning job's output table, written
-    once per session (the boundary every analysis starts from)."""
-    from tillroll.plans.materialize import written_table
-    return written_table(spark, f"cleaned:{sf_dir}",
-                         lambda: cleaning.clean_sales(raw_lines(spark, sf_dir)), sources=_inputs(sf_dir))
+    """The lines of ``cleaned_by_customer``."""
+    return cleaned_by_customer(spark, sf_dir).lines
 
 
 def _inputs(sf_dir: str) -> list[str]:
@@ -166,13 +172,13 @@ def q_product_metrics(spark, sf):
 @register("top_products_revenue", with_cleaned(
     f"SELECT {PM_COLS} FROM pm ORDER BY TotalAmount DESC, StockCode, Description LIMIT 20", PRODUCT_METRICS_CTE))
 def q_top_products_revenue(spark, sf):
-    return dims.top_products(dims.product_metrics(cleaned(spark, sf)), "TotalAmount", 20)
+    return dims.top_products(cleaned(spark, sf), "TotalAmount", 20)
 
 
 @register("top_products_quantity", with_cleaned(
     f"SELECT {PM_COLS} FROM pm ORDER BY Quantity DESC, StockCode, Description LIMIT 20", PRODUCT_METRICS_CTE))
 def q_top_products_quantity(spark, sf):
-    return dims.top_products(dims.product_metrics(cleaned(spark, sf)), "Quantity", 20)
+    return dims.top_products(cleaned(spark, sf), "Quantity", 20)
 
 
 @register("sample_products", with_cleaned(
@@ -396,7 +402,7 @@ def segmented(spark, sf) -> DataFrame:
     from tillroll.plans.materialize import written_table
     from tillroll.sources.schemas import CLEANED_COLUMNS, SEGMENT_COLUMNS
     return written_table(spark, f"segmented:{sf}", lambda: rfm.attach_segments(
-        cleaned(spark, sf), metrics=rfm_table(spark, sf, "all")).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS),
+        cleaned_by_customer(spark, sf), metrics=rfm_table(spark, sf, "all")).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS),
         sources=_inputs(sf))
 
 

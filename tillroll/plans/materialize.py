@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.session import scratch_dir
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_MADE: dict[tuple[str, str], object] = {}
 
 
 def _app_id(spark: SparkSession) -> str:
@@ -63,6 +64,14 @@ def written_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     return df
 
 
+def once(spark: SparkSession, key: str, build: Callable[[], object], sources: Sequence[str] = ()) -> object:
+    """``build()``, made once per session under ``key`` (see ``written_table``)."""
+    k = (_app_id(spark), f"{key}:{_state(spark, sources)}")
+    if k not in _MADE:
+        _MADE[k] = build()
+    return _MADE[k]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and scan it."""
     spark = df.sparkSession
