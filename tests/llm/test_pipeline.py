@@ -84,3 +84,16 @@ def test_run_over_the_smallest_table(spark, sf_small):
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     every = {r.doc_id for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id").collect()}
     assert ids and ids <= every
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path):
+    """What a stage wrote goes when the next one starts, as its result is written."""
+    import os
+
+    base, df = spark.conf.get("spark.checkpoint.dir"), docs(spark, corpus())
+    before = set(os.listdir(base))
+    for i, (_, step) in enumerate(corpus_pipeline.STAGES):
+        step(spark, df, "").write.parquet(str(tmp_path / str(i)))
+        df = spark.read.parquet(str(tmp_path / str(i)))
+    left = {x.split("-")[0] for x in set(os.listdir(base)) - before}
+    assert left <= {"pieces", "packed", "repacked"}

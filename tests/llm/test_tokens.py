@@ -1,6 +1,7 @@
 """BPE round trip, token counts and packing against the library and brute force."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -198,3 +199,18 @@ def test_bounded_bins_close_the_fullest():
             assert used.get(number, 0) == at
             used[number] = at + pieces[piece][1]
     assert max(used.values()) <= 10
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n", "\u00a0"])
+def test_long_white_space_equals_the_library(blank):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for text in (blank * 2_000_000, "a word" + blank * 400_000 + "x" + blank * 65_536, blank * 70_000 + "<|endoftext|> end"):
+        assert packing.ids_of(path, text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_bin_numbers_are_unique():
+    every = [packing.bin_number(*x) for x in itertools.product((0, 1, 63), (0, 1, 2 ** 27 - 1), (0, 5, 2 ** 30 - 1))]
+    assert len(set(every)) == len(every) and 0 <= min(every) and max(every) < 2 ** 63
+    with pytest.raises(OverflowError):
+        packing.bin_number(0, 2 ** 27, 0)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,15 +49,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     out._written_at = path
+    if _STAGE is not None:
+        _STAGE.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing will read any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table._written_at)
+
+
+_STAGE: list[str] | None = None
+_LEFT: dict[str, list[str]] = {}
+
+
+@contextmanager
+def stage(spark: SparkSession, docs: DataFrame):
+    """A pipeline stage: what it writes through ``written`` is noted.  A stage's
+    result is written before the next one starts, so the tables that earlier
+    stages of this application left are deleted now, but for those that
+    ``docs`` still reads (a caller who didn't write the result)."""
+    global _STAGE
+    ship(spark)
+    app = spark.sparkContext.applicationId
+    files = docs.inputFiles() if _LEFT.get(app) else []
+    keep = {p for p in _LEFT.get(app, []) if any(f"/{os.path.basename(p)}/" in f for f in files)}
+    for p in _LEFT.pop(app, []):
+        if p not in keep:
+            _delete(spark, p)
+    _STAGE = []
+    try:
+        yield
+    finally:
+        _LEFT[app], _STAGE = [*keep, *_STAGE], None
 
 
 def partitions(df: DataFrame) -> int:

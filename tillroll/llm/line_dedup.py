@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import Out, partitions, rows, written
+from tillroll.llm.common import Out, discard, partitions, rows, written
 from tillroll.llm.units import lines, normal, without_spans
 
 MIN_CHARS = 30
@@ -173,6 +173,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
     best = written(distinct.select("h", "first", "n").join(nearest, "h", "left")
                    .where((F.col("n") > 1) | F.col("near").isNotNull())
                    .select("h", F.least("first", F.coalesce("near", "first")).alias("best")), "earliest_lines")
+    discard(distinct, made, near)
     return (found.drop("keys").join(best, "h").where(F.col("best") < place)
             .select("doc_id", "line", "start", "end", F.col("best.doc_id").alias("kept_doc_id"), F.col("best.line").alias("kept_line"),
                     F.col("best.start").alias("kept_start")))

@@ -18,11 +18,14 @@ round; no task ever holds more than a bounded number of bins.
 
 Defined results: null text packs as the empty text (its end id alone).  Rows
 may repeat: each row is packed for itself and equal ids are told apart by no
-one (``doc_id`` should be unique).  An empty table gives an empty result.
+one (``doc_id`` should be unique); equal lengths go in the order of id and
+piece.  Texts of any length are taken whole, long runs of blanks too.  An empty
+table gives an empty result.  Numbers of sequences are exact, not hashes.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -90,108 +93,35 @@ def pack(pieces: Iterable[tuple[object, int]], capacity: int = CAPACITY, open_bi
             yield None, number, capacity - free
 
 
-PIECES = 16_384
-FAN_IN = 16
-
-
-class OpenBins:
-    """A bounded set of open bins, found by free space."""
-
-    def __init__(self, capacity: int, limit: int):
-        self.capacity, self.limit = capacity, limit
-        self.bits, self.n = 0, 0
-        self.stacks: list[list] = [[] for _ in range(capacity + 1)]
-
-    def take(self, least: int):
-        """The fullest open bin with at least ``least`` free, or None."""
-        up = self.bits >> least
-        if not up:
-            return None
-        free = least + (up & -up).bit_length() - 1
-        stack = self.stacks[free]
-        found = stack.pop()
-        if not stack:
-            self.bits &= ~(1 << free)
-        self.n -= 1
-        return found, free
-
-    def put(self, item, free: int):
-        """Keep a bin open; returns the bin that closes for it, if any."""
-        if free == 0:
-            return item, 0
-        self.stacks[free].append(item)
-        self.bits |= 1 << free
-        self.n += 1
-        return self.take(0) if self.n > self.limit else None
-
-    def rest(self) -> Iterator:
-        while (x := self.take(0)) is not None:
-            yield x
-
-
-def pack(pieces: Iterable[tuple[object, int]], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> Iterator[tuple[object, int, int]]:
-    """Bins for (piece, length): yields (piece, bin, offset) as pieces come and
-    at the end (None, bin, used) for each open bin that is half full at most."""
-    bins, made = OpenBins(capacity, open_bins), 0
-    for piece, length in pieces:
-        found = bins.take(length)
-        if found is None:
-            found, made = (made, capacity), made + 1
-        number, free = found
-        yield piece, number, capacity - free
-        bins.put(number, free - length)
-    for number, free in bins.rest():
-        if 2 * free >= capacity:
-            yield None, number, capacity - free
-
-
-_TOKENIZERS: dict[str, tuple] = {}
-
-
-def _tokenizer(path: str) -> tuple:
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        model = BpeModel(path)
-        _TOKENIZERS[path] = model, Words(lambda w: packed(library.encode(w, add_special_tokens=False).ids))
-    return _TOKENIZERS[path]
-
-
-def _ids(path: str, text: str) -> bytes:
-    """The library's ids of a text.  Pre-tokens are encoded for themselves and
-    remembered, as a byte-level model never merges across them."""
-    model, words = _tokenizer(path)
-    parts = model.special_split.split(text) if model.special_split else [text]
-    out = []
-    for part in parts:
-        if part in model.special:
-            out.append(packed([model.special[part]]))
-        else:
-            for chunk in chunks(part):
-                out += map(words.__getitem__, model.pattern.findall(chunk))
-    return b"".join(out)
-
-
 _READY: dict[str, tuple] = {}
 
+#: The faster library's word pattern fails on very long runs of white space.
+_LONG_BLANKS = re.compile(r"\s{65536}")
+
 
 def _tokenizer(path: str) -> tuple:
     """A worker's byte-level BPE with the vocabulary, word pattern and special
-    tokens of a tokenizers file: their ids, from a faster library."""
+    tokens of a tokenizers file: their ids, from a faster library and, for texts
+    that it can't take, from the tokenizers library itself."""
     if path not in _READY:
         import tiktoken
+        from tokenizers import Tokenizer
 
         model = BpeModel(path)
         byte = {c: b for b, c in enumerate(byte_letters())}
         ranks = {bytes(byte[c] for c in s): i for s, i in model.vocab.items() if s not in model.special}
-        _READY[path] = model, tiktoken.Encoding("own", pat_str=model.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        _READY[path] = model, tiktoken.Encoding("own", pat_str=model.pattern.pattern, mergeable_ranks=ranks, special_tokens={}), library
     return _READY[path]
 
 
 def ids_of(path: str, text: str) -> bytes:
     """Ids of a whole text as little-endian unsigned 32-bit integers."""
-    model, words = _tokenizer(path)
+    model, words, library = _tokenizer(path)
+    if len(text) >= 65536 and _LONG_BLANKS.search(text):
+        return packed(library.encode(text, add_special_tokens=False).ids)
     return b"".join(packed([model.special[p]]) if p in model.special else words.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes()
                     for p in model.parts(text))
 
@@ -220,8 +150,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _PIECES)
 
 
+_TASK_BITS, _BIN_BITS = 27, 30
+
+
+def bin_number(level: int, task: int, number: int) -> int:
+    """A bin's name: its round, task and place in the task, so no two share one."""
+    if task >> _TASK_BITS or number >> _BIN_BITS or level >> 6:
+        raise OverflowError("too many tasks or bins for a 63-bit number")
+    return (level << _TASK_BITS | task) << _BIN_BITS | number
+
+
 def _first(capacity: int, open_bins: int):
-    schema = pa.schema([*PIECES, ("bin", pa.string()), ("offset", pa.int64()), ("used", pa.int64())])
+    schema = pa.schema([*PIECES, ("bin", pa.int64()), ("offset", pa.int64()), ("used", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -229,7 +169,8 @@ def _first(capacity: int, open_bins: int):
         task = TaskContext.get().partitionId()
         out = Out(schema)
         for piece, number, at in pack(((r, r[3]) for r in rows(batches)), capacity, open_bins):
-            out.add((*piece, f"{task}.{number}", at, None) if piece else (None, None, None, None, None, f"{task}.{number}", None, at))
+            name = bin_number(0, task, number)
+            out.add((*piece, name, at, None) if piece else (None, None, None, None, None, name, None, at))
             if out.full():
                 yield out.batch()
         yield out.batch()
@@ -238,7 +179,7 @@ def _first(capacity: int, open_bins: int):
 
 
 def _again(capacity: int, open_bins: int, level: int):
-    schema = pa.schema([("bin", pa.string()), ("into", pa.string()), ("base", pa.int64()), ("used", pa.int64())])
+    schema = pa.schema([("bin", pa.int64()), ("into", pa.int64()), ("base", pa.int64()), ("used", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -246,7 +187,7 @@ def _again(capacity: int, open_bins: int, level: int):
         task = TaskContext.get().partitionId()
         out = Out(schema)
         for piece, number, at in pack(((r[0], r[1]) for r in rows(batches)), capacity, open_bins):
-            name = f"{level}-{task}.{number}"
+            name = bin_number(level, task, number)
             out.add((piece, name, at, None) if piece else (None, name, None, at))
             if out.full():
                 yield out.batch()
@@ -263,7 +204,7 @@ def best_fit(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_B
     dealt by a hash of document and piece, so no key can be hot."""
     n = tasks or 1 + found.count() // TASK_PIECES
     dealt = found.repartition(n, "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece").mapInArrow(
-        _first(capacity, open_bins), _PIECES + ", bin string, offset long, used long")
+        _first(capacity, open_bins), _PIECES + ", bin long, offset long, used long")
     placed = written(dealt, "packed")
     left = placed.where("piece is null").select("bin", "used")
     moves = None  # bin of the first round -> bin that took it, place there
@@ -271,7 +212,7 @@ def best_fit(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_B
     while n > 1:
         level, n = level + 1, -(-n // FAN_IN)
         dealt = left.repartition(n, "bin").sortWithinPartitions(F.desc("used"), "bin").mapInArrow(
-            _again(capacity, open_bins, level), "bin string, into string, base long, used long")
+            _again(capacity, open_bins, level), "bin long, into long, base long, used long")
         step = written(dealt, "repacked")
         left = step.where("bin is null").select(F.col("into").alias("bin"), "used")
         step = step.where("bin is not null").select("bin", "into", "base")
@@ -285,10 +226,10 @@ def best_fit(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_B
     if moves is not None:
         out = out.join(moves, "bin", "left")
     else:
-        out = out.withColumn("into", F.lit(None).cast("string")).withColumn("base", F.lit(0).cast("long"))
+        out = out.withColumn("into", F.lit(None).cast("long")).withColumn("base", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        F.abs(F.xxhash64(F.coalesce("into", "bin"))).alias("sequence_id"),
+        F.coalesce("into", "bin").alias("sequence_id"),
         (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
 
 
