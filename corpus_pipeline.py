@@ -11,7 +11,8 @@
    also such as stand inside a line; a document that loses all its text goes.
 5. ``best_fit_packing``: the rest is tokenized and packed into sequences.
 
-Each stage works on all that its predecessor kept and is written as Parquet.
+Each stage works on all that its predecessor kept and is written as Parquet;
+what it wrote on its way is deleted when the next stage starts.
 Null and empty texts have no language and go in stage 1.  An empty table of
 documents gives an empty result.
 """
@@ -22,32 +23,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import langid, line_dedup, ngram_join, packing, substring_dedup
-from tillroll.llm.common import ship, written
+from tillroll.llm.common import discard, stage, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return langid.keep_identified(docs)
+    with stage(spark, docs):
+        return langid.keep_identified(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return line_dedup.deduplicated(docs, exact_chars=1)
+    with stage(spark, docs):
+        return line_dedup.deduplicated(docs, exact_chars=1)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return ngram_join.one_of_each(docs)
+    with stage(spark, docs):
+        return ngram_join.one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return substring_dedup.deduplicated(docs)
+    with stage(spark, docs):
+        return substring_dedup.deduplicated(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    with stage(spark, docs):
+        return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -64,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, step in STAGES[:-1]:
+        docs = written(step(spark, docs, sf_dir), name)
+        if old is not None:
+            discard(old)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
