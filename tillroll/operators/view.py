@@ -2,8 +2,9 @@
 A31, A40, A41, S6-S8).
 
 Filters are plain predicates on the lines, so Catalyst pushes the date and
-country terms into the Parquet scan of the cleaned table; the KPI deltas
-compute the filtered and the total figures in one conditional aggregate.
+country terms into the Parquet scan of the cleaned table and skips the folders
+of other months; the KPI deltas compute the filtered and the total figures in
+the same conditional aggregates.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import functions as tf
+from tillroll.operators.scalars import attach_one_row
 
 
 def sales_predicate(date_from: dt.date | str | None = None, date_to: dt.date | str | None = None,
@@ -54,28 +56,24 @@ def filter_sales(df: DataFrame, date_from=None, date_to=None, countries: Sequenc
 
 def _kpi_row(df: DataFrame, pred: Column | None = None) -> DataFrame:
     """One row of KPI figures over all lines and, with ``_f``, over those where
-    ``pred`` holds.  Lines reduce to their distinct invoices, customers and
-    products first (combined map-side), each with a flag for ``pred``, so the
-    distinct counts need one small shuffle however many there are."""
+    ``pred`` holds.  Invoices (with the sums), customers and products are each
+    one narrow aggregate: a line is one row in it, combined map-side by a key of
+    its own type, so what is shuffled are keys and not lines."""
     ident = F.col("CustomerID").isNotNull()
     if "HasCustomerID" in df.columns:
         ident = ident & F.coalesce(F.col("HasCustomerID"), F.lit(False))
     hit = F.lit(False) if pred is None else F.coalesce(pred, F.lit(False))
-    parts = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key")) for kind, key in (
-        ("invoice", F.col("InvoiceNo")), ("customer", F.when(ident, F.col("CustomerID"))), ("product", F.col("StockCode")))]))
-    lines = df.select(tf.money_units("TotalAmount").alias("u"), ident.alias("ident"), hit.alias("hit"), parts.alias("p")).select("p.*", "u", "ident", "hit")
-    once = F.col("kind") == "invoice"  # every line has one such part
-    keys = lines.groupBy("kind", "key").agg(
-        F.max("hit").alias("hit"), F.sum(F.when(once, F.col("u"))).alias("u"), F.sum(F.when(once & F.col("hit"), F.col("u"))).alias("u_f"),
-        F.count_if(once & F.col("ident")).alias("c"), F.count_if(once & F.col("ident") & F.col("hit")).alias("c_f"))
-
-    def figures(sfx: str) -> list[Column]:
-        of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull() & (F.lit(True) if not sfx else F.col("hit")))
-        return [F.coalesce(F.sum("u" + sfx), F.lit(0)).alias(f"_units{sfx}"), of("invoice").alias(f"total_transactions{sfx}"),
-                of("customer").alias(f"total_customers{sfx}"), of("product").alias(f"total_products{sfx}"),
-                F.coalesce(F.sum("c" + sfx), F.lit(0)).alias(f"customer_transactions{sfx}")]
-
-    return keys.agg(*figures(""), *(figures("_f") if pred is not None else []))
+    both = [("", F.lit(True)), ("_f", hit)] if pred is not None else [("", F.lit(True))]
+    u = tf.money_units("TotalAmount")
+    invoices = df.groupBy("InvoiceNo").agg(*[x for sfx, on in both for x in (
+        F.sum(F.when(on, u)).alias(f"u{sfx}"), F.count_if(on & ident).alias(f"c{sfx}"), F.max(on).alias(f"hit{sfx}"))])
+    out = invoices.agg(*[x for sfx, _ in both for x in (
+        F.coalesce(F.sum(f"u{sfx}"), F.lit(0)).alias(f"_units{sfx}"), F.count_if(F.col("InvoiceNo").isNotNull() & F.col(f"hit{sfx}")).alias(f"total_transactions{sfx}"),
+        F.coalesce(F.sum(f"c{sfx}"), F.lit(0)).alias(f"customer_transactions{sfx}"))])
+    for name, key, lines in (("total_customers", "CustomerID", df.where(ident)), ("total_products", "StockCode", df.where(F.col("StockCode").isNotNull()))):
+        keys = lines.groupBy(key).agg(*[F.max(on).alias(f"hit{sfx}") for sfx, on in both])
+        out = attach_one_row(out, keys.agg(*[F.count_if(F.col(f"hit{sfx}")).alias(f"{name}{sfx}") for sfx, _ in both]))
+    return out
 
 
 def _kpi_cols(suffix: str = "") -> list[Column]:
@@ -99,8 +97,8 @@ def kpis(df: DataFrame) -> DataFrame:
 
 
 def kpi_deltas(df: DataFrame, pred: Column) -> DataFrame:
-    """Filtered KPIs next to the totals and their differences, from one
-    scan (see ``_kpi_row``)."""
+    """Filtered KPIs next to the totals and their differences, both from the
+    same aggregates (see ``_kpi_row``)."""
     one = _kpi_row(df, pred).select(*_kpi_cols(), *_kpi_cols("_f"))
     return one.select(
         "total_revenue_f", "total_transactions_f", "total_customers_f", "avg_order_value_f",
