@@ -47,6 +47,26 @@ def test_packed_ids_equal_the_library():
         assert np.frombuffer(packing.ids_of(path, text), "<u4").tolist() == want, text[:60]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_every_code_point_equals_the_library(name):
+    """Between letters, numbers and signs; alone and composed with marks."""
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    encoder, _ = bpe.coder(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # the planes of ideographs and private use in steps, everything else whole
+    points = [c for c in points if ord(c) < 0x3400 or 0xA000 <= ord(c) < 0xAC00 or 0xD7A0 <= ord(c) < 0x20000 and ord(c) % 2 == 0
+              or 0xE0000 <= ord(c) < 0xE0200 or ord(c) % 97 == 0]
+    texts = [f"a{c}{c}1{c}!{c}b" for c in points] + [f"e{c}\u0307x {c}\u0301" for c in points[::7]]
+    texts += ["\U000105d2\u0307x", "\U00011935\U00011930 y", "\U000113c2\U000113b8"]  # composed in some Unicode versions only
+    for at in range(0, len(texts), 5000):
+        part = texts[at:at + 5000]
+        for text, want in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(b"".join(encoder.encode(text)), "<u4").tolist() == want.ids, ascii(text)
+            if name == "byte_bpe_50k.json":
+                assert np.frombuffer(packing.ids_of(path, text), "<u4").tolist() == want.ids, ascii(text)
+
+
 def test_lookahead_is_sufficient():
     """Tokens that end before the bound stay the same whatever follows."""
     model = bpe.BpeModel(public_tokenizers.path("byte_bpe_50k.json"))

@@ -33,7 +33,6 @@ import codecs
 import hashlib
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +41,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tillroll.llm.common import Out, rows
 
@@ -86,8 +86,16 @@ class BpeModel:
         self.special_split = (regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
                               if self.special else None)
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.pattern = regex.compile(self._pattern(spec["pre_tokenizer"]))
+        # the library's own text rules, without its model
+        rules = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}))
+        self.normalizer, self.pre_tokenizer = rules.normalizer, rules.pre_tokenizer
+        low = [chr(c) for c in range(ord(_LATIN_END))]
+        self.lowers = self.normalizer is not None and all(
+            self.normalizer.normalize_str(c) == c.lower() or c.isspace() for c in low)
+        self.agreed: set[str] = set()
+        self.odd: set[str] = set()
+        self._classify(low)
 
     @staticmethod
     def _pattern(pre: dict) -> str:
@@ -194,15 +202,40 @@ class BpeModel:
         return self.special_split.split(text) if any(s in text for s in self.special) else [text]
 
     def normal(self, text: str) -> str:
-        """NFC and lower case letter by letter (a final sigma is not special), if
-        the file asks for lower case.  White space is left: such files drop it."""
-        if not self.lower:
+        """The library's normal form.  Characters before U+0300 have no
+        combining forms and an old, fixed lower case, so a file that asks for
+        NFC and lower case only lowers them (white space is left: such files
+        drop it)."""
+        if self.normalizer is None:
             return text
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:
-                text = text.replace("Σ", "σ")
-        return text.lower()
+        if self.lowers and not _BEYOND.search(text):
+            return text.lower()
+        return self.normalizer.normalize_str(text)
+
+    def _classify(self, characters) -> None:
+        """Which characters ``pattern`` takes for the same class (letter, number,
+        white space, other) as the library, whose Unicode tables are older or
+        newer than those of ``regex``: found out once per character."""
+        for c in characters:
+            probe = f"a{c}{c}1{c}!{c}b"
+            (self.agreed if self._split(probe) == self.pattern.findall(probe) else self.odd).add(c)
+
+    def _split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens of a normal form.  A text with a character of another class
+        than the library's is split by the library."""
+        if self.odd or _BEYOND.search(text):
+            seen = set(text)
+            self._classify(seen - self.agreed - self.odd)
+            if not self.odd.isdisjoint(seen):
+                return self._split(text)
+        return self.pattern.findall(text)
+
+
+_LATIN_END = "\u0300"
+_BEYOND = regex.compile("[^\\x00-\\u02FF]")
 
 
 class Words(dict):
@@ -260,7 +293,7 @@ class StreamEncoder:
                 yield packed([m.special[part]])
                 continue
             for chunk in chunks(part):
-                yield b"".join(map(self.words.__getitem__, m.pattern.findall(m.normal(chunk))))
+                yield b"".join(map(self.words.__getitem__, m.pre_tokens(m.normal(chunk))))
 
 
 class StreamDecoder:
