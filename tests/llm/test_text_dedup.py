@@ -96,6 +96,21 @@ def test_line_dedup_of_awkward_rows(spark):
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("op", [line_dedup, substring_dedup])
+def test_rows_without_an_id_or_with_the_same_one(spark, op):
+    """Each row's own decisions take effect, whatever other rows its id has."""
+    line = "this one line of ten words stands in all of them"
+    own = [" ".join(words(random.Random(k), 9).split()) for k in range(90)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, f"start {k}\n{line}\n{own[k]}") for k in range(90)]
+    df = docs(spark, rows, CLASHES)
+    left = op.deduplicated(df).collect()
+    assert sorted(x for r in left for x in r.text.split("\n") if x != line) == sorted(x for _, t in rows for x in t.split("\n") if x != line)
+    assert [r.doc_id for r in left if line in r.text] == [None]
+    copies = [(k, line + "\nend") for k in (None, None, 7, 7)]  # equal rows count as one document
+    assert sorted((str(r.doc_id), r.text) for r in op.deduplicated(docs(spark, copies)).collect()) == [
+        ("7", "end"), ("7", "end"), ("None", line + "\nend"), ("None", line + "\nend")]
+
+
 def test_exact_copies_of_short_lines(spark):
     rows = [(1, "All rights reserved.\nfirst"), (2, "all  rights reserved.\n\n\nsecond"), (3, "all rights reserved!\nx"), (4, "x"),
             (5, "one line that is long enough to have near lines\nfirst"), (6, "one line that is long enough to have near linez\nlast")]

@@ -21,9 +21,10 @@ line's decision in a join of two written tables, which Spark can split.
 
 Defined results: null and empty texts have no lines; lines under ``min_chars``
 characters have no near lines, and under ``exact_chars`` (by default the same)
-they are left alone, blank ones always.  Null ids rank first.  Rows with an equal id count as
-one document.  An empty table gives an empty result; only the named columns are
-read.
+they are left alone, blank ones always.  Null ids rank first, rows with an
+equal id by a hash of their text.  Rows with an equal id (or none) and an equal
+text count as one document: what goes from one goes from all of them.  An empty
+table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import Out, discard, partitions, rows, written
-from tillroll.llm.units import lines, normal, without_spans
+from tillroll.llm.units import lines, normal, text_key, without_spans
 
 MIN_CHARS = 30
 PARTS = 3
@@ -86,22 +87,22 @@ def _powers(n: int) -> np.ndarray:
 
 _POWERS = [_powers(1 << 12)]
 
-LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_LINES = "doc_id long, line long, start long, end long, h long, keys array<long>"
+LINES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_LINES = "doc_id long, text_key long, line long, start long, end long, h long, keys array<long>"
 
 
 def _lines(docs: DataFrame, min_chars: int, exact_chars: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         out = Out(LINES)
-        for key, text in rows(batches):
+        for key, text, own in rows(batches):
             for i, (start, end, line) in enumerate(lines(text or "")):
                 if end - start >= exact_chars and len(x := normal(line)) >= exact_chars:
-                    out.add((key, i, start, end, _hash(x), segment_keys(x) if len(x) >= min_chars else []))
+                    out.add((key, own, i, start, end, _hash(x), segment_keys(x) if len(x) >= min_chars else []))
                     if out.full():
                         yield out.batch()
         yield out.batch()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _LINES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_key(text_col)).mapInArrow(run, _LINES)
 
 
 def _agreeing(batches):
@@ -127,13 +128,11 @@ def _agreeing(batches):
 VARIANTS = pa.schema([("v", pa.int64()), ("h", pa.int64()), ("text", pa.string())])
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
-    """A row per removed line: its place and that of the earliest line near it.
-    Lines of ``exact_chars`` (``min_chars`` unless given) up to ``min_chars``
-    characters are near their exact copies only."""
+def _removed(docs: DataFrame, min_chars: int, id_col: str, text_col: str, exact_chars: int | None) -> DataFrame:
+    """``removed_lines`` with the ``text_key`` of the row that loses the line."""
     exact_chars = min_chars if exact_chars is None else exact_chars
     found = written(_lines(docs, min_chars, max(1, exact_chars), id_col, text_col), "lines")
-    place = F.struct("doc_id", "line", "start", "end")
+    place = F.struct("doc_id", "text_key", "line", "start", "end")
     distinct = written(found.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "distinct_lines")
 
     n = partitions(docs)
@@ -141,7 +140,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
               .repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h"))
     kinds = around.mapInArrow(_agreeing, "h long, kind int").groupBy("h").agg(F.collect_set("kind").alias("kinds"))  # 2 x PARTS at most
     todo = (kinds.join(distinct.select("h", "first"), "h")
-            .groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list(F.struct("first.line", "h", "kinds")).alias("todo")))  # a document's lines at most
+            .groupBy(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).agg(F.collect_list(F.struct("first.line", "h", "kinds")).alias("todo")))  # a document's lines at most
 
     def variants(batches):
         out = Out(VARIANTS, 50_000)
@@ -152,7 +151,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
                     continue
                 line = normal(line)
                 if _hash(line) != x["h"]:
-                    continue  # another row with this id
+                    continue  # another text with this id and key
                 out.add((None, x["h"], line), len(line))
                 for v in deletions(line, x["kinds"]).tolist():
                     out.add((v, x["h"], None))
@@ -160,8 +159,8 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
                     yield out.batch()
         yield out.batch()
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = written(texts.join(todo, F.col("id").eqNullSafe(F.col("_id"))).select("text", "todo")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
+    made = written(texts.join(todo, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("text", "todo")
                    .mapInArrow(variants, "v long, h long, text string"), "variants")
     v = made.where("v is not null").select("v", "h")
     pairs = v.alias("x").join(v.alias("y"), "v").where("x.h < y.h").select(F.col("x.h").alias("h"), F.col("y.h").alias("g")).distinct()
@@ -175,11 +174,18 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
                    .select("h", F.least("first", F.coalesce("near", "first")).alias("best")), "earliest_lines")
     discard(distinct, made, near)
     return (found.drop("keys").join(best, "h").where(F.col("best") < place)
-            .select("doc_id", "line", "start", "end", F.col("best.doc_id").alias("kept_doc_id"), F.col("best.line").alias("kept_line"),
+            .select("doc_id", "text_key", "line", "start", "end", F.col("best.doc_id").alias("kept_doc_id"), F.col("best.line").alias("kept_line"),
                     F.col("best.start").alias("kept_start")))
 
 
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
+    """A row per removed line: its place and that of the earliest line near it.
+    Lines of ``exact_chars`` (``min_chars`` unless given) up to ``min_chars``
+    characters are near their exact copies only."""
+    return _removed(docs, min_chars, id_col, text_col, exact_chars).drop("text_key")
+
+
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """``docs`` without the removed lines, all columns kept; a document that
     loses all its text goes."""
-    return without_spans(docs, removed_lines(docs, min_chars, id_col, text_col, exact_chars), id_col, text_col)
+    return without_spans(docs, _removed(docs, min_chars, id_col, text_col, exact_chars), id_col, text_col)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import Out, rows
@@ -55,12 +55,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(out)
 
 
+def text_key(text_col: str) -> Column:
+    """With the id, what tells rows apart: 64 bits of the text's hash."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans ``(doc_id, start, end)`` of whole lines or of
-    sentences taken out of their texts, all columns kept.  Documents that lose
-    all their text go; others, empty ones too, stay.  A document's spans are
-    bounded by its length."""
-    per_doc = spans.groupBy(F.col("doc_id").alias("_cut_doc_id")).agg(F.collect_set(F.struct("start", "end")).alias("_cut_spans"))
+    """``docs`` with the spans ``(doc_id, text_key, start, end)`` of whole lines
+    or of sentences taken out of their texts, all columns kept.  Documents that
+    lose all their text go; others, empty ones too, stay.  A row's spans are
+    found by its id, null or not, and its text's key, so rows that share an id
+    but not the text don't meet; a row's spans are bounded by its length."""
+    per_doc = (spans.groupBy(F.col("doc_id").alias("_cut_doc_id"), F.col("text_key").alias("_cut_key"))
+               .agg(F.collect_set(F.struct("start", "end")).alias("_cut_spans")))
     schema = docs.schema
     k, t = docs.columns.index(text_col), len(docs.columns)
 
@@ -77,13 +84,14 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
 
     names = [f"c{i}" for i in range(t)]
     types = ", ".join(f"{n} {f.dataType.simpleString() if f.name != text_col else 'string'}" for n, f in zip(names, schema, strict=True))
-    joined = docs.join(per_doc, F.col(id_col) == F.col("_cut_doc_id"), "left").drop("_cut_doc_id")
+    same_row = F.col(id_col).cast("long").eqNullSafe(F.col("_cut_doc_id")) & (text_key(text_col) == F.col("_cut_key"))
+    joined = docs.join(per_doc, same_row, "left").drop("_cut_doc_id", "_cut_key")
     return joined.mapInArrow(run, types).toDF(*docs.columns)
 
 
-UNITS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("whole", pa.bool_()),
+UNITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("whole", pa.bool_()),
                    ("a", pa.int64()), ("b", pa.int64())])
-_UNITS = "doc_id long, line long, start long, end long, whole boolean, a long, b long"
+_UNITS = "doc_id long, text_key long, line long, start long, end long, whole boolean, a long, b long"
 
 
 def digests(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +100,7 @@ def digests(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         out = Out(UNITS)
-        for key, text in rows(batches):
+        for key, text, own in rows(batches):
             for i, (start, end, line) in enumerate(lines(text or "")):
                 words = line.lower().split()
                 if len(words) < min_words:
@@ -103,9 +111,9 @@ def digests(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: s
                     parts += [(s, e, False, w) for s, e, x in inner if len(w := x.lower().split()) >= min_words]
                 for s, e, whole, w in parts:
                     h = hashlib.md5(" ".join(w).encode("utf-8", "replace")).digest()
-                    out.add((key, i, s, e, whole, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
+                    out.add((key, own, i, s, e, whole, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
             if out.full():
                 yield out.batch()
         yield out.batch()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _UNITS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_key(text_col)).mapInArrow(run, _UNITS)
