@@ -82,6 +82,28 @@ def test_itemsets_leave_out_null_invoices_and_rare_items(spark):
     assert {r.itemset for r in every.where("length = 1").collect()} == plain
 
 
+def test_itemsets_of_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Sets of every length; an item that most invoices hold, blocks of a few
+    invoices and of more than one word."""
+    rng = random.Random(8)
+    held = {f"n{i}": {x for x in "abcdefg" if rng.random() < 0.45} | ({"hot"} if rng.random() < 0.8 else set()) for i in range(700)}
+    rows = [(k, x, 1, 5) for k, items in held.items() for x in items]
+    df = spark.createDataFrame(rows, "InvoiceNo string, Description string, Quantity int, CustomerID long").withColumn("HasCustomerID", F.lit(True))
+    filled = [items for items in held.values() if items]
+    want = {}
+    for k in range(1, 9):
+        for c in itertools.combinations(sorted("abcdefg") + ["hot"], k):
+            n = sum(items.issuperset(c) for items in filled)
+            if n / len(filled) >= 0.05:
+                want[c] = (n, n / len(filled))
+    assert max(map(len, want)) >= 4
+    for size in (100, 8192):
+        monkeypatch.setattr(basket, "BLOCK_INVOICES", size)
+        got = basket.frequent_itemsets(df, min_support=0.05).collect()
+        assert {tuple(r["items"]): (r.freq, r.support) for r in got} == want and len(got) == len(want)
+    assert basket.frequent_itemsets(df.where("false")).count() == 0
+
+
 def test_rules_of_a_long_itemset(spark):
     items = [f"i{k}" for k in range(9)]
     sets = [(list(c), ", ".join(c), k, 1, 0.5) for k in range(1, 10) for c in itertools.combinations(items, k)]

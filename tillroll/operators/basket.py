@@ -5,21 +5,23 @@
   items.  Lines of other items are left out before the shuffle, each invoice
   is reduced to the ranks of the top items it holds (at most ``top_n``), and
   pairs are counted per distinct combination, never per invoice.
-* ``frequent_itemsets``– FP-growth (``pyspark.ml.fpm.FPGrowth``), itemsets
-  of every length.
+* ``frequent_itemsets``– itemsets of every length from vertical bitmaps: which
+  invoices of a block hold an item, intersected level by level.
 * ``association_rules``– every antecedent/consequent split of every
-  frequent itemset (FP-growth's own rules only have one-item consequents).
+  frequent itemset.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.scalars import attach_one_row
-from tillroll.plans.materialize import cut
+from tillroll.plans.materialize import cut, drop_cut
 
 
 def _shl(x, n):
@@ -124,25 +126,66 @@ def transactions(df: DataFrame, item_col: str = "Description", identified_only:
     return bought.groupBy("InvoiceNo").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
-def frequent_itemsets(df: DataFrame, item_col: str = "Description", min_support: float = 0.01,
-                      identified_only: bool = True, num_partitions: int | None = None) -> DataFrame:
-    """All itemsets with support >= min_support (FP-growth).  Columns:
-    items (sorted array), itemset (comma text), length, freq, support.  The
-    sets are written once, as rules read them three times."""
-    from pyspark.ml.fpm import FPGrowth
+BLOCK_INVOICES = 8192
+
+
+def item_bitmaps(tx: DataFrame, invoices: int) -> DataFrame:
+    """``block, prefix, last, words``: of a block of about ``BLOCK_INVOICES``
+    invoices and an item, one bit per invoice that holds it, 64 to a word.
+    Blocks are cut by a hash of the invoice, so an item that a third of all
+    invoices hold is spread over all blocks, at one bitmap each."""
+    w = Window.partitionBy("block")
+    placed = (tx.select(F.pmod(F.xxhash64("InvoiceNo"), F.lit(1 + invoices // BLOCK_INVOICES)).alias("block"), "InvoiceNo", "items")
+                .withColumn("bit", F.row_number().over(w.orderBy("InvoiceNo")) - 1)
+                .withColumn("size", F.count(F.lit(1)).over(w))
+                .select("block", "size", "bit", F.explode("items").alias("last")))
+    word = _shr(F.col("bit"), F.lit(6)).alias("word")
+    bits = F.expr("bit_or(shiftleft(1L, bit & 63))").alias("bits")
+    held = placed.groupBy("block", "size", "last", word).agg(bits)
+    of_item = held.groupBy("block", "size", "last").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    words = F.expr("transform(sequence(0, (size - 1) div 64), i -> coalesce(try_element_at(m, cast(i AS INT)), 0L))")
+    return of_item.select("block", F.array().cast("array<string>").alias("prefix"), "last", words.alias("words"))
+
 
+_ONES = "aggregate(words, 0L, (n, w) -> n + bit_count(w))"
+
+
+def _extended(covers: DataFrame) -> DataFrame:
+    """Sets of one item more (``prefix`` and ``last``) and their bitmaps per
+    block, from two sets that differ in their last item."""
+    a, b = covers.alias("a"), covers.alias("b")
+    both = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.last") < F.col("b.last")))
+    return both.select(F.col("a.block").alias("block"), F.concat("a.prefix", F.array("a.last")).alias("prefix"), F.col("b.last").alias("last"),
+                       F.expr("zip_with(a.words, b.words, (x, y) -> x & y)").alias("words"))
+
+
+def frequent_itemsets(df: DataFrame, item_col: str = "Description", min_support: float = 0.01,
+                      identified_only: bool = True) -> DataFrame:
+    """All itemsets with support >= min_support.  Columns: items (sorted
+    array), itemset (comma text), length, freq, support.
+
+    A level counts the sets that two frequent ones make, block by block, and
+    then keeps the bitmaps of the frequent ones for the next.  A block holds at
+    most mean basket / min_support items.  The sets are written once, as rules
+    read them three times."""
     tx = cut(transactions(df, item_col, identified_only, min_support), "transactions")
-    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
-    model = fp.fit(tx)
-    sets = (attach_one_row(model.freqItemsets, tx.agg(F.count(F.lit(1)).alias("_n")))
-            .select(F.array_sort("items").alias("items"), F.col("freq").cast("bigint").alias("freq"),
-                    (F.col("freq") / F.col("_n")).alias("support")))
-    # Same inclusion test as the reference (support compared as a ratio).
-    sets = sets.where(F.col("support") >= min_support)
-    return cut(sets.select("items", F.array_join("items", ", ").alias("itemset"),
-                           F.size("items").alias("length"), "freq", "support"), "itemsets")
+    n = tx.count()
+    supported = lambda sets: sets.where(F.col("freq") / F.lit(n) >= min_support) if n else sets
+    counted = lambda covers: supported(covers.groupBy("prefix", "last").agg(F.sum(F.expr(_ONES)).alias("freq")))
+    covers = cut(item_bitmaps(tx, n), "item-bitmaps")
+    levels = [cut(counted(covers), "itemset-level")]
+    while levels[-1].limit(2).count() == 2:
+        levels.append(cut(counted(_extended(covers)), "itemset-level"))
+        deeper = cut(_extended(covers).join(levels[-1].select("prefix", "last"), ["prefix", "last"], "left_semi")
+                     .select("block", "prefix", "last", "words"), "itemset-bitmaps")
+        drop_cut(covers)
+        covers = deeper
+    sets = reduce(DataFrame.unionByName, levels).select(F.concat("prefix", F.array("last")).alias("items"), "freq")
+    out = cut(sets.select("items", F.array_join("items", ", ").alias("itemset"), F.size("items").alias("length"), "freq",
+                          (F.col("freq") / F.lit(n) if n else F.lit(None).cast("double")).alias("support")), "itemsets")
+    for table in (tx, covers, *levels):
+        drop_cut(table)
+    return out
 
 
 def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 0.5) -> DataFrame:

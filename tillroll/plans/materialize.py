@@ -77,4 +77,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop_cut(table: DataFrame) -> None:
+    """Delete a table made by ``cut`` that nothing will read any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._cut_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
