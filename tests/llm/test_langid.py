@@ -62,6 +62,17 @@ def test_the_sample_is_bounded_and_by_label(spark):
     assert right >= 0.95 * len(rows)
 
 
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    """One id in most rows, with many texts, and one row many times over."""
+    rows = [(0 if i % 3 else i, t, lang) for i, t, lang in labelled(6, 300)] + [(1, "abc abd", "aa")] * 500
+    seen = []
+    learn = langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda xs, *a, **k: seen.append(len(xs)) or learn(xs, *a, **k))
+    model = langid.fit(docs(spark, rows), sample_per_label=20)
+    assert model.labels == sorted(LETTERS) and 0 < seen[0] <= 3 * 20
+    assert sum(model.predict(t)[0] == lang for _, t, lang in rows) >= 0.95 * len(rows)
+
+
 def test_features_ignore_what_is_not_a_letter():
     assert (langid.grams("Ab, cd") == langid.grams("ab  12 cd")).all()
     assert langid.grams("12") is None and langid.grams("") is None and langid.grams(None) is None

@@ -99,6 +99,35 @@ def test_exact_if_the_descent_finds_nothing(spark, monkeypatch):
         assert (r.n_links, r.component_id) == want.get(r.vec_id, (0, r.vec_id)), r
 
 
+def test_rare_links_that_the_descent_misses_are_noticed(spark, monkeypatch):
+    """Two links in 600 vectors; a sample of nodes that sees neither would pass."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((600, 24))
+    x[7], x[500] = x[8] + 0.05 * x[7], x[90] + 0.05 * x[500]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    descend = nn_graph.descend
+    monkeypatch.setattr(nn_graph, "descend", lambda *a, **b: descend(*a, **b).where("d > 0.2"))
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *a, **b: 1.0)
+    with pytest.warns(UserWarning, match="recall"):
+        got = embedding_dedup.near_duplicates(df)
+    assert {(r.vec_id, r.component_id) for r in got.where("n_links > 0").collect()} == {(7, 7), (8, 7), (90, 90), (500, 90)}
+
+
+def test_planted_partners(spark):
+    nodes = spark.createDataFrame([(i, np.eye(8)[i % 8].astype("<f8").tobytes()) for i in range(20)], "id long, x binary")
+    pairs = embedding_dedup.partners(nodes, "<f8", 0.95, 5)
+    for p, s, y in pairs:
+        assert p >= 20 and 0.95 < np.frombuffer(y, "<f8") @ np.eye(8)[s % 8] < 0.96
+    table = spark.createDataFrame([(p, s) for p, s, _ in pairs], "p long, s long")
+    lists = spark.createDataFrame([(pairs[0][0], pairs[0][1]), (pairs[1][1], pairs[1][0])], "u long, v long")
+    full = spark.createDataFrame([(pairs[2][1],)], "node long")
+    assert embedding_dedup.planted_recall(lists, full, table) == 0.6
+    for last in ((1 << 63) - 1, 5):
+        ends = nodes.select((F.col("id") - 10 if last == 5 else F.lit(last) - F.col("id")).alias("id"), "x")
+        assert len(embedding_dedup.partners(ends, "<f8", 0.95, 5)) == 5
+    assert embedding_dedup.partners(nodes.where("false"), "<f8", 0.95) == []
+
+
 def test_audit_counts_nodes_and_not_links(spark):
     """All links of a dense group are measured, none of the single pairs is found."""
     rng = np.random.default_rng(6)
@@ -184,6 +213,19 @@ def test_recall_of_the_search(spark, n):
     assert hits >= 0.95 * 10 * len(want)
 
 
+def test_exact_if_the_search_finds_little(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_STEPS", 0)
+    monkeypatch.setattr(ann, "ENTRIES", 12)
+    rows = vectors(5, n=430)
+    want = brute_nearest(rows, [i for i, _ in rows if i % 20 == 0], 10)
+    with pytest.warns(UserWarning, match="recall"):
+        found = ann.nearest_neighbours(frame(spark, rows), F.col("vec_id") % 20 == 0)
+    got: dict = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+
+
 def test_lists_hold_the_nearest(spark):
     rows = vectors(4)
     nodes, _ = nn_graph.classes(nn_graph.usable(frame(spark, rows), "vec_id", "embedding"))

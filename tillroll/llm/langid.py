@@ -138,6 +138,7 @@ def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     the model."""
     learn = learn.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                          F.col(label_col).cast("string").alias("label")).dropna()
+    learn = learn.withColumn("key", F.xxhash64("id", "text"))  # repeated rows are one to the sample
 
     def frequencies(batches):
         df, n = np.zeros(DIM, np.int64), 0
@@ -157,12 +158,13 @@ def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
 
     # rows of a label below a hash bound that leaves a few times the sample, then the smallest hashes
-    labels = F.broadcast(learn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(max_labels))
-    order = F.xxhash64("id")
-    few = (learn.select("id", "label").join(labels, "label")
-           .where((order.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) < 4.0 * sample_per_label / F.col("n"))
-           .withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(order, "id")))
-           .where(F.col("k") <= sample_per_label).select("id").distinct())
+    labels = F.broadcast(learn.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("m"))
+                         .orderBy(F.desc("n"), "label").limit(max_labels))
+    few = (learn.select("label", "key").join(labels, "label")
+           .where((F.col("key").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) < 4.0 * sample_per_label / F.col("m"))
+           .select("label", "key").distinct()
+           .withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("key")))
+           .where(F.col("k") <= sample_per_label).select("label", "key"))
 
     def sparse(batches):
         for key, text, label in rows(batches):
@@ -171,8 +173,8 @@ def fit(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
                 at, x = features(counts, idf)
                 yield pa.RecordBatch.from_pydict({"id": [key], "label": [label], "at": [at.astype("<i4").tobytes()], "x": [x.astype("<f4").tobytes()]})
 
-    # the sample's size is bounded, so its ids may be broadcast and its features collected
-    sample = learn.join(F.broadcast(few), "id").mapInArrow(sparse, "id long, label string, at binary, x binary").collect()
+    # the sample is bounded in rows, so its keys may be broadcast and its features collected
+    sample = learn.join(F.broadcast(few), ["label", "key"]).dropDuplicates(["label", "key"]).select("id", "text", "label").mapInArrow(sparse, "id long, label string, at binary, x binary").collect()
     sample.sort(key=lambda r: (r.id, r.label, r.at, r.x))
     names = sorted({r.label for r in sample})
     xs = [(np.frombuffer(r.at, "<i4"), np.frombuffer(r.x, "<f4").astype(float)) for r in sample]
