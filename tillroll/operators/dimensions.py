@@ -102,8 +102,14 @@ def temporal_peaks(df: DataFrame) -> DataFrame:
     """Best season, weekday, hour and business period by revenue.
     Ties go to the first key (alphabetical; weekday order for days)."""
     # One scan: at most 4 x 7 x 24 x 4 groups hold all four keys.
-    keys = ("Season", "DayOfWeek", "DayName", "Hour", "BusinessPeriod")
-    g = df.groupBy(*keys).agg(_rev_units())
+    return peaks_of(df.groupBy(*PEAK_KEYS).agg(_rev_units()))
+
+
+PEAK_KEYS = ("Season", "DayOfWeek", "DayName", "Hour", "BusinessPeriod")
+
+
+def peaks_of(g: DataFrame) -> DataFrame:
+    """A13 from revenue units by ``PEAK_KEYS``."""
     parts = F.explode(F.array(*[
         F.struct(F.lit(name).alias("part"), F.col(key).cast("string").alias("value"), order.cast("string").alias("place"))
         for name, key, order in (("best_season", "Season", F.col("Season")), ("best_day", "DayName", F.col("DayOfWeek")),
@@ -265,6 +271,11 @@ def country_summary(df: DataFrame) -> DataFrame:
            .agg(_rev_units(), F.count(F.lit(1)).alias("_n"),
                 F.count_distinct("InvoiceNo").alias("Transaction_Count"),
                 F.count_distinct(F.when(has_id, F.col("CustomerID"))).alias("Customer_Count")))
+    return country_summary_of(g)
+
+
+def country_summary_of(g: DataFrame) -> DataFrame:
+    """A36 from revenue units, lines and counts by country."""
     return (g.select("Country", tf.money_round2(REV_UNITS).alias("Total_Revenue"),
                      tf.money_round2(REV_UNITS, "_n").alias("Avg_Order_Value"),
                      "Transaction_Count", "Customer_Count")
@@ -276,6 +287,11 @@ def season_summary(df: DataFrame) -> DataFrame:
     g = (df.groupBy("Season")
            .agg(_rev_units(), F.count(F.lit(1)).alias("_n"),
                 F.count_distinct("InvoiceNo").alias("Transaction_Count")))
+    return season_summary_of(g)
+
+
+def season_summary_of(g: DataFrame) -> DataFrame:
+    """A35 from revenue units, lines and invoices by season."""
     return g.select("Season", tf.money_round2(REV_UNITS).alias("Total_Revenue"),
                     tf.money_round2(REV_UNITS, "_n").alias("Avg_Revenue"), "Transaction_Count")
 
@@ -287,6 +303,11 @@ def home_market_share(df: DataFrame, home: str = tf.HOME_MARKET) -> DataFrame:
     g = (df.where(F.col("Country").isNotNull()).groupBy("Country")
            .agg(_rev_units(), F.count_distinct("InvoiceNo").alias("_inv"),
                 F.count_distinct("CustomerID").alias("_cust")))
+    return home_share_of(g, home)
+
+
+def home_share_of(g: DataFrame, home: str = tf.HOME_MARKET) -> DataFrame:
+    """A15 + A39 from revenue units, invoices and customers by country."""
     is_home = F.col("Country") == F.lit(home)
     home_units = F.coalesce(F.sum(F.when(is_home, F.col(REV_UNITS))), F.lit(0))
     tot = F.sum(REV_UNITS)

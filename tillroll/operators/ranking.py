@@ -46,9 +46,11 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
     value is split by the order columns after it."""
     ranged = _ranged(df, order, num_partitions)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    return (ranged.join(_offsets(counts, "_cnt"), "_pid")
-                  .withColumn(out, F.col("_off") + F.col("_pos") + 1)
-                  .drop("_pid", "_pos", "_off"))
+    numbered = (ranged.join(_offsets(counts, "_cnt"), "_pid")
+                      .withColumn(out, F.col("_off") + F.col("_pos") + 1)
+                      .drop("_pid", "_pos", "_off"))
+    numbered._cut_at = ranged._cut_at  # for drop_cut
+    return numbered
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[str | Column]) -> DataFrame:

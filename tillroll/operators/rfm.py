@@ -101,6 +101,11 @@ def segment_distribution(segmented: DataFrame) -> DataFrame:
     """Identified customers per Customer_Segment and % of them."""
     lines = identified_customers(segmented).where(F.col("Customer_Segment").isNotNull())
     g = lines.groupBy("Customer_Segment").agg(F.count_distinct("CustomerID").alias("Count"))
+    return segment_shares(g)
+
+
+def segment_shares(g: DataFrame) -> DataFrame:
+    """A34 from customers by segment."""
     total = F.sum("Count").over(Window.partitionBy(F.lit(1)))  # at most 7 segments
     return (g.withColumn("Percentage", F.col("Count") * 100 / total)
              .orderBy(F.desc("Percentage"), "Customer_Segment"))

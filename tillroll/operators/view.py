@@ -99,7 +99,11 @@ def kpis(df: DataFrame) -> DataFrame:
 def kpi_deltas(df: DataFrame, pred: Column) -> DataFrame:
     """Filtered KPIs next to the totals and their differences, both from the
     same aggregates (see ``_kpi_row``)."""
-    one = _kpi_row(df, pred).select(*_kpi_cols(), *_kpi_cols("_f"))
+    return deltas_of(_kpi_row(df, pred).select(*_kpi_cols(), *_kpi_cols("_f")))
+
+
+def deltas_of(one: DataFrame) -> DataFrame:
+    """A31 from one row of KPIs, in total and (``_f``) filtered."""
     return one.select(
         "total_revenue_f", "total_transactions_f", "total_customers_f", "avg_order_value_f",
         "total_products_f",
@@ -140,8 +144,11 @@ def filter_domains(df: DataFrame) -> DataFrame:
 def kpi_summary_report(filtered: DataFrame) -> DataFrame:
     """S7 + P35: five (Metric, Value) rows with the values formatted as text:
     revenue '£1,234.50', counts '1,234', AOV '£12.34'."""
-    k = kpis(filtered)
+    return summary_of(kpis(filtered))
+
 
+def summary_of(k: DataFrame) -> DataFrame:
+    """S7 from one row of KPIs."""
     def row(pos: int, metric: str, value: Column) -> Column:
         return F.struct(F.lit(pos).alias("Position"), F.lit(metric).alias("Metric"), value.alias("Value"))
 

@@ -1007,3 +1007,123 @@ def q_frequent_itemsets_description(spark, sf):
     ITEMSET_CTES[0], DESC_ITEMSET_CTES[0]))
 def q_association_rules_description(spark, sf):
     return basket.association_rules(basket.frequent_itemsets(cleaned(spark, sf)))
+
+
+# ================================================================== cube ===
+
+from tillroll.operators import cube as cube_ops  # noqa: E402
+
+
+def cube_table(spark, sf) -> cube_ops.SalesCube:
+    """The dashboard cube over the segmented lines, written once per session."""
+    return once(spark, f"cube:{sf}", lambda: cube_ops.write_cube(segmented(spark, sf)), sources=_inputs(sf))
+
+
+CUBE_FILTER = dict(VIEW_FILTER, segment=DELTA_SEGMENT)
+CUBE_CTES = (*RFM_DEDUP_CTES, f"fv AS (SELECT * FROM segmented WHERE {VIEW_WHERE} AND Customer_Segment = '{DELTA_SEGMENT}')",
+             f"vv AS (SELECT * FROM segmented WHERE {VIEW_WHERE})")
+
+
+def cube_view(spark, sf, segment: str = DELTA_SEGMENT) -> cube_ops.SalesCube:
+    """What the test configuration's filter leaves of the cube."""
+    return cube_table(spark, sf).where(view.sales_predicate(**VIEW_FILTER, segment=segment, columns=segmented(spark, sf).columns))
+
+
+@register("cube_kpis", with_cleaned(f"SELECT {kpi_sql()} FROM fv", *CUBE_CTES))
+def q_cube_kpis(spark, sf):
+    return cube_ops.kpis(cube_view(spark, sf))
+
+
+@register("cube_kpi_deltas", ORACLE["kpi_deltas"])
+def q_cube_kpi_deltas(spark, sf):
+    return cube_ops.kpi_deltas(cube_table(spark, sf), view.sales_predicate(**CUBE_FILTER, columns=segmented(spark, sf).columns))
+
+
+@register("cube_filter_domains", ORACLE["filter_domains"])
+def q_cube_filter_domains(spark, sf):
+    return view.filter_domains(cube_table(spark, sf).cells)
+
+
+@register("cube_daily_revenue", with_cleaned(
+    f"SELECT CAST(InvoiceDate AS DATE) AS Date, {msum()} AS Value FROM fv GROUP BY 1", *CUBE_CTES))
+def q_cube_daily_revenue(spark, sf):
+    return cube_ops.daily_revenue(cube_view(spark, sf))
+
+
+@register("cube_season_summary", with_cleaned(f"""
+SELECT Season, {round2_sql('u')} AS Total_Revenue, {round2_sql('u', 'n')} AS Avg_Revenue, Transaction_Count
+FROM (SELECT Season, sum({U}) AS u, count(*) AS n, count(DISTINCT InvoiceNo) AS Transaction_Count
+      FROM fv GROUP BY Season)""", *CUBE_CTES))
+def q_cube_season_summary(spark, sf):
+    return cube_ops.season_summary(cube_view(spark, sf))
+
+
+@register("cube_hourly_sales", with_cleaned(f"""
+SELECT Hour, {msum()} AS TotalAmount, count(DISTINCT InvoiceNo) AS Transactions FROM vv WHERE Hour IS NOT NULL GROUP BY Hour""", *CUBE_CTES))
+def q_cube_hourly_sales(spark, sf):
+    return cube_ops.hourly_sales(cube_view(spark, sf, "All"))
+
+
+@register("cube_country_summary", with_cleaned(f"""
+SELECT Country, {round2_sql('u')} AS Total_Revenue, {round2_sql('u', 'n')} AS Avg_Order_Value,
+       Transaction_Count, Customer_Count
+FROM (SELECT Country, sum({U}) AS u, count(*) AS n, count(DISTINCT InvoiceNo) AS Transaction_Count,
+             count(DISTINCT CASE WHEN HasCustomerID THEN CustomerID END) AS Customer_Count
+      FROM vv WHERE Country IS NOT NULL GROUP BY Country)""", *CUBE_CTES))
+def q_cube_country_summary(spark, sf):
+    return cube_ops.country_summary(cube_view(spark, sf, "All"))
+
+
+@register("cube_segment_distribution", with_cleaned(f"""
+SELECT Customer_Segment, count(DISTINCT CustomerID) AS Count,
+       CAST(count(DISTINCT CustomerID) * 100 AS DOUBLE) / sum(count(DISTINCT CustomerID)) OVER () AS Percentage
+FROM vv WHERE {IDENT} AND Customer_Segment IS NOT NULL GROUP BY Customer_Segment""", *CUBE_CTES))
+def q_cube_segment_distribution(spark, sf):
+    return cube_ops.segment_distribution(cube_view(spark, sf, "All"))
+
+
+@register("cube_home_market_share", ORACLE["home_market_share"])
+def q_cube_home_market_share(spark, sf):
+    return cube_ops.home_market_share(cube_table(spark, sf))
+
+
+@register("cube_temporal_peaks", ORACLE["temporal_peaks"])
+def q_cube_temporal_peaks(spark, sf):
+    return cube_ops.temporal_peaks(cube_table(spark, sf))
+
+
+# ================================================================== jobs ===
+
+#: Tables of the composite jobs and the query whose SQL says the same.
+ANALYSIS_TABLES = {
+    "monthly_trends": "monthly_sales", "monthly_insights": "monthly_insights", "rfm_analysis": "rfm_scores_quintile",
+    "rfm_segment_profile": "rfm_segment_profile", "recency_histogram": "recency_histogram", "product_metrics": "product_metrics",
+    "category_performance": "category_performance", "product_insights": "product_insights", "seasonal_data": "season_sales",
+    "dow_data": "dow_sales", "hourly_data": "hourly_sales", "period_data": "period_sales", "temporal_peaks": "temporal_peaks",
+    "country_metrics": "country_metrics", "geographic_insights": "home_market_share", "executive_summary": "kpis"}
+BUSINESS_TABLES = {
+    "cohort_analysis": "cohort_retention", "cohort_avg_retention": "cohort_avg_retention", "market_basket": "basket_pairs_description",
+    "clv_analysis": "clv", "clv_insights": "clv_insights", "sales_forecast": "forecast", "trend_fit": "sales_trend_fit"}
+
+
+def _job_sql(tables: dict[str, str]) -> str:
+    return "\nUNION ALL ".join(f"SELECT '{t}' AS job_table, count(*) AS row_count FROM ({ORACLE[q]})" for t, q in tables.items())
+
+
+def _job_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row per table of a job: its name and number of rows."""
+    from functools import reduce
+    return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("job_table"), "row_count")
+                                          for name, t in tables.items()])
+
+
+@register("analysis_job", _job_sql(ANALYSIS_TABLES))
+def q_analysis_job(spark, sf):
+    from tillroll.plans import reports
+    return _job_rows(reports.analysis_report(cleaned(spark, sf)))
+
+
+@register("business_job", _job_sql(BUSINESS_TABLES))
+def q_business_job(spark, sf):
+    from tillroll.plans import reports
+    return _job_rows(reports.business_report(cleaned(spark, sf)))

@@ -72,12 +72,12 @@ def once(spark: SparkSession, key: str, build: Callable[[], object], sources: Se
     return _MADE[k]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and scan it."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)  # an empty table by folders has no file to tell it
     out._cut_at = path
     return out
 

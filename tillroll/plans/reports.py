@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from tillroll.operators import basket, binning, clv, cohort, dimensions as dims, forecast, profile, rfm, view
 from tillroll.operators.cleaning import clean_sales
+from tillroll.operators.cube import SalesCube, panels
 from tillroll.plans.materialize import cut
 from tillroll.sources.retail import write_cleaned
 from tillroll.sources.schemas import CLEANED_COLUMNS
@@ -91,10 +92,20 @@ def segmented_lines(cleaned: DataFrame, out_path: str | None = None) -> DataFram
 
 def dashboard_view(segmented: DataFrame, date_from=None, date_to=None, countries: Sequence[str] = (),
                    categories: Sequence[str] = (), segment: str = "All",
-                   basket_item: str = "Description") -> dict[str, DataFrame]:
-    """C4: every dashboard panel for one filter selection."""
+                   basket_item: str = "Description", cube: SalesCube | None = None) -> dict[str, DataFrame]:
+    """C4: every dashboard panel for one filter selection.  With ``cube``
+    (``write_cube(segmented)``, once for all selections) sums and distinct counts
+    come from its cells; only panels that need lines scan them."""
     pred = view.sales_predicate(date_from, date_to, countries, categories, segment, segmented.columns)
     f = segmented.where(pred)
+    if cube is not None:
+        lines = {
+            "cohort_retention": cohort.cohort_retention(f),
+            "top_products": dims.top_products_by_description(f, 15, 40),
+            "association_rules": basket.association_rules(basket.frequent_itemsets(f, basket_item, 0.01), "lift", 0.5).limit(20),
+            "sample_rows": view.sample_rows(f, 100),
+        }
+        return {**panels(cube, pred), **lines}
     rules = basket.association_rules(basket.frequent_itemsets(f, basket_item, 0.01), "lift", 0.5)
     return {
         "filter_domains": view.filter_domains(segmented),
