@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.operators import binning, radix
+from tillroll.operators import binning, dimensions, radix
 
 
 def scans(monkeypatch):
@@ -98,3 +98,20 @@ def test_bins_by_rank_equal_a_window(spark):
 
 def test_bins_by_rank_of_no_rows(spark):
     assert binning.qcut_by_rank(spark.createDataFrame([], "key long, x long"), "x", "key").collect() == []
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 1.0])
+def test_top_share_with_ties_and_products_without_revenue(spark, share):
+    rng = random.Random(5)
+    units = [rng.choice([None, 0, 10, 10, 10, rng.randrange(10 ** 9)]) for _ in range(997)]
+    g = spark.createDataFrame([(u,) for u in units], f"{dimensions.REV_UNITS} long")
+    row = dimensions._pareto(g, share).first()
+    k = math.floor(len(units) * share)
+    best = sorted((u or 0 for u in units), reverse=True)[:k]
+    assert (row.total_products, row.top_n) == (len(units), k)
+    assert row.top_revenue == sum(best) / 10_000 and row.total_revenue == sum(u or 0 for u in units) / 10_000
+
+
+def test_top_share_of_nothing(spark):
+    row = dimensions._pareto(spark.createDataFrame([], f"{dimensions.REV_UNITS} long"), 0.2).first()
+    assert (row.total_products, row.top_n, row.top_revenue, row.top_share_pct) == (0, 0, 0.0, None)

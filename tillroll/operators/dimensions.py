@@ -8,11 +8,13 @@ may be null are filtered first: pandas drops null group keys.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll import functions as tf
-from tillroll.operators.ranking import global_row_number
+from tillroll.operators.radix import select_ranks
 from tillroll.operators.scalars import attach_one_row
 from tillroll.plans.materialize import cut
 
@@ -180,23 +182,33 @@ def _product_revenue(df: DataFrame) -> DataFrame:
 def pareto_share(df: DataFrame, share: float = 0.2) -> DataFrame:
     """Revenue share of the top int(share * n) products.
 
-    Products are numbered with a distributed global row number (revenue
-    descending, key ascending), not a single-partition window.
+    No product is numbered or sorted: radix selection finds the revenue at the
+    edge of the top products, those above it count whole, and of those equal to
+    it as many as are left, whichever they are.
     """
     return _pareto(_product_revenue(df), share)
 
 
 def _pareto(g: DataFrame, share: float) -> DataFrame:
-    ranked = global_row_number(g, [F.desc(REV_UNITS), F.asc("StockCode"), F.asc("Description")], "_rn")
-    n = F.count(F.lit(1))
-    k = F.floor(n * F.lit(share)).cast("bigint")
-    stats = ranked.agg(n.alias("total_products"), k.alias("top_n"),
-                       F.sum(REV_UNITS).alias("_tot"))
-    top = (attach_one_row(ranked, stats.select("top_n"))
-                 .where(F.col("_rn") <= F.col("top_n"))
-                 .agg(F.coalesce(F.sum(REV_UNITS), F.lit(0)).alias("_top")))
-    return attach_one_row(stats, top).select(
-        "total_products", "top_n",
+    units = cut(g.select(REV_UNITS), "product-units")
+    total = units.count()
+    top_n = math.floor(total * share)
+    found = {}
+
+    def edge_rank(n: int) -> list[int]:  # products without revenue come last
+        found["taken"] = min(top_n, n)
+        return [n - found["taken"]] if found["taken"] else []
+
+    at = select_ranks(units, {REV_UNITS: edge_rank})[REV_UNITS].at
+    edge = next((f.value for f in at.values()), None)
+    u = F.col(REV_UNITS)
+    if edge is None:
+        top = F.lit(0).cast("bigint")
+    else:
+        top = F.coalesce(F.sum(F.when(u > edge, u)), F.lit(0)) + (F.lit(found["taken"]) - F.count_if(u > edge)) * F.lit(edge)
+    sums = units.agg(F.count(F.lit(1)).alias("total_products"), top.alias("_top"), F.sum(u).alias("_tot"))
+    return sums.select(
+        "total_products", F.lit(top_n).cast("bigint").alias("top_n"),
         tf.units_to_money("_top").alias("top_revenue"),
         tf.units_to_money("_tot").alias("total_revenue"),
         (F.col("_top") / F.col("_tot") * 100).alias("top_share_pct"))
