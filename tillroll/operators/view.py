@@ -121,21 +121,19 @@ def filter_domains(df: DataFrame) -> DataFrame:
     """Selectable filter values in long form (domain, value): distinct
     countries, categories and segments, and the first and last date.
 
-    One pass: each line emits its (domain, value) pairs and the date bounds
-    ride along as two more domains reduced with min/max in the same
-    aggregate, so the input is read once."""
-    pairs = [F.struct(F.lit("Country").alias("domain"), F.col("Country").alias("value"))]
-    for c in ("ProductCategory", "Customer_Segment"):
-        if c in df.columns:
-            pairs.append(F.struct(F.lit(c).alias("domain"), F.col(c).alias("value")))
-    day = F.date_format(F.to_date("InvoiceDate"), "yyyy-MM-dd")
-    pairs += [F.struct(F.lit("min_date").alias("domain"), day.alias("value")),
-              F.struct(F.lit("max_date").alias("domain"), day.alias("value"))]
-    ex = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.domain", "p.value")
+    One pass: lines are reduced to the combinations of values that occur, with
+    their first and last date, and only those are taken apart into (domain,
+    value).  Dates are compared as dates: minima of texts would sort all lines."""
+    listed = [c for c in ("Country", "ProductCategory", "Customer_Segment") if c == "Country" or c in df.columns]
+    date = F.to_date("InvoiceDate")
+    seen = df.groupBy(*listed).agg(F.min(date).alias("min_date"), F.max(date).alias("max_date"))
+    bounds = ["min_date", "max_date"]
+    pairs = [F.struct(F.lit(c).alias("domain"), F.col(c).alias("value")) for c in listed]
+    pairs += [F.struct(F.lit(c).alias("domain"), F.date_format(c, "yyyy-MM-dd").alias("value")) for c in bounds]
+    ex = seen.select(F.explode(F.array(*pairs)).alias("p")).select("p.domain", "p.value")
     ex = ex.where(F.col("value").isNotNull())
-    is_bound = F.col("domain").isin("min_date", "max_date")
     # Date bounds: reduce to one value per domain; other domains: distinct.
-    key = F.when(is_bound, F.lit(None).cast("string")).otherwise(F.col("value"))
+    key = F.when(F.col("domain").isin(bounds), F.lit(None).cast("string")).otherwise(F.col("value"))
     g = ex.groupBy("domain", key.alias("_k")).agg(F.min("value").alias("_mn"), F.max("value").alias("_mx"))
     value = F.when(F.col("domain") == "max_date", F.col("_mx")).otherwise(F.col("_mn"))
     return g.select("domain", value.alias("value")).orderBy("domain", "value")
