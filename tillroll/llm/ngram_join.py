@@ -71,6 +71,9 @@ class _Powers:
 
 
 _POWERS = _Powers()
+_BYTES = np.arange(256, dtype=np.uint64)
+_LETTER = _BYTES + np.uint64(1) + ((_BYTES >= 65) & (_BYTES <= 90)) * np.uint64(32)  # A-Z lowered, from 1
+_BLANK = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -83,7 +86,7 @@ def word_hashes(text: str, chunk: int = 1 << 18) -> np.ndarray:
     """Hashes of the words (runs of anything but blanks and control blanks),
     A-Z lowered.  Long texts go through in chunks cut at blanks."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    blank = _BLANK[data]
     out, at = [], 0
     while at < len(data):
         end = min(at + chunk, len(data))
@@ -94,9 +97,9 @@ def word_hashes(text: str, chunk: int = 1 << 18) -> np.ndarray:
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         start, stop = edge[::2], edge[1::2]
         if len(start):
-            low = b + ((b >= 65) & (b <= 90)) * np.uint8(32)
             _POWERS.grow(len(b) + 1)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _POWERS.up[:len(b)])))
+            total = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(_LETTER[b] * _POWERS.up[:len(b)], out=total[1:])
             h = (total[stop] - total[start]) * _POWERS.down[start]
             out.append(_mix(h + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         at = end
@@ -113,7 +116,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
         h = (h + w[k:len(w) - n + 1 + k]) * np.uint64(_B)
-    return np.unique(_mix(h))
+    h = _mix(h)
+    h.sort()
+    new = h[1:] != h[:-1]
+    return h if new.all() else h[np.concatenate(([True], new))]
 
 
 def class_of(s: np.ndarray) -> int:
