@@ -19,7 +19,8 @@ Month, and the column ``InvoiceDate`` holds the day, so
 
 A key that a third of all lines hold is one bit in each of its cells: lines are
 reduced to distinct (cell, key) map-side, and its number is joined from one
-written table to another, which AQE splits where it is skewed.
+written table to another, which AQE splits where it is skewed.  On the way a cell
+is two numbers (``_Codes``); its columns come back as the tables are written.
 """
 
 from __future__ import annotations
@@ -83,40 +84,94 @@ def _cell_lines(df: DataFrame) -> tuple[DataFrame, list[str]]:
     names = [c for c in DIMENSIONS if c in df.columns]
     lines = df.select(F.date_trunc("day", "InvoiceDate").cast("timestamp_ntz").alias("InvoiceDate"),
                       *[c for c in names if c != "InvoiceDate"], ident.alias(IDENT),
-                      *[key for _, key, _ in KINDS], "Quantity", tf.money_units("TotalAmount").alias(dims.REV_UNITS))
+                      *[key for _, key, _ in KINDS], "Quantity", ident.cast("long").alias("_ident"), tf.money_units("TotalAmount").alias(dims.REV_UNITS))
     return lines, [*names, IDENT]
 
 
-def _marks(lines: DataFrame, cell: list[str], kind: str, key: str, near: Sequence[str], made: list[DataFrame]) -> DataFrame:
-    """(cell, kind, word, mask) of one kind of key; what is written on the way
-    is added to ``made``."""
-    pairs = cut(lines.where(F.col(key).isNotNull()).select(key, *cell).distinct(), f"cube-{kind}")
-    keys = pairs.groupBy(key).agg(*[F.min(c).alias(c) for c in near if c in cell])
-    ranked = global_row_number(keys, [*[c for c in near if c in cell], key])
-    made += [pairs, ranked]
+CALENDAR = ("InvoiceDate", "Year", "Month", *dims.PEAK_KEYS)
+
+
+@dataclass(frozen=True)
+class _Codes:
+    """Numbers for the two halves of a cell, so that rows on the way to the cube
+    hold two longs in their place: ``calendar`` has at most 24 rows a day,
+    ``profile`` one for each country, category and segment that occur together.
+    Both are broadcast."""
+
+    calendar: DataFrame
+    profile: DataFrame
+
+    @staticmethod
+    def of(lines: DataFrame, cell: list[str]) -> _Codes:
+        halves = [c for c in cell if c in CALENDAR], [c for c in cell if c not in CALENDAR]
+        return _Codes(*[cut(lines.select(*names).distinct().withColumn(code, F.monotonically_increasing_id()), f"cube-{code}")
+                        for names, code in zip(halves, ("_calendar", "_profile"), strict=True)])
+
+    def put(self, lines: DataFrame) -> DataFrame:
+        """Lines with the numbers in place of the cell's columns."""
+        for table in (self.calendar, self.profile):
+            names = table.columns[:-1]
+            keys = table.withColumnsRenamed({c: f"_{c}_" for c in names})
+            same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in names])
+            lines = lines.join(F.broadcast(keys), same).drop(*names, *[f"_{c}_" for c in names])
+        return lines
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The cell's columns in place of the numbers; rows stay in their order."""
+        known = [c for c in self.calendar.columns if c in df.columns and c != "_calendar"]
+        return (df.join(F.broadcast(self.calendar.drop(*known)), "_calendar").join(F.broadcast(self.profile), "_profile")
+                .drop("_calendar", "_profile"))
+
+
+def _pairs(lines: DataFrame) -> DataFrame:
+    """Distinct (key, numbers of the cell) of every kind, in one table; a file has
+    one kind, so a reader of it skips the others' files by their statistics."""
+    of_kind = [lines.where(F.col(key).isNotNull()).select(F.lit(kind).alias("kind"), key, "_calendar", "_profile").distinct()
+               for kind, key, _ in KINDS]
+    return cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), of_kind), "cube-pairs")
+
+
+def _marks(all_pairs: DataFrame, cell: list[str], codes: _Codes, kind: str, key: str, near: Sequence[str], made: list[DataFrame]) -> DataFrame:
+    """(numbers of the cell, kind, word, mask) of one kind of key; what is
+    written on the way is added to ``made``."""
+    pairs = all_pairs.where(F.col("kind") == kind).select(key, "_calendar", "_profile")
+    near = [c for c in near if c in cell]
+    # alike is enough, so texts go by their hash: their minimum would sort all rows
+    keys = codes.back(pairs).groupBy(key).agg(*[F.min(c if c == "InvoiceDate" else F.xxhash64(c)).alias(c) for c in near])
+    ranked = global_row_number(keys, [*near, key])
+    made.append(ranked)
     ids = ranked.select(key, (F.col("rn") - 1).alias("id"))
     numbered = pairs.join(ids, key).withColumns({"word": F.expr(f"id div {WORD_BITS}"), "bit": F.expr(f"shiftleft(1L, cast(id % {WORD_BITS} as int))")})
-    return numbered.groupBy(*cell, "word").agg(F.bit_or("bit").alias("mask")).select(*cell, F.lit(kind).alias("kind"), "word", "mask")
+    return (numbered.groupBy("_calendar", "_profile", "word").agg(F.bit_or("bit").alias("mask"))
+            .select("_calendar", "_profile", F.lit(kind).alias("kind"), "word", "mask"))
 
 
 def write_cube(df: DataFrame) -> SalesCube:
     """Reduce lines (with segments, if they have them) to the cube's tables, in
     the shared folder."""
     lines, cell = _cell_lines(df)
-    sums = lines.groupBy(*cell).agg(
+    codes = _Codes.of(lines, cell)
+    lines = codes.put(lines)
+    sums = lines.groupBy("_calendar", "_profile").agg(
         F.sum(dims.REV_UNITS).alias(dims.REV_UNITS), F.count(F.lit(1)).alias("_n"),
-        F.count_if(IDENT).alias("_ident_n"), F.sum("Quantity").cast("long").alias("Quantity"))
-    made: list[DataFrame] = []
-    marks = reduce(DataFrame.unionByName, [_marks(lines, cell, *kind, made) for kind in KINDS])
-    cube = SalesCube(_by_month(sums, "cube-cells"), _by_month(marks, "cube-marks"))
+        F.sum("_ident").alias("_ident_n"), F.sum("Quantity").cast("long").alias("Quantity"))
+    pairs = _pairs(lines)
+    made = [codes.calendar, codes.profile, pairs]
+    marks = reduce(DataFrame.unionByName, [_marks(pairs, cell, codes, *kind, made) for kind in KINDS])
+    cube = SalesCube(_by_month(sums, codes, cell, "cube-cells"), _by_month(marks, codes, cell, "cube-marks"))
     for table in made:
         drop_cut(table)
     return cube
 
 
-def _by_month(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written by month; a large month is dealt over several files."""
-    return cut(df.hint("rebalance", "Year", "Month"), name, ("Year", "Month"))
+def _by_month(df: DataFrame, codes: _Codes, cell: list[str], name: str) -> DataFrame:
+    """``df`` written by month; a large month is dealt over several files.  Rows
+    are moved and sorted while they are narrow and get the cell's columns last."""
+    month = ["Year", "Month"]
+    narrow = df.join(F.broadcast(codes.calendar.select("_calendar", *month)), "_calendar")
+    placed = codes.back(narrow.hint("rebalance", *month).sortWithinPartitions(*month))
+    rest = [c for c in df.columns if c not in ("_calendar", "_profile")]
+    return cut(placed.select(*cell, *rest), name, month)
 
 
 # ---------------------------------------------------------------- panels ---
