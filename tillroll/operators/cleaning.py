@@ -163,33 +163,56 @@ def invoice_features(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- job ---
 
-def clean_sales(raw: DataFrame, keep_extra: bool = True, drop_duplicates: bool = False) -> DataFrame:
-    """The full cleaning job (24 reference columns, plus
-    any extra item columns of the input when ``keep_extra``)."""
-    extra = [c for c in raw.columns if c not in RAW_COLUMNS] if keep_extra else []
+def kept_lines(raw: DataFrame) -> DataFrame:
+    """Lines that the filters keep, with invoice features and customer flags."""
     # Row filters and the per-invoice join run on narrow lines first; the
     # text and calendar projections (the costly part per row) come after, so
     # they run once per surviving line.  Row-wise the result is the same as
     # the reference's step order (no step reads a column a later one changes).
     # The fenced lines are written once, by invoice.
-    df = (raw.transform(drop_cancelled)
-             .transform(parse_invoice_ts)
-             .transform(drop_missing_description)
-             .transform(positive_amounts)
-             .transform(line_total)
-             .transform(sequential_iqr)
-             .transform(invoice_features)
-             .transform(time_features)
-             .transform(standardize_description)
-             .transform(categorize_product)
-             .transform(customer_flags)
-             .transform(clean_country)
-             .transform(calendar_labels))
+    return (raw.transform(drop_cancelled)
+               .transform(parse_invoice_ts)
+               .transform(drop_missing_description)
+               .transform(positive_amounts)
+               .transform(line_total)
+               .transform(sequential_iqr)
+               .transform(invoice_features)
+               .transform(customer_flags))
+
+
+def described_lines(df: DataFrame) -> DataFrame:
+    """``kept_lines`` with what follows from a line alone: calendar, cleaned
+    texts, category."""
+    return (df.transform(time_features)
+              .transform(standardize_description)
+              .transform(categorize_product)
+              .transform(clean_country)
+              .transform(calendar_labels))
+
+
+def _extra(raw: DataFrame) -> list[str]:
+    return [c for c in raw.columns if c not in RAW_COLUMNS]
+
+
+def clean_sales(raw: DataFrame, keep_extra: bool = True, drop_duplicates: bool = False) -> DataFrame:
+    """The full cleaning job (24 reference columns, plus
+    any extra item columns of the input when ``keep_extra``)."""
+    extra = _extra(raw) if keep_extra else []
+    df = raw.transform(kept_lines).transform(described_lines)
     if drop_duplicates:
         df = df.dropDuplicates()
     return df.select(*CLEANED_COLUMNS, *extra)
 
 
+def write_clean_sales(raw: DataFrame, key: str, name: str):
+    """``clean_sales(raw)`` stored by ``key`` (``layout.KeyedTable``), a column
+    that ``described_lines`` leaves alone: lines move before they are described."""
+    from tillroll.plans.layout import SALT, write_keyed
+    extra = _extra(raw)
+    return write_keyed(kept_lines(raw), key, name,
+                       finish=lambda df: described_lines(df).select(*CLEANED_COLUMNS, *extra, SALT))
+
+
 def cleaned_from_tables(spark, sf_dir: str) -> DataFrame:
     """Cleaned lines from the driver's tables through the raw adapter."""
     from tillroll.sources.retail import retail_raw

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, dimensions as dims
-from tillroll.plans.layout import KeyedTable, write_keyed
+from tillroll.plans.layout import KeyedTable
 from tillroll.plans.materialize import once
 from tillroll.plans.oracle import (CLEANED_COLS, U, clean_desc_sql, money, msum, title_sql, with_cleaned,
                                    with_raw)
@@ -47,8 +47,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_by_customer(spark: SparkSession, sf_dir: str) -> KeyedTable:
     """Cleaned lines of ``sf_dir``, stored by customer: the cleaning job's output
     table, written once per session (the boundary every analysis starts from)."""
-    return once(spark, f"cleaned:{sf_dir}", lambda: write_keyed(
-        cleaning.clean_sales(raw_lines(spark, sf_dir)), "CustomerID", "cleaned-lines"), sources=_inputs(sf_dir))
+    return once(spark, f"cleaned:{sf_dir}", lambda: cleaning.write_clean_sales(
+        raw_lines(spark, sf_dir), "CustomerID", "cleaned-lines"), sources=_inputs(sf_dir))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

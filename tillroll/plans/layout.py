@@ -9,12 +9,16 @@ The salt is 0 but for *hot* keys (more than ``fraction`` of all lines, so at mos
 ``1 / fraction`` of them, which bounds what is broadcast) and for null keys:
 their lines are dealt over as many salts as there are buckets.  A per-key row of
 a hot key is copied to each salt; null keys match nothing, as in a left join.
+
+There are as many buckets as shuffle partitions, or more: a bucket is written and
+sorted by one task, so it holds about ``BUCKET_LINES`` lines however many there
+are in all.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +29,7 @@ from tillroll.plans.materialize import cut
 from tillroll.session import scratch_dir
 
 HOT_FRACTION = 1e-4  # at most 10,000 hot keys are broadcast
+BUCKET_LINES = 1 << 20
 SALT = "_salt"
 
 
@@ -58,20 +63,26 @@ class KeyedTable:
         return self.table.join(spread, [self.key, SALT], "left").drop(SALT)
 
 
-def write_keyed(df: DataFrame, key: str, name: str, fraction: float = HOT_FRACTION) -> KeyedTable:
+def write_keyed(df: DataFrame, key: str, name: str, fraction: float = HOT_FRACTION,
+                finish: Callable[[DataFrame], DataFrame] | None = None) -> KeyedTable:
     """Write ``df`` by ``key`` into the shared folder.  One narrow scan finds the
-    hot keys, one pass writes."""
+    hot keys, one pass writes.  ``finish`` derives columns row by row; it comes
+    after the lines have moved, so that these don't move too."""
     spark = df.sparkSession
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    counts = cut(counts, f"{name}-counts")
+    counts = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")), f"{name}-counts")
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_LINES))
+    counts = counts.where(F.col(key).isNotNull())
     hot = attach_one_row(counts, counts.agg(F.sum("_c").alias("_n"))).where(F.col("_c") > F.col("_n") * F.lit(fraction))
     hot = cut(hot.select(key), f"{name}-hot")
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     salted = (df.withColumn("_deal", dealt).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
               .withColumn(SALT, F.when(F.col("_hot") | F.col(key).isNull(), F.col("_deal")).otherwise(F.lit(0))).drop("_hot", "_deal"))
     table = f"tillroll_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    (salted.select(*df.columns, SALT).repartition(salts, key, SALT)
+    moved = salted.select(*df.columns, SALT).repartition(salts, key, SALT)
+    if finish is not None:
+        moved = finish(moved)
+    (moved.select(*[c for c in moved.columns if c != SALT], SALT)
      .write.format("parquet").option("path", scratch_dir(spark, name)).bucketBy(salts, key, SALT).sortBy(key, SALT).saveAsTable(table))
     return KeyedTable(spark.table(table), key, salts, hot)
 
