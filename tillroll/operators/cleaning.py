@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.sources.schemas import CLEANED_COLUMNS, RAW_COLUMNS
 from tillroll.operators.radix import quantiles
+from tillroll.plans.materialize import cut, partitions_for
 
 
 # ---------------------------------------------------------------- filters ---
@@ -163,19 +164,24 @@ def invoice_features(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- job ---
 
+def kept_raw_lines(raw: DataFrame) -> DataFrame:
+    """Lines that the filters keep."""
+    return (raw.transform(drop_cancelled)
+               .transform(parse_invoice_ts)
+               .transform(drop_missing_description)
+               .transform(positive_amounts)
+               .transform(sequential_iqr))
+
+
 def kept_lines(raw: DataFrame) -> DataFrame:
-    """Lines that the filters keep, with invoice features and customer flags."""
+    """``kept_raw_lines`` with invoice features and customer flags."""
     # Row filters and the per-invoice join run on narrow lines first; the
     # text and calendar projections (the costly part per row) come after, so
     # they run once per surviving line.  Row-wise the result is the same as
     # the reference's step order (no step reads a column a later one changes).
     # The fenced lines are written once, by invoice.
-    return (raw.transform(drop_cancelled)
-               .transform(parse_invoice_ts)
-               .transform(drop_missing_description)
-               .transform(positive_amounts)
+    return (raw.transform(kept_raw_lines)
                .transform(line_total)
-               .transform(sequential_iqr)
                .transform(invoice_features)
                .transform(customer_flags))
 
@@ -204,13 +210,51 @@ def clean_sales(raw: DataFrame, keep_extra: bool = True, drop_duplicates: bool =
     return df.select(*CLEANED_COLUMNS, *extra)
 
 
+TOGETHER_LINES = 4096  # an invoice of so many lines is never too large to lie together
+_PER_INVOICE = ("TransactionValue", "ItemsPerTransaction", "UniqueProductsPerTransaction")
+
+
+def _odd_invoices(lines: DataFrame, key: str, total: int) -> DataFrame:
+    """Per-invoice features of the invoices that don't lie together once lines are
+    stored by ``key``: those with lines of several keys, or too many lines."""
+    from tillroll.plans.layout import HOT_FRACTION
+    of = (lines.where(F.col("InvoiceNo").isNotNull()).groupBy("InvoiceNo")
+          .agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("known"), F.min(key).alias("lo"), F.max(key).alias("hi")))
+    mixed = ((F.col("known") > 0) & (F.col("known") < F.col("n"))) | (F.col("lo") != F.col("hi"))
+    odd = cut(of.where(F.coalesce(mixed, F.lit(False)) | (F.col("n") > F.lit(max(total * HOT_FRACTION, TOGETHER_LINES)))).select("InvoiceNo"), "odd-invoices")
+    return cut(line_total(lines.join(odd, "InvoiceNo", "left_semi")).groupBy("InvoiceNo").agg(
+        tf.money_sum("TotalAmount").alias("_value"), F.sum("Quantity").alias("_items"),
+        F.count_distinct("StockCode").alias("_products"), F.lit(True).alias("_odd")), "odd-invoice-features")
+
+
 def write_clean_sales(raw: DataFrame, key: str, name: str):
     """``clean_sales(raw)`` stored by ``key`` (``layout.KeyedTable``), a column
-    that ``described_lines`` leaves alone: lines move before they are described."""
+    that ``described_lines`` leaves alone: lines move before they are described.
+
+    They move once.  An invoice mostly has one customer, so its lines meet where
+    they are stored and its features are read there by a window; the features of
+    other invoices are found first and come along on their lines."""
     from tillroll.plans.layout import SALT, write_keyed
     extra = _extra(raw)
-    return write_keyed(kept_lines(raw), key, name,
-                       finish=lambda df: described_lines(df).select(*CLEANED_COLUMNS, *extra, SALT))
+    lines = raw.transform(kept_raw_lines).transform(customer_flags)
+    total = lines.count()
+    spark = raw.sparkSession
+    with partitions_for(spark, total):
+        known = lines.join(_odd_invoices(lines, key, total), "InvoiceNo", "left")
+
+    usual = F.col("_odd").isNull() & F.col("InvoiceNo").isNotNull()
+
+    def features(df: DataFrame) -> DataFrame:
+        df = line_total(df)
+        of = Window.partitionBy(key, SALT, "InvoiceNo")
+        together = {"TransactionValue": tf.units_to_money(F.sum(tf.money_units("TotalAmount")).over(of)),
+                    "ItemsPerTransaction": F.sum("Quantity").over(of),
+                    "UniqueProductsPerTransaction": F.size(F.collect_set(F.when(usual, F.col("StockCode"))).over(of)).cast("bigint")}
+        return df.withColumns({c: F.when(F.col("_odd"), F.col(found)).when(F.col("InvoiceNo").isNotNull(), together[c])
+                               for c, found in zip(_PER_INVOICE, ("_value", "_items", "_products"), strict=True)})
+
+    return write_keyed(known, key, name, together=F.when(usual, F.col("InvoiceNo")), counted=lines,
+                       finish=lambda df: described_lines(features(df)).select(*CLEANED_COLUMNS, *extra, SALT))
 
 
 def cleaned_from_tables(spark, sf_dir: str) -> DataFrame:

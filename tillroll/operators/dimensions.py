@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.operators.radix import select_ranks
 from tillroll.operators.scalars import attach_one_row
-from tillroll.plans.materialize import cut
+from tillroll.plans.materialize import cut, partitions_for
 
 REV_UNITS = "_rev_units"
 
@@ -162,11 +162,13 @@ def top_products(df: DataFrame, by: str = "TotalAmount", n: int = 20) -> DataFra
 
 def category_performance(df: DataFrame) -> DataFrame:
     """Per category revenue, quantity, invoices, customers, AOV; revenue
-    descending."""
-    g = (df.where(F.col("ProductCategory").isNotNull()).groupBy("ProductCategory")
-           .agg(_rev_units(), F.sum("Quantity").alias("Quantity"),
-                F.count_distinct("InvoiceNo").alias("Transactions"),
-                F.count_distinct("CustomerID").alias("UniqueCustomers")))
+    descending.  The categories are counted at once and written (a row each), in
+    as many pieces as the lines need."""
+    with partitions_for(df.sparkSession, df.count()):
+        g = cut(df.where(F.col("ProductCategory").isNotNull()).groupBy("ProductCategory")
+                  .agg(_rev_units(), F.sum("Quantity").alias("Quantity"),
+                       F.count_distinct("InvoiceNo").alias("Transactions"),
+                       F.count_distinct("CustomerID").alias("UniqueCustomers")), "categories")
     rev = tf.units_to_money(REV_UNITS)
     return (g.select("ProductCategory", rev.alias("TotalAmount"), "Quantity", "Transactions",
                      "UniqueCustomers", tf.safe_ratio(rev, F.col("Transactions")).alias("AvgOrderValue"))

@@ -20,7 +20,7 @@ from tillroll.plans.layout import KeyedTable
 from tillroll.plans.materialize import once
 from tillroll.plans.oracle import (CLEANED_COLS, U, clean_desc_sql, money, msum, title_sql, with_cleaned,
                                    with_raw)
-from tillroll.sources.retail import TPCH_TABLES, retail_raw
+from tillroll.sources.retail import TPCH_TABLES, read_table, retail_raw
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -40,8 +40,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw invoice lines derived from ``sf_dir``, written once per session:
     the stand-in for the raw export file, so the cleaning passes (fences,
     main pass) scan columnar data instead of re-running the derivation."""
-    from tillroll.plans.materialize import written_table
-    return written_table(spark, f"raw:{sf_dir}", lambda: retail_raw(spark, sf_dir), sources=_inputs(sf_dir))
+    from tillroll.plans.materialize import partitions_for, written_table
+    with partitions_for(spark, read_table(spark, sf_dir, "lineitem").count()):
+        return written_table(spark, f"raw:{sf_dir}", lambda: retail_raw(spark, sf_dir), sources=_inputs(sf_dir))
 
 
 def cleaned_by_customer(spark: SparkSession, sf_dir: str) -> KeyedTable:

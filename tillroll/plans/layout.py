@@ -12,7 +12,7 @@ a hot key is copied to each salt; null keys match nothing, as in a left join.
 
 There are as many buckets as shuffle partitions, or more: a bucket is written and
 sorted by one task, so it holds about ``BUCKET_LINES`` lines however many there
-are in all.
+are in all (some 100 MB in memory, of the 0.9 GB or more that a task has).
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.scalars import attach_one_row
-from tillroll.plans.materialize import cut
+from tillroll.plans.materialize import cut, partitions_for
 from tillroll.session import scratch_dir
 
 HOT_FRACTION = 1e-4  # at most 10,000 hot keys are broadcast
-BUCKET_LINES = 1 << 20
+BUCKET_LINES = 1 << 18
 SALT = "_salt"
 
 
@@ -64,25 +64,33 @@ class KeyedTable:
 
 
 def write_keyed(df: DataFrame, key: str, name: str, fraction: float = HOT_FRACTION,
-                finish: Callable[[DataFrame], DataFrame] | None = None) -> KeyedTable:
+                finish: Callable[[DataFrame], DataFrame] | None = None, together: Column | None = None,
+                counted: DataFrame | None = None) -> KeyedTable:
     """Write ``df`` by ``key`` into the shared folder.  One narrow scan finds the
-    hot keys, one pass writes.  ``finish`` derives columns row by row; it comes
-    after the lines have moved, so that these don't move too."""
+    hot keys, one pass writes.  ``finish`` derives columns; it comes after the
+    lines have moved, so that these don't move too.  Lines of a null or hot key
+    with the same non-null ``together`` get the same salt, so that ``finish`` can
+    read them by (key, salt, together) without another move.  ``counted`` has the
+    keys of ``df``'s lines, if they are found with less work."""
     spark = df.sparkSession
-    counts = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")), f"{name}-counts")
+    counts = cut((df if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_c")), f"{name}-counts")
     total = counts.agg(F.sum("_c")).first()[0] or 0
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_LINES))
     counts = counts.where(F.col(key).isNotNull())
     hot = attach_one_row(counts, counts.agg(F.sum("_c").alias("_n"))).where(F.col("_c") > F.col("_n") * F.lit(fraction))
     hot = cut(hot.select(key), f"{name}-hot")
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    deal = F.xxhash64(F.monotonically_increasing_id())
+    if together is not None:
+        deal = F.when(together.isNotNull(), F.xxhash64(together)).otherwise(deal)
+    dealt = F.pmod(deal, F.lit(salts)).cast("int")
     salted = (df.withColumn("_deal", dealt).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
               .withColumn(SALT, F.when(F.col("_hot") | F.col(key).isNull(), F.col("_deal")).otherwise(F.lit(0))).drop("_hot", "_deal"))
     table = f"tillroll_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     moved = salted.select(*df.columns, SALT).repartition(salts, key, SALT)
     if finish is not None:
         moved = finish(moved)
-    (moved.select(*[c for c in moved.columns if c != SALT], SALT)
-     .write.format("parquet").option("path", scratch_dir(spark, name)).bucketBy(salts, key, SALT).sortBy(key, SALT).saveAsTable(table))
+    with partitions_for(spark, total):
+        (moved.select(*[c for c in moved.columns if c != SALT], SALT)
+         .write.format("parquet").option("path", scratch_dir(spark, name)).bucketBy(salts, key, SALT).sortBy(key, SALT).saveAsTable(table))
     return KeyedTable(spark.table(table), key, salts, hot)
 

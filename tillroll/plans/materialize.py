@@ -13,7 +13,8 @@ recomputing its lineage.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +83,24 @@ def cut(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame
     return out
 
 
+PARTITION_ROWS = 1 << 18
+
+
+@contextmanager
+def partitions_for(spark: SparkSession, rows: int) -> Iterator[int]:
+    """Jobs run inside shuffle ``rows`` rows in pieces of about ``PARTITION_ROWS``:
+    a task's sort or hash table does not grow with the input.  The session's
+    number of partitions is used if it is larger, and is back afterwards."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    number = max(1, int(before), -(-rows // PARTITION_ROWS))
+    spark.conf.set(name, str(number))
+    try:
+        yield number
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_cut(table: DataFrame) -> None:
     """Delete a table made by ``cut`` that nothing will read any more."""
     spark = table.sparkSession

@@ -50,10 +50,9 @@ def retail_raw(spark: SparkSession, sf_dir: str, with_items: bool = True) -> Dat
     pa = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
 
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-           .join(cu, od.o_custkey == cu.c_custkey)
-           .join(na, cu.c_nationkey == na.n_nationkey)
-           .join(pa, li.l_partkey == pa.p_partkey))
+    # Customers come to orders, of which there are fewer, before lines move.
+    od = od.join(cu, od.o_custkey == cu.c_custkey).join(na, cu.c_nationkey == na.n_nationkey)
+    j = li.join(od, li.l_orderkey == od.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
 
     okey = F.col("o_orderkey")
     pkey = F.col("p_partkey")
