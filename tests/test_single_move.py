@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tillroll.operators import cleaning, dimensions
+from tillroll.operators import basket, cleaning, dimensions
 from tillroll.plans import materialize
 
 SCHEMA = "InvoiceNo string, StockCode string, Description string, Quantity long, InvoiceDate timestamp_ntz, UnitPrice double, CustomerID double, Country string, Brand string"
@@ -52,7 +52,8 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     assert spark.conf.get(name) == before
 
 
-@pytest.mark.parametrize("module, run", [(dimensions, lambda df: dimensions.category_performance(df))])
+@pytest.mark.parametrize("module, run", [(dimensions, lambda df: dimensions.category_performance(df)),
+                                         (basket, lambda df: basket.frequent_itemsets(df, "Description", 0.01))])
 def test_counts_are_cut_by_the_lines(spark, monkeypatch, module, run):
     lines = materialize.cut(cleaning.clean_sales(raw_lines(spark)), "lines")
     want = sorted(map(str, run(lines).collect()))

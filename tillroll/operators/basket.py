@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tillroll import functions as tf
 from tillroll.operators.cleaning import identified_customers
 from tillroll.operators.scalars import attach_one_row
-from tillroll.plans.materialize import cut, drop_cut
+from tillroll.plans.materialize import cut, drop_cut, partitions_for
 
 
 def _shl(x, n):
@@ -167,7 +167,12 @@ def frequent_itemsets(df: DataFrame, item_col: str = "Description", min_support:
     A level counts the sets that two frequent ones make, block by block, and
     then keeps the bitmaps of the frequent ones for the next.  A block holds at
     most mean basket / min_support items.  The sets are written once, as rules
-    read them three times."""
+    read them three times.  Every move has as many pieces as the lines need."""
+    with partitions_for(df.sparkSession, df.count()):
+        return _frequent_itemsets(df, item_col, min_support, identified_only)
+
+
+def _frequent_itemsets(df: DataFrame, item_col: str, min_support: float, identified_only: bool) -> DataFrame:
     tx = cut(transactions(df, item_col, identified_only, min_support), "transactions")
     n = tx.count()
     supported = lambda sets: sets.where(F.col("freq") / F.lit(n) >= min_support) if n else sets
