@@ -62,3 +62,38 @@ def test_counts_are_cut_by_the_lines(spark, monkeypatch, module, run):
     monkeypatch.setattr(module, "cut", lambda df, name: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), cut(df, name))[1])
     assert sorted(map(str, run(lines).collect())) == want and want
     assert seen and set(seen) == {-(-lines.count() // 10)}
+
+
+def test_fences_are_measured_on_their_columns_alone(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, 4, 500, None]), rng.choice([0.5, 1.0, 1.5, 99.0, float("nan"), None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "Description string, Quantity long, UnitPrice double")
+    want = cleaning.iqr_filter(cleaning.iqr_filter(df, "Quantity"), "UnitPrice")
+    want = sorted(map(str, want.collect()))
+    seen, fences = [], cleaning.iqr_fences
+    monkeypatch.setattr(cleaning, "iqr_fences", lambda d, c, k=1.5: (seen.append((c, d.columns)), fences(d, c, k))[1])
+    assert sorted(map(str, cleaning.sequential_iqr(df).collect())) == want and 0 < len(want) < 300
+    assert seen == [(c, ["Quantity", "UnitPrice"]) for c in ("Quantity", "UnitPrice")]
+    assert cleaning.sequential_iqr(df.where("false")).collect() == []
+
+
+def scans_of_lines(spark, raw):
+    """How often ``write_clean_sales`` reads ``raw``, and the lines it stores."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def noted(parts):
+        for p in parts:
+            reads.add(p.num_rows)
+            yield p
+
+    lines = raw.count()
+    stored = cleaning.write_clean_sales(raw.mapInArrow(noted, raw.schema), "CustomerID", "scans")
+    got = sorted(map(str, stored.lines.collect()))
+    return reads.value / lines, got
+
+
+def test_lines_are_read_for_few_counts(spark):
+    raw = raw_lines(spark).where("InvoiceNo is null or InvoiceNo % 4 != 0")  # invoices of one customer, or of guests
+    want = sorted(map(str, cleaning.clean_sales(raw).collect()))
+    reads, got = scans_of_lines(spark, raw)
+    assert got == want and reads <= 4  # their number, the fences' columns, counts by invoice and customer, the move

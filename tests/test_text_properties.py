@@ -2,6 +2,7 @@
 (str.strip / upper / re.sub with Python's \\w and \\s / title / in)."""
 
 import datetime as dt
+import itertools
 import re
 
 from hypothesis import given, settings
@@ -52,6 +53,14 @@ def test_title_case_like_python(spark, values):
     assert _run(spark, values, tf.title_case) == [v.strip().title() for v in values]
 
 
+def test_plain_texts_like_python(spark):
+    """Every short text of the kinds that the short ways of both functions take, and their neighbours."""
+    values = [""] + ["".join(t) for n in range(1, 6) for t in itertools.product("aB1_ !", repeat=n)]
+    values += [x + end for x in ("nation_3", "tea 1x", "x-ray", "\u00e9a") for end in ("\n", "\u2028", " ", "\u00e9", "_1 b")]
+    assert _run(spark, values, tf.clean_description) == [py_clean(v) for v in values]
+    assert _run(spark, values, tf.title_case) == [v.strip().title() for v in values]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abcghilmnoprstuvxyz -BCHKLMOPSTVX")), max_size=30),
                 min_size=1, max_size=40))

@@ -167,8 +167,9 @@ def clean_description(c: str | Column) -> Column:
     There is deliberately no second strip: "TEA!" becomes "TEA ".
     """
     s = F.upper(strip_ws(c))
-    s = F.regexp_replace(s, f"[^{WORD_CLASS}{WS_CLASS}]", " ")
-    return F.regexp_replace(s, f"[{WS_CLASS}]+", " ")
+    general = F.regexp_replace(F.regexp_replace(s, f"[^{WORD_CLASS}{WS_CLASS}]", " "), f"[{WS_CLASS}]+", " ")
+    # ASCII words and single blanks only: both replacements would leave the text as it is.
+    return F.when(s.rlike("^[A-Z0-9_]++(?: [A-Z0-9_]++)*+\\z"), s).otherwise(general)
 
 
 def categorize(desc: str | Column, rules: Sequence[tuple[str, Sequence[str]]] = CATEGORY_RULES,
@@ -191,8 +192,10 @@ def title_case(c: str | Column) -> Column:
     low = F.lower(strip_ws(c))
     runs = F.regexp_extract_all(low, F.lit(f"([{CASED_CLASS}]+|[^{CASED_CLASS}]+)"), 0)
     general = F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")
-    # Cased letters and single blanks only: initcap gives the same result in codegen.
-    return F.when(low.rlike(f"^[{CASED_CLASS}]+( [{CASED_CLASS}]+)*$"), F.initcap(low)).otherwise(general)
+    # Single blanks and words that have no letter after their first run of letters: initcap
+    # gives the same result in codegen.  The ASCII form is tried first, its test costs least.
+    plain = low.rlike("^[a-z]++[0-9_]*+(?: [a-z]++[0-9_]*+)*+\\z") | low.rlike(f"^[{CASED_CLASS}]+( [{CASED_CLASS}]+)*$")
+    return F.when(plain, F.initcap(low)).otherwise(general)
 
 
 def truncate_label(c: str | Column, n: int, ellipsis: bool = True) -> Column:

@@ -70,10 +70,11 @@ def write_keyed(df: DataFrame, key: str, name: str, fraction: float = HOT_FRACTI
     hot keys, one pass writes.  ``finish`` derives columns; it comes after the
     lines have moved, so that these don't move too.  Lines of a null or hot key
     with the same non-null ``together`` get the same salt, so that ``finish`` can
-    read them by (key, salt, together) without another move.  ``counted`` has the
-    keys of ``df``'s lines, if they are found with less work."""
+    read them by (key, salt, together) without another move.  ``counted`` has
+    numbers of lines (``_c``) by ``key`` or finer, if they are known already."""
     spark = df.sparkSession
-    counts = cut((df if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_c")), f"{name}-counts")
+    lines = F.count(F.lit(1)) if counted is None else F.sum("_c")
+    counts = cut((df if counted is None else counted).groupBy(key).agg(lines.alias("_c")), f"{name}-counts")
     total = counts.agg(F.sum("_c")).first()[0] or 0
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_LINES))
     counts = counts.where(F.col(key).isNotNull())
