@@ -172,3 +172,58 @@ def test_nothing_to_learn_from(spark):
 def test_round_trip_of_packed_tokens():
     for x in ([], [0], [1, 2, 70_000, 1 << 30]):
         assert hmm.unpack(hmm.pack(np.array(x, np.uint32))).tolist() == x
+
+
+def random_block(seed, sizes, states=3, vocabulary=9):
+    rng = np.random.default_rng(seed)
+    model = hmm.Model(states, 0.2, 2, 4, 40, 10, {1: 6})
+    model.init, model.move = rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states)
+    sizes = np.array(sizes)
+    return model, rng.random((vocabulary + 1, states)), rng.integers(0, vocabulary, sizes.sum()).astype(np.int32), sizes, vocabulary
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 50])
+def test_pieces_give_what_whole_texts_give(piece):
+    model, e, tokens, sizes, end = random_block(3, [0, 1, 2, 3, 6, 7, 20, 0, 99, 50, 14])
+    for wanted in (None, np.arange(len(sizes)) % 4 != 2, np.zeros(len(sizes), bool)):
+        whole, cut = (hmm.Steps(tokens, sizes, end, wanted, p) for p in (1000, piece))
+        for want, got in zip(hmm.expected(model, e, whole), hmm.expected(model, e, cut), strict=True):
+            assert got == pytest.approx(want, rel=1e-5, abs=1e-7)
+        scores = []
+        for steps in (whole, cut):
+            score = np.zeros(len(steps.order))
+            for *_, scale in hmm.forward(model, e, steps):
+                score[:len(scale)] += np.log(scale)
+            scores.append(np.bincount(steps.text[steps.order], score, len(whole.order)))
+        assert scores[1] == pytest.approx(scores[0], rel=1e-12)
+
+
+def test_a_long_text_does_not_make_a_step_a_token():
+    model, e, tokens, sizes, end = random_block(4, [20_000] + [250] * 400)
+    steps = hmm.Steps(tokens, sizes, end)
+    assert sum(1 for _ in hmm.forward(model, e, steps)) < 5_000
+    assert hmm.expected(model, e, steps)[2].sum() == pytest.approx(len(tokens) + len(sizes))
+
+
+def test_words_of_blocks_are_those_of_python(spark):
+    rng = random.Random(8)
+    odd = ["", " ", "\x1c", "\x1d a", "\x85", "\xa0", " b", "\x0b", "\x0c", "A\tB\rC\nD", " É éE İ ", "y" * 64, "Z" * 65, "Q" * 70 + " q"]
+    rows = corpus() + [(1000 + i, " ".join(rng.choices(odd, k=rng.randint(0, 6)))) for i in range(60)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = hmm.blocks(docs(spark, rows, CLASHES).coalesce(1), block_tokens=150).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got, known = [], Counter()
+    for r in made:
+        assert r.train == [train(k) for k in r.docs] and len(set(r.words)) == len(r.words) == len(r.learned)
+        assert sum(r.sizes[:-1]) < 150 and (sum(r.sizes) >= 150 or r is made[-1])
+        every = iter(hmm.unpack(r.tokens).tolist())
+        got += [(k, [bytes(r.words[next(every)]) for _ in range(n)]) for k, n in zip(r.docs, r.sizes, strict=True)]
+        assert next(every, None) is None
+        known.update({bytes(w): c for w, c in zip(r.words, r.learned, strict=True)})
+    short = lambda w: w if len(w) <= 64 else b" " + __import__("hashlib").sha256(w).hexdigest().encode()
+    want = [(k, [short(w) for w in (text or "").encode().lower().split()]) for k, text in rows]
+    assert got == want
+    assert +known == Counter(w for k, ws in want if train(k) for w in ws)

@@ -41,15 +41,15 @@ import hashlib
 import math
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import discard, partitions, rows, written
+from tillroll.llm.common import discard, partitions, written
 from tillroll.session import scratch_dir
 
 STATES = 4
@@ -58,6 +58,8 @@ MIX = 0.2
 OWN_SHARE = 2e-5
 STAY = 0.97
 BLOCK_TOKENS = 1 << 20
+WAVE_TOKENS = 1 << 15
+STEP_COST = 200
 FOLDS, HELD_FOLD = 7, 2
 
 
@@ -81,31 +83,29 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32)
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, lower-cased, and their number in each text."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(kind)))
+    words = parts.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # not before a first blank, after a last one, in an empty text
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(full.to_numpy(zero_copy_only=False))))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    return words.filter(full).view(texts.type), np.diff(ends)
 
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
 
-
-class _Block:
-    def __init__(self):
-        self.numbers, self.tokens, self.docs, self.sizes = _Numbers(), array("I"), [], []
-
-    def add(self, key: int | None, text: bytes | None) -> None:
-        before = len(self.tokens)
-        self.tokens.extend(map(self.numbers.__getitem__, (text or b"").lower().split()))
-        self.docs.append(key)
-        self.sizes.append(len(self.tokens) - before)
-
-    def batch(self, block: int) -> pa.RecordBatch:
-        tokens, train = np.frombuffer(self.tokens, np.uint32), [not held_out(k) for k in self.docs]
-        learned = np.bincount(tokens[np.repeat(np.array(train, bool), self.sizes)], minlength=len(self.numbers))
-        words = [w if len(w) <= 64 else b" " + hashlib.sha256(w).hexdigest().encode() for w in self.numbers]
-        row = {"block": block, "docs": self.docs, "train": train, "sizes": self.sizes, "tokens": pack(tokens), "words": words,
-               "learned": learned.tolist()}
-        return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _BLOCKS], schema=_BLOCKS)
+def _row(block: int, docs: list[pa.Array], words: list[pa.Array], sizes: list[np.ndarray]) -> pa.RecordBatch:
+    """A block: its texts' ids, flags and sizes, its tokens, its words and how often they are learned."""
+    docs, sizes, coded = pa.concat_arrays(docs), np.concatenate(sizes), pa.concat_arrays(words).dictionary_encode()
+    train = np.array([not held_out(k) for k in docs.to_pylist()], bool)
+    tokens, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary())
+    learned = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(words))
+    long = pc.greater(pc.binary_length(words), 64)
+    digests = [b" " + hashlib.sha256(w).hexdigest().encode() for w in words.filter(long).to_pylist()]
+    words = pc.replace_with_mask(words, long, pa.array(digests, pa.binary()))
+    lists = {"docs": docs, "train": train, "sizes": sizes, "words": words, "learned": learned}
+    column = lambda f: pa.ListArray.from_arrays([0, len(lists[f.name])], pa.array(lists[f.name], f.type.value_type))
+    row = {"block": pa.array([block]), "tokens": pa.array([pack(tokens)])} | {f.name: column(f) for f in _BLOCKS if f.name in lists}
+    return pa.RecordBatch.from_arrays([row[f.name].cast(f.type) for f in _BLOCKS], schema=_BLOCKS)
 
 
 _BLOCKS = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
@@ -117,14 +117,21 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc
     def run(batches):
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 32, _Block()
-        for key, text in rows(batches):
-            held.add(key, text)
-            if len(held.tokens) >= block_tokens:
-                yield held.batch(number)
-                number, held = number + 1, _Block()
-        if held.docs:
-            yield held.batch(number)
+        number, held, room = TaskContext.get().partitionId() << 32, [], block_tokens
+        for batch in batches:
+            words, sizes = split(batch.column(1))
+            ends, i = np.cumsum(sizes), 0
+            while i < len(sizes):
+                before = int(ends[i] - sizes[i])
+                j = min(len(sizes), int(np.searchsorted(ends, before + room)) + 1)  # up to the text that fills the block
+                n = int(ends[j - 1]) - before
+                held.append((batch.column(0).slice(i, j - i), words.slice(before, n), sizes[i:j]))
+                i, room = j, room - n
+                if room <= 0:
+                    yield _row(number, *map(list, zip(*held, strict=True)))
+                    number, held, room = number + 1, [], block_tokens
+        if held:
+            yield _row(number, *map(list, zip(*held, strict=True)))
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, _BLOCK_TYPES)
 
@@ -192,61 +199,146 @@ def start_weights(ids: np.ndarray, states: int) -> np.ndarray:
     return -np.log(((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0 ** -54)
 
 
-class Steps:
-    """The tokens of a block's texts in the order of their places: all first
-    tokens, all second ones, ...; texts are sorted by length, longest first."""
+class Sequences:
+    """Sequences of tokens in the order of the tokens' places: all first
+    tokens, all second ones, ...; sequences are sorted by length, longest first."""
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, end: int, wanted: np.ndarray | None = None):
+    def __init__(self, whole: np.ndarray, first: np.ndarray, length: np.ndarray):
+        self.order = np.argsort(-length, kind="stable")
+        rank = np.empty_like(self.order)
+        rank[self.order] = np.arange(len(length))
+        most = int(length.max(initial=0))
+        self.active = len(length) - np.searchsorted(np.sort(length), np.arange(most), side="right")
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.active)))
+        self.tokens = np.empty(int(length.sum()), np.int32)
+        t = np.arange(len(self.tokens)) - np.repeat(np.cumsum(length) - length, length)
+        self.tokens[self.at[t] + np.repeat(rank, length)] = whole[np.repeat(first, length) + t]
+
+    def emitted(self, e: np.ndarray, back: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, last, emissions by state) of each step; ``e`` by state."""
+        steps, at = len(self.active), self.at.tolist()
+        cuts = np.unique(np.append(np.searchsorted(self.at, np.arange(0, at[-1], WAVE_TOKENS)), steps)).tolist()
+        turn = reversed if back else iter
+        for low, high in turn(list(zip(cuts[:-1], cuts[1:], strict=True))):
+            x = e.take(self.tokens[at[low]:at[high]], axis=1)
+            for s in turn(range(low, high)):
+                yield at[s], at[s + 1], x[:, at[s] - at[low]:at[s + 1] - at[low]]
+
+
+class Steps(Sequences):
+    """The texts of a block, each with its end, cut into pieces that advance
+    side by side."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, end: int, wanted: np.ndarray | None = None, piece: int | None = None):
         sizes = sizes.astype(np.int64)
         if wanted is not None:
             tokens, sizes = tokens[np.repeat(wanted, sizes)], sizes[wanted]
         n = sizes + 1
-        self.order = np.argsort(-n, kind="stable")
-        rank = np.empty_like(self.order)
-        rank[self.order] = np.arange(len(n))
-        most = int(n.max(initial=0))
-        self.active = len(n) - np.searchsorted(np.sort(n), np.arange(most), side="right")
-        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.active)))
-        self.tokens = np.empty(int(n.sum()), np.int32)
-        if most:
-            first = np.cumsum(sizes) - sizes
-            t = np.arange(len(tokens)) - np.repeat(first, sizes)
-            self.tokens[self.at[t] + np.repeat(rank, sizes)] = tokens
-            self.tokens[self.at[sizes] + rank] = end
-
-    def __iter__(self) -> Iterator[tuple[int, int, int]]:
-        """(first, last, number of texts) of each step."""
-        return zip(self.at[:-1].tolist(), self.at[1:].tolist(), self.active.tolist(), strict=True)
+        self.whole = np.insert(tokens, np.cumsum(sizes), end)
+        piece = piece or piece_tokens(n)
+        self.pieces = -(-n // piece)
+        self.text = np.repeat(np.arange(len(n)), self.pieces)
+        self.nth = np.arange(len(self.text)) - np.repeat(np.cumsum(self.pieces) - self.pieces, self.pieces)
+        self.first = np.repeat(np.cumsum(n) - n, self.pieces) + self.nth * piece
+        self.length = np.minimum(piece, n[self.text] - self.nth * piece)
+        super().__init__(self.whole, self.first, self.length)
+
+    def part(self, which: np.ndarray) -> Sequences:
+        return Sequences(self.whole, self.first[which], self.length[which])
+
+
+def piece_tokens(n: np.ndarray) -> int:
+    """Length of pieces: a step costs about as much as ``STEP_COST`` tokens, a
+    token of a later piece is advanced from every state."""
+    most = int(n.max(initial=1))
+    costs = {most: 2 * STEP_COST * most}
+    for piece in (1 << b for b in range(8, most.bit_length()) if 1 << b < most):
+        costs[piece] = 3 * STEP_COST * piece + STATES * int(np.maximum(n - piece, 0).sum())
+    return min(costs, key=costs.get)
+
+
+def advanced(model: Model, e: np.ndarray, steps: Sequences, start: np.ndarray) -> np.ndarray:
+    """Start, state, sequence: states' shares after each whole sequence from each
+    row of ``start``, to a factor for each sequence."""
+    out, a = np.empty((*start.shape, len(steps.order))), None
+    for i, j, x in steps.emitted(e):
+        m = j - i
+        if a is None:
+            a = start[:, :, None] * x
+        else:
+            out[:, :, m:a.shape[2]] = a[:, :, m:]
+            a = (model.move.T @ a[:, :, :m]) * x
+        a /= a.sum((0, 1))
+    out[:, :, :a.shape[2]] = a
+    by_sequence = np.empty_like(out)
+    by_sequence[:, :, steps.order] = out
+    return by_sequence
+
+
+def joints(model: Model, e: np.ndarray, steps: Steps, back: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What pieces of a text pass on, by state and piece: probabilities of its
+    first state, those of the state before it (0 for first pieces), and, if
+    ``back``, how likely the rest of the text is after it."""
+    k, pieces = model.states, len(steps.text)
+    begin, before, rest = np.repeat(model.init[:, None], pieces, 1), np.zeros((k, pieces)), np.ones((k, pieces))
+    more = steps.pieces[steps.text] - steps.nth - 1
+    heads, inner = np.flatnonzero((steps.nth == 0) & (more > 0)), np.flatnonzero((steps.nth > 0) & (back | (more > 0)))
+    if not len(heads):
+        return begin, before, rest
+    maps = np.empty((k, k, pieces)) if len(inner) else None
+    if len(inner):
+        maps[:, :, inner] = advanced(model, e, steps.part(inner), np.eye(k))
+    a, last = advanced(model, e, steps.part(heads), model.init[None])[0], int(steps.nth.max())
+    rows = [heads]
+    while len(rows) <= last:
+        rows.append(rows[-1][more[rows[-1]] > 0] + 1)
+    for before_at, at in zip(rows[:-1], rows[1:], strict=True):
+        a = a[:, more[before_at] > 0]
+        a /= a.sum(0)
+        before[:, at], begin[:, at] = a, model.move.T @ a
+        if maps is not None:
+            a = (maps[:, :, at] * begin[:, None, at]).sum(0)
+    if back:
+        for at in reversed(rows[1:]):
+            b = model.move @ (maps[:, :, at] * rest[:, at]).sum(1)
+            rest[:, at - 1] = b / (b * before[:, at]).sum(0)
+    return begin, before, rest
+
+
+def _forward(model: Model, e: np.ndarray, steps: Steps, begin: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    a = None
+    for i, j, x in steps.emitted(e):
+        a = (begin[:, steps.order] if a is None else model.move.T @ a[:, :j - i]) * x
+        scale = a.sum(0)
+        a /= scale
+        yield i, j, a, scale
 
 
 def forward(model: Model, e: np.ndarray, steps: Steps) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, states' probabilities given the tokens so far, probability
     of the token) of each step."""
-    a = None
-    for i, j, m in steps:
-        a = (model.init if a is None else a[:m] @ model.move) * e[steps.tokens[i:j]]
-        scale = a.sum(1)
-        a /= scale[:, None]
-        yield i, j, a, scale
+    e = np.ascontiguousarray(e.T)
+    return _forward(model, e, steps, joints(model, e, steps, False)[0])
 
 
 def expected(model: Model, e: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected first states, moves, and counts of tokens by state."""
-    k, n = model.states, len(steps.tokens)
-    alpha, scales = np.empty((n, k), np.float32), np.empty(n)
-    for i, j, a, scale in forward(model, e, steps):
-        alpha[i:j], scales[i:j] = a, scale
-    move, after, later = np.zeros((k, k)), None, 0
-    for i, j, m in reversed(list(steps)):
-        beta = np.ones((m, k))
-        if after is not None:
-            move += alpha[i:i + later].T @ after
-            beta[:later] = after @ model.move.T
-        after, later = e[steps.tokens[i:j]] * beta / scales[i:j, None], m
-        alpha[i:j] *= beta
-    counts = np.stack([np.bincount(steps.tokens, alpha[:, s], len(e)) for s in range(k)], 1)
-    first = alpha[:steps.active[0]].sum(0, dtype=float) if n else np.zeros(k)
-    return first, move * model.move, counts
+    k, n, e = model.states, len(steps.tokens), np.ascontiguousarray(e.T)
+    begin, before, rest = joints(model, e, steps, True)
+    before, rest, starts = before[:, steps.order], rest[:, steps.order], steps.nth[steps.order] == 0
+    alpha, scales = np.empty((k, n), np.float32), np.empty(n)
+    for i, j, a, scale in _forward(model, e, steps, begin):
+        alpha[:, i:j], scales[i:j] = a, scale
+    move, after, later = np.zeros((k, k)), np.empty((k, 0)), 0
+    for i, j, x in steps.emitted(e, back=True):
+        if later:
+            move += alpha[:, i:i + later] @ after.T
+        beta = np.concatenate((model.move @ after, rest[:, later:j - i]), 1)
+        after, later = x * beta / scales[i:j], j - i
+        alpha[:, i:j] *= beta
+    move += before @ after.T
+    counts = np.stack([np.bincount(steps.tokens, alpha[s], e.shape[1]) for s in range(k)], 1)
+    return alpha[:, :later][:, starts].sum(1, dtype=float), move * model.move, counts
 
 
 def _block_rows(batches, model: Model) -> Iterator[tuple]:
@@ -297,11 +389,10 @@ def _scores(df: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for docs, train, sizes, tokens, n, e in _block_rows(batches, model):
             steps = Steps(tokens, sizes, len(n))
-            score = np.zeros(len(sizes))
-            for _, j, _, scale in forward(model, e, steps):
+            score = np.zeros(len(steps.order))
+            for *_, scale in forward(model, e, steps):
                 score[:len(scale)] += np.log10(scale)
-            by_text = np.empty_like(score)
-            by_text[steps.order] = score
+            by_text = np.bincount(steps.text[steps.order], score, len(sizes))
             ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
             known = np.concatenate((np.zeros(1, np.int64), np.cumsum(n[tokens] > 0)))
             logs = np.log10(model.unigram(n))[tokens]
