@@ -130,8 +130,11 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc
                 if room <= 0:
                     yield _row(number, *map(list, zip(*held, strict=True)))
                     number, held, room = number + 1, [], block_tokens
+                    pa.default_memory_pool().release_unused()
         if held:
             yield _row(number, *map(list, zip(*held, strict=True)))
+        words = held = None
+        pa.default_memory_pool().release_unused()  # else the worker holds it beside later stages
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, _BLOCK_TYPES)
 
