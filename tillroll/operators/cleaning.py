@@ -238,14 +238,15 @@ def _odd_invoices(lines: DataFrame, key: str, counted: DataFrame, total: int) ->
         F.count_distinct("StockCode").alias("_products"), F.lit(True).alias("_odd")), "odd-invoice-features")
 
 
-def write_clean_sales(raw: DataFrame, key: str, name: str):
+def write_clean_sales(raw: DataFrame, key: str, name: str, rounds: int = 1):
     """``clean_sales(raw)`` stored by ``key`` (``layout.KeyedTable``), a column
     that ``described_lines`` leaves alone: lines move before they are described.
 
     They move once.  An invoice mostly has one customer, so its lines meet where
     they are stored and its features are read there by a window; the features of
     other invoices are found first and come along on their lines.  Which these are,
-    and which keys have many lines, is read from one count by invoice and key."""
+    and which keys have many lines, is read from one count by invoice and key.
+    ``rounds`` as in ``write_keyed``, for written lines."""
     from tillroll.plans.layout import SALT, write_keyed
     extra = _extra(raw)
     lines = raw.transform(kept_raw_lines).transform(customer_flags)
@@ -265,7 +266,7 @@ def write_clean_sales(raw: DataFrame, key: str, name: str):
         return df.withColumns({c: F.when(F.col("_odd"), F.col(found)).when(F.col("InvoiceNo").isNotNull(), together[c])
                                for c, found in zip(_PER_INVOICE, ("_value", "_items", "_products"), strict=True)})
 
-    stored = write_keyed(known, key, name, together=F.when(usual, F.col("InvoiceNo")), counted=counted,
+    stored = write_keyed(known, key, name, together=F.when(usual, F.col("InvoiceNo")), counted=counted, rounds=rounds,
                          finish=lambda df: described_lines(features(df)).select(*CLEANED_COLUMNS, *extra, SALT))
     drop_cut(counted)
     return stored

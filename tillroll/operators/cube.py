@@ -21,22 +21,26 @@ A key that a third of all lines hold is one bit in each of its cells: lines are
 reduced to distinct (cell, key) map-side, and its number is joined from one
 written table to another, which AQE splits where it is skewed.  On the way a cell
 is two numbers (``_Codes``); its columns come back as the tables are written.
+
+Disk: the lines' keys, numbers and figures are written once, by part of the
+calendar.  Of many lines one kind of key moves at a time, and one part of the
+calendar after another; the files of a move go as its table is written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll import functions as tf
 from tillroll.operators import dimensions as dims, rfm, view
 from tillroll.operators.ranking import global_row_number
 from tillroll.operators.scalars import attach_one_row
-from tillroll.plans.materialize import cut, drop_cut
+from tillroll.plans.materialize import PARTITION_ROWS, cut, cut_more, drop_cut, partitions_for
 
 #: Columns of a cell, as far as the lines have them.
 DIMENSIONS = ("InvoiceDate", "Year", "Month", *dims.PEAK_KEYS, "Country", "ProductCategory", "Customer_Segment")
@@ -88,7 +92,8 @@ def _cell_lines(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return lines, [*names, IDENT]
 
 
-CALENDAR = ("InvoiceDate", "Year", "Month", *dims.PEAK_KEYS)
+MONTH = ("Year", "Month")
+CALENDAR = ("InvoiceDate", *MONTH, *dims.PEAK_KEYS)
 
 
 @dataclass(frozen=True)
@@ -100,12 +105,17 @@ class _Codes:
 
     calendar: DataFrame
     profile: DataFrame
+    lines: int
 
     @staticmethod
     def of(lines: DataFrame, cell: list[str]) -> _Codes:
-        halves = [c for c in cell if c in CALENDAR], [c for c in cell if c not in CALENDAR]
-        return _Codes(*[cut(lines.select(*names).distinct().withColumn(code, F.monotonically_increasing_id()), f"cube-{code}")
-                        for names, code in zip(halves, ("_calendar", "_profile"), strict=True)])
+        days, others = [c for c in cell if c in CALENDAR], [c for c in cell if c not in CALENDAR]
+        number = F.monotonically_increasing_id()
+        calendar = cut(lines.select(*days).distinct().withColumn("_calendar", number), "cube-_calendar")
+        counted = cut(lines.groupBy(*others).agg(F.count(F.lit(1)).alias("_n")).withColumn("_profile", number), "cube-_profile")
+        profile = counted.drop("_n")
+        profile._cut_at = counted._cut_at  # for drop_cut
+        return _Codes(calendar, profile, counted.agg(F.sum("_n")).first()[0] or 0)
 
     def put(self, lines: DataFrame) -> DataFrame:
         """Lines with the numbers in place of the cell's columns."""
@@ -124,54 +134,107 @@ class _Codes:
 
 
 def _pairs(lines: DataFrame) -> DataFrame:
-    """Distinct (key, numbers of the cell) of every kind, in one table; a file has
-    one kind, so a reader of it skips the others' files by their statistics."""
+    """Distinct (key, numbers of the cell) of every kind, in one table."""
     of_kind = [lines.where(F.col(key).isNotNull()).select(F.lit(kind).alias("kind"), key, "_calendar", "_profile").distinct()
                for kind, key, _ in KINDS]
-    return cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), of_kind), "cube-pairs")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), of_kind)
+
+
+TURNS = 4
+TURN_LINES = 1 << 20  # fewer go at once
+LEAST_FILES = 16
+
+
+def _write_coded(lines: DataFrame, codes: _Codes, turns: int) -> DataFrame:
+    """Lines with the numbers of their cell, written in folders by the part of the
+    calendar, in order of time, that they are in (``_turn``, from 0)."""
+    in_time = Window.orderBy(*MONTH, "InvoiceDate", "_calendar")  # at most 24 rows a day
+    part = codes.calendar.select("_calendar", (F.ntile(turns).over(in_time) - 1).alias("_turn"))
+    files = max(LEAST_FILES, -(-2 * codes.lines // PARTITION_ROWS))  # of few lines; many stay in the pieces they come in
+    return cut(codes.put(lines).join(F.broadcast(part), "_calendar").coalesce(files), "cube-lines", ["_turn"])
 
 
-def _marks(all_pairs: DataFrame, cell: list[str], codes: _Codes, kind: str, key: str, near: Sequence[str], made: list[DataFrame]) -> DataFrame:
-    """(numbers of the cell, kind, word, mask) of one kind of key; what is
-    written on the way is added to ``made``."""
-    pairs = all_pairs.where(F.col("kind") == kind).select(key, "_calendar", "_profile")
+@dataclass(frozen=True)
+class _Places:
+    """Where the cube's rows meet to be written: a month is a place, or several, of
+    about ``PARTITION_ROWS`` lines each; a cell is in one."""
+
+    calendar: DataFrame
+
+    @staticmethod
+    def of(cells: DataFrame, codes: _Codes) -> _Places:
+        months = cells.groupBy("Year", "Month").agg(F.sum("_n").alias("_n")).orderBy("Year", "Month").collect()
+        rows, first = [], 0
+        for year, month, n in months:
+            slices = -(-n // PARTITION_ROWS)
+            rows.append((year, month, first, slices))
+            first += slices
+        types = dict(cells.dtypes)
+        known = cells.sparkSession.createDataFrame(rows, f"_y {types['Year']}, _m {types['Month']}, _first long, _slices long")
+        same = F.col("Year").eqNullSafe(F.col("_y")) & F.col("Month").eqNullSafe(F.col("_m"))
+        return _Places(codes.calendar.join(F.broadcast(known), same).select("_calendar", "_first", "_slices"))
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Rows with their place."""
+        place = F.col("_first") + F.pmod(F.hash("_calendar", "_profile"), F.col("_slices"))
+        return df.join(F.broadcast(self.calendar), "_calendar").withColumn("_place", place).drop("_first", "_slices")
+
+
+def _marks(lines: DataFrame, turns: int, cell: list[str], codes: _Codes, places: _Places, kind: str, key: str, near: Sequence[str],
+           made: list[DataFrame]) -> Iterator[DataFrame]:
+    """(numbers of the cell, kind, word, mask) of one kind of key, turn by turn, rows
+    of a month side by side; what is written on the way is added to ``made``."""
     near = [c for c in near if c in cell]
+    known = lines.where(F.col(key).isNotNull()).select(key, "_calendar", "_profile")
     # alike is enough, so texts go by their hash: their minimum would sort all rows
-    keys = codes.back(pairs).groupBy(key).agg(*[F.min(c if c == "InvoiceDate" else F.xxhash64(c)).alias(c) for c in near])
-    ranked = global_row_number(keys, [*near, key])
+    keys = codes.back(known).groupBy(key).agg(*[F.min(c if c == "InvoiceDate" else F.xxhash64(c)).alias(c) for c in near])
+    ranked = global_row_number(keys, [*near, key], num_partitions=max(1, -(-codes.lines // PARTITION_ROWS)))
     made.append(ranked)
     ids = ranked.select(key, (F.col("rn") - 1).alias("id"))
-    numbered = pairs.join(ids, key).withColumns({"word": F.expr(f"id div {WORD_BITS}"), "bit": F.expr(f"shiftleft(1L, cast(id % {WORD_BITS} as int))")})
-    return (numbered.groupBy("_calendar", "_profile", "word").agg(F.bit_or("bit").alias("mask"))
-            .select("_calendar", "_profile", F.lit(kind).alias("kind"), "word", "mask"))
+    for turn in range(turns):
+        pairs = _pairs(lines.where(F.col("_turn") == turn)).where(F.col("kind") == kind).select(key, "_calendar", "_profile")
+        numbered = places.put(pairs.join(ids, key).drop(key)).repartition("_place")
+        words = numbered.withColumns({"word": F.expr(f"id div {WORD_BITS}"), "bit": F.expr(f"shiftleft(1L, cast(id % {WORD_BITS} as int))")})
+        yield (words.groupBy("_place", "_calendar", "_profile", "word").agg(F.bit_or("bit").alias("mask"))
+               .select("_calendar", "_profile", F.lit(kind).alias("kind"), "word", "mask"))
 
 
 def write_cube(df: DataFrame) -> SalesCube:
     """Reduce lines (with segments, if they have them) to the cube's tables, in
-    the shared folder."""
+    the shared folder.  ``df`` is read for the numbers of its cells and once more,
+    when its keys and figures are written; the rest reads these."""
     lines, cell = _cell_lines(df)
     codes = _Codes.of(lines, cell)
-    lines = codes.put(lines)
-    sums = lines.groupBy("_calendar", "_profile").agg(
-        F.sum(dims.REV_UNITS).alias(dims.REV_UNITS), F.count(F.lit(1)).alias("_n"),
-        F.sum("_ident").alias("_ident_n"), F.sum("Quantity").cast("long").alias("Quantity"))
-    pairs = _pairs(lines)
-    made = [codes.calendar, codes.profile, pairs]
-    marks = reduce(DataFrame.unionByName, [_marks(pairs, cell, codes, *kind, made) for kind in KINDS])
-    cube = SalesCube(_by_month(sums, codes, cell, "cube-cells"), _by_month(marks, codes, cell, "cube-marks"))
+    turns = max(1, min(TURNS, -(-codes.lines // TURN_LINES)))
+    lines = _write_coded(lines, codes, turns)
+    made, marks = [codes.calendar, codes.profile, lines], None
+    with partitions_for(df.sparkSession, codes.lines):
+        sums = lines.groupBy("_calendar", "_profile").agg(
+            F.sum(dims.REV_UNITS).alias(dims.REV_UNITS), F.count(F.lit(1)).alias("_n"),
+            F.sum("_ident").alias("_ident_n"), F.sum("Quantity").cast("long").alias("Quantity"))
+        cells = cut(_by_month(sums, codes, cell, move=True), "cube-cells", MONTH)
+        places = _Places.of(cells, codes)
+        for kind in KINDS:
+            passing = []
+            for part in _marks(lines, turns, cell, codes, places, *kind, passing):
+                part = _by_month(part, codes, cell)
+                marks = cut(part, "cube-marks", MONTH) if marks is None else cut_more(marks, part, MONTH)
+            for table in passing:
+                drop_cut(table)
     for table in made:
         drop_cut(table)
-    return cube
+    return SalesCube(cells, marks)
 
 
-def _by_month(df: DataFrame, codes: _Codes, cell: list[str], name: str) -> DataFrame:
-    """``df`` written by month; a large month is dealt over several files.  Rows
-    are moved and sorted while they are narrow and get the cell's columns last."""
-    month = ["Year", "Month"]
-    narrow = df.join(F.broadcast(codes.calendar.select("_calendar", *month)), "_calendar")
-    placed = codes.back(narrow.hint("rebalance", *month).sortWithinPartitions(*month))
+def _by_month(df: DataFrame, codes: _Codes, cell: list[str], move: bool = False) -> DataFrame:
+    """``df`` in order of the months within partitions.  With ``move`` rows of a
+    month meet first; a large one is dealt over several partitions.  Rows are moved
+    and sorted while they are narrow and get the cell's columns last."""
+    narrow = df.join(F.broadcast(codes.calendar.select("_calendar", *MONTH)), "_calendar")
+    narrow = narrow.hint("rebalance", *MONTH) if move else narrow
+    placed = codes.back(narrow.sortWithinPartitions(*MONTH))
     rest = [c for c in df.columns if c not in ("_calendar", "_profile")]
-    return cut(placed.select(*cell, *rest), name, month)
+    return placed.select(*cell, *rest)
 
 
 # ---------------------------------------------------------------- panels ---

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, dimensions as dims
-from tillroll.plans.layout import KeyedTable
-from tillroll.plans.materialize import once
+from tillroll.plans.layout import ROUNDS, KeyedTable
+from tillroll.plans.materialize import drop_written, is_written, once
 from tillroll.plans.oracle import (CLEANED_COLS, U, clean_desc_sql, money, msum, title_sql, with_cleaned,
                                    with_raw)
 from tillroll.sources.retail import TPCH_TABLES, read_table, retail_raw
@@ -47,9 +47,18 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned_by_customer(spark: SparkSession, sf_dir: str) -> KeyedTable:
     """Cleaned lines of ``sf_dir``, stored by customer: the cleaning job's output
-    table, written once per session (the boundary every analysis starts from)."""
-    return once(spark, f"cleaned:{sf_dir}", lambda: cleaning.write_clean_sales(
-        raw_lines(spark, sf_dir), "CustomerID", "cleaned-lines"), sources=_inputs(sf_dir))
+    table, written once per session (the boundary every analysis starts from).
+    Raw lines that were written for it alone are deleted."""
+    raw = dict(key=f"raw:{sf_dir}", sources=_inputs(sf_dir))
+
+    def build() -> KeyedTable:
+        asked_for = is_written(spark, **raw)
+        stored = cleaning.write_clean_sales(raw_lines(spark, sf_dir), "CustomerID", "cleaned-lines", ROUNDS)
+        if not asked_for:
+            drop_written(spark, **raw)
+        return stored
+
+    return once(spark, f"cleaned:{sf_dir}", build, sources=_inputs(sf_dir))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,10 +410,13 @@ def segmented(spark, sf) -> DataFrame:
     """Dashboard lines with RFM segments attached (written once per session,
     as the dashboard caches its loaded frame)."""
     from tillroll.plans.materialize import written_table
+    return written_table(spark, f"segmented:{sf}", lambda: with_segments(spark, sf), sources=_inputs(sf))
+
+
+def with_segments(spark, sf) -> DataFrame:
+    """The same lines, read as they are stored by customer."""
     from tillroll.sources.schemas import CLEANED_COLUMNS, SEGMENT_COLUMNS
-    return written_table(spark, f"segmented:{sf}", lambda: rfm.attach_segments(
-        cleaned_by_customer(spark, sf), metrics=rfm_table(spark, sf, "all")).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS),
-        sources=_inputs(sf))
+    return rfm.attach_segments(cleaned_by_customer(spark, sf), metrics=rfm_table(spark, sf, "all")).select(*CLEANED_COLUMNS, *SEGMENT_COLUMNS)
 
 
 def rfm_table(spark, sf, scope: str = "identified") -> DataFrame:
@@ -1016,8 +1028,9 @@ from tillroll.operators import cube as cube_ops  # noqa: E402
 
 
 def cube_table(spark, sf) -> cube_ops.SalesCube:
-    """The dashboard cube over the segmented lines, written once per session."""
-    return once(spark, f"cube:{sf}", lambda: cube_ops.write_cube(segmented(spark, sf)), sources=_inputs(sf))
+    """The dashboard cube over the segmented lines, written once per session.  It
+    reads a few of their columns a few times, so they aren't written for it."""
+    return once(spark, f"cube:{sf}", lambda: cube_ops.write_cube(with_segments(spark, sf)), sources=_inputs(sf))
 
 
 CUBE_FILTER = dict(VIEW_FILTER, segment=DELTA_SEGMENT)
@@ -1027,7 +1040,8 @@ CUBE_CTES = (*RFM_DEDUP_CTES, f"fv AS (SELECT * FROM segmented WHERE {VIEW_WHERE
 
 def cube_view(spark, sf, segment: str = DELTA_SEGMENT) -> cube_ops.SalesCube:
     """What the test configuration's filter leaves of the cube."""
-    return cube_table(spark, sf).where(view.sales_predicate(**VIEW_FILTER, segment=segment, columns=segmented(spark, sf).columns))
+    cube = cube_table(spark, sf)
+    return cube.where(view.sales_predicate(**VIEW_FILTER, segment=segment, columns=cube.cells.columns))
 
 
 @register("cube_kpis", with_cleaned(f"SELECT {kpi_sql()} FROM fv", *CUBE_CTES))
@@ -1037,7 +1051,8 @@ def q_cube_kpis(spark, sf):
 
 @register("cube_kpi_deltas", ORACLE["kpi_deltas"])
 def q_cube_kpi_deltas(spark, sf):
-    return cube_ops.kpi_deltas(cube_table(spark, sf), view.sales_predicate(**CUBE_FILTER, columns=segmented(spark, sf).columns))
+    cube = cube_table(spark, sf)
+    return cube_ops.kpi_deltas(cube, view.sales_predicate(**CUBE_FILTER, columns=cube.cells.columns))
 
 
 @register("cube_filter_domains", ORACLE["filter_domains"])

@@ -51,20 +51,35 @@ def written_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     reuse the written table; ``sources`` are input paths whose files' sizes and
     times become part of it, so that changed inputs are read again.
     """
-    key = f"{key}:{_state(spark, sources)}" if sources else key
-    k = (_app_id(spark), key)
+    k = _written_key(spark, key, sources)
     path = _WRITTEN.get(k)
     if path is None:
-        path = scratch_dir(spark, key.replace("/", "_").strip("_")[-60:])
-        writer = build().write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        path = scratch_dir(spark, k[1].replace("/", "_").strip("_")[-60:])
+        with shuffles_end(spark):
+            writer = build().write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
         _WRITTEN[k] = path
     df = spark.read.parquet(path)
     return df
 
 
+def _written_key(spark: SparkSession, key: str, sources: Sequence[str]) -> tuple[str, str]:
+    return _app_id(spark), f"{key}:{_state(spark, sources)}" if sources else key
+
+
+def is_written(spark: SparkSession, key: str, sources: Sequence[str] = ()) -> bool:
+    """Whether ``written_table`` has this table already."""
+    return _written_key(spark, key, sources) in _WRITTEN
+
+
+def drop_written(spark: SparkSession, key: str, sources: Sequence[str] = ()) -> None:
+    """Delete a table of ``written_table`` that nothing made so far will read any
+    more; whoever asks for it later has it written again."""
+    _delete(spark, _WRITTEN.pop(_written_key(spark, key, sources)))
+
+
 def once(spark: SparkSession, key: str, build: Callable[[], object], sources: Sequence[str] = ()) -> object:
     """``build()``, made once per session under ``key`` (see ``written_table``)."""
     k = (_app_id(spark), f"{key}:{_state(spark, sources)}")
@@ -77,12 +92,38 @@ def cut(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame
     """Write ``df`` to a fresh table in the shared folder and scan it."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    with shuffles_end(spark):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return _scan_cut(spark, path, df)
+
+
+def cut_more(table: DataFrame, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Add ``df`` to a table made by ``cut`` and scan both."""
+    with shuffles_end(df.sparkSession):
+        df.write.mode("append").partitionBy(*partition_by).parquet(table._cut_at)
+    return _scan_cut(df.sparkSession, table._cut_at, df)
+
+
+def _scan_cut(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)  # an empty table by folders has no file to tell it
     out._cut_at = path
     return out
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffles' files as they end.  Otherwise these stay
+    until the driver collects its memory, and a job that goes on from table to
+    table has the moves of all of them on disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 PARTITION_ROWS = 1 << 18
 
 
@@ -103,6 +144,9 @@ def partitions_for(spark: SparkSession, rows: int) -> Iterator[int]:
 
 def drop_cut(table: DataFrame) -> None:
     """Delete a table made by ``cut`` that nothing will read any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._cut_at)
+    _delete(table.sparkSession, table._cut_at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -50,11 +50,13 @@ def retail_raw(spark: SparkSession, sf_dir: str, with_items: bool = True) -> Dat
     pa = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
 
-    # Customers come to orders, of which there are fewer, before lines move.
-    od = od.join(cu, od.o_custkey == cu.c_custkey).join(na, cu.c_nationkey == na.n_nationkey)
-    j = li.join(od, li.l_orderkey == od.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
+    # Customers come to orders, of which there are fewer, before lines move.  Lines
+    # move with numbers alone: the nation's name and the order's key come back last.
+    od = od.join(cu, od.o_custkey == cu.c_custkey).select("o_orderkey", "o_custkey", "o_orderdate", "c_nationkey")
+    j = (li.join(od, li.l_orderkey == od.o_orderkey).drop("o_orderkey").join(pa, li.l_partkey == pa.p_partkey)
+         .join(na, F.col("c_nationkey") == na.n_nationkey))
 
-    okey = F.col("o_orderkey")
+    okey = F.col("l_orderkey")
     pkey = F.col("p_partkey")
     cancelled = okey % 50 == 0
     # Description suffix by p_partkey % 8.
