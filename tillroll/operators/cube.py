@@ -191,9 +191,10 @@ def _marks(lines: DataFrame, turns: int, cell: list[str], codes: _Codes, places:
     ranked = global_row_number(keys, [*near, key], num_partitions=max(1, -(-codes.lines // PARTITION_ROWS)))
     made.append(ranked)
     ids = ranked.select(key, (F.col("rn") - 1).alias("id"))
+    pieces = max(LEAST_FILES, -(-2 * codes.lines // (turns * PARTITION_ROWS)))  # named, so that they aren't put together
     for turn in range(turns):
         pairs = _pairs(lines.where(F.col("_turn") == turn)).where(F.col("kind") == kind).select(key, "_calendar", "_profile")
-        numbered = places.put(pairs.join(ids, key).drop(key)).repartition("_place")
+        numbered = places.put(pairs.join(ids, key).drop(key)).repartition(pieces, "_place")
         words = numbered.withColumns({"word": F.expr(f"id div {WORD_BITS}"), "bit": F.expr(f"shiftleft(1L, cast(id % {WORD_BITS} as int))")})
         yield (words.groupBy("_place", "_calendar", "_profile", "word").agg(F.bit_or("bit").alias("mask"))
                .select("_calendar", "_profile", F.lit(kind).alias("kind"), "word", "mask"))
